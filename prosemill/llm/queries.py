@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, piece
+from . import decontam, jaccard, langid, piece, secrets
 from .common import table
 
 
@@ -23,11 +23,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter(F.transform("spans", lambda s: s.kind), lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select("doc_id", *count, F.sha2(secrets.listed("spans", True), 256).alias("base_sha256"), secrets.listed("spans", False).alias("spans"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = piece.encode_decode(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -35,7 +49,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_language_id": op6_language_id,
+    "op8_secret_scans": op8_secret_scans,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
