@@ -13,7 +13,7 @@ A document is the set of its distinct word shingles. Two documents link when
    the least estimated cost, postings read plus candidates verified, from the
    frequencies in its prefix. A pair must share the lesser of the two numbers.
 4. Links join components. In a posting list, all entries are first verified
-   against a centre that a hash picks; then lists are reduced to entries of
+   against a few centres that hashes pick; then lists are reduced to entries of
    different components, and all their pairs that share enough are verified.
    Hot groups merge in linear steps, and no link between components is missed.
 """
@@ -37,7 +37,9 @@ VERIFY_COST = 4.0
 #: Shingles that a task packs at once, and that a bucket holds about.
 PACKED, BUCKET = 2_000_000, 3_000_000
 #: Pair rows for each posting up to which all pairs between components are listed at once.
-PAIRS_PER_POSTING = 3
+PAIRS_PER_POSTING = 1
+#: Centres of a posting list in one turn, and turns at most before all pairs are listed.
+CENTRES, STAR_TURNS = 4, 3
 WORDS_KEPT = 1_000_000
 
 
@@ -273,32 +275,45 @@ def link_components(sets: DataFrame, entries: DataFrame, percent: int) -> DataFr
     """(id, label) of every class in ``sets``: label is the least id reachable."""
     labels = stored(sets.select("id", F.col("id").alias("label")), "jaccard-labels")
     budget = PAIRS_PER_POSTING * entries.count() + 10_000
-    tried = None
-    for turn in range(1_000):
-        here = entries.join(labels, "id")
-        spread = here.groupBy("hash", "label").agg(F.count("*").alias("k")).groupBy("hash").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels")).where("labels > 1")
-        open_lists = stored(here.join(spread.select("hash", "m", "same"), "hash"), "jaccard-open")
-        pairs_left = open_lists.select("hash", "m", "same").distinct().agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0] or 0
-        if not pairs_left:
+    here = entries.withColumn("label", F.col("id"))
+    for turn in range(STAR_TURNS):
+        labels = merged_labels(labels, verified(star_pairs(here, turn, percent), sets, percent))
+        by_label = entries.join(labels, "id")
+        spread = by_label.groupBy("hash", "label").agg(F.count("*").alias("k")).groupBy("hash").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels")).where("labels > 1")
+        here = stored(by_label.join(spread.select("hash", ((F.col("m") * F.col("m") - F.col("same")) / F.col("m")).alias("others")), "hash"), "jaccard-open")
+        # each entry of a list adds an equal part of the list's pairs between components
+        left = here.agg(F.sum("others")).first()[0] or 0
+        if not left:
             return labels
-        every = pairs_left <= budget or tried == 0
-        x, y = (open_lists.select("hash", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("matches").alias(f"m{i}"), F.col("label").alias(f"l{i}")) for i in "ab")
-        if every:
-            pairs = x.join(y, "hash").where("a < b and la <> lb").where(_close("na", "nb", percent)).groupBy("a", "b").agg(F.count("*").alias("common"), F.first(F.least("ma", "mb")).alias("need")).where("common >= need")
-        else:
-            picked = F.min(F.struct(F.xxhash64("hash", "id", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")))
-            centres = open_lists.groupBy("hash").agg(picked.alias("c")).select("hash", "c.a", "c.na", "c.la")
-            pairs = centres.join(y, "hash").where("a <> b and la <> lb").where(_close("na", "nb", percent)).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = stored(verified(pairs.select("a", "b"), sets, percent).select("a", "b"), "jaccard-links")
-        tried = found.count()
-        if tried:
-            la, lb = (labels.select(F.col("id").alias(i), F.col("label").alias(f"l{i}")) for i in "ab")
-            joined = found.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            new = components(labels.select(F.col("label").alias("id")).distinct(), joined, "jaccard-components")
-            labels = stored(labels.join(new.select(F.col("id").alias("label"), F.col("label").alias("new")), "label").select("id", F.col("new").alias("label")), "jaccard-labels")
-        if every:
-            return labels
-    raise RuntimeError("the components did not settle")
+        if left / 2 <= budget:
+            break
+    return merged_labels(labels, verified(open_pairs(here, percent), sets, percent))
+
+
+def star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each entry of a list with the list's centres, which hashes pick, where labels differ."""
+    picked = [F.min(F.struct(F.xxhash64("hash", "id", F.lit(turn), F.lit(i)).alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))) for i in range(CENTRES)]
+    centres = lists.groupBy("hash").agg(F.array_distinct(F.array(*picked)).alias("c"), F.count("*").alias("m")).where("m > 1").select("hash", F.explode("c").alias("c")).select("hash", "c.a", "c.na", "c.la").distinct()
+    others = lists.select("hash", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    met = centres.join(others, "hash").where("a <> b and la <> lb").where(_close("na", "nb", percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different labels that share as many prefix shingles as the one needs that needs fewer."""
+    x, y = (lists.select("hash", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("matches").alias(f"m{i}"), F.col("label").alias(f"l{i}")) for i in "ab")
+    met = x.join(y, "hash").where("a < b and la <> lb").where(_close("na", "nb", percent))
+    return met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first(F.least("ma", "mb")).alias("need")).where("common >= need").select("a", "b")
+
+
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    found = stored(links.select("a", "b"), "jaccard-links")
+    if found.limit(1).count() == 0:
+        return labels
+    la, lb = (labels.select(F.col("id").alias(i), F.col("label").alias(f"l{i}")) for i in "ab")
+    joined = found.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    new = components(labels.select(F.col("label").alias("id")).distinct(), joined, "jaccard-components")
+    return stored(labels.join(new.select(F.col("id").alias("label"), F.col("label").alias("new")), "label").select("id", F.col("new").alias("label")), "jaccard-labels")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
