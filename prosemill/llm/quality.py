@@ -16,21 +16,25 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, stored
 
+#: Share of good documents on which a rule may be taken to vote bad.
+MOST_FALSE = 0.001
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: (rule, votes bad if, votes good if, over the measures below); otherwise it abstains.
 RULES = [
-    ("length", "n_words < 20", "n_words >= 60"),
+    ("length", "n_words < 5", "n_words >= 60"),
     ("symbols", "n_symbols > 0.05 * n_words", "n_symbols <= 0.005 * n_words"),
-    ("repeated_lines", "n_dup_lines > 0.2 * n_lines", "n_dup_lines = 0 and n_lines >= 3"),
-    ("repeated_words", "n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.02 * n_words"),
+    ("repeated_lines", "n_dup_lines >= 3 and n_dup_lines > 0.4 * n_lines", "n_dup_lines = 0"),
+    ("repeated_words", "n_repeat_words > 0.35 * n_words and n_repeat_words > 20", "n_repeat_words <= 0.1 * n_words"),
     ("word_length", "word_chars < 2.5 * n_words or word_chars > 12 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
-    ("letters", "n_letters < 0.75 * word_chars", "n_letters >= 0.92 * word_chars"),
+    ("letters", "n_letters < 0.75 * word_chars", "n_letters >= 0.85 * word_chars"),
     ("variety", "n_distinct < 0.15 * n_words", "n_distinct >= 0.3 * n_words"),
-    ("sentences", "n_stops = 0 or n_words > 80 * n_stops", "n_words between 3 * n_stops and 40 * n_stops"),
+    ("sentences", "n_stops = 0 or n_words > 80 * n_stops or n_words < 1.5 * n_stops", "n_words between 3 * n_stops and 40 * n_stops"),
+    ("capitals", "n_capitals > 0.3 * word_chars", "n_capitals <= 0.1 * word_chars"),
 ]
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct", "n_stops"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct", "n_stops", "n_capitals"]
 
 
 def repeated_words(numbers: np.ndarray, width: int = 3) -> int:
@@ -53,9 +57,10 @@ def measure(text: str | None) -> tuple[int, ...]:
     """The values of MEASURES for a text; zeros for a null or empty one."""
     if not text:
         return (0,) * len(MEASURES)
-    words = text.encode("utf-8", "surrogatepass").split()
+    data = text.encode("utf-8", "surrogatepass")
+    words = data.split()
     if not words:
-        return (0, 0, sum(text.count(c) for c in _SYMBOLS), 0, 0, 0, 0, 0, 0)
+        return (0, 0, sum(text.count(c) for c in _SYMBOLS), 0, 0, 0, 0, 0, 0, 0)
     numbering: dict[bytes, int] = {}
     numbers = np.array([numbering.setdefault(w, len(numbering)) for w in words], dtype=np.int64)
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
@@ -63,7 +68,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     letters = chars - sum(text.count(c) for c in "0123456789.,;:!?'\"()-_/=@+~^`{}[]\\" + _SYMBOLS)
     return (
         len(words), chars, sum(text.count(c) for c in _SYMBOLS), len(lines) - len(set(lines)), repeated_words(numbers),
-        len(lines), letters, len(numbering), sum(text.count(c) for c in ".!?"),
+        len(lines), letters, len(numbering), sum(text.count(c) for c in ".!?"), len(data) - len(data.translate(None, _CAPITALS)),
     )
 
 
@@ -80,29 +85,33 @@ def vote_pattern(rules=tuple(RULES)):
     return sum(F.when(F.expr(bad), 1).when(F.expr(good), 2).otherwise(0) * F.lit(3**i) for i, (_, bad, good) in enumerate(rules)).cast("long")
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """(accuracies, share of good, posterior of each pattern) by expectation-maximisation.
+def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 300) -> tuple[np.ndarray, float, np.ndarray]:
+    """(rates, share of good, posterior of each pattern) by expectation-maximisation.
 
-    Accuracies start at 0.75 and stay in 0.55 to 0.98: a rule is taken to be
-    better than chance, which keeps the two classes from changing places.
+    rates[c, j] is the share of class c (0 bad, 1 good) on which rule j votes
+    bad where it votes: one minus its accuracy on good documents, its accuracy
+    on bad ones. Abstaining says nothing. It starts from documents without any
+    bad vote being good, and a rule is taken to vote bad on at most
+    ``MOST_FALSE`` of good documents and on no fewer of bad ones, which keeps
+    the classes from changing places or merging.
     """
-    votes = np.stack([patterns // 3**i % 3 for i in range(n_rules)], axis=1)
-    good, bad = (votes == 2).astype(float), (votes == 1).astype(float)
-    accuracy, share = np.full(n_rules, 0.75), 0.8
-    posterior = np.full(len(patterns), share)
+    votes = np.stack([patterns // 3**i % 3 for i in range(n_rules)], axis=1) if n_rules else np.zeros((len(patterns), 0), int)
+    bad, good = (votes == 1).astype(float), (votes == 2).astype(float)
+    posterior = np.where((votes == 1).any(axis=1), 0.05, 0.95)
+    rates, share = np.full((2, n_rules), MOST_FALSE), 0.8
     for _ in range(rounds):
-        odds = np.log(accuracy / (1 - accuracy))
-        score = np.log(share / (1 - share)) + (good - bad) @ odds
-        new = 1 / (1 + np.exp(-score))
-        right = (counts * new) @ good + (counts * (1 - new)) @ bad
-        seen = counts @ (good + bad)
-        accuracy = np.clip((right + 1.5) / (seen + 2), 0.55, 0.98)
-        share = float(np.clip((counts @ new + 8) / (counts.sum() + 10), 0.05, 0.95))
-        if len(new) == 0 or np.abs(new - posterior).max() < 1e-9:
-            posterior = new
-            break
+        weight = np.stack([counts * (1 - posterior), counts * posterior])
+        rates = (weight @ bad + 0.5) / (weight @ (bad + good) + 1)
+        rates[1] = np.minimum(rates[1], MOST_FALSE)
+        rates[0] = np.clip(rates[0], MOST_FALSE, 0.98)
+        share = float(np.clip((weight[1].sum() + 8) / (counts.sum() + 10), 0.05, 0.95))
+        score = np.log(share / (1 - share)) + bad @ np.log(rates[1] / rates[0]) + good @ np.log((1 - rates[1]) / (1 - rates[0]))
+        new = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+        settled = len(new) == 0 or np.abs(new - posterior).max() < 1e-9
         posterior = new
-    return accuracy, share, posterior
+        if settled:
+            break
+    return rates, share, posterior
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=tuple(RULES), least: float = 0.5) -> DataFrame:
