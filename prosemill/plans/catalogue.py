@@ -1,6 +1,393 @@
-"""Registered queries over the given tables, with DuckDB twins."""
+"""Registered queries over the given tables, with DuckDB twins.
+
+Documents stand for files and their lines for segments. Patterns that the
+tables rarely hold are written into the texts, the same way on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as T
+from ..operators import policy, rollups, segments, validation
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its DuckDB twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for each document, with names that meet every rule of the policy."""
+    names = "array('a.md','b.PY','c_pb2.py','d.txt','e.generated.ts','.env.local','go.sum','x.lock','f.min.js','g.rs','secrets.json','h.png','_i.mdx','j.tsx','k.pb.go','l.java')"
+    folders = "array('docs','src/app','.github','node_modules/p','build','lib/a/b','drafts','vendor')"
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat(element_at({folders}, cast(doc_id % 8 as int) + 1), '/', element_at({names}, cast(doc_id % 16 as int) + 1))").alias("path"))
+
+
+_PATHS_SQL = """select doc_id, ['docs','src/app','.github','node_modules/p','build','lib/a/b','drafts','vendor'][doc_id % 8 + 1] || '/' ||
+  ['a.md','b.PY','c_pb2.py','d.txt','e.generated.ts','.env.local','go.sum','x.lock','f.min.js','g.rs','secrets.json','h.png','_i.mdx','j.tsx','k.pb.go','l.java'][doc_id % 16 + 1] as path from documents"""
+_LINES_SQL = """select doc_id, line, body, coalesce(sum(strlen(body) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start_byte
+  from (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1)::bigint as line from documents)"""
+_SEGMENTS_SQL = f"select doc_id, line, body, start_byte, start_byte + strlen(body) as end_byte, row_number() over (partition by doc_id order by start_byte) as segment from ({_LINES_SQL}) where regexp_matches(body, '\\p{{L}}')"
+
+
+@query("""select doc_id, 'f_' || substr(sha256('docs/' || doc_id || '.md'), 1, 20) as id, sha256(text) as sha256, strlen(text)::bigint as byte_length, (ascii(text) = 65279) as bom,
+  case when text = '' then 'none' when not contains(text, chr(10)) and not contains(text, chr(13)) then 'none' else 'lf' end as eol from documents""")
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity, digest, size, byte-order mark and line ends of each file."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.file_id(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("id"), F.sha2("text", 256).alias("sha256"), T.byte_length("text").alias("byte_length"),
+        F.col("text").startswith("\ufeff").alias("bom"), T.eol_style("text").alias("eol"),
+    )
+
+
+@query("""with t as (select doc_id, case doc_id % 5 when 0 then replace(text, chr(10), chr(13) || chr(10)) when 1 then replace(text, chr(10), chr(13)) when 2 then text || chr(13) || 'x' || chr(10) when 3 then replace(text, chr(10), ' ') else text end as x from documents),
+  c as (select doc_id, contains(x, chr(13) || chr(10)) as a, contains(replace(x, chr(13) || chr(10), ''), chr(10)) as b, contains(replace(x, chr(13) || chr(10), ''), chr(13)) as d from t)
+  select doc_id, case when a::int + b::int + d::int > 1 then 'mixed' when a then 'crlf' when b then 'lf' when d then 'cr' else 'none' end as eol from c""")
+def eol_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.expr("case doc_id % 5 when 0 then replace(text, '\n', '\r\n') when 1 then replace(text, '\n', '\r') when 2 then concat(text, '\r', 'x', '\n') when 3 then replace(text, '\n', ' ') else text end")
+    return table(spark, sf_dir, "documents").select("doc_id", T.eol_style(x).alias("eol"))
+
+
+@query(f"select doc_id, line, segment, start_byte::bigint as start_byte, end_byte::bigint as end_byte from ({_SEGMENTS_SQL})")
+def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with letters, with byte ranges and numbers."""
+    return segments.segments(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "line", "segment", "start_byte", "end_byte")
+
+
+@query(f"""select doc_id, segment, strlen(coalesce(substr(lag(body) over w, 1, 500), ''))::bigint as before_bytes, strlen(coalesce(substr(lead(body) over w, 1, 500), ''))::bigint as after_bytes,
+  ((lag(body) over w is not null)::int + (lead(body) over w is not null)::int)::bigint as neighbours from ({_SEGMENTS_SQL}) window w as (partition by doc_id order by segment)""")
+def segment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.with_context(segments.segments(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "segment", "body")
+    first = F.col("segment") == 1
+    return rows.select(
+        "doc_id", "segment", F.when(first, 0).otherwise(F.octet_length(F.get("context", F.lit(0)))).cast("long").alias("before_bytes"),
+        F.coalesce(F.octet_length(F.get("context", F.when(first, 0).otherwise(1))), F.lit(0)).cast("long").alias("after_bytes"), F.size("context").cast("long").alias("neighbours"),
+    )
+
+
+@query("""select conv_id, turn, strlen(coalesce(substr(lag(text) over w, 1, 500), ''))::bigint as before_bytes, strlen(coalesce(substr(lead(text) over w, 1, 500), ''))::bigint as after_bytes
+  from conversations window w as (partition by conv_id order by turn)""")
+def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    size = lambda c: F.coalesce(F.octet_length(F.substring(c, 1, 500)), F.lit(0)).cast("long")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", size(F.lag("text").over(w)).alias("before_bytes"), size(F.lead("text").over(w)).alias("after_bytes"))
+
+
+def _ranges_sql(pattern: str, add: str) -> str:
+    return f"""with d as (select doc_id, text || {add} as x from documents), m as (select doc_id, x, regexp_extract_all(x, '{pattern}') as f from d)
+      select doc_id, len(f)::bigint as n, list_sum(list_transform(f, lambda s: strlen(s)))::bigint as bytes, case when len(f) > 0 then strlen(split_part(x, f[1], 1)) end::bigint as first_byte from m where len(f) > 0"""
+
+
+def _ranges(spark: SparkSession, sf_dir: str, family: str, before: str, after: str) -> DataFrame:
+    text = F.concat("text", F.lit(before), F.col("doc_id").cast("string"), F.lit(after))
+    found = table(spark, sf_dir, "documents").select("doc_id", T.match_ranges(text, T.PROTECTED[family]).alias("r"))
+    size = F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["end_byte"] - x["start_byte"])
+    return found.where(F.size("r") > 0).select("doc_id", F.size("r").cast("long").alias("n"), size.alias("bytes"), F.get("r", F.lit(0))["start_byte"].alias("first_byte"))
+
+
+@query(_ranges_sql("https?://[^\\s)\\]}>,]+", "' é 😀 see https://h.example/p' || doc_id || ' or http://a.b, ok'"))
+def protected_ranges_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "url", " é 😀 see https://h.example/p", " or http://a.b, ok")
+
+
+@query(_ranges_sql("\\{\\{[^{}\\r\\n]+\\}\\}|\\$\\{[^{}\\r\\n]+\\}|%\\([^)\\r\\n]+\\)s", "' é {{a b' || doc_id || '}} ${x} %(y)s {} {{}}'"))
+def protected_ranges_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "template", " é {{a b", "}} ${x} %(y)s {} {{}}")
+
+
+@query(_ranges_sql("--[A-Za-z0-9][A-Za-z0-9-]*", "' use --flag-' || doc_id || ' and --X'"))
+def protected_ranges_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "flag", " use --flag-", " and --X")
+
+
+@query("""with t as (select doc_id, case doc_id % 4 when 0 then 'https://h.example/' || doc_id when 1 then 'see https://h.example/' || doc_id when 2 then '12 34' else 'snake_case_' || doc_id end as x from documents)
+  select doc_id, (regexp_matches(x, '\\p{L}') and not regexp_full_match(x, 'https?://[^\\s)\\]}>,]+') and not regexp_full_match(x, '[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+')) as kept from t""")
+def whole_protected_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment goes if one protected range covers all of it, or without a letter."""
+    x = F.expr("case doc_id % 4 when 0 then concat('https://h.example/', doc_id) when 1 then concat('see https://h.example/', doc_id) when 2 then '12 34' else concat('snake_case_', doc_id) end")
+    rows = table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).withColumn("r", T.protected_ranges("x"))
+    whole = F.exists("r", lambda r: (r["start_byte"] == 0) & (r["end_byte"] == F.octet_length("x")))
+    return rows.select("doc_id", (T.has_letter("x") & ~whole).alias("kept"))
+
+
+_CODE_SQL = f"""select doc_id, path, case
+  when regexp_matches(path, '(^|/)(node_modules|build|vendor)(/|$)') then 'mandatory_directory'
+  when regexp_matches(path, '/(go\\.sum|[^/]*\\.lock)$') then 'mandatory_file'
+  when regexp_matches(path, '(?i)/(\\.env[^/]*|secrets?[.-][^/]*)$') then 'credential_file'
+  when regexp_matches(path, '(^|/)\\.') then 'hidden_path'
+  when regexp_matches(path, '_pb2\\.py$|\\.generated\\.[^/]+$|\\.min\\.js$|\\.pb\\.go$') then 'generated_path'
+  when starts_with(path, 'drafts/') then 'config_exclude'
+  when lower(path) like '%.txt' then 'plain_text_unsupported'
+  when not regexp_matches(lower(path), '\\.(md|js|jsx|mjs|cjs|ts|mts|cts|tsx|py|pyi|java|go|rs)$') then 'unsupported_format'
+  when not regexp_matches(path, '\\.(md|js|jsx|mjs|cjs|ts|mts|cts|tsx|py|pyi|java|go|rs)$') then 'not_included' end as code from ({_PATHS_SQL})"""
+_ENTRIES_SQL = f"""select c.doc_id, path, code, case when code is null then 'eligible' else 'skipped' end as state, case when code in ('plain_text_unsupported', 'unsupported_format', 'not_included') or code is null then 'file' else 'unknown' end as path_type,
+  lower(regexp_extract(path, '\\.([^./]*)$', 1)) as ext, source, case when code is null then s.n end as eligible_segments from ({_CODE_SQL}) c join documents using (doc_id) left join (select doc_id, count(*) as n from ({_SEGMENTS_SQL}) group by 1) s using (doc_id)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of the documents as files, with segment counts of the eligible ones."""
+    docs = table(spark, sf_dir, "documents")
+    coded = _paths(spark, sf_dir).withColumn("code", policy.scan_code("path", exclude=["drafts/**"]))
+    counts = segments.lines(docs, "doc_id").where(T.has_letter("body")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    named = F.col("code").isNull() | F.col("code").isin("plain_text_unsupported", "unsupported_format", "not_included")
+    return coded.join(docs.select("doc_id", "source"), "doc_id").join(counts, "doc_id", "left").select(
+        "doc_id", "path", "code", "source", policy.state("code").alias("state"), F.when(named, "file").otherwise("unknown").alias("path_type"), F.ltrim(policy.extension("path"), F.lit(".")).alias("ext"), policy.file_format("path").alias("format"),
+        F.when(F.col("code").isNull(), F.col("n")).alias("eligible_segments"), F.lit(0).cast("long").alias("skipped_segments"), F.lit(0).cast("long").alias("suppressed_segments"),
+    )
+
+
+@query(_CODE_SQL)
+def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reason for which a path is passed over."""
+    return _paths(spark, sf_dir).withColumn("code", policy.scan_code("path", exclude=["drafts/**"]))
+
+
+@query(f"select doc_id, regexp_full_match(path, '([^/]+/)*[^/]*\\.(md|rs)') as taken, regexp_full_match(path, '(docs|lib)/.*') as deep, regexp_full_match(path, 'src/[^/]*/[^/]\\.[^/]*') as short from ({_PATHS_SQL})")
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    match = lambda g: policy.matches_any(F.col("path"), [g])
+    return _paths(spark, sf_dir).select("doc_id", match("**/*.{md,rs}").alias("taken"), match("{docs,lib}/**").alias("deep"), match("src/*/?.*").alias("short"))
+
+
+@query(f"select state, coalesce(code, 'unknown') as code, count(*) as paths from ({_ENTRIES_SQL}) where state <> 'eligible' group by 1, 2")
+def skipped_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir).where("state <> 'eligible'").groupBy("state", F.coalesce("code", F.lit("unknown")).alias("code")).agg(F.count("*").alias("paths"))
+
+
+@query(f"select case ext when 'md' then 'markdown' when 'rs' then 'rust' when 'tsx' then 'tsx' when 'java' then 'java' else ext end as format, count(*) as files, sum(coalesce(eligible_segments, 0))::bigint as eligible_segments from ({_ENTRIES_SQL}) where state = 'eligible' group by 1")
+def summary_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir).where("state = 'eligible'").groupBy("format").agg(F.count("*").alias("files"), F.sum(F.coalesce("eligible_segments", F.lit(0))).alias("eligible_segments"))
+
+
+@query(f"""with s as (select source, count(*) filter (state = 'eligible') as files_eligible, count(*) filter (path_type = 'file') as files_considered, count(*) filter (state = 'skipped') as paths_skipped, sum(coalesce(eligible_segments, 0))::bigint as eligible_segments,
+    count(*) filter (code in ('unsupported_format', 'plain_text_unsupported')) as unsupported from ({_ENTRIES_SQL}) group by 1)
+  select source, files_eligible, files_considered, paths_skipped, eligible_segments, files_eligible = 0 or (files_considered >= 10 and files_eligible / nullif(files_considered, 0) < 0.5) as narrow_coverage,
+    case when eligible_segments = 0 then 'no_eligible_text' else 'preview' end as status, case when eligible_segments > 0 then null when files_eligible > 0 then 'no_extractable_prose' when paths_skipped > 0 and unsupported = paths_skipped then 'no_supported_file_types' when paths_skipped > 0 then 'all_candidates_excluded' else 'empty_scope' end as reason from s""")
+def status_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rollups.summary(_entries(spark, sf_dir), ["source"])
+    return found.select("source", "files_eligible", "files_considered", "paths_skipped", "eligible_segments", "narrow_coverage", "status", "reason")
+
+
+@query(f"""with l as ({_LINES_SQL}) select doc_id, count(*) as extracted, count(*) filter (regexp_matches(body, '\\p{{L}}') and line % 7 <> 0) as eligible, count(*) filter (regexp_matches(body, '\\p{{L}}') and line % 7 = 0) as suppressed from l group by 1""")
+def coverage_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.lines(table(spark, sf_dir, "documents"), "doc_id")
+    letter, off = T.has_letter("body"), F.col("line") % 7 == 0
+    return rows.groupBy("doc_id").agg(F.count("*").alias("extracted"), F.count_if(letter & ~off).alias("eligible"), F.count_if(letter & off).alias("suppressed"))
+
+
+_KIND = "case when (line + doc_id) % 9 = 3 then 'disable' when (line + doc_id) % 9 = 6 then 'enable' when (line + doc_id) % 9 = 8 then 'next' end"
+_SUPPRESSED_SQL = f"""select *, coalesce(st = 'disable' or (kind = 'enable' and lag(st) over (partition by doc_id order by line) = 'disable') or lag(kind) over (partition by doc_id order by line) = 'next', false) as disabled from
+  (select *, last_value(case when kind in ('disable', 'enable') then kind end ignore nulls) over (partition by doc_id order by line rows between unbounded preceding and current row) as st from (select *, {_KIND} as kind from ({_LINES_SQL})))"""
+
+
+@query(f"select doc_id, line, disabled from (select doc_id, line, disabled from ({_SUPPRESSED_SQL}))")
+def suppression_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.suppressed(segments.lines(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.expr(_KIND)).select("doc_id", "line", "disabled")
+
+
+@query(f"""with m as (select *, lag(kind) over (partition by doc_id order by line) as b from (select *, {_KIND} as kind from ({_LINES_SQL})) where kind in ('disable', 'enable')),
+    f as (select doc_id, max(line) filter (kind = 'disable' and coalesce(b, 'enable') = 'enable') as line, arg_max(kind, line) as k from m group by 1)
+  select doc_id, line, 'nested_disable' as code from m where kind = 'disable' and b = 'disable' union all select doc_id, line, 'unmatched_enable' from m where kind = 'enable' and coalesce(b, 'enable') = 'enable' union all select doc_id, line, 'disable_to_eof' from f where k = 'disable'""")
+def suppression_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.suppressed(segments.lines(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.expr(_KIND))
+    return segments.directive_diagnostics(rows, "doc_id")
+
+
+@query(f"""select doc_id, island, disabled, min(line) as first, max(line) as last, count(*) as n from (select *, sum(ch) over (partition by doc_id order by line rows between unbounded preceding and current row)::bigint as island from
+  (select *, case when lag(disabled) over (partition by doc_id order by line) is not distinct from disabled then 0 else 1 end as ch from ({_SUPPRESSED_SQL}))) group by 1, 2, 3""")
+def island_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.suppressed(segments.lines(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.expr(_KIND))
+    return segments.islands(rows, "doc_id", "line", "disabled")
+
+
+@query(f"select doc_id, count(*) filter (in_fence) as protected from (select doc_id, fence or sum(fence::int) over (partition by doc_id order by line rows between unbounded preceding and current row) % 2 = 1 as in_fence from (select *, line % 5 = 2 as fence from ({_LINES_SQL}))) group by 1")
+def fence_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.fenced(segments.lines(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "line", F.col("line") % 5 == 2)
+    return rows.groupBy("doc_id").agg(F.count_if("in_fence").alias("protected"))
+
+
+_GREEDY_SQL = """with recursive s as ({segments}), g as (select doc_id, segment, length(body)::bigint as size, 0::bigint as grp, 1::bigint as n from s where segment = 1
+  union all select s.doc_id, s.segment, case when {over} then length(s.body) else g.size + length(s.body) end::bigint, case when {over} then g.grp + 1 else g.grp end, case when {over} then 1 else g.n + 1 end from g join s on s.doc_id = g.doc_id and s.segment = g.segment + 1)"""
+
+
+def _packed(spark: SparkSession, sf_dir: str, budget: int, most: int | None) -> DataFrame:
+    rows = segments.segments(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("segment", F.length("body").cast("long").alias("size")))).alias("items"))
+    grouped = rows.select("doc_id", F.explode(F.arrays_zip("items", T.greedy_groups("items", [(lambda x: x["size"], budget)], most).alias("grp"))).alias("x"))
+    return grouped.select("doc_id", F.col("x.grp").cast("long").alias("grp"), F.col("x.items.segment").alias("segment"), F.col("x.items.size").alias("size"))
+
+
+@query(_GREEDY_SQL.format(segments=_SEGMENTS_SQL, over="g.size + length(s.body) > 900") + " select doc_id, grp, count(*) as texts, min(segment) as first, max(size) as size from g group by 1, 2")
+def chunk_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's segments in chunks of bounded size, filled greedily in order."""
+    return _packed(spark, sf_dir, 900, None).groupBy("doc_id", "grp").agg(F.count("*").alias("texts"), F.min("segment").alias("first"), F.sum("size").alias("size"))
+
+
+@query(_GREEDY_SQL.format(segments=_SEGMENTS_SQL, over="(g.size + length(s.body) > 1200 or g.n >= 8)") + " select doc_id, grp as page, count(*) as records, min(segment) - 1 as cursor, case when max(segment) < any_value(m) then max(segment) end as next_cursor from g join (select doc_id, max(segment) as m from g group by 1) using (doc_id) group by 1, 2")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of at most 8 records and a bounded size, with cursors."""
+    pages = _packed(spark, sf_dir, 1200, 8).groupBy("doc_id", F.col("grp").alias("page")).agg(F.count("*").alias("records"), F.min("segment").alias("a"), F.max("segment").alias("b"))
+    most = F.max("b").over(Window.partitionBy("doc_id"))
+    return pages.select("doc_id", "page", "records", (F.col("a") - 1).alias("cursor"), F.when(F.col("b") < most, F.col("b")).alias("next_cursor"))
+
+
+_ITEMS_SQL = """select doc_id, case when doc_id % 11 = 0 then 'snapshot_mismatch' end as code, case when doc_id % 11 = 0 or doc_id % 13 = 0 then null else greatest(doc_id % 10, (doc_id * 7) % 10) / 10 end as probability from documents"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the greatest probability of their chunks: two chunks a file, some files without, some stale."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    chunks = docs.where("doc_id % 13 <> 0").select("doc_id", F.explode(F.array(F.expr("doc_id % 10 / 10D"), F.expr("(doc_id * 7) % 10 / 10D"))).alias("p"))
+    most = chunks.groupBy("doc_id").agg(F.max("p").alias("probability"))
+    code = F.expr("case when doc_id % 11 = 0 then 'snapshot_mismatch' end")
+    return docs.join(most, "doc_id", "left").select("doc_id", code.alias("code"), F.when(code.isNull(), F.col("probability")).alias("probability"))
+
+
+@query(f"select doc_id, code, probability::double as probability, case when code is not null then 'flagged' when probability is null then 'no_segments' when probability >= 0.2 then 'flagged' else 'clean' end as verdict from ({_ITEMS_SQL})")
+def screen_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).withColumn("verdict", rollups.verdict(F.col("code"), F.col("probability")))
+
+
+@query(f"""with i as (select quality::bigint + toxic as expected, code, probability::double as p, code is null and probability is null as none from ({_ITEMS_SQL}) join labels using (doc_id)), t as (select unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7])::double as threshold)
+  select threshold, round(sum(case when code is not null or coalesce(p >= threshold, false) then expected else 0 end) / sum(expected), 9)::double as gate_recall, round(count(*) filter (none or not (coalesce(p >= threshold, false) or code is not null)) / count(*), 9)::double as skip_rate from i, t group by 1""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = screen_verdict(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).cast("long").alias("expected")), "doc_id")
+    return rollups.threshold_sweep(items)
+
+
+_RESPONSES_SQL = "select doc_id, case when doc_id % 17 = 3 then segment + 1000 else segment end as segment from s where not (doc_id % 7 = 1 and segment = 2) union all select doc_id, segment from s where doc_id % 5 = 2 and segment = 1"
+
+
+@query(f"""with s as ({_SEGMENTS_SQL}), r as (select doc_id, segment, count(*) as r from ({_RESPONSES_SQL}) group by 1, 2), b as (select coalesce(s.doc_id, r.doc_id) as doc_id, s.segment as e, r.segment as x, r from s full join r on s.doc_id = r.doc_id and s.segment = r.segment)
+  select doc_id, case when max(coalesce(r, 0)) > 1 then 'duplicate_segment_response' when bool_or(e is null) then 'unknown_segment_response' when count(e) <> count(x) then 'incomplete_segment_responses' end as code, count(e) as expected, count(x) as received from b group by 1""")
+def response_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments.segments(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "segment")
+    given = s.where("not (doc_id % 7 = 1 and segment = 2)").select("doc_id", F.expr("case when doc_id % 17 = 3 then segment + 1000 else segment end").alias("segment")).unionByName(s.where("doc_id % 5 = 2 and segment = 1"))
+    return validation.reconciled(s, given, "doc_id", "segment")
+
+
+_PROPOSAL = """case (doc_id + segment) % 9 when 0 then original when 1 then concat(original, chr(7)) when 2 then concat(' ', original) when 3 then concat(original, 'x', chr(10), 'y') when 4 then concat(original, repeat('z', 200)) when 5 then concat(original, '*') else concat(original, 'q') end"""
+_ORIGINAL = "case when (doc_id + segment) % 4 = 1 then 'zzqqxx' else split_part(body, ' ', 1) end"
+_CODES_SQL = f"""with s as ({_SEGMENTS_SQL}), p as (select *, {_ORIGINAL} as original from s), q as (select *, {_PROPOSAL} as replacement from p where original <> '')
+  select doc_id, segment, case when original = replacement then 'unchanged_proposal' when contains(replacement, chr(7)) then 'unsafe_replacement' when starts_with(replacement, ' ') then 'whitespace_changed' when contains(replacement, chr(10)) then 'line_structure_changed'
+    when length(replacement) > 2 * length(original) + 64 or abs(length(replacement) - length(original)) > 128 then 'replacement_too_large' when replacement = original || '*' then 'unsafe_delimiter_change'
+    when instr(body, original) = 0 then 'original_not_found' when instr(substr(body, instr(body, original) + 1), original) > 0 then 'ambiguous_original'
+    when regexp_matches(original, '^[A-Za-z0-9_-]+\\.[A-Za-z0-9]{{1,8}}$') then 'protected_range' end as code from q"""
+
+
+def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.segments(table(spark, sf_dir, "documents"), "doc_id").withColumn("original", F.expr(_ORIGINAL)).where("original <> ''").withColumn("replacement", F.expr(_PROPOSAL.replace("chr(", "char(")))
+    return rows.withColumn("ranges", T.match_ranges("body", "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+\\.[A-Za-z0-9]{1,8}(?= )"))
+
+
+@query(_CODES_SQL.replace("'^[A-Za-z0-9_-]+\\.[A-Za-z0-9]{1,8}$') then", "'^[A-Za-z0-9_-]+\\.[A-Za-z0-9]{1,8}$') and instr(body, ' ') > 0 then"))
+def proposal_reject_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _proposals(spark, sf_dir)
+    return rows.select("doc_id", "segment", validation.proposal_code("body", "original", "replacement", "ranges", F.lit(0)).alias("code"))
+
+
+@query("""with e as (select doc_id, unnest([doc_id % 50, doc_id % 37 + 5, 60])::bigint as start_byte, unnest([doc_id % 50 + 9, doc_id % 37 + 8, 64])::bigint as end_byte from documents)
+  select doc_id, start_byte, end_byte, coalesce(start_byte < lag(end_byte) over (partition by doc_id order by start_byte, end_byte), false) as overlaps from e""")
+def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.expr(f"cast({a} as bigint)").alias("start_byte"), F.expr(f"cast({b} as bigint)").alias("end_byte")) for a, b in (("doc_id % 50", "doc_id % 50 + 9"), ("doc_id % 37 + 5", "doc_id % 37 + 8"), ("60", "64"))])
+    edits = table(spark, sf_dir, "documents").select("doc_id", F.explode(pairs).alias("e")).select("doc_id", "e.*")
+    return validation.overlapping(edits, "doc_id")
+
+
+@query("""select doc_id, sha256(encode('é😀 ab, cd ' || doc_id || ': ' || text)) as before, sha256(encode('é😀 AB!, cd ' || doc_id || ': [' || doc_id || ']' || text)) as after, strlen('é😀 AB!, cd ' || doc_id || ': [' || doc_id || ']' || text)::bigint as bytes from documents""")
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte edits spliced into binary content."""
+    rows = table(spark, sf_dir, "documents").withColumn("content", F.expr("cast(concat('é😀 ab, cd ', doc_id, ': ', text) as binary)"))
+    at = F.expr("cast(octet_length(concat('é😀 ab, cd ', doc_id, ': ')) as bigint)")
+    edit = lambda a, b, r: F.struct(a.cast("long").alias("start_byte"), b.cast("long").alias("end_byte"), r.alias("replacement"))
+    edits = F.array(edit(F.lit(7), F.lit(9), F.lit("AB!")), edit(at, at, F.expr("concat('[', doc_id, ']')")))
+    after = T.spliced("content", edits)
+    return rows.select("doc_id", F.sha2("content", 256).alias("before"), F.sha2(after, 256).alias("after"), F.octet_length(after).cast("long").alias("bytes"))
+
+
+_GOLD_SQL = "select source as path, 'w' || (doc_id % 9) as original, 'r' || quality as replacement from labels join documents using (doc_id)"
+_PREDICTED_SQL = "select source as path, 'w' || (doc_id % 8) as original, 'r' || toxic as replacement from labels join documents using (doc_id)"
+
+
+def _gold_and_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    made = lambda k, c: rows.select(F.col("source").alias("path"), F.expr(f"concat('w', doc_id % {k})").alias("original"), F.expr(f"concat('r', {c})").alias("replacement"))
+    return made(9, "quality"), made(8, "toxic")
+
+
+_MATCHED_SQL = f"""with g as (select *, count(*) as gold from ({_GOLD_SQL}) group by all), p as (select *, count(*) as predicted from ({_PREDICTED_SQL}) group by all)
+  select path, original, replacement, coalesce(gold, 0) as g, coalesce(predicted, 0) as p, least(coalesce(gold, 0), coalesce(predicted, 0)) as tp from g full join p using (path, original, replacement)"""
+
+
+@query(f"select path, sum(tp)::bigint as tp, sum(p - tp)::bigint as fp, sum(g - tp)::bigint as fn, round(coalesce(sum(tp) / nullif(sum(p), 0), 1), 9)::double as precision, round(coalesce(sum(tp) / nullif(sum(g), 0), 1), 9)::double as recall from ({_MATCHED_SQL}) group by 1")
+def score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True and false positives, false negatives, precision and recall by file."""
+    return rollups.scores(rollups.matched(*_gold_and_predictions(spark, sf_dir), ["path", "original", "replacement"]), ["path"])
+
+
+@query(f"select path, original, replacement, p - tp as n from ({_MATCHED_SQL}) where p > tp")
+def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions left over when gold corrections are taken away one by one."""
+    gold, predicted = _gold_and_predictions(spark, sf_dir)
+    return predicted.exceptAll(gold).groupBy("path", "original", "replacement").agg(F.count("*").alias("n"))
+
+
+@query(f"select coalesce(code, 'accepted') as category, count(*) as n from ({_CODES_SQL.replace(chr(39) + '^[A-Za-z0-9_-]+' + chr(92) + '.[A-Za-z0-9]{1,8}$' + chr(39) + ') then', chr(39) + '^[A-Za-z0-9_-]+' + chr(92) + '.[A-Za-z0-9]{1,8}$' + chr(39) + ') and instr(body, ' + chr(39) + ' ' + chr(39) + ') > 0 then')}) group by 1")
+def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proposal_reject_codes(spark, sf_dir).groupBy(F.coalesce("code", F.lit("accepted")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("select page_id, len(regexp_extract_all(html, '<!--[^>]*-->'))::bigint as comments, list_bool_or(list_transform(regexp_extract_all(html, '<!--[^>]*-->') || [''], lambda c: regexp_matches(c, '(?i)@generated|do not edit'))) as generated from pages")
+def page_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit("<!--[^>]*-->"), F.lit(0))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("comments"), F.exists(found, lambda c: c.rlike("(?i)@generated|do not edit")).alias("generated"))
+
+
+@query("select page_id, len(regexp_extract_all(html, '&(?:#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);'))::bigint as entities, regexp_matches(html, '&(?:#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);') as protected from pages")
+def entity_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity = "&(?:#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);"
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(entity)).cast("long").alias("entities"), F.col("html").rlike(entity).alias("protected"))
+
+
+@query("select doc_id, lang, coalesce(d.dialect, 'en-US') as dialect from documents left join (values ('en', 'en-GB'), ('de', 'de-DE')) d(lang, dialect) using (lang)")
+def dialect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.create_map(*[F.lit(x) for x in ("en", "en-GB", "de", "de-DE")])
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce(F.try_element_at(known, "lang"), F.lit("en-US")).alias("dialect"))
+
+
+_EDGES = "select n_nationkey as a, (n_nationkey * 2 + n_regionkey) % 25 as b from nation"
+
+
+@query(f"with recursive e as ({_EDGES}), r as (select a as root, a as node from e union select r.root, e.b from r join e on e.a = r.node) select root::bigint as root, count(*) as reached from r group by 1")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes reached from each node along dependencies: paths double until nothing new is reached."""
+    nodes = table(spark, sf_dir, "nation")
+    reached = nodes.select(F.col("n_nationkey").cast("long").alias("root"), F.expr("cast((n_nationkey * 2 + n_regionkey) % 25 as bigint)").alias("node")).unionByName(nodes.select(F.col("n_nationkey").cast("long").alias("root"), F.col("n_nationkey").cast("long").alias("node"))).distinct()
+    size = 0
+    while (now := reached.count()) > size:
+        size = now
+        far = reached.select(F.col("root").alias("node"), F.col("node").alias("next"))
+        reached = reached.join(far, "node").select("root", F.col("next").alias("node")).distinct().checkpoint() if spark.sparkContext.getCheckpointDir() else reached.join(far, "node").select("root", F.col("next").alias("node")).distinct()
+    return reached.groupBy("root").agg(F.count("*").alias("reached"))
+
+
+@query("select time_bucket(interval 1 hour, ts) as hour, event_type, count(*) as n, count(distinct user_id) as users from events group by 1, 2")
+def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of events; the batch form of the streaming rollup."""
+    w = F.window("ts", "1 hour")
+    return table(spark, sf_dir, "events").groupBy(w, "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).select(F.col("window.start").alias("hour"), "event_type", "n", "users")
