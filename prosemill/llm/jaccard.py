@@ -12,10 +12,11 @@ A document is the set of its distinct word shingles. Two documents link when
    prefix longer by k needs k more common shingles. It takes the number with
    the least estimated cost, postings read plus candidates verified, from the
    frequencies in its prefix. A pair must share the lesser of the two numbers.
-4. Links join components. In a posting list, all entries are first verified
-   against a few centres that hashes pick; then lists are reduced to entries of
-   different components, and all their pairs that share enough are verified.
-   Hot groups merge in linear steps, and no link between components is missed.
+4. Classes that posting lists connect form canopies; a pair that links is in
+   one. A canopy is dealt into blocks, and each two blocks meet in one group,
+   where pairs that share enough prefix shingles are verified by products of
+   membership matrices. A group gives a spanning forest of its links, so a hot
+   group makes rows by its blocks, not by its pairs, and no link is missed.
 """
 
 from __future__ import annotations
@@ -36,10 +37,8 @@ MOST_MATCHES = 6
 VERIFY_COST = 4.0
 #: Shingles that a task packs at once, and that a bucket holds about.
 PACKED, BUCKET = 2_000_000, 3_000_000
-#: Pair rows for each posting up to which all pairs between components are listed at once.
-PAIRS_PER_POSTING = 1
-#: Centres of a posting list in one turn, and turns at most before all pairs are listed.
-CENTRES, STAR_TURNS = 4, 3
+#: Classes of a canopy in one block, and shingles that one product of matrices covers.
+BLOCK, COLUMNS = 256, 4096
 WORDS_KEPT = 1_000_000
 
 
@@ -218,33 +217,74 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("id", "n", "hashes", "freqs").mapInArrow(run, "hash long, id long, n long, matches long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, with intersection and union sizes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, ha, hb = (batch.column(k) for k in range(6))
-            both = np.zeros(batch.num_rows, dtype=np.int64)
-            last, mine = None, None
-            for i, (left, right) in enumerate(zip(ha, hb, strict=True)):
-                if (key := a[i].as_py()) != last:
-                    last, mine = key, np.sort(np.frombuffer(left.as_py(), "<u8"))
-                other = np.frombuffer(right.as_py(), "<u8")
-                at = np.searchsorted(mine, other)
-                at[at == len(mine)] = 0
-                both[i] = np.count_nonzero(mine[at] == other) if len(mine) else 0
-            union = na.to_numpy() + nb.to_numpy() - both
-            ok = 100 * both >= percent * union
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(both), pa.array(union)], names=["a", "b", "both", "either"]).filter(pa.array(ok))
-
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ha", "hb")
-    return rows.mapInArrow(run, "a long, b long, both long, either long")
-
-
-def _close(n: str, m: str, percent: int):
-    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+def overlap_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many items each two of the sorted sets share, by products of membership matrices over a range of items at a time."""
+    items = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, column, counts = np.unique(items, return_inverse=True, return_counts=True)
+    several = counts[column] > 1
+    owner, column = owner[several], (np.cumsum(counts > 1) - 1)[column[several]]
+    out = np.zeros((len(rows), len(rows)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        at, to = np.searchsorted(column, (lo, lo + COLUMNS))
+        member = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+        member[owner[at:to], column[at:to] - lo] = 1
+        out += member @ member.T
+    return out.astype(np.int64)
+
+
+def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links (rows of two places below n)."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, j in pairs.tolist():
+        if (x := root(i)) != (y := root(j)):
+            parent[y] = x
+            kept.append((i, j))
+    return kept
+
+
+def block_links(sets: DataFrame, canopies: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all linked classes of a canopy.
+
+    A canopy's classes are dealt into blocks, and each two blocks meet in one
+    group. Pairs that share too few prefix shingles are left out before their
+    whole sets are compared. A group gives a spanning forest of its links.
+    """
+    sizes = canopies.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
+    dealt = canopies.join(sizes.select("label", "blocks"), "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.select("id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = met.select("id", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(sets, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, block = (table.column(c).to_numpy() for c in ("id", "n", "block"))
+        hashes = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
+        freqs = [np.frombuffer(f, "<u2") for f in table.column("freqs").to_pylist()]
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        chosen = [prefix_choice(int(k), f, percent) for k, f in zip(n, freqs, strict=True)]
+        need = np.array([c[0] for c in chosen])
+        common = overlap_counts([h[: c[1]] for h, c in zip(hashes, chosen, strict=True)])
+        able = np.triu(common >= np.minimum(need[:, None], need[None, :]), 1)
+        able &= (n[:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[:, None] * percent)
+        if x != y:
+            able &= block[:, None] != block[None, :]
+        links = np.zeros((0, 2), dtype=np.int64)
+        if able.any():
+            both = overlap_counts(hashes)
+            links = np.argwhere(able & (100 * both >= percent * (n[:, None] + n[None, :] - both)))
+        kept = forest(links, len(ids))
+        return pa.table({"a": pa.array([ids[i] for i, _ in kept], pa.int64()), "b": pa.array([ids[j] for _, j in kept], pa.int64())})
+
+    return cells.groupBy("label", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -273,47 +313,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def link_components(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     """(id, label) of every class in ``sets``: label is the least id reachable."""
-    labels = stored(sets.select("id", F.col("id").alias("label")), "jaccard-labels")
-    budget = PAIRS_PER_POSTING * entries.count() + 10_000
-    here = entries.withColumn("label", F.col("id"))
-    for turn in range(STAR_TURNS):
-        labels = merged_labels(labels, verified(star_pairs(here, turn, percent), sets, percent))
-        by_label = entries.join(labels, "id")
-        spread = by_label.groupBy("hash", "label").agg(F.count("*").alias("k")).groupBy("hash").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels")).where("labels > 1")
-        here = stored(by_label.join(spread.select("hash", ((F.col("m") * F.col("m") - F.col("same")) / F.col("m")).alias("others")), "hash"), "jaccard-open")
-        # each entry of a list adds an equal part of the list's pairs between components
-        left = here.agg(F.sum("others")).first()[0] or 0
-        if not left:
-            return labels
-        if left / 2 <= budget:
-            break
-    return merged_labels(labels, verified(open_pairs(here, percent), sets, percent))
-
-
-def star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each entry of a list with the list's centres, which hashes pick, where labels differ."""
-    picked = [F.min(F.struct(F.xxhash64("hash", "id", F.lit(turn), F.lit(i)).alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))) for i in range(CENTRES)]
-    centres = lists.groupBy("hash").agg(F.array_distinct(F.array(*picked)).alias("c"), F.count("*").alias("m")).where("m > 1").select("hash", F.explode("c").alias("c")).select("hash", "c.a", "c.na", "c.la").distinct()
-    others = lists.select("hash", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    met = centres.join(others, "hash").where("a <> b and la <> lb").where(_close("na", "nb", percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of different labels that share as many prefix shingles as the one needs that needs fewer."""
-    x, y = (lists.select("hash", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("matches").alias(f"m{i}"), F.col("label").alias(f"l{i}")) for i in "ab")
-    met = x.join(y, "hash").where("a < b and la <> lb").where(_close("na", "nb", percent))
-    return met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first(F.least("ma", "mb")).alias("need")).where("common >= need").select("a", "b")
-
-
-def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    found = stored(links.select("a", "b"), "jaccard-links")
-    if found.limit(1).count() == 0:
-        return labels
-    la, lb = (labels.select(F.col("id").alias(i), F.col("label").alias(f"l{i}")) for i in "ab")
-    joined = found.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    new = components(labels.select(F.col("label").alias("id")).distinct(), joined, "jaccard-components")
-    return stored(labels.join(new.select(F.col("id").alias("label"), F.col("label").alias("new")), "label").select("id", F.col("new").alias("label")), "jaccard-labels")
+    nodes = sets.select("id")
+    lists = entries.groupBy("hash").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
+    canopies = stored(components(nodes, entries.join(lists, "hash").select("a", F.col("id").alias("b")), "jaccard-canopies"), "jaccard-canopies")
+    links = stored(block_links(sets, canopies, percent), "jaccard-links")
+    return components(nodes, links, "jaccard-components")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
