@@ -44,15 +44,14 @@ class Hashes:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
-    def grams(self, n: int) -> np.ndarray:
-        """Hashes of all substrings of n bytes."""
-        m = len(self.sums) - n
-        return mix64((self.sums[n:] - self.sums[:m]) * self.down[:m] + np.uint64(n))
+    def raw_grams(self, n: int) -> np.ndarray:
+        """Upper halves of plain polynomial hashes of all substrings of n bytes: an order by content."""
+        m = max(0, len(self.sums) - n)
+        return ((self.sums[n:] - self.sums[:m]) * self.down[:m] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 
 
-def pick(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` hashes, the place of the least, the rightmost of equal ones. The order is that of the upper halves."""
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
+def pick(low: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` values, the place of the least, the rightmost of equal ones."""
     at = np.arange(len(low), dtype=np.int32)
     span = 1
     while span < width:
@@ -64,14 +63,51 @@ def pick(hashes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first window, windows, hash) of each picked substring; windows that pick one place follow each other."""
-    if len(data) < window:
+#: Bytes that one step hashes; the arrays of a step take some forty times as much.
+STEP_BYTES = 1 << 19
+
+
+def anchors(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, place, first window, windows, hash, block hash) of each picked substring of each text.
+
+    The windows that pick one place follow each other; together they are its
+    block, whose hash tells whether two blocks are equal. Long texts are cut
+    into pieces that overlap by a window, so a block may come in two parts.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    pieces: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(0, len(text) - window + 1), STEP_BYTES):
+            piece = text[at : at + STEP_BYTES + window - 1]
+            if pieces and size + len(piece) > STEP_BYTES:
+                found.append(_step(pieces, window, gram))
+                pieces, size = [], 0
+            pieces.append((i, at, piece))
+            size += len(piece)
+    if pieces:
+        found.append(_step(pieces, window, gram))
+    if not found:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(np.uint64)
-    grams = Hashes(data).grams(gram)
-    at = pick(grams, window - gram + 1)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    count = np.diff(np.concatenate((first, [len(at)])))
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _step(pieces: list[tuple[int, int, bytes]], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(b"".join(p for _, _, p in pieces), dtype=np.uint8)
+    lengths = np.array([len(p) for _, _, p in pieces])
+    starts = np.cumsum(lengths) - lengths
+    hashes = Hashes(data)
+    low = hashes.raw_grams(gram)
+    at = pick(low, window - gram + 1)
+    inside = np.ones(len(at), dtype=bool)
+    for s, n in zip(starts, lengths, strict=True):  # windows that reach into the next piece
+        inside[s + n - window + 1 : s + n] = False
+    fresh = np.concatenate(([True], (at[1:] != at[:-1]) | ~inside[:-1])) & inside
+    first = np.flatnonzero(fresh)
+    stop = np.flatnonzero(inside & np.concatenate(((at[1:] != at[:-1]) | ~inside[1:], [True]))) + 1
     place = at[first].astype(np.int64)
-    return place, first, count, grams[place]
+    piece = np.searchsorted(starts, first, side="right") - 1
+    base = np.array([a for _, a, _ in pieces])[piece] - starts[piece]
+    owner = np.array([i for i, _, _ in pieces])[piece]
+    return owner, place + base, first + base, stop - first, hashes.of(place, place + gram), hashes.of(first, stop + window - 1)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary_lists, components, map_texts, mix64, sliced, stored
+from .common import components, map_texts, mix64, stored
+from .packed import BUCKET, packed_sets, shared_hashes
 
 MOST_MATCHES = 6
 #: Cost of verifying a pair against that of reading a posting.
 VERIFY_COST = 4.0
-#: Shingles that a task packs at once, and that a bucket holds about.
-PACKED, BUCKET = 2_000_000, 3_000_000
 #: Classes of a canopy in one block, and shingles that one product of matrices covers.
 BLOCK, COLUMNS = 256, 4096
 WORDS_KEPT = 1_000_000
@@ -81,6 +81,11 @@ def set_key(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def _hasher(width: int):
+    shingler = Shingler(width)
+    return lambda texts: [(set_key(s), s) for s in map(shingler.hashes, texts)]
+
+
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(doc_id, n_shingles, set_key), a row for each row of docs; key is null for empty sets."""
 
@@ -91,100 +96,6 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFra
     return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), step, "doc_id long, n_shingles long, set_key binary")
 
 
-def packed_shingles(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
-    """(bucket, keys, sizes, lengths, hashes): the shingles of many texts, dealt by hash. sizes are of whole sets, lengths of the bucket's parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sets = Shingler(width), {}
-        count = 0
-
-        def pack() -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(sets), dtype="S16")
-            sizes = np.array([len(s) for s in sets.values()], dtype="<u4")
-            hashes = np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(sets), dtype=np.int64), sizes)
-            bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            hashes, cell = hashes[order], bucket[order] * len(sets) + owner[order]
-            starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            cells = cell[starts]
-            lengths = np.diff(np.concatenate((starts, [len(cell)]))).astype("<u4")
-            which, first = np.unique(cells // len(sets), return_index=True)
-            ends = np.concatenate((first[1:], [len(cells)]))
-            owners = cells % len(sets)
-            token_ends = np.cumsum(lengths)[ends - 1]
-            return pa.RecordBatch.from_arrays([
-                pa.array(which, pa.int64()), binary_lists(keys[owners], ends, 16), binary_lists(sizes[owners], ends, 4), binary_lists(lengths, ends, 4), binary_lists(hashes, token_ends, 8),
-            ], names=["bucket", "keys", "sizes", "lengths", "hashes"])
-
-        for batch in batches:
-            for part in sliced(batch, 0):
-                for x in part.column(0).to_pylist():
-                    s = shingler.hashes(x)
-                    if len(s) and (key := set_key(s)) not in sets:
-                        sets[key] = s
-                        count += len(s)
-                if count >= PACKED:
-                    yield pack()
-                    sets, count = {}, 0
-        if sets:
-            yield pack()
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket long, keys binary, sizes binary, lengths binary, hashes binary")
-
-
-def _joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=dtype)
-
-
-def shared_shingles(packed: DataFrame, groups: int, percent: int) -> DataFrame:
-    """(set_key, n, hashes, freqs) of the classes of whose shingles at least ``percent`` are in another class; only shared shingles are listed, rarest first."""
-
-    def within_bucket(table: pa.Table) -> pa.Table:
-        keys, sizes, lengths, hashes = (_joined(table, c, d) for c, d in (("keys", "S16"), ("sizes", "<u4"), ("lengths", "<u4"), ("hashes", "<u8")))
-        _, first = np.unique(keys, return_index=True)
-        kept = np.zeros(len(keys), dtype=bool)
-        kept[first] = True  # copies of a set that other tasks packed too count once
-        hashes = hashes[np.repeat(kept, lengths)]
-        keys, sizes, lengths = keys[kept], sizes[kept], lengths[kept]
-        order = np.argsort(hashes, kind="stable")
-        by = hashes[order]
-        starts = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1]))) if len(by) else np.zeros(0, np.int64)
-        counts = np.diff(np.concatenate((starts, [len(by)])))
-        freq = np.empty(len(by), dtype=np.int64)
-        freq[order] = np.repeat(counts, counts)
-        shared = freq > 1
-        owner = np.repeat(np.arange(len(keys)), lengths)[shared]
-        hashes, freq = hashes[shared], np.minimum(freq[shared], 65535).astype("<u2")
-        left = np.bincount(owner, minlength=len(keys))
-        group = keys.view("<u4")[::4].astype(np.int64) % groups
-        has = np.flatnonzero(left)
-        has = has[np.argsort(group[has], kind="stable")]
-        starts_of = np.concatenate(([0], np.cumsum(left)))[:-1]
-        take = np.repeat(starts_of[has] - np.concatenate(([0], np.cumsum(left[has])))[:-1], left[has]) + np.arange(int(left[has].sum()))
-        which, at = np.unique(group[has], return_index=True)
-        to = np.concatenate((at[1:], [len(has)]))[: len(which)]
-        token_ends = np.cumsum(left[has])[to - 1] if len(has) else np.zeros(0, np.int64)
-        return pa.Table.from_arrays([
-            pa.array(which, pa.int64()), binary_lists(keys[has], to, 16), binary_lists(sizes[has], to, 4), binary_lists(left[has].astype("<u4"), to, 4), binary_lists(hashes[take], token_ends, 8), binary_lists(freq[take], token_ends, 2),
-        ], names=["grp", "keys", "sizes", "lengths", "hashes", "freqs"])
-
-    def within_group(table: pa.Table) -> pa.Table:
-        keys, sizes, lengths, hashes, freqs = (_joined(table, c, d) for c, d in (("keys", "S16"), ("sizes", "<u4"), ("lengths", "<u4"), ("hashes", "<u8"), ("freqs", "<u2")))
-        names, first, owner = np.unique(keys, return_index=True, return_inverse=True)
-        n = sizes[first].astype(np.int64)
-        owner = np.repeat(owner, lengths)
-        able = np.bincount(owner, minlength=len(names)) * 100 >= percent * n
-        mine = able[owner]
-        owner, hashes, freqs = owner[mine], hashes[mine], freqs[mine]
-        order = np.lexsort((hashes, freqs, owner))
-        ends = np.cumsum(np.bincount(owner, minlength=len(names)))[able]
-        return pa.Table.from_arrays([binary_lists(keys[first][able], np.arange(1, int(able.sum()) + 1), 16), pa.array(n[able]), binary_lists(hashes[order], ends, 8), binary_lists(freqs[order], ends, 2)], names=["set_key", "n", "hashes", "freqs"])
-
-    by_bucket = packed.groupBy("bucket").applyInArrow(within_bucket, "grp long, keys binary, sizes binary, lengths binary, hashes binary, freqs binary")
-    return by_bucket.groupBy("grp").applyInArrow(within_group, "set_key binary, n long, hashes binary, freqs binary")
-
-
 def prefix_choice(n: int, freqs: np.ndarray, percent: int) -> tuple[int, int]:
     """(matches needed, shared shingles in the prefix) of least estimated cost. freqs: of the shared shingles, rarest first; the others precede them."""
     alone = n - len(freqs)
@@ -303,7 +214,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = stored(members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")).where("id is not null"), "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(total / BUCKET))
-    shared = shared_shingles(packed_shingles(docs, text, width, parts), parts, percent)
+    shared = shared_hashes(packed_sets(docs, text, partial(_hasher, width), parts), parts, percent)
     sets = stored(shared.join(classes.select("set_key", "id"), "set_key").select("id", "n", "hashes", "freqs"), "jaccard-shared")
     entries = stored(postings(sets, percent), "jaccard-postings")
     labels = link_components(sets, entries, percent)

@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, piece, quality, secrets, sharding, urlfilter
+from . import chat, decontam, jaccard, langid, piece, quality, repeats, secrets, sharding, urlfilter
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(secrets.listed("spans", True), 256).alias("base_sha256"), secrets.listed("spans", False).alias("spans"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = piece.encode_decode(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -79,6 +83,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op8_secret_scans": op8_secret_scans,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
