@@ -29,12 +29,14 @@ from .common import map_texts, stored
 
 ITEMS_AT_ONCE = 20_000
 WORDS_AT_ONCE = 400_000
-RANK, OVERSAMPLE = 96, 16
+RANK, OVERSAMPLE = 64, 16
 PIECE = 32
 #: A word in more than this share of documents has weight only for items with few rarer words.
-COMMON, ENOUGH = 0.1, 4
+COMMON, ENOUGH = 0.02, 4
 #: Share of an item's weighted words that a window must hold to be compared.
 LEAST_HITS = 0.3
+#: Share of an item's length that a window's vector must reach in the item's direction.
+LEAST_REACH = 0.4
 
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -135,15 +137,6 @@ def term_weights(items: Items, docs_with: np.ndarray, total: int) -> np.ndarray:
     return weights.astype(np.float32)
 
 
-def summed_rows(cells: np.ndarray, terms: np.ndarray, weights: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, hits, vector) of each distinct cell: the sum of its terms' weighted rows. cells need not be sorted."""
-    order = np.argsort(cells, kind="stable")
-    cells, terms = cells[order], terms[order]
-    starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-    rows = matrix[terms] * weights[terms][:, None]
-    return cells[starts], np.diff(np.concatenate((starts, [len(cells)]))), np.add.reduceat(rows, starts, axis=0)
-
-
 def gram_times(hits: DataFrame, items: Items, weights: np.ndarray, block: np.ndarray) -> np.ndarray:
     """A'A times ``block``, where A has a unit row for each passage. Tasks send the rows of terms they met; sums are of the block's size."""
     spark = hits.sparkSession
@@ -253,62 +246,121 @@ def find_leaks(
     return best.select("doc_id", "item_id", "cosine", "cover", "answer_found")
 
 
+class Matcher:
+    """Compares windows of documents with items, by cosine and then by words."""
+
+    def __init__(self, ids: list[int], terms: list[np.ndarray], answers: list[np.ndarray], weights: np.ndarray, basis: np.ndarray, least_cosine: float, least_cover: float, answer_cover: float):
+        self.ids, self.terms, self.answers, self.weights = ids, terms, answers, weights
+        self.least_cosine, self.least_cover, self.answer_cover = least_cosine, least_cover, answer_cover
+        self.rows = basis * weights[:, None]
+        self.lengths = np.array([len(t) for t in terms])
+        self.member = np.zeros((len(terms), len(weights)), dtype=bool)
+        for i, t in enumerate(terms):
+            self.member[i, t[weights[t] > 0]] = True
+        self.least = np.maximum(1, np.ceil(LEAST_HITS * self.member.sum(axis=1))).astype(np.int64)
+        vectors = np.stack([self.rows[t].sum(axis=0) for t in terms])
+        self.sizes = np.linalg.norm(vectors, axis=1).astype(np.float32)
+        self.vectors = (vectors / np.maximum(self.sizes, 1e-12)[:, None]).astype(np.float32)
+        self.steps = np.maximum(4, 2 ** np.ceil(np.log2(self.lengths)).astype(np.int64)) // 4
+        self.masks: dict[int, dict[int, int]] = {}
+
+    def candidates(self, step: int, row: np.ndarray, place: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, first place, item, cosine) of windows and items of one step width that are alike and share enough weighted words.
+
+        A window has five steps, an item four at most: some window holds all of it.
+        """
+        mine = np.flatnonzero(self.steps == step)
+        least = int(self.least[mine].min())
+        cells = row << 32 | place // step + 4
+        starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        names, sizes = cells[starts], np.diff(np.concatenate((starts, [len(cells)])))
+        windows = np.unique(np.concatenate([names - k for k in range(5)]))
+        found = np.searchsorted(names, windows[:, None] + np.arange(5))
+        there = names[np.minimum(found, len(names) - 1)] == windows[:, None] + np.arange(5)
+        found = np.where(there, found, len(names))
+        dense = np.append(sizes, 0)[found].sum(axis=1) >= least
+        windows, found = windows[dense], found[dense]
+        if not len(windows):
+            return
+        sums = np.zeros((len(names) + 1, self.rows.shape[1]), dtype=np.float32)
+        for j in range(int(sizes.max())):  # a cell has a step's words at most
+            longer = np.flatnonzero(sizes > j)
+            sums[longer] += self.rows[term[starts[longer] + j]]
+        for a in range(0, len(windows), 8192):
+            cell = found[a : a + 8192]
+            window = sums[cell[:, 0]]
+            for k in range(1, 5):
+                window += sums[cell[:, k]]
+            cosines = window @ self.vectors[mine].T
+            near = cosines >= self.least_cosine * np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
+            # a window that holds an item reaches as far as it in the item's direction, whatever else it holds
+            near &= cosines >= LEAST_REACH * self.sizes[mine]
+            i, k = np.nonzero(near)
+            if not len(i):
+                continue
+            # distinct weighted words that window and item share
+            item = mine[k]
+            lengths = np.append(sizes, 0)[cell[i]]
+            n = lengths.sum(axis=1)
+            first = np.where(lengths > 0, np.append(starts, 0)[cell[i]], len(cells)).min(axis=1)
+            ends = np.cumsum(n)
+            inside = np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]))
+            pair = np.repeat(np.arange(len(i)), n)
+            shared = self.member[item[pair], term[inside]]
+            once = np.unique(pair[shared] * self.member.shape[1] + term[inside][shared]) // self.member.shape[1]
+            ok = np.bincount(once, minlength=len(i)) >= self.least[item]
+            name = windows[a : a + 8192][i[ok]]
+            cosine = cosines[i[ok], k[ok]] / np.linalg.norm(window[i[ok]], axis=1)
+            yield name >> 32, ((name & 0xFFFFFFFF) - 4) * step, item[ok], cosine
+
+    def item_masks(self, item: int) -> dict[int, int]:
+        if item not in self.masks:
+            own: dict[int, int] = {}
+            for j, t in enumerate(self.terms[item].tolist()):
+                own[t] = own.get(t, 0) | 1 << j
+            self.masks[item] = own
+        return self.masks[item]
+
+    def leaks(self, n_docs: int, row: np.ndarray, place: np.ndarray, term: np.ndarray) -> dict[tuple[int, int], list]:
+        """{(row, item): [cosine, cover, answer found]} of a batch of hits."""
+        bounds = np.searchsorted(row, np.arange(n_docs + 1))
+        kept = np.flatnonzero(self.weights[term] > 0)
+        best: dict[tuple[int, int], list] = {}
+        if not len(kept):
+            return best
+        for step in np.unique(self.steps).tolist():
+            for rows, firsts, items, cosines in self.candidates(step, row[kept], place[kept], term[kept]):
+                for r, first, item, cosine in zip(rows.tolist(), firsts.tolist(), items.tolist(), cosines.tolist(), strict=True):
+                    now = best.get((r, item))
+                    if now and now[1] == 1 and now[2]:
+                        now[0] = max(now[0], cosine)
+                        continue
+                    lo, hi = np.searchsorted(place[bounds[r] : bounds[r + 1]], (first - step, first + 6 * step)) + bounds[r]
+                    length = int(self.lengths[item])
+                    cover = common_subsequence(self.item_masks(item), length, term[lo:hi].tolist()) / length
+                    if cover < self.answer_cover:
+                        continue
+                    answered = contains_run(place[lo:hi], term[lo:hi], self.answers[item])
+                    if cover >= self.least_cover or answered:
+                        now = best.setdefault((r, item), [0.0, 0.0, False])
+                        now[:] = max(now[0], cosine), max(now[1], cover), now[2] or answered
+        return best
+
+
 def matches(hits: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, least_cosine: float, least_cover: float, answer_cover: float) -> DataFrame:
     held = hits.sparkSession.sparkContext.broadcast((items.ids, items.terms, items.answers, weights, basis))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms_of, answers, w, q = held.value
-        lengths = np.array([len(t) for t in terms_of])
-        held_hits = np.array([np.count_nonzero(w[t] > 0) for t in terms_of])
-        vectors = np.stack([(q[t] * w[t][:, None]).sum(axis=0) for t in terms_of])
-        sizes = np.linalg.norm(vectors, axis=1)
-        vectors /= np.maximum(sizes, 1e-12)[:, None]
-        steps = np.maximum(4, 2 ** np.ceil(np.log2(lengths)).astype(np.int64)) // 4
-        masks: dict[int, dict[int, int]] = {}
+        matcher = Matcher(*held.value, least_cosine, least_cover, answer_cover)
         for batch in batches:
-            doc_ids, row, place, term = _hits(batch)
-            bounds = np.searchsorted(row, np.arange(len(doc_ids) + 1))
-            kept = np.flatnonzero(w[term] > 0)
-            best: dict[tuple[int, int], list] = {}
-            for step in np.unique(steps):
-                mine = np.flatnonzero(steps == step)
-                least = max(1, int(np.floor(LEAST_HITS * held_hits[mine].min())))
-                # a window has five steps, an item four at most: some window holds all of it
-                at = place[kept] // step + 4
-                cells = np.concatenate([row[kept] << 32 | at - k for k in range(5)])
-                cell, inverse, count = np.unique(cells, return_inverse=True, return_counts=True)
-                dense = (count >= least)[inverse]
-                if not dense.any():
-                    continue
-                which, both = cells[dense], np.tile(term[kept], 5)[dense]
-                order = np.argsort(which, kind="stable")
-                which, both = which[order], both[order]
-                starts = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
-                for a in range(0, len(starts), 2048):
-                    lo, hi = starts[a], starts[a + 2048] if a + 2048 < len(starts) else len(which)
-                    names, _, window = summed_rows(which[lo:hi], both[lo:hi], w, q)
-                    window /= np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
-                    cosines = window @ vectors[mine].T
-                    for i, k in zip(*np.nonzero(cosines >= least_cosine), strict=True):
-                        item, r, first = int(mine[k]), int(names[i] >> 32), (int(names[i] & 0xFFFFFFFF) - 4) * int(step)
-                        lo_, hi_ = np.searchsorted(place[bounds[r] : bounds[r + 1]], (first - step, first + 6 * step)) + bounds[r]
-                        if item not in masks:
-                            own: dict[int, int] = {}
-                            for j, t in enumerate(terms_of[item].tolist()):
-                                own[t] = own.get(t, 0) | 1 << j
-                            masks[item] = own
-                        cover = common_subsequence(masks[item], int(lengths[item]), term[lo_:hi_].tolist()) / lengths[item]
-                        if cover < answer_cover:
-                            continue
-                        answered = contains_run(place[lo_:hi_], term[lo_:hi_], answers[item])
-                        if cover >= least_cover or answered:
-                            now = best.setdefault((r, item), [0.0, 0.0, False])
-                            now[:] = max(now[0], float(cosines[i, k])), max(now[1], float(cover)), now[2] or answered
-            if best:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([doc_ids[r] for r, _ in best], pa.int64()), pa.array([ids[k] for _, k in best], pa.int64()),
-                    *(pa.array([v[j] for v in best.values()]) for j in range(3)),
-                ], names=["doc_id", "item_id", "cosine", "cover", "answer_found"])
+            for at in range(0, batch.num_rows, 256):
+                doc_ids, row, place, term = _hits(batch.slice(at, 256))
+                best = matcher.leaks(len(doc_ids), row, place, term)
+                if best:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([doc_ids[r] for r, _ in best], pa.int64()), pa.array([matcher.ids[k] for _, k in best], pa.int64()),
+                        *(pa.array([v[j] for v in best.values()]) for j in range(3)),
+                    ], names=["doc_id", "item_id", "cosine", "cover", "answer_found"])
 
     return hits.mapInArrow(run, "doc_id long, item_id long, cosine double, cover double, answer_found boolean")
 
