@@ -51,7 +51,7 @@ def eol_style(c: Column | str) -> Column:
     rest = F.replace(c, F.lit("\r\n"), F.lit(""))
     lf, cr = rest.contains("\n"), rest.contains("\r")
     kinds = crlf.cast("int") + lf.cast("int") + cr.cast("int")
-    return F.when(kinds == 0, "none").when(kinds > 1, "mixed").when(crlf, "crlf").when(lf, "lf").otherwise("cr")
+    return F.when(c.isNull(), F.lit(None)).when(kinds == 0, "none").when(kinds > 1, "mixed").when(crlf, "crlf").when(lf, "lf").otherwise("cr")
 
 
 def line_breaks(c: Column | str) -> Column:
