@@ -17,8 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Freed Arrow buffers go back to the system, so that workers that live on stay small.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that one numpy step works on; bounds the memory of a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

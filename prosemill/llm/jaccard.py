@@ -39,7 +39,7 @@ MOST_MATCHES = 6
 VERIFY_COST = 4.0
 #: Classes of a canopy in one block, and shingles that one product of matrices covers.
 BLOCK, COLUMNS = 256, 4096
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 
 
 class Shingler:

@@ -27,7 +27,7 @@ from .common import map_texts, sliced
 
 #: Letter classes: the gap between words, 26 plain letters, and hashed ones.
 LETTERS = 36
-DIMENSIONS = 384
+DIMENSIONS = 256
 UNDETERMINED = "und"
 
 

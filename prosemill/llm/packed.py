@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import binary_lists, sliced
 
 #: Members that a task packs at once, and that a bucket holds about.
-PACKED, BUCKET = 2_000_000, 3_000_000
+PACKED, BUCKET = 800_000, 1_500_000
 
 
 def packed_sets(docs: DataFrame, text: str, hasher: Callable[[], Callable[[list[str | None]], list[tuple[bytes, np.ndarray]]]], buckets: int) -> DataFrame:

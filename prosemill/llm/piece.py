@@ -28,7 +28,7 @@ from .common import SLICE_BYTES, sliced
 
 MARK = "▁"
 #: Units kept by a task, and the longest unit that is kept.
-CACHED_UNITS, CACHED_CHARS = 400_000, 64
+CACHED_UNITS, CACHED_CHARS = 300_000, 64
 
 
 class PrefixTable:
