@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import policy, rollups, segments, validation
+from ..operators import extract, policy, report, rollups, segments, validation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -391,3 +391,43 @@ def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of events; the batch form of the streaming rollup."""
     w = F.window("ts", "1 hour")
     return table(spark, sf_dir, "events").groupBy(w, "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).select(F.col("window.start").alias("hour"), "event_type", "n", "users")
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with front matter, a fence, directives and inline markup written into them."""
+    text = F.concat(F.lit("---\nid: x\n---\n# Title "), F.col("doc_id").cast("string"), F.lit("\nSome *marked* `code` and [label](http://x.y)\n```\nfenced\n```\n<!-- prose-disable -->\nhidden\n<!-- prose-enable -->\nAn &amp; entity\n"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"""with s as (select doc_id, count(*) as n from ({_LINES_SQL}) where regexp_matches(body, '\\p{{L}}') and not contains(body, '|') and not contains(body, '*') and not contains(body, '`') and not contains(body, '<') and not contains(body, '>') and not contains(body, '[') and not contains(body, ']') group by 1),
+    ok as (select doc_id from documents where not regexp_matches(text, '[|*`<>~\\[\\]\\\\&#]|\\{{'))
+  select doc_id, 5 + coalesce(n, 0) as segments, 1::bigint as headings from ok left join s using (doc_id)""")
+def extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editable pieces of Markdown by file; the twin covers documents without markup of their own."""
+    plain = ~F.col("text").rlike("[|*`<>~\\[\\]\\\\&#]|\\{")
+    rows = extract.markdown_segments(_markdown(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"))
+    return rows.join(table(spark, sf_dir, "documents").where(plain).select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"select doc_id, count(*) filter (regexp_matches(body, '\\p{{L}}')) as segments, coalesce(sum(strlen(trim(body))) filter (regexp_matches(body, '\\p{{L}}')), 0)::bigint as bytes from ({_LINES_SQL}) where doc_id in (select doc_id from documents where not regexp_matches(text, '[\"*/]|''')) group by 1 having count(*) filter (regexp_matches(body, '\\p{{L}}')) > 0")
+def extract_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of source files: each line of a document as one comment after code that holds a string with a comment mark."""
+    docs = table(spark, sf_dir, "documents").where("not text rlike '[\"*/]' and not contains(text, \"'\")")
+    source = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('s = "// no"; // '), x)), "\n")
+    rows = extract.code_segments(docs.select("doc_id", source.alias("text")), "doc_id", "java")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+
+
+@query()
+def prepare_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of long texts; null ends for a text that cannot be split."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", T.protected_ranges("text", ("email",)).alias("ranges"))
+    return extract.split_texts(texts, "doc_id", 2_000).select("doc_id", F.size("ends").cast("long").alias("parts"), F.array_max("ends").alias("chars"))
+
+
+@query("select doc_id, 'w' || doc_id as original, case when doc_id % 3 = 0 then '' else 'a|b' end as replacement, 'spelling' as category from documents")
+def table_report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals out of the pipe tables of a report, columns by header."""
+    head = "Report\n\n| x | y |\n|---|---|\n| 1 | 2 |\n\n| Category | Replacement | Original |\n| --- | --- | --- |\n"
+    text = F.concat(F.lit(head), F.lit("| spelling | "), F.expr("case when doc_id % 3 = 0 then '' else 'a\\\\|b' end"), F.lit(" | `w"), F.col("doc_id").cast("string"), F.lit("` |\n\nend"))
+    return report.proposals(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id").drop("line")
