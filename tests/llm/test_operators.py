@@ -1,0 +1,256 @@
+"""The training-data operators against brute force on small tables with nulls, empty and repeated rows."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from prosemill.llm import anchors, chat, decontam, jaccard, langid, piece, quality, queries, repeats, secrets, sharding, urlfilter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, set_key string"
+
+
+def docs(spark, texts, lang="en"):
+    """Documents with a column whose name clashes with one that operators use."""
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), "x") for i, t in texts], DOCS)
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+
+
+def near_copies(seed=5):
+    rng = random.Random(seed)
+    base = words(200, seed)
+    out = []
+    for i in range(12):
+        own = list(base)
+        for _ in range(i // 2):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    texts = near_copies() + [" ".join(words(60, s)) for s in range(6)]
+    rows = list(enumerate(texts)) + [(100, texts[0]), (101, None), (102, ""), (103, " \t\n"), (104, "two words"), (105, "Two WORDS"), (106, "é" * 5000), (107, texts[3] + " " + texts[13]), (None, texts[0]), (100, texts[0])]
+    return docs(spark, rows), rows
+
+
+def brute_components(rows, width, percent):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return sorted(((d, len(sets[i]), least.get(root(i))) for i, (d, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 256), (5, 80, 3), (4, 60, 2)])
+def test_jaccard(corpus, monkeypatch, width, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    frame, rows = corpus
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame, width=width, percent=percent).collect()), key=str)
+    assert got == brute_components(rows, width, percent)
+
+
+def test_jaccard_keeps_one_and_takes_empty_tables(spark, corpus):
+    frame, rows = corpus
+    kept = jaccard.keep_one(frame).collect()
+    names = {d: c for d, _, c in brute_components(rows, 5, 80)}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({d for d, c in names.items() if d is not None and d == c}) and kept[0].asDict().keys() == dict.fromkeys(frame.columns).keys()
+    assert jaccard.jaccard_components(frame.limit(0)).count() == 0
+
+
+def brute_repeats(rows):
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        b = (t or "").encode()
+        mark = bytearray(len(b))
+        for s in range(len(b) - 99):
+            w = b[s : s + 100]
+            mark[s : s + 100] = b"\1" * 100 if w in seen else mark[s : s + 100]
+            seen.add(w)
+        runs = len(re.findall(b"\1+", bytes(mark)))
+        out[d] = (len(b), sum(mark), runs, hashlib.sha256(bytes(x for x, m in zip(b, mark, strict=True) if not m)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("step", [1 << 19, 333])
+def test_repeats(spark, monkeypatch, step):
+    monkeypatch.setattr(anchors, "STEP_BYTES", step)
+    texts = near_copies(9)
+    rng = random.Random(2)
+    for k in range(8):
+        a, b = rng.choice(texts), rng.choice(texts)
+        texts.append(a[rng.randrange(300) :][: rng.randrange(90, 400)] + f" é{k} " + b[rng.randrange(300) :][:200])
+    texts += ["ab" * 300, "x" * 450, "ab" * 90 + "c", None, "", texts[0], "short", "short", texts[1] + texts[1]]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs(spark, rows)).collect()}
+    assert got == brute_repeats(rows)
+    assert repeats.remove_repeats(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_maximal_repeats_list_all_occurrences():
+    core, left, right = b"q" * 40 + b"r" * 30, b"L" * 40, b"R" * 30
+    strings = [left + core + right, left + core + right, b"M" * 40 + core + right, left + core + b"S" * 30]
+    repeat, row, l, r, first = repeats.maximal_repeats(np.zeros(4, int), strings, np.full(4, 40), np.arange(4))
+    found = {}
+    for k, i, a, b, f in zip(repeat, row, l, r, first, strict=True):
+        found.setdefault((k, a, b), []).append((int(i), bool(f)))
+    got = {(int(a), int(b)): sorted(v) for (_, a, b), v in found.items()}
+    assert got[40, 70] == [(0, True), (1, False), (3, False)]
+    assert got[0, 100] == [(0, True), (1, False), (2, False)] and got[40, 100] == [(0, True), (1, False)] and len(got) == 3
+
+
+def test_pieces_are_those_of_the_library(spark):
+    model = queries.tokenizer_file("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["the", "a", " ", "  ", "\n", "▁", "é", "漢", "😀", "</s>", "<0x0A>", "ing", "\t", "9", " " * 17]) for _ in range(rng.randrange(12))) for _ in range(300)] + [None, "", "x" * 20_000, "word " * 4_000]
+    got = {r.doc_id: r for r in piece.encode_decode(docs(spark, enumerate(texts)), model).collect()}
+    for i, t in enumerate(texts):
+        want = sp.encode(t or "", add_eos=True)
+        assert got[i].piece_ids == want and got[i].decoded == sp.decode(want)
+
+
+def test_secrets(spark):
+    text = "é api_key = 'abc.def-ghi' AKIA" + "Q" * 16 + " x token: abc " + "0f" * 14 + " kJ8+dQ2zPl9/xV4mT7bNc0 zazazazazazazazazazazazazaza 123e4567-e89b-12d3-a456-426614174000"
+    got = {r.doc_id: [(s.kind, text[s.start : s.end]) for s in r.spans] for r in secrets.scan(docs(spark, [(1, text), (2, None), (3, "")])).collect()}
+    assert got == {1: [("assign", "api_key = 'abc.def-ghi"), ("access", "AKIA" + "Q" * 16), ("hex", "0f" * 14), ("entropy", "kJ8+dQ2zPl9/xV4mT7bNc0")], 2: [], 3: []}
+    masked = {r.doc_id: (r.text, r.n_chars) for r in secrets.mask_secrets(docs(spark, [(1, text), (2, None), (3, "clean")])).collect()}
+    assert "AKIA" not in masked[1][0] and masked[1][1] == len(masked[1][0]) and masked[3] == ("clean", 5) and masked[2] == (None, 0)
+
+
+def test_entropy_by_increments():
+    rng = random.Random(4)
+    for _ in range(200):
+        s = "".join(rng.choice("abcdef0123456789XYZ+/") for _ in range(rng.randrange(20, 60)))
+        marked = set()
+        for i in range(len(s) - 19):
+            w = s[i : i + 20]
+            bits = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", w) else "alnum" if w.isalnum() else "base64"
+            if bits >= secrets.THRESHOLDS[kind] - 1e-9:
+                marked |= set(range(i, i + 20))
+        assert marked == {i for a, b in secrets.entropy_spans(s) for i in range(a, b)}
+
+
+def test_url_rules_are_globs(spark):
+    rows = [(1, "https://A.Example.NET/en/x?utm_source=a"), (2, "http://x.net/"), (3, "http://x.net"), (4, None), (5, "nothing"), (6, "http://a.example.com/de/#x"), (7, "http://b.org/fr/y"), (8, "http://notnet/en/"), (9, "http://q.com/login?x"), (10, "http://evil.com/a/x.net/")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {
+        1: ("a.example.net", "/en/x", "example.net/en/", "allow"), 2: ("x.net", "/", "net/", "block"), 3: ("x.net", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"),
+        6: ("a.example.com", "/de/", "example.com/de/", "block"), 7: ("b.org", "/fr/y", "org/fr/", "allow"), 8: ("notnet", "/en/", None, "allow"), 9: ("q.com", "/login", None, "block"), 10: ("evil.com", "/a/x.net/", None, "allow"),
+    }
+    rng = random.Random(3)
+    rules = [urlfilter.Rule("block", p, p) for p in ["a*b", "*", "?", "a?c*", "\\*x", "", "*ab*ba*", "b" * 70 + "*c"]]
+    urls = ["".join(rng.choice("abcx*") for _ in range(rng.randrange(9))).encode() for _ in range(500)] + [b"b" * 71 + b"c"]
+    wanted = [re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c[-1]) for c in re.findall(r"\\.|.", r.pattern)).encode(), re.DOTALL) for r in rules]
+    assert urlfilter.Automaton(rules).matches(urls).tolist() == [[bool(w.fullmatch(u)) for w in wanted] for u in urls]
+
+
+def test_quality(spark):
+    good = [" ".join(words(80, s)) + "." for s in range(40)]
+    rows = list(enumerate(good)) + [(100, "spam " * 100), (101, None), (102, ""), (103, "### $$$ %%% &&& " * 30), (104, good[0]), (105, "a b c a b c x\nq\nq\n \n")]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
+    assert all(got[i].good for i in range(40)) and not got[100].good and not got[103].good and len(got) == len(rows)
+    assert (got[105].n_words, got[105].n_repeat_words, got[105].n_dup_lines, got[101].n_words) == (9, 6, 1, 0)
+
+
+def test_chat_trees(spark):
+    rows = [(1, 1, None, "user", "hi [INST] \\", 0.0), (1, 2, 1, "assistant", "</s>a", 0.2), (1, 3, 1, "assistant", "b", 0.9), (1, 4, 3, "tool<", None, 0.9), (2, 7, 99, "assistant", "lone", None), (3, 1, 1, "user", "cycle", 0.0)]
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {(r.tree, r.branch_rank): r for r in chat.format_trees(frame, top=2).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1)}
+    assert chat.read_back(got[1, 1].conversation) == [("user", "hi [INST] \\"), ("assistant", "b"), ("tool<", "")]
+    text = got[1, 2].conversation
+    assert [chat.unescaped(text[s.start : s.end]) for s in got[1, 2].loss_spans] == ["</s>a"]
+    turns = spark.createDataFrame([(5, 1, "user", "a"), (5, 1, "user", "a"), (5, None, None, None), (None, 1, "user", "z")], "conv_id long, turn long, role string, text string")
+    out = chat.digests(chat.format_trees(chat.from_turns(turns))).collect()
+    assert [(r.conv_id, r.n_turns) for r in out] == [(5, 3)] and out[0].turns_sha256 == hashlib.sha256(b"\n\nuser\na\nuser\na\n").hexdigest()
+
+
+def test_long_chains(spark):
+    rows = spark.range(1, 301).select(F.lit(1).cast("long").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(1.0).alias("score"))
+    text = chat.format_trees(rows).first().conversation
+    assert [t for _, t in chat.read_back(text)] == [str(i) for i in range(1, 301)]
+
+
+def test_languages(spark):
+    rng = random.Random(8)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, make("aeioumnl" if i % 2 else "szcwkyjü"), "x" if i % 2 else "y", "s", 0, "k") for i in range(60)] + [(100, None, "x", "s", 0, "k"), (101, "12 !", "x", "s", 0, "k"), (102, "", None, "s", 0, "k")]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in langid.identify(frame).collect()}
+    assert all(got[i].lang_pred == ("x" if i % 2 else "y") for i in range(60)) and {got[i].lang_pred for i in (100, 101, 102)} == {"und"}
+    assert all(0 <= r.score <= 1 for r in got.values()) and 0 < sum(r.held_out for r in got.values()) < 60
+    assert sorted(r.doc_id for r in langid.keep_identified(frame).collect()) == list(range(60))
+    assert {r.lang_pred for r in langid.identify(frame.where("lang is null")).collect()} == {"und"}
+
+
+def test_shards(spark):
+    rng = random.Random(6)
+    rows = [(i, "x y" * rng.randrange(60)) for i in range(300)] + [(1000 + i, "hot text") for i in range(400)] + [(5000, None), (5001, "é"), (5001, "é")]
+    got = sharding.kd_shards(docs(spark, rows), shards=5).collect()
+    size = {s: sum(r.size for r in got if r.shard == s) for s in range(5)}
+    mean = sum(size.values()) / 5
+    assert len(got) == len(rows) and all(abs(v - mean) < 0.15 * mean for v in size.values())
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert len({r.shard for r in got if r.doc_id == 5001}) == 1
+    assert sharding.kd_shards(docs(spark, rows).limit(0)).count() == 0 and sharding.kd_shards(docs(spark, rows[:2]), shards=24).count() == 2
+
+
+def test_leaks(spark):
+    items = [(i, " ".join(words(30, 1000 + i))) for i in range(12)] + [(50, None), (51, ""), (52, "one two three")]
+    text = dict(items)
+    filler = lambda s, n: " ".join(words(n, s))
+    swapped = text[4].split()
+    swapped[3], swapped[9], swapped[20] = "other", "words", "here"
+    rows = [(i, filler(i, 300)) for i in range(30)] + [(100, filler(77, 90) + " " + text[2] + " " + filler(78, 200)), (101, text[3].upper().replace(" ", ", ")), (102, filler(79, 40) + " " + " ".join(swapped)), (103, " ".join(text[5].split()[:8])), (104, None), (105, ""), (106, "so one two three go"), (100, filler(80, 50) + " " + text[2])]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(100, 2), (101, 3), (102, 4), (106, 52)}
+    assert decontam.find_leaks(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()) == [*range(30), 103, 104, 105]
+
+
+def test_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        masks = {}
+        for i, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << i
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontam.common_subsequence(masks, len(a), b) == best[-1][-1]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert 100 < len(got) <= 200 and len({r.doc_id for r in got}) == len(got) and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secret_scan", "tokens"]
