@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import components, map_texts, mix64, stored
-from .packed import BUCKET, packed_sets, shared_hashes
+from .packed import BUCKET, key_width, packed_sets, shared_hashes
 
 MOST_MATCHES = 6
 #: Cost of verifying a pair against that of reading a posting.
@@ -214,8 +214,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = stored(members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")).where("id is not null"), "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(total / BUCKET))
-    shared = shared_hashes(packed_sets(docs, text, partial(_hasher, width), parts), parts, percent)
-    sets = stored(shared.join(classes.select("set_key", "id"), "set_key").select("id", "n", "hashes", "freqs"), "jaccard-shared")
+    bytes_of_key = key_width(classes, "set_key")
+    shared = shared_hashes(packed_sets(docs, text, partial(_hasher, width), parts, bytes_of_key), parts, percent, bytes_of_key)
+    named = classes.select(F.substring("set_key", 1, bytes_of_key).alias("set_key"), "id", "n")
+    able = F.octet_length("hashes") / 8 * 100 >= percent * F.col("n")
+    sets = stored(shared.join(named, "set_key").where(able).select("id", "n", "hashes", "freqs"), "jaccard-shared")
     entries = stored(postings(sets, percent), "jaccard-postings")
     labels = link_components(sets, entries, percent)
     named = classes.join(labels, "id", "left").select("set_key", F.col("id").alias("set_id"), F.coalesce("label", "id").alias("component_id"))

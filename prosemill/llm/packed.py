@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 from .common import binary_lists, sliced
 
 #: Members that a task packs at once, and that a bucket holds about.
-PACKED, BUCKET = 800_000, 1_500_000
+PACKED, BUCKET = 800_000, 3_000_000
 
 
-def packed_sets(docs: DataFrame, text: str, hasher: Callable[[], Callable[[list[str | None]], list[tuple[bytes, np.ndarray]]]], buckets: int) -> DataFrame:
+def packed_sets(docs: DataFrame, text: str, hasher: Callable[[], Callable[[list[str | None]], list[tuple[bytes, np.ndarray]]]], buckets: int, width: int) -> DataFrame:
     """(bucket, keys, sizes, lengths, hashes): the sets of many texts, dealt by hash. sizes are of whole sets, lengths of the bucket's parts.
 
     ``hasher`` makes, in each task, a function from texts to pairs of a 16-byte
-    key and a set of distinct 64-bit hashes; sets of one key are the same.
+    key and a set of distinct 64-bit hashes; sets of one key are the same. The
+    first ``width`` bytes of a key go with each part (see key_width).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,10 +33,11 @@ def packed_sets(docs: DataFrame, text: str, hasher: Callable[[], Callable[[list[
         count = 0
 
         def pack() -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(sets), dtype="S16")
-            sizes = np.array([len(s) for s in sets.values()], dtype="<u4")
+            keys = np.frombuffer(b"".join(sets), dtype=f"S{width}")
+            sizes = np.array([len(s) for s in sets.values()])
             hashes = np.concatenate(list(sets.values()))
             owner = np.repeat(np.arange(len(sets), dtype=np.int64), sizes)
+            sizes = np.minimum(sizes, 65535).astype("<u2")
             bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             hashes, cell = hashes[order], bucket[order] * len(sets) + owner[order]
@@ -47,12 +49,13 @@ def packed_sets(docs: DataFrame, text: str, hasher: Callable[[], Callable[[list[
             owners = cells % len(sets)
             token_ends = np.cumsum(lengths)[ends - 1]
             return pa.RecordBatch.from_arrays([
-                pa.array(which, pa.int64()), binary_lists(keys[owners], ends, 16), binary_lists(sizes[owners], ends, 4), binary_lists(lengths, ends, 4), binary_lists(hashes, token_ends, 8),
+                pa.array(which, pa.int64()), binary_lists(keys[owners], ends, width), binary_lists(sizes[owners], ends, 2), binary_lists(lengths, ends, 4), binary_lists(hashes, token_ends, 8),
             ], names=["bucket", "keys", "sizes", "lengths", "hashes"])
 
         for batch in batches:
             for part in sliced(batch, 0):
                 for key, s in hashed(part.column(0).to_pylist()):
+                    key = key[:width]
                     if len(s) and key not in sets:
                         sets[key] = s
                         count += len(s)
@@ -69,11 +72,20 @@ def _joined(table: pa.Table, column: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype=dtype)
 
 
-def shared_hashes(packed: DataFrame, groups: int, percent: int) -> DataFrame:
-    """(set_key, n, hashes, freqs) of the sets of which at least ``percent`` is in another set; only shared hashes are listed, rarest first."""
+def key_width(keys: DataFrame, column: str) -> int:
+    """8 if the first 8 bytes tell all of the distinct 16-byte keys apart, else 16."""
+    return 16 if keys.groupBy(F.substring(column, 1, 8)).count().where("count > 1").limit(1).count() else 8
+
+
+def shared_hashes(packed: DataFrame, groups: int, percent: int, width: int) -> DataFrame:
+    """(set_key, hashes, freqs) of the sets of which at least ``percent`` is in another set; only shared hashes are listed, rarest first.
+
+    Keys have ``width`` bytes. Sets of more than 65535 members count as of so
+    many, so some more of them may be listed.
+    """
 
     def within_bucket(table: pa.Table) -> pa.Table:
-        keys, sizes, lengths, hashes = (_joined(table, c, d) for c, d in (("keys", "S16"), ("sizes", "<u4"), ("lengths", "<u4"), ("hashes", "<u8")))
+        keys, sizes, lengths, hashes = (_joined(table, c, d) for c, d in (("keys", f"S{width}"), ("sizes", "<u2"), ("lengths", "<u4"), ("hashes", "<u8")))
         _, first = np.unique(keys, return_index=True)
         kept = np.zeros(len(keys), dtype=bool)
         kept[first] = True  # copies of a set that other tasks packed too count once
@@ -89,7 +101,7 @@ def shared_hashes(packed: DataFrame, groups: int, percent: int) -> DataFrame:
         owner = np.repeat(np.arange(len(keys)), lengths)[shared]
         hashes, freq = hashes[shared], np.minimum(freq[shared], 65535).astype("<u2")
         left = np.bincount(owner, minlength=len(keys))
-        group = keys.view("<u4")[::4].astype(np.int64) % groups
+        group = keys.view("<u4")[:: width // 4].astype(np.int64) % groups
         has = np.flatnonzero(left)
         has = has[np.argsort(group[has], kind="stable")]
         starts_of = np.concatenate(([0], np.cumsum(left)))[:-1]
@@ -98,11 +110,11 @@ def shared_hashes(packed: DataFrame, groups: int, percent: int) -> DataFrame:
         to = np.concatenate((at[1:], [len(has)]))[: len(which)]
         token_ends = np.cumsum(left[has])[to - 1] if len(has) else np.zeros(0, np.int64)
         return pa.Table.from_arrays([
-            pa.array(which, pa.int64()), binary_lists(keys[has], to, 16), binary_lists(sizes[has], to, 4), binary_lists(left[has].astype("<u4"), to, 4), binary_lists(hashes[take], token_ends, 8), binary_lists(freq[take], token_ends, 2),
+            pa.array(which, pa.int64()), binary_lists(keys[has], to, width), binary_lists(sizes[has], to, 2), binary_lists(left[has].astype("<u4"), to, 4), binary_lists(hashes[take], token_ends, 8), binary_lists(freq[take], token_ends, 2),
         ], names=["grp", "keys", "sizes", "lengths", "hashes", "freqs"])
 
     def within_group(table: pa.Table) -> pa.Table:
-        keys, sizes, lengths, hashes, freqs = (_joined(table, c, d) for c, d in (("keys", "S16"), ("sizes", "<u4"), ("lengths", "<u4"), ("hashes", "<u8"), ("freqs", "<u2")))
+        keys, sizes, lengths, hashes, freqs = (_joined(table, c, d) for c, d in (("keys", f"S{width}"), ("sizes", "<u2"), ("lengths", "<u4"), ("hashes", "<u8"), ("freqs", "<u2")))
         names, first, owner = np.unique(keys, return_index=True, return_inverse=True)
         n = sizes[first].astype(np.int64)
         owner = np.repeat(owner, lengths)
@@ -111,7 +123,7 @@ def shared_hashes(packed: DataFrame, groups: int, percent: int) -> DataFrame:
         owner, hashes, freqs = owner[mine], hashes[mine], freqs[mine]
         order = np.lexsort((hashes, freqs, owner))
         ends = np.cumsum(np.bincount(owner, minlength=len(names)))[able]
-        return pa.Table.from_arrays([binary_lists(keys[first][able], np.arange(1, int(able.sum()) + 1), 16), pa.array(n[able]), binary_lists(hashes[order], ends, 8), binary_lists(freqs[order], ends, 2)], names=["set_key", "n", "hashes", "freqs"])
+        return pa.Table.from_arrays([binary_lists(keys[first][able], np.arange(1, int(able.sum()) + 1), width), binary_lists(hashes[order], ends, 8), binary_lists(freqs[order], ends, 2)], names=["set_key", "hashes", "freqs"])
 
     by_bucket = packed.groupBy("bucket").applyInArrow(within_bucket, "grp long, keys binary, sizes binary, lengths binary, hashes binary, freqs binary")
-    return by_bucket.groupBy("grp").applyInArrow(within_group, "set_key binary, n long, hashes binary, freqs binary")
+    return by_bucket.groupBy("grp").applyInArrow(within_group, "set_key binary, hashes binary, freqs binary")

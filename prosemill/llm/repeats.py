@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Hashes, anchors
 from .common import shared_folder, sliced, stored
-from .packed import BUCKET, packed_sets, shared_hashes
+from .packed import BUCKET, key_width, packed_sets, shared_hashes
 
 WINDOW, GRAM = 100, 32
 #: Bytes left of an anchor from which a window belongs to the left half.
@@ -318,8 +318,10 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept = stored(texts.where("doc_id is not null").groupBy("sha256").agg(F.min("doc_id").alias("kept_doc"), F.first("n_bytes").alias("n")), "repeats-kept")
     size = kept.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(size * 2 / (WINDOW - GRAM + 2) / BUCKET))
-    shared = shared_hashes(packed_sets(named, "text", _hasher, parts), parts, 0)
-    keyed = kept.select(F.substring(F.unhex("sha256"), 1, 16).alias("set_key"), F.col("kept_doc").alias("doc_id"), "n")
+    keyed = kept.select(F.substring(F.unhex("sha256"), 1, 16).alias("set_key"), F.col("kept_doc").alias("doc_id"))
+    bytes_of_key = key_width(keyed, "set_key")
+    keyed = keyed.withColumn("set_key", F.substring("set_key", 1, bytes_of_key))
+    shared = shared_hashes(packed_sets(named, "text", _hasher, parts, bytes_of_key), parts, 0, bytes_of_key)
     wanted = stored(keyed.join(shared.select("set_key", F.col("hashes").alias("shared")), "set_key", "left").select("doc_id", "shared").where("doc_id is not null").groupBy("doc_id").agg(F.first("shared", ignorenulls=True).alias("shared")), "repeats-shared")
     buckets = max(4, math.ceil(size / BODY_BUCKET))
     one_each = _bodies(named.where("doc_id is not null")).groupBy("doc_id").agg(F.min("body").alias("body")) if _repeated(texts) else _bodies(named.where("doc_id is not null"))
