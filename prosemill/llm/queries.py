@@ -87,4 +87,27 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_URL_SQL = r"""with u as (select page_id, case when contains(url, '://') then regexp_replace(substr(url, instr(url, '://') + 3), '#.*', '', 's') else '' end as rest from pages),
+  s as (select page_id, translate(regexp_extract(rest, '^[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?]*([^?]*)', 1) as path, regexp_extract(rest, '\?.*', 0, 's') as query from u),
+  r as (select * from (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) t(v, h, p)),
+  b as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as v from s join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1),
+  g as (select page_id, x from s, (values ('%#%.exe'), ('%#%.zip'), ('%#%/login%'), ('%#%/cart/%'), ('%#%/wp-admin/%'), ('%#%?%sessionid=%'), ('%#%?%utm\_source=%'), ('%.onion#%'), ('%xn--%#%'), ('%#%/../%')) t(x) where host || '#' || path || query like x escape '\'),
+  w as (select page_id, arg_max(replace(replace(replace(x, '\_', '_'), '?', '\?'), '%', '*'), length(replace(replace(x, '\_', '_'), '?', '\?')) * 1000000 - ascii(x)) as glob_ from g group by 1)
+  select page_id, host, path, rule, coalesce(v, case when w.glob_ is null then 'allow' else 'block' end) as verdict, case when rule is null then w.glob_ end as glob from s left join b using (page_id) left join w using (page_id)"""
+_CHAT_SQL = r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  e as (select *, length(text) + length(text) - length(replace(replace(replace(text, '<', ''), '[', ''), '\', '')) as body, length(role) + length(role) - length(replace(replace(replace(role, '<', ''), '[', ''), '\', '')) as head from c)
+  select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(body + case role when 'user' then 16 when 'assistant' then 7 else 20 + head end)::bigint as formatted_chars from e group by 1"""
+_JACCARD_SQL = r"""with recursive w as materialized (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as w from documents),
+  s as materialized (select distinct doc_id, case when len(w) < 4 then w else w[i : i + 3] end as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) as i from w where len(w) > 0)),
+  n as materialized (select doc_id, count(*) as n from s group by 1),
+  c as materialized (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+  l as materialized (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * k >= 85 * (p.n + q.n - k)),
+  r as (select doc_id as a, doc_id as b from n union select r.a, l.b from r join l on l.a = r.b),
+  m as (select a, min(b) as component_id from r group by 1),
+  k as (select doc_id, hash(list(g order by g)) as h from s group by 1), f as (select doc_id, min(doc_id) over (partition by h) as set_id from k)
+  select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(component_id, w.doc_id) as component_id, coalesce(set_id, w.doc_id) as set_id from w left join n using (doc_id) left join m on m.a = w.doc_id left join f on f.doc_id = w.doc_id"""
+
+#: Where a method learns, draws or merges, SQL has no twin; tests compare those with brute force.
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": _URL_SQL, "op4_jaccard_join": _JACCARD_SQL, "op5_chat_formatting": _CHAT_SQL}
