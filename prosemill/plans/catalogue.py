@@ -382,7 +382,7 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     while (now := reached.count()) > size:
         size = now
         far = reached.select(F.col("root").alias("node"), F.col("node").alias("next"))
-        reached = reached.join(far, "node").select("root", F.col("next").alias("node")).distinct().checkpoint() if spark.sparkContext.getCheckpointDir() else reached.join(far, "node").select("root", F.col("next").alias("node")).distinct()
+        reached = reached.join(far, "node").select("root", F.col("next").alias("node")).distinct()
     return reached.groupBy("root").agg(F.count("*").alias("reached"))
 
 
