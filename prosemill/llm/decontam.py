@@ -137,8 +137,8 @@ def term_weights(items: Items, docs_with: np.ndarray, total: int) -> np.ndarray:
     return weights.astype(np.float32)
 
 
-def gram_times(hits: DataFrame, items: Items, weights: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """A'A times ``block``, where A has a unit row for each passage. Tasks send the rows of terms they met; sums are of the block's size."""
+def gram_times(hits: DataFrame, items: Items, weights: np.ndarray, block: np.ndarray, balance: float) -> np.ndarray:
+    """A'A times ``block``, where A has a unit row for each passage, and items' rows count ``balance`` times. Tasks send the rows of terms they met; sums are of the block's size."""
     spark = hits.sparkSession
     held = spark.sparkContext.broadcast((weights, block.astype(np.float32)))
     width, n = block.shape[1], len(weights)
@@ -187,17 +187,24 @@ def gram_times(hits: DataFrame, items: Items, weights: np.ndarray, block: np.nda
     terms = np.concatenate(items.terms)
     owner = np.repeat(np.arange(len(items.terms)), [len(t) for t in items.terms])
     kept = weights[terms] > 0
-    add(out, met, owner[kept], terms[kept], weights, block.astype(np.float32))
+    own = np.zeros((n, width), dtype=np.float32)
+    if kept.any():
+        add(own, met, owner[kept], terms[kept], weights, block.astype(np.float32))
     held.unpersist()
-    return out
+    return out + own * np.float32(balance)
+
 
+def latent_basis(hits: DataFrame, items: Items, weights: np.ndarray, rank: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms by rank, singular values): leading right singular vectors of the passages.
 
-def latent_basis(hits: DataFrame, items: Items, weights: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """(terms by rank, singular values): leading right singular vectors of the passages."""
+    Items weigh as much as the passages of ``total`` documents, three each, so
+    that the space holds what tells items apart, not only what fills documents.
+    """
+    balance = max(1.0, 3 * total / len(items.ids))
     width = min(rank + OVERSAMPLE, len(weights))
     block = np.random.default_rng(7).standard_normal((len(weights), width))
-    basis, _ = np.linalg.qr(gram_times(hits, items, weights, block).astype(np.float64))
-    inner = basis.T @ gram_times(hits, items, weights, basis).astype(np.float64)
+    basis, _ = np.linalg.qr(gram_times(hits, items, weights, block, balance).astype(np.float64))
+    inner = basis.T @ gram_times(hits, items, weights, basis, balance).astype(np.float64)
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     lead = np.argsort(values)[::-1][:rank]
     return (basis @ turn[:, lead]).astype(np.float32), np.sqrt(np.maximum(values[lead], 0))
@@ -236,7 +243,7 @@ def find_leaks(
     for items in item_batches(benchmark, item_id, item_text, answer):
         hits = stored(word_hits(docs, doc_id, text, items.vocabulary), "leaks-hits")
         weights = term_weights(items, document_frequencies(hits, len(items.vocabulary)), total)
-        basis, _ = latent_basis(hits, items, weights, rank)
+        basis, _ = latent_basis(hits, items, weights, rank, total)
         found = matches(hits, items, weights, basis, least_cosine, least_cover, answer_cover)
         out = found if out is None else out.unionByName(found)
     schema = "doc_id long, item_id long, cosine double, cover double, answer_found boolean"
