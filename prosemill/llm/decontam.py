@@ -10,6 +10,8 @@
    decomposes what is left, a square of the block's width.
 4. Overlapping windows of each document and the items are compared by cosine
    in that space.
+   Before that, pairs go that cannot pass the check: the words that a window
+   and an item share bound their common subsequence.
 5. Candidates are checked: the longest common subsequence of words has to cover
    ``least_cover`` of the item, or ``answer_cover`` with the item's answer
    standing in the window word for word.
@@ -29,14 +31,12 @@ from .common import map_texts, stored
 
 ITEMS_AT_ONCE = 20_000
 WORDS_AT_ONCE = 400_000
-RANK, OVERSAMPLE = 64, 16
+RANK, OVERSAMPLE = 96, 16
 PIECE = 32
 #: A word in more than this share of documents has weight only for items with few rarer words.
-COMMON, ENOUGH = 0.02, 4
-#: Share of an item's weighted words that a window must hold to be compared.
-LEAST_HITS = 0.3
-#: Share of an item's length that a window's vector must reach in the item's direction.
-LEAST_REACH = 0.4
+COMMON, ENOUGH = 0.1, 4
+#: Items that windows are compared with at once; bounds the tables of a task.
+GROUP = 256
 
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -261,64 +261,79 @@ class Matcher:
         self.least_cosine, self.least_cover, self.answer_cover = least_cosine, least_cover, answer_cover
         self.rows = basis * weights[:, None]
         self.lengths = np.array([len(t) for t in terms])
-        self.member = np.zeros((len(terms), len(weights)), dtype=bool)
-        for i, t in enumerate(terms):
-            self.member[i, t[weights[t] > 0]] = True
-        self.least = np.maximum(1, np.ceil(LEAST_HITS * self.member.sum(axis=1))).astype(np.int64)
+        # words that a text must share with an item to pass, and how many of the item's have no weight
+        self.need = np.maximum(1, np.ceil(min(answer_cover, least_cover) * self.lengths - 1e-9)).astype(np.int64)
+        self.light = np.array([np.count_nonzero(weights[t] == 0) for t in terms])
         vectors = np.stack([self.rows[t].sum(axis=0) for t in terms])
-        self.sizes = np.linalg.norm(vectors, axis=1).astype(np.float32)
-        self.vectors = (vectors / np.maximum(self.sizes, 1e-12)[:, None]).astype(np.float32)
+        self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]).astype(np.float32)
         self.steps = np.maximum(4, 2 ** np.ceil(np.log2(self.lengths)).astype(np.int64)) // 4
+        # (step, items, row of each term, what a hit of the term adds for each item: 65536 with weight, 1 without)
+        self.groups = []
+        for step in np.unique(self.steps).tolist():
+            of_step = np.flatnonzero(self.steps == step)
+            for at in range(0, len(of_step), GROUP):
+                mine = of_step[at : at + GROUP]
+                own = np.unique(np.concatenate([terms[i] for i in mine]))
+                local = np.full(len(weights), -1, dtype=np.int32)
+                local[own] = np.arange(len(own))
+                adds = np.zeros((len(own), len(mine)), dtype=np.uint32)
+                for k, i in enumerate(mine):
+                    adds[local[terms[i]], k] = np.where(weights[terms[i]] > 0, 1 << 16, 1)
+                self.groups.append((step, mine, local, adds))
         self.masks: dict[int, dict[int, int]] = {}
 
-    def candidates(self, step: int, row: np.ndarray, place: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(row, first place, item, cosine) of windows and items of one step width that are alike and share enough weighted words.
+    def candidates(self, group: tuple, row: np.ndarray, place: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, first place, item, cosine) of windows and items of a group that are alike and share as many words as passing needs.
 
-        A window has five steps, an item four at most: some window holds all of it.
+        A window has five steps, an item four at most: some window holds all of
+        it. Shared words are counted in the text that is checked, which reaches
+        one step farther on either side. Each word of a common subsequence is
+        a hit of the item's words, and no more than ``light`` of them have no weight.
         """
-        mine = np.flatnonzero(self.steps == step)
-        least = int(self.least[mine].min())
-        cells = row << 32 | place // step + 4
+        step, mine, local, adds = group
+        need, light = self.need[mine], self.light[mine].astype(np.uint32)
+        held = np.flatnonzero(local[term] >= 0)
+        if not len(held):
+            return
+        row, place, term = row[held], place[held], term[held]
+        cells = row << 32 | place // step + 5
         starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         names, sizes = cells[starts], np.diff(np.concatenate((starts, [len(cells)])))
-        windows = np.unique(np.concatenate([names - k for k in range(5)]))
-        found = np.searchsorted(names, windows[:, None] + np.arange(5))
-        there = names[np.minimum(found, len(names) - 1)] == windows[:, None] + np.arange(5)
+        heavy = np.add.reduceat((self.weights[term] > 0).astype(np.int64), starts)
+        windows = np.unique(np.concatenate([names[heavy > 0] - k for k in range(5)]))
+        found = np.searchsorted(names, windows[:, None] + np.arange(-1, 6))
+        there = names[np.minimum(found, len(names) - 1)] == windows[:, None] + np.arange(-1, 6)
         found = np.where(there, found, len(names))
-        dense = np.append(sizes, 0)[found].sum(axis=1) >= least
+        least = max(1, int((need - light).min()))
+        dense = (np.append(sizes, 0)[found].sum(axis=1) >= int(need.min())) & (np.append(heavy, 0)[found].sum(axis=1) >= least)
         windows, found = windows[dense], found[dense]
         if not len(windows):
             return
+        shared = np.zeros((len(names) + 1, len(mine)), dtype=np.uint32)
         sums = np.zeros((len(names) + 1, self.rows.shape[1]), dtype=np.float32)
         for j in range(int(sizes.max())):  # a cell has a step's words at most
             longer = np.flatnonzero(sizes > j)
-            sums[longer] += self.rows[term[starts[longer] + j]]
+            now = term[starts[longer] + j]
+            shared[longer] += adds[local[now]]
+            weighted = self.weights[now] > 0
+            sums[longer[weighted]] += self.rows[now[weighted]]
         for a in range(0, len(windows), 8192):
             cell = found[a : a + 8192]
-            window = sums[cell[:, 0]]
-            for k in range(1, 5):
-                window += sums[cell[:, k]]
-            cosines = window @ self.vectors[mine].T
-            near = cosines >= self.least_cosine * np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
-            # a window that holds an item reaches as far as it in the item's direction, whatever else it holds
-            near &= cosines >= LEAST_REACH * self.sizes[mine]
-            i, k = np.nonzero(near)
-            if not len(i):
+            both = shared[cell[:, 0]]
+            for k in range(1, 7):
+                both += shared[cell[:, k]]
+            enough = np.minimum(both & 0xFFFF, light) + (both >> 16) >= need
+            some = np.flatnonzero(enough.any(axis=1))
+            if not len(some):
                 continue
-            # distinct weighted words that window and item share
-            item = mine[k]
-            lengths = np.append(sizes, 0)[cell[i]]
-            n = lengths.sum(axis=1)
-            first = np.where(lengths > 0, np.append(starts, 0)[cell[i]], len(cells)).min(axis=1)
-            ends = np.cumsum(n)
-            inside = np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]))
-            pair = np.repeat(np.arange(len(i)), n)
-            shared = self.member[item[pair], term[inside]]
-            once = np.unique(pair[shared] * self.member.shape[1] + term[inside][shared]) // self.member.shape[1]
-            ok = np.bincount(once, minlength=len(i)) >= self.least[item]
-            name = windows[a : a + 8192][i[ok]]
-            cosine = cosines[i[ok], k[ok]] / np.linalg.norm(window[i[ok]], axis=1)
-            yield name >> 32, ((name & 0xFFFFFFFF) - 4) * step, item[ok], cosine
+            window = sums[cell[some, 1]]
+            for k in range(2, 6):
+                window += sums[cell[some, k]]
+            cosines = window @ self.vectors[mine].T
+            norms = np.maximum(np.linalg.norm(window, axis=1), 1e-12)
+            i, k = np.nonzero(enough[some] & (cosines >= self.least_cosine * norms[:, None]))
+            name = windows[a : a + 8192][some[i]]
+            yield name >> 32, ((name & 0xFFFFFFFF) - 5) * step, mine[k], cosines[i, k] / norms[i]
 
     def item_masks(self, item: int) -> dict[int, int]:
         if item not in self.masks:
@@ -331,12 +346,10 @@ class Matcher:
     def leaks(self, n_docs: int, row: np.ndarray, place: np.ndarray, term: np.ndarray) -> dict[tuple[int, int], list]:
         """{(row, item): [cosine, cover, answer found]} of a batch of hits."""
         bounds = np.searchsorted(row, np.arange(n_docs + 1))
-        kept = np.flatnonzero(self.weights[term] > 0)
         best: dict[tuple[int, int], list] = {}
-        if not len(kept):
-            return best
-        for step in np.unique(self.steps).tolist():
-            for rows, firsts, items, cosines in self.candidates(step, row[kept], place[kept], term[kept]):
+        for group in self.groups:
+            step = group[0]
+            for rows, firsts, items, cosines in self.candidates(group, row, place, term):
                 for r, first, item, cosine in zip(rows.tolist(), firsts.tolist(), items.tolist(), cosines.tolist(), strict=True):
                     now = best.get((r, item))
                     if now and now[1] == 1 and now[2]:

@@ -235,6 +235,39 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontam.drop_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()) == [*range(30), 103, 104, 105]
 
 
+def rare_words_replaced(items, frequency, share=0.25):
+    """Items whose rarest words are others; the rest, in order, covers 1 - share of each at least."""
+    out = {}
+    for i, t in items.items():
+        own = t.split()
+        for n, j in enumerate(sorted(range(len(own)), key=lambda j: frequency.get(own[j].lower(), 0))[: int(share * len(own))]):
+            own[j] = f"zq{i}v{n}"
+        out[i] = " ".join(own)
+    return out
+
+
+def test_leaks_without_an_items_rarest_words(spark):
+    """A paraphrase that swaps the words with the most weight is held together by those that some 5 % of documents have."""
+    rng = random.Random(12)
+    usual, known, rare = [f"u{i}" for i in range(60)], [f"k{i}" for i in range(600)], [f"r{i}" for i in range(4000)]
+    mixed = lambda n: [rng.choice(rare if k < 0.05 else known if k < 0.3 else usual) for k in (rng.random() for _ in range(n))]
+    text = lambda n: " ".join(mixed(n))
+    items = {i: " ".join(rng.sample(rng.sample(rare, 8) + rng.sample(known, 16) + rng.sample(usual, 8), 32)) for i in range(60)}
+    texts = [text(120) for _ in range(400)]
+    frequency = {}
+    for t in texts:
+        for w in set(t.split()):
+            frequency[w] = frequency.get(w, 0) + 1
+    changed = rare_words_replaced(items, frequency)
+    rows = list(enumerate(texts)) + [(1000 + i, f"{text(60)} {t} {text(60)}") for i, t in changed.items()]
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, rows), benchmark).collect()}
+    missed = {i for i in items if (1000 + i, i) not in got}
+    assert len(missed) <= 1, missed
+    # nothing that covers too little is listed
+    assert all(r >= 1000 for r, _ in got)
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
