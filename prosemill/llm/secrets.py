@@ -6,6 +6,7 @@ characters are kept up incrementally, and with them the Shannon entropy for the
 window's character class (hex digits, letters and digits, base64 characters).
 Windows at or above their class's threshold join to spans. Candidates on the
 allow-list (words and paths, UUIDs, dates, one repeated unit) are passed over.
+Where a known shape stands in a span, what is left on either side is reported.
 """
 
 from __future__ import annotations
@@ -96,7 +97,12 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             for s, e in entropy_spans(m[0]):
                 s, e = s + m.start(), e + m.start()
-                if not any(a < e and s < b for a, b, _ in taken):
+                for a, b, _ in taken:
+                    if a < e and s < b:
+                        if s < a:
+                            found.append((s, a, 3))
+                        s = max(s, b)
+                if s < e:
                     found.append((s, e, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
