@@ -29,6 +29,8 @@ from .common import map_texts, sliced
 LETTERS = 36
 DIMENSIONS = 256
 UNDETERMINED = "und"
+#: Standard deviations of a random text's cosine, 1 / sqrt(DIMENSIONS), under which a text is like noise.
+DEVIATIONS = 4.0
 
 
 @lru_cache(1)
@@ -67,7 +69,12 @@ def trigrams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def language_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np.ndarray]:
-    """A unit vector for each language of ``docs``. Trigram counts are summed over all rows; what reaches the driver is at most LETTERS^3 counts a language."""
+    """A unit vector for each language of ``docs``."""
+    return {name: vector for name, (vector, _) in learned(docs, lang, text).items()}
+
+
+def learned(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, tuple[np.ndarray, float]]:
+    """For each language of ``docs`` a unit vector and the mean cosine of one of its trigrams with that. Trigram counts are summed over all rows; what reaches the driver is at most LETTERS^3 counts a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -89,24 +96,25 @@ def language_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -
         order = np.argsort(mine.column("gram").to_numpy())
         vector = mine.column("weight").to_numpy()[order].astype(np.float64) @ trigram_vectors()[mine.column("gram").to_numpy()[order]]
         if vector.any():
-            out[name] = vector / np.linalg.norm(vector)
+            size = float(np.linalg.norm(vector))
+            out[name] = vector / size, size / (float(mine.column("weight").to_numpy().sum()) * np.sqrt(DIMENSIONS))
     return out
 
 
-def classified(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
-    """Language and cosine of each text. A row of ``matrix`` is a language's unit vector."""
-    best, score = [], []
+def classified(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """Language, cosine and effective number of trigrams (that of equally frequent ones) of each text. A row of ``matrix`` is a language's unit vector."""
+    best, score, grams = [], [], []
     vectors = trigram_vectors()
     for x, (found, counts) in zip(texts, trigrams(texts), strict=True):
         if not names or x is None or not found.any():
-            best.append(UNDETERMINED), score.append(0.0)
+            best.append(UNDETERMINED), score.append(0.0), grams.append(0.0)
             continue
         own = counts.astype(np.float32) @ vectors[found]
         size = float(np.linalg.norm(own))
         cosines = matrix @ (own / size) if size else np.zeros(len(names))
         k = int(np.argmax(cosines))
-        best.append(names[k]), score.append(min(1.0, max(0.0, float(cosines[k]))))
-    return best, score
+        best.append(names[k]), score.append(min(1.0, max(0.0, float(cosines[k])))), grams.append(float(counts.sum()) ** 2 / float(np.dot(counts, counts)))
+    return best, score, grams
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,7 +123,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], doc_id: str = "doc
     matrix = np.stack([profiles[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        best, score = classified(part.column(1).to_pylist(), names, matrix)
+        best, score, _ = classified(part.column(1).to_pylist(), names, matrix)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), step, "doc_id long, lang_pred string, score double")
@@ -137,17 +145,28 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict(docs, profiles, doc_id, text).withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.02, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without rows whose language is undetermined or whose cosine is under ``least_score``: junk that is like no language."""
-    profiles = language_profiles(docs.where(~held_out(doc_id)), lang, text)
+def like_noise(name: str, score: float, grams: float, typical: float, deviations: float = DEVIATIONS) -> bool:
+    """Whether a text has no language, or a cosine as random text has although text of its length would stand clear of that.
+
+    n trigrams of a language whose single trigrams have the mean cosine c come
+    to sqrt(n) c / sqrt(1 + n c^2). Shorter texts cannot be told from noise and pass.
+    """
+    bound = deviations / np.sqrt(DIMENSIONS)
+    return name == UNDETERMINED or score < bound and np.sqrt(grams) * typical / np.sqrt(1 + grams * typical**2) >= 2 * bound
+
+
+def keep_identified(docs: DataFrame, deviations: float = DEVIATIONS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without rows whose language is undetermined or that are like noise: junk that is like no language."""
+    profiles = learned(docs.where(~held_out(doc_id)), lang, text)
     names = sorted(profiles)
-    matrix = np.stack([profiles[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
+    matrix = np.stack([profiles[n][0] for n in names]) if names else np.zeros((0, DIMENSIONS))
+    typical = min((c for _, c in profiles.values()), default=0.0)
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, at):
-                _, score = classified(part.column(at).to_pylist(), names, matrix)
-                yield part.filter(pa.array(np.array(score) >= least_score))
+                found = zip(*classified(part.column(at).to_pylist(), names, matrix), strict=True)
+                yield part.filter(pa.array([not like_noise(*x, typical, deviations) for x in found], pa.bool_()))
 
     return docs.select(*columns).mapInArrow(run, docs.schema)

@@ -219,6 +219,20 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identify(frame.where("lang is null")).collect()} == {"und"}
 
 
+def test_junk_is_like_no_language(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(31)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрстуфхцчшыэюя", "".join(map(chr, range(0x4E00, 0x5200)))]
+    junk = [(10**6 + 100 * k + i, make(letters, rng.randint(20, 300))) for k, letters in enumerate(kinds) for i in range(50)]
+    short = [(2 * 10**6, "Avec."), (2 * 10**6 + 1, "The end"), (2 * 10**6 + 2, "und")]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in junk + short], frame.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    kept = {r.doc_id for r in langid.keep_identified(frame.select(more.columns).unionByName(more)).select("doc_id").collect()}
+    left = [sum(10**6 + 100 * k <= i < 10**6 + 100 * k + 50 for i in kept) for k in range(4)]
+    assert max(left) <= 2, left
+    assert {i for i, _ in short} <= kept and sum(i < 10**6 for i in kept) >= 0.99 * frame.count()
+
+
 def test_shards(spark):
     rng = random.Random(6)
     rows = [(i, "x y" * rng.randrange(60)) for i in range(300)] + [(1000 + i, "hot text") for i in range(400)] + [(5000, None), (5001, "é"), (5001, "é")]
