@@ -418,6 +418,23 @@ def extract_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
 
 
+@query()
+def extract_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editable pieces of Markdown of every document, whatever markup its own text has; SQL covers those of ``extract_markdown``."""
+    files = _markdown(spark, sf_dir)
+    rows = extract.markdown_segments(files, "doc_id").groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"))
+    return files.select("doc_id").join(rows, "doc_id", "left").na.fill(0, ["segments", "headings"])
+
+
+@query()
+def extract_comments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of every document as source, quotes and block comments in it included; SQL covers those of ``extract_comments``."""
+    docs = table(spark, sf_dir, "documents")
+    source = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('s = "// no"; // '), x)), "\n")
+    rows = extract.code_segments(docs.select("doc_id", source.alias("text")), "doc_id", "java")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+
+
 @query()
 def prepare_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of long texts; null ends for a text that cannot be split."""

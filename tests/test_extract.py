@@ -92,3 +92,15 @@ def test_parts_make_up_the_text(text):
     if ends is not None:
         parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         assert "".join(parts) == text and all(len(p.encode("utf-16-le")) <= 20 for p in parts)
+
+
+def test_whole_tables_are_extracted(spark, tmp_path):
+    """Documents with markup and quotes of their own are extracted too; counts are made by hand."""
+    from prosemill.plans import catalogue
+
+    texts = {1: "plain words\nmore", 2: "a *b* [c](http://x.y) `no`", 3: "one & two\nR&amp;D here", 4: 'say "this" here', 5: "don't\nstop", 6: "x /* y\nz"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.segments, r.headings) for r in catalogue.QUERIES["extract_markdown_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: (7, 1), 2: (8, 1), 3: (6, 1), 4: (6, 1), 5: (7, 1), 6: (8, 1)}
+    got = {r.doc_id: (r.segments, r.bytes) for r in catalogue.QUERIES["extract_comments_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts) and got[1] == (2, 15) and got[4] == (1, 15) and got[5] == (2, 9)
