@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
+#: The tree of turns without conv_id; no conversation may have it as its id.
+NO_ID = -(1 << 63)
 _ESCAPE = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
 _PLAIN = {v: k for k, v in _ESCAPE.items()}
 _TURN = re.compile(r"<s>(?:\[INST\]([^<\[]*)\[/INST\]|\[ROLE\]([^<\[]*)\[/ROLE\]([^<\[]*)</s>|([^<\[]*)</s>)")
@@ -75,22 +77,32 @@ def branches(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, back): each leaf's ancestors and itself, back steps above it.
 
     messages: (tree, node, parent). A parent that isn't there makes a root. The
-    pairs (tree, node) are distinct; cycles have no leaf and give no path.
+    pairs (tree, node) are distinct and not null. A leaf whose ancestors run
+    into a cycle reaches no root and gives no path, and a cycle has no leaf. A
+    round's rows are written once; the rounds end as no path has more steps
+    than its tree has messages.
     """
     there = messages.select("tree", F.col("node").alias("parent"))
     up = messages.select("tree", "node", "parent").join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above"))
-    jump = stored(up, "chat-above")
+    above = jump = stored(up, "chat-above")
     leaves = messages.join(jump.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    paths = stored(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "chat-paths")
-    span = 1
+    sizes = messages.groupBy("tree").agg(F.count("*").alias("n"))
+    paths = stored(leaves.join(sizes, "tree").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"), "n"), "chat-paths")
+    span, cut = 1, False
     while True:
-        more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("back") + span).alias("back"))
-        if more.limit(1).count() == 0:
-            return paths
-        paths = stored(paths.unionByName(more), "chat-paths")
+        more = stored(paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("back") + span).alias("back"), "n"), "chat-paths")
+        found = more.agg(F.count_if(F.col("back") < F.col("n")).alias("kept"), F.count_if(F.col("back") >= F.col("n")).alias("cut")).first()
+        cut = cut or found.cut > 0
+        if not found.kept:
+            break
+        paths = paths.unionByName(more.where(F.col("back") < F.col("n")))
         far = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("farther"))
         jump = stored(jump.join(far, ["tree", "above"]).select("tree", "node", F.col("farther").alias("above")), "chat-above")
         span *= 2
+    if cut:
+        rooted = paths.join(above.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "leaf")
+        paths = paths.join(rooted, ["tree", "leaf"], "left_semi")
+    return paths.select("tree", "leaf", "node", "back")
 
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -99,8 +111,11 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     messages: (tree long, node long, parent long, role, text, score double).
     Null roles and texts are empty ones. Branches are ranked by mean score,
     null as 0, then the longer one, then the lesser leaf. All messages of a
-    path meet in one row, its conversation.
+    path meet in one row, its conversation; a very long text only makes that row
+    long. A tree without a leaf that reaches a root gives no row, and so do rows
+    with a null tree or node, which nothing can reply to. Other columns are not read.
     """
+    messages = messages.where("tree is not null and node is not null")
     paths = branches(messages)
     told = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     scored = paths.join(told.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
@@ -120,14 +135,18 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
 
 
 def from_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Messages of linear conversations: each row replies to the row before it, by turn, then role and text. Rows without conv_id go: they belong to no conversation."""
+    """Messages of linear conversations: each row replies to the row before it, by turn, then role and text.
+
+    Rows without conv_id are one conversation, of the tree ``NO_ID``. Repeated
+    rows are turns each. Other columns are not read.
+    """
     order = Window.partitionBy("tree").orderBy(F.col(turn), F.col(role), F.col(text))
-    rows = conversations.select(F.col(conv_id).cast("long").alias("tree"), F.col(turn), F.col(role), F.col(text)).where("tree is not null")
+    rows = conversations.select(F.coalesce(F.col(conv_id).cast("long"), F.lit(NO_ID)).alias("tree"), F.col(turn), F.col(role), F.col(text))
     return rows.select("tree", F.row_number().over(order).cast("long").alias("node"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit(0.0).alias("score")).withColumn("parent", F.col("node") - 1)
 
 
 def digests(formatted_trees: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the conversations."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the conversations; conv_id is null for ``NO_ID``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,4 +160,4 @@ def digests(formatted_trees: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted_trees.select("tree", "conversation", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted_trees.select(F.nullif("tree", F.lit(NO_ID)).alias("tree"), "conversation", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -70,8 +70,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece.encode_decode(docs, tokenizer_file("piece_bpe_32k.model"))
-    return coded.select("doc_id", *piece.digests(coded))
+    return piece.encode_decode_sums(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES = {
@@ -94,7 +93,7 @@ _URL_SQL = r"""with u as (select page_id, case when contains(url, '://') then re
   g as (select page_id, x from s, (values ('%#%.exe'), ('%#%.zip'), ('%#%/login%'), ('%#%/cart/%'), ('%#%/wp-admin/%'), ('%#%?%sessionid=%'), ('%#%?%utm\_source=%'), ('%.onion#%'), ('%xn--%#%'), ('%#%/../%')) t(x) where host || '#' || path || query like x escape '\'),
   w as (select page_id, arg_max(replace(replace(replace(x, '\_', '_'), '?', '\?'), '%', '*'), length(replace(replace(x, '\_', '_'), '?', '\?')) * 1000000 - ascii(x)) as glob_ from g group by 1)
   select page_id, host, path, rule, coalesce(v, case when w.glob_ is null then 'allow' else 'block' end) as verdict, case when rule is null then w.glob_ end as glob from s left join b using (page_id) left join w using (page_id)"""
-_CHAT_SQL = r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+_CHAT_SQL = r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
   e as (select *, length(text) + length(text) - length(replace(replace(replace(text, '<', ''), '[', ''), '\', '')) as body, length(role) + length(role) - length(replace(replace(replace(role, '<', ''), '[', ''), '\', '')) as head from c)
   select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(body + case role when 'user' then 16 when 'assistant' then 7 else 20 + head end)::bigint as formatted_chars from e group by 1"""
