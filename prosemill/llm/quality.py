@@ -9,6 +9,8 @@ least one half.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, stored
 
-#: Share of good documents on which a rule may be taken to vote bad.
-MOST_FALSE = 0.001
+#: Pseudo-documents of the priors: bad and good votes of a rule on bad and on good documents.
+PRIOR = np.array([[1.0, 1.0], [1.0, 99.0]])
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,8 +35,12 @@ RULES = [
     ("variety", "n_distinct < 0.15 * n_words", "n_distinct >= 0.3 * n_words"),
     ("sentences", "n_stops = 0 or n_words > 80 * n_stops or n_words < 1.5 * n_stops", "n_words between 3 * n_stops and 40 * n_stops"),
     ("capitals", "n_capitals > 0.3 * word_chars", "n_capitals <= 0.1 * word_chars"),
+    ("symbol_words", "n_symbol_words > 0.05 * n_words", "n_symbol_words <= 0.01 * n_words"),
+    ("symbol_ends", "n_symbol_ends > 0.05 * n_words", "n_symbol_ends <= 0.01 * n_words"),
 ]
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct", "n_stops", "n_capitals"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_distinct", "n_stops", "n_capitals", "n_symbol_words", "n_symbol_ends"]
+_SYMBOL_WORD = re.compile(r"[^\x20\x09-\x0D#*$%&|<>]*[#*$%&|<>][^\x20\x09-\x0D]*")
+_SYMBOL_END = re.compile(r"[#*$%&|<>](?![^\x20\x09-\x0D])")
 
 
 def repeated_words(numbers: np.ndarray, width: int = 3) -> int:
@@ -60,15 +66,17 @@ def measure(text: str | None) -> tuple[int, ...]:
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
-        return (0, 0, sum(text.count(c) for c in _SYMBOLS), 0, 0, 0, 0, 0, 0, 0)
+        return (0,) * len(MEASURES)
     numbering: dict[bytes, int] = {}
     numbers = np.array([numbering.setdefault(w, len(numbering)) for w in words], dtype=np.int64)
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
     chars = len(text) - sum(text.count(c) for c in _SPACES)
-    letters = chars - sum(text.count(c) for c in "0123456789.,;:!?'\"()-_/=@+~^`{}[]\\" + _SYMBOLS)
+    symbols = sum(text.count(c) for c in _SYMBOLS)
+    letters = chars - symbols - sum(text.count(c) for c in "0123456789.,;:!?'\"()-_/=@+~^`{}[]\\")
     return (
-        len(words), chars, sum(text.count(c) for c in _SYMBOLS), len(lines) - len(set(lines)), repeated_words(numbers),
+        len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(numbers),
         len(lines), letters, len(numbering), sum(text.count(c) for c in ".!?"), len(data) - len(data.translate(None, _CAPITALS)),
+        len(_SYMBOL_WORD.findall(text)) if symbols else 0, len(_SYMBOL_END.findall(text)) if symbols else 0,
     )
 
 
@@ -91,20 +99,19 @@ def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 30
     rates[c, j] is the share of class c (0 bad, 1 good) on which rule j votes
     bad where it votes: one minus its accuracy on good documents, its accuracy
     on bad ones. Abstaining says nothing. It starts from documents without any
-    bad vote being good, and a rule is taken to vote bad on at most
-    ``MOST_FALSE`` of good documents and on no fewer of bad ones, which keeps
-    the classes from changing places or merging.
+    bad vote being good; the priors weigh as much as a hundred documents. A rule
+    votes bad on no fewer of bad documents than of good ones, which keeps the
+    classes from changing places; a rule that errs alike on both counts for nothing.
     """
     votes = np.stack([patterns // 3**i % 3 for i in range(n_rules)], axis=1) if n_rules else np.zeros((len(patterns), 0), int)
     bad, good = (votes == 1).astype(float), (votes == 2).astype(float)
     posterior = np.where((votes == 1).any(axis=1), 0.05, 0.95)
-    rates, share = np.full((2, n_rules), MOST_FALSE), 0.8
+    rates, share = np.full((2, n_rules), 0.5), 0.8
     for _ in range(rounds):
         weight = np.stack([counts * (1 - posterior), counts * posterior])
-        rates = (weight @ bad + 0.5) / (weight @ (bad + good) + 1)
-        rates[1] = np.minimum(rates[1], MOST_FALSE)
-        rates[0] = np.clip(rates[0], MOST_FALSE, 0.98)
-        share = float(np.clip((weight[1].sum() + 8) / (counts.sum() + 10), 0.05, 0.95))
+        rates = (weight @ bad + PRIOR[:, :1]) / (weight @ (bad + good) + PRIOR.sum(axis=1, keepdims=True))
+        rates[0] = np.maximum(rates[0], rates[1])
+        share = float((weight[1].sum() + 8) / (counts.sum() + 10))
         score = np.log(share / (1 - share)) + bad @ np.log(rates[1] / rates[0]) + good @ np.log((1 - rates[1]) / (1 - rates[0]))
         new = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
         settled = len(new) == 0 or np.abs(new - posterior).max() < 1e-9
@@ -117,9 +124,10 @@ def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 30
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=tuple(RULES), least: float = 0.5) -> DataFrame:
     """(doc_id, measures, votes, posterior, good), a row for each row of docs.
 
-    Null and empty texts have zero measures and are voted on like others.
-    Repeated rows count each. A table without rows gives none. Other columns
-    are not read.
+    Null and empty texts, and such without a word, have zero measures and are
+    voted on like others. A very long text takes one row's work, in proportion
+    to its length. Repeated rows count each. A posterior of exactly ``least`` is
+    good. A table without rows gives none. Other columns are not read.
     """
     measured = stored(measures(docs, doc_id, text).withColumn("votes", vote_pattern(rules)), "quality-measures")
     seen = measured.groupBy("votes").count().toArrow()
