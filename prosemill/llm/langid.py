@@ -1,15 +1,16 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter class has a random vector of +1 and -1. A trigram's vector binds
-(multiplies) the vectors of its letters, permuted (rotated) by place: two
-places for the first letter, one for the second, none for the third. A text
-bundles (adds) its trigrams' vectors, a language bundles those of its training
-texts, each text with weight one, and a text goes to the language whose vector
-has the largest cosine with its own.
-
-Bundles are linear in trigram counts, so tasks count trigrams and vectors are
-made once for each language and text. Letters are folded to ``LETTERS`` classes by
-a hash where they are outside the Latin ones, so all tables have a fixed size.
+Each letter has a random vector of +1 and -1, drawn by a hash of its code point
+in lower case, so letters of every script have their own; what is no letter is
+a gap between words. A trigram's vector binds (multiplies) the vectors of its
+letters, permuted (rotated) by place: two places for the first letter, one for
+the second, none for the third. A text bundles (adds) its trigrams' vectors, a
+language bundles those of its training texts, each text with weight one, and a
+text goes to the language whose vector has the largest cosine with its own.
+
+Bundles of training texts are sums of whole numbers, so they don't depend on
+the order of tasks; a task holds one vector for each language and the vectors
+of the letters it met.
 """
 
 from __future__ import annotations
@@ -19,53 +20,93 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, sliced
+from .common import map_texts, mix64, sliced
 
-#: Letter classes: the gap between words, 26 plain letters, and hashed ones.
-LETTERS = 36
-DIMENSIONS = 256
+#: A multiple of 64.
+DIMENSIONS = 384
 UNDETERMINED = "und"
 #: Standard deviations of a random text's cosine, 1 / sqrt(DIMENSIONS), under which a text is like noise.
 DEVIATIONS = 4.0
+#: Parts of one in which sums of training texts are counted.
+PARTS = 1e6
+#: Texts that are bundled together, trigrams that are bound at once, and how many cells of their table one trigram is worth.
+TOGETHER, BOUND, APART = 256, 1 << 13, 40
 
 
 @lru_cache(1)
-def letter_classes() -> np.ndarray:
-    """The class of each code point below 0x110000: 0 for what is no letter."""
-    table = np.zeros(0x110000, dtype=np.uint8)
+def letters() -> np.ndarray:
+    """The lower-case code point of each letter below 0x110000, 0 for what is no letter."""
+    table = np.zeros(0x110000, dtype=np.int64)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
-            low = ch.lower()[:1]
-            table[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 7) % (LETTERS - 27)
+            table[c] = ord(ch.lower()[:1])
     return table
 
 
-@lru_cache(2)
-def trigram_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
-    letters = np.random.default_rng(20).integers(0, 2, (LETTERS, dimensions)).astype(np.int8) * 2 - 1
-    a, b = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (a[:, None, None, :] * b[None, :, None, :] * letters[None, None, :, :]).reshape(LETTERS**3, dimensions).astype(np.float32)
-
-
-def trigrams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, its distinct trigrams of letters and word gaps with their counts."""
-    classes, out = letter_classes(), []
-    for x in texts:
-        codes = classes[np.frombuffer(f" {x or ''} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))].astype(np.int64)
-        grams = (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
-        if len(grams) > 2_000:
-            counts = np.bincount(grams, minlength=LETTERS**3)
-            found = np.flatnonzero(counts)
-            out.append((found, counts[found]))
-        else:
-            out.append(np.unique(grams, return_counts=True))
-    return out
+class LetterVectors:
+    """The vectors of code points, made when they are first met."""
+
+    def __init__(self, dimensions: int = DIMENSIONS):
+        self.dimensions = dimensions
+        self.row = np.full(0x110000, -1, dtype=np.int32)
+        self.rotated = [np.zeros((0, dimensions), dtype=np.int8) for _ in range(3)]
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        new = np.unique(codes[self.row[codes] < 0])
+        if len(new):
+            words = mix64((new.astype(np.uint64)[:, None] << np.uint64(16)) + np.arange(1, self.dimensions // 64 + 1, dtype=np.uint64)[None, :])
+            bits = np.unpackbits(np.ascontiguousarray(words.astype("<u8")).view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+            self.row[new] = np.arange(len(new)) + len(self.rotated[0])
+            self.rotated = [np.concatenate((have, np.roll(bits, turn, axis=1))) for have, turn in zip(self.rotated, (2, 1, 0), strict=True)]
+        return self.row[codes]
+
+    def bound(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of trigrams, +1 and -1."""
+        rows = [self.rows(grams >> shift & 0x1FFFFF) for shift in (42, 21, 0)]
+        first, second, third = (table[r] for table, r in zip(self.rotated, rows, strict=True))
+        first *= second
+        first *= third
+        return first
+
+    def bundles(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each text's trigrams and counts, the sum of their vectors. A trigram that many texts have is bound once for all of them."""
+        out = np.zeros((len(found), self.dimensions), dtype=np.float32)
+        sizes = np.array([len(g) for g, _ in found], dtype=np.int64)
+        if not sizes.sum():
+            return out
+        every, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+        if len(every) * len(found) > APART * len(place):  # texts with few trigrams in common
+            for i, (grams, counts) in enumerate(found):
+                for at in range(0, len(grams), BOUND):
+                    out[i] += counts[at : at + BOUND].astype(np.float32) @ self.bound(grams[at : at + BOUND]).astype(np.float32)
+            return out
+        text = np.repeat(np.arange(len(found)), sizes)
+        counts = np.concatenate([c for _, c in found]).astype(np.float32)
+        for at in range(0, len(every), BOUND):
+            mine = (place >= at) & (place < at + BOUND)
+            table = np.zeros((len(found), min(BOUND, len(every) - at)), dtype=np.float32)
+            table[text[mine], place[mine] - at] = counts[mine]
+            out += table @ self.bound(every[at : at + BOUND]).astype(np.float32)
+        return out
+
+
+@lru_cache(1)
+def letter_vectors() -> LetterVectors:
+    """One table for each Python worker."""
+    return LetterVectors()
+
+
+def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of letters and word gaps of a text, 21 bits for each place, with their counts; none without letters."""
+    codes = letters()[np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+    if len(codes) < 3:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
 
 
 def language_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np.ndarray]:
@@ -74,46 +115,53 @@ def language_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -
 
 
 def learned(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, tuple[np.ndarray, float]]:
-    """For each language of ``docs`` a unit vector and the mean cosine of one of its trigrams with that. Trigram counts are summed over all rows; what reaches the driver is at most LETTERS^3 counts a language."""
+    """For each language of ``docs`` a unit vector and the mean cosine of one of its trigrams with that. All rows are bundled; what reaches the driver is one vector a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        table = letter_vectors()
         for batch in batches:
-            for name, (found, counts) in zip(batch.column(0).to_pylist(), trigrams(batch.column(1).to_pylist()), strict=True):
-                if len(found):
-                    mine = sums.setdefault(name, np.zeros(LETTERS**3))
-                    mine[found] += counts / np.sqrt(np.dot(counts, counts))
+            for part in sliced(batch, 1):
+                by_name: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    grams, counts = trigrams(text)
+                    if len(grams):
+                        by_name.setdefault(name, []).append((grams, np.rint(counts * (PARTS / np.sqrt(np.dot(counts, counts))))))
+                for name, found in by_name.items():
+                    mine = sums.setdefault(name, np.zeros(DIMENSIONS + 1))
+                    grams, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+                    weights = np.bincount(place, np.concatenate([w for _, w in found]))
+                    for at in range(0, len(grams), BOUND):
+                        mine[:-1] += weights[at : at + BOUND] @ table.bound(grams[at : at + BOUND]).astype(np.float64)
+                    mine[-1] += weights.sum()
         for name, mine in sums.items():
-            found = np.flatnonzero(mine)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(np.rint(mine[found] * 1e6).astype(np.int64))], names=["lang", "gram", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine), pa.string()), pa.array(np.arange(len(mine), dtype=np.int32)), pa.array(mine.astype(np.int64))], names=["lang", "place", "weight"])
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    # whole millionths, so that the sums don't depend on the order of tasks
-    sums = rows.mapInArrow(run, "lang string, gram int, weight long").groupBy("lang", "gram").agg(F.sum("weight").alias("weight")).toArrow()
+    sums = rows.mapInArrow(run, "lang string, place int, weight long").groupBy("lang", "place").agg(F.sum("weight").alias("weight")).toPandas()
     out = {}
-    for name in sorted(set(sums.column("lang").to_pylist())):
-        mine = sums.filter(pc.equal(sums.column("lang"), name))
-        order = np.argsort(mine.column("gram").to_numpy())
-        vector = mine.column("weight").to_numpy()[order].astype(np.float64) @ trigram_vectors()[mine.column("gram").to_numpy()[order]]
-        if vector.any():
-            size = float(np.linalg.norm(vector))
-            out[name] = vector / size, size / (float(mine.column("weight").to_numpy().sum()) * np.sqrt(DIMENSIONS))
+    for name, mine in sorted(sums.groupby("lang"), key=lambda x: x[0]):
+        weights = mine.sort_values("place").weight.to_numpy().astype(np.float64)
+        size = float(np.linalg.norm(weights[:-1]))
+        if size:
+            out[name] = weights[:-1] / size, size / (weights[-1] * np.sqrt(DIMENSIONS))
     return out
 
 
 def classified(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float], list[float]]:
     """Language, cosine and effective number of trigrams (that of equally frequent ones) of each text. A row of ``matrix`` is a language's unit vector."""
     best, score, grams = [], [], []
-    vectors = trigram_vectors()
-    for x, (found, counts) in zip(texts, trigrams(texts), strict=True):
-        if not names or x is None or not found.any():
-            best.append(UNDETERMINED), score.append(0.0), grams.append(0.0)
-            continue
-        own = counts.astype(np.float32) @ vectors[found]
-        size = float(np.linalg.norm(own))
-        cosines = matrix @ (own / size) if size else np.zeros(len(names))
-        k = int(np.argmax(cosines))
-        best.append(names[k]), score.append(min(1.0, max(0.0, float(cosines[k])))), grams.append(float(counts.sum()) ** 2 / float(np.dot(counts, counts)))
+    for at in range(0, len(texts), TOGETHER):
+        found = [trigrams(x) if names else trigrams(None) for x in texts[at : at + TOGETHER]]
+        own = letter_vectors().bundles(found)
+        sizes = np.linalg.norm(own, axis=1)
+        cosines = own @ matrix.T / np.maximum(sizes, 1e-12)[:, None] if names else np.zeros((len(found), 1))
+        for (_, counts), size, row in zip(found, sizes, cosines, strict=True):
+            if not len(counts):
+                best.append(UNDETERMINED), score.append(0.0), grams.append(0.0)
+                continue
+            k = int(np.argmax(row)) if size else 0
+            best.append(names[k]), score.append(min(1.0, max(0.0, float(row[k])))), grams.append(float(counts.sum()) ** 2 / float(np.dot(counts, counts)))
     return best, score, grams
 
 
@@ -139,7 +187,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     Only text and lang are learned from, and only text is an input of a
     prediction. Without labelled rows every prediction is ``und``. Repeated
-    rows get the same prediction; other columns are not read.
+    rows get the same prediction, null and empty texts and such without letters
+    ``und``; very long texts are read whole. Other columns are not read.
     """
     profiles = language_profiles(docs.where(~held_out(doc_id)), lang, text)
     return predict(docs, profiles, doc_id, text).withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "lang_pred", "score")
