@@ -6,7 +6,8 @@ characters are kept up incrementally, and with them the Shannon entropy for the
 window's character class (hex digits, letters and digits, base64 characters).
 Windows at or above their class's threshold join to spans. Candidates on the
 allow-list (words and paths, UUIDs, dates, one repeated unit) are passed over.
-Where a known shape stands in a span, what is left on either side is reported.
+Spans are reported as the windows give them, beside the known shapes and over
+them: where both stand, the windows tell how far the random part reaches.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 MIN_CANDIDATE = 20
 #: Bits of a window's characters from which it counts as random, by class.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.65, "base64": 3.8}
+THRESHOLDS = {"hex": 2.9, "alnum": 3.5, "base64": 3.65}
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
 ALLOWED = [
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE),
     re.compile(r"[A-Za-z]+"),  # letters alone: words of any length
     re.compile(r"[0-9_/=+-]+"),  # numbers, dates, rules
-    re.compile(r"(?:[A-Za-z]+|[0-9]{1,8})(?:[/_+=-]+(?:[A-Za-z]+|[0-9]{1,8}))*[/_+=-]*"),  # paths and names of plain parts
+    re.compile(r"[/_+=-]*(?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,8})(?:[/_+=-]+(?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,8}))*[/_+=-]*"),  # paths and names of plain parts
     re.compile(r"(.{1,12}?)\1+"),  # one repeated unit
 ]
 _HEX, _ALNUM = frozenset("0123456789abcdefABCDEF"), frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -91,27 +92,19 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     if b"x" * MIN_CANDIDATE in data:  # an access key and a hex run are such runs too
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
         found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-        taken = sorted(found)
         for m in CANDIDATE.finditer(text):
-            if any(a.fullmatch(m[0]) for a in ALLOWED):
-                continue
-            for s, e in entropy_spans(m[0]):
-                s, e = s + m.start(), e + m.start()
-                for a, b, _ in taken:
-                    if a < e and s < b:
-                        if s < a:
-                            found.append((s, a, 3))
-                        s = max(s, b)
-                if s < e:
-                    found.append((s, e, 3))
+            if not any(a.fullmatch(m[0]) for a in ALLOWED):
+                found += [(m.start() + s, m.start() + e, 3) for s, e in entropy_spans(m[0])]
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<start, end, kind>>), a row for each row of docs.
 
-    Offsets are code points, ends exclusive. Null and empty texts have no
-    spans; repeated rows are scanned each; other columns are not read.
+    Offsets are code points, ends exclusive. Spans of different kinds may
+    overlap; those of one start are in the order of KINDS. Null and empty texts
+    have no spans; very long texts are scanned whole, in proportion to their
+    length; repeated rows are scanned each; other columns are not read.
     """
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 
