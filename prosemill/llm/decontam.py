@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the texts notes where words of the benchmark stand. Items are
-   taken ``ITEMS_AT_ONCE`` at a time, so what is sent to tasks has a fixed bound.
+1. One pass over the texts notes where words of the benchmark stand, and counts
+   in how many documents each does. Other words are in no common subsequence
+   with an item. Items are taken ``ITEMS_AT_ONCE`` at a time, so what is sent to
+   tasks has a fixed bound.
 2. Document frequencies of those words over all documents give weights.
 3. Passages, the weighted words of 32-word pieces of all documents and the
    items themselves, form a TF-IDF matrix A of which a distributed randomised
-   SVD takes the leading right singular vectors: tasks sum A'A times a random
-   block, an orthonormal basis of that goes round once more, and the driver
-   decomposes what is left, a square of the block's width.
+   SVD takes the leading right singular vectors in one pass: tasks sum A'A
+   times an orthonormal random block, and the driver takes the vectors of the
+   matrix of the block's rank that gives the same product (Nystroem).
 4. Overlapping windows of each document and the items are compared by cosine
    in that space.
    Before that, pairs go that cannot pass the check: the words that a window
@@ -21,22 +23,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import free_name, sliced, stored
 
-ITEMS_AT_ONCE = 20_000
-WORDS_AT_ONCE = 400_000
+ITEMS_AT_ONCE = 8_192
+WORDS_AT_ONCE = 160_000
 RANK, OVERSAMPLE = 96, 16
 PIECE = 32
 #: A word in more than this share of documents has weight only for items with few rarer words.
 COMMON, ENOUGH = 0.1, 4
 #: Items that windows are compared with at once; bounds the tables of a task.
 GROUP = 256
+#: Terms whose sums one group adds up.
+SUMMED = 16
 
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -84,19 +89,33 @@ def item_batches(benchmark: DataFrame, item_id: str, text: str, answer: str | No
 
 
 def word_hits(docs: DataFrame, doc_id: str, text: str, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(doc_id, places, terms): where the vocabulary's words stand, packed; texts without any give no row."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    """(doc_id, places, terms): where the vocabulary's words stand, packed; texts without any give no row.
 
-    def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        get, rows, places, terms = held.value.get, [], [], []
-        for i, x in enumerate(part.column(1).to_pylist()):
-            found = np.array([get(w, -1) for w in words_of(x)], dtype=np.int32)
-            at = np.flatnonzero(found >= 0)
-            if len(at):
-                rows.append(i), places.append(at.astype("<i4").tobytes()), terms.append(found[at].astype("<i4").tobytes())
-        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(places, pa.binary()), pa.array(terms, pa.binary())], names=["doc_id", "places", "terms"])
+    A row without doc_id stands at the end of each task: terms, and in how many of its documents they are.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    n = len(vocabulary)
 
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"), step, "doc_id long, places binary, terms binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, sums = held.value.get, np.zeros(n, dtype=np.int64)
+        packed = lambda x: x.astype("<i4").tobytes()
+        for batch in batches:
+            for part in sliced(batch, 1):
+                rows, places, terms, distinct = [], [], [], []
+                for i, x in enumerate(part.column(1).to_pylist()):
+                    words = words_of(x)
+                    found = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                    at = np.flatnonzero(found >= 0)
+                    if len(at):
+                        own = found[at]
+                        rows.append(i), places.append(packed(at)), terms.append(packed(own)), distinct.append(np.unique(own))
+                if rows:
+                    sums += np.bincount(np.concatenate(distinct), minlength=n)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(places, pa.binary()), pa.array(terms, pa.binary())], names=["doc_id", "places", "terms"])
+        met = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([packed(met)], pa.binary()), pa.array([packed(sums[met])], pa.binary())], names=["doc_id", "places", "terms"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, places binary, terms binary")
 
 
 def _hits(batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,18 +125,15 @@ def _hits(batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray, np.ndarr
     return ids, np.repeat(np.arange(len(ids)), counts), np.frombuffer(b"".join(places), "<i4").astype(np.int64), np.frombuffer(b"".join(terms), "<i4").astype(np.int64)
 
 
-def document_frequencies(hits: DataFrame, n: int) -> np.ndarray:
-    """In how many documents each of n terms occurs; the driver gets n numbers."""
+def document_frequencies(counts: DataFrame, n: int) -> np.ndarray:
+    """In how many documents each of n terms occurs, from the rows of word_hits without doc_id; the driver gets n numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(n, dtype=np.int64)
         for batch in batches:
-            _, row, _, term = _hits(batch)
-            sums += np.bincount(np.unique(row * n + term) % n, minlength=n)
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["term", "docs"])
+            _, _, term, docs = _hits(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(docs)], names=["term", "docs"])
 
-    sums = hits.mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()
+    sums = counts.mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()
     out = np.zeros(n, dtype=np.int64)
     out[sums.column("term").to_numpy()] = sums.column("docs").to_numpy()
     return out
@@ -177,10 +193,15 @@ def gram_times(hits: DataFrame, items: Items, weights: np.ndarray, block: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([sums[i].tobytes() for i in found], pa.binary())], names=["term", "row"])
 
     def total(rows: pa.Table) -> pa.Table:
+        term = rows.column("term").to_numpy()
         data = np.frombuffer(b"".join(rows.column("row").to_pylist()), dtype=np.float32).reshape(-1, width)
-        return pa.Table.from_arrays([rows.column("term").slice(0, 1), pa.array([data.astype(np.float64).sum(axis=0).astype(np.float32).tobytes()], pa.binary())], names=["term", "row"])
+        order = np.argsort(term, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
+        summed = np.add.reduceat(data[order].astype(np.float64), starts, axis=0).astype(np.float32)
+        return pa.Table.from_arrays([pa.array(term[order][starts]), pa.array([x.tobytes() for x in summed], pa.binary())], names=["term", "row"])
 
-    summed = hits.mapInArrow(run, "term long, row binary").groupBy("term").applyInArrow(total, "term long, row binary").toArrow()
+    rows = hits.mapInArrow(run, "term long, row binary")
+    summed = rows.groupBy(F.floor(F.col("term") / SUMMED)).applyInArrow(total, "term long, row binary").toArrow()
     out, met = np.zeros((n, width), dtype=np.float32), np.zeros(n, dtype=bool)
     if summed.num_rows:
         out[summed.column("term").to_numpy()] = np.frombuffer(b"".join(summed.column("row").to_pylist()), dtype=np.float32).reshape(-1, width)
@@ -202,12 +223,16 @@ def latent_basis(hits: DataFrame, items: Items, weights: np.ndarray, rank: int,
     """
     balance = max(1.0, 3 * total / len(items.ids))
     width = min(rank + OVERSAMPLE, len(weights))
-    block = np.random.default_rng(7).standard_normal((len(weights), width))
-    basis, _ = np.linalg.qr(gram_times(hits, items, weights, block, balance).astype(np.float64))
-    inner = basis.T @ gram_times(hits, items, weights, basis, balance).astype(np.float64)
+    block, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((len(weights), width)))
+    product = gram_times(hits, items, weights, block, balance).astype(np.float64)
+    inner = block.T @ product
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    kept = values > 1e-7 * max(1e-12, values.max())
+    root = product @ (turn[:, kept] / np.sqrt(values[kept]))  # root times its transpose gives the product
+    values, turn = np.linalg.eigh(root.T @ root)
     lead = np.argsort(values)[::-1][:rank]
-    return (basis @ turn[:, lead]).astype(np.float32), np.sqrt(np.maximum(values[lead], 0))
+    lead = lead[values[lead] > 0]
+    return (root @ (turn[:, lead] / np.sqrt(values[lead]))).astype(np.float32), np.sqrt(values[lead])
 
 
 def common_subsequence(masks: dict[int, int], length: int, sequence: list[int]) -> int:
@@ -241,8 +266,9 @@ def find_leaks(
     out = None
     total = docs.count()
     for items in item_batches(benchmark, item_id, item_text, answer):
-        hits = stored(word_hits(docs, doc_id, text, items.vocabulary), "leaks-hits")
-        weights = term_weights(items, document_frequencies(hits, len(items.vocabulary)), total)
+        noted = stored(word_hits(docs, doc_id, text, items.vocabulary), "leaks-hits")
+        hits = noted.where("doc_id is not null")
+        weights = term_weights(items, document_frequencies(noted.where("doc_id is null"), len(items.vocabulary)), total)
         basis, _ = latent_basis(hits, items, weights, rank, total)
         found = matches(hits, items, weights, basis, least_cosine, least_cover, answer_cover)
         out = found if out is None else out.unionByName(found)
@@ -385,7 +411,10 @@ def matches(hits: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
     return hits.mapInArrow(run, "doc_id long, item_id long, cosine double, cover double, answer_found boolean")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **parameters) -> DataFrame:
-    """``docs`` without the documents in which an item is found."""
-    found = find_leaks(docs, benchmark, doc_id, **parameters).select(F.col("doc_id").alias("leaking_doc")).distinct()
-    return docs.join(found, docs[doc_id] == F.col("leaking_doc"), "left_anti").select(*docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """``docs`` without the rows in which an item is found. Rows of one doc_id with other texts stay, and so do null ids and texts."""
+    row, leaking = free_name(docs, "row_key"), free_name(docs, "leaking_row")
+    # rows of one doc_id and one text are alike, so their hash tells which go, whatever order tasks see them in
+    keyed = docs.withColumn(row, F.when(F.col(doc_id).isNotNull() & F.col(text).isNotNull(), F.xxhash64(doc_id, text)))
+    found = find_leaks(keyed, benchmark, row, text, **parameters).select(F.col("doc_id").alias(leaking)).distinct()
+    return keyed.join(found, F.col(row) == F.col(leaking), "left_anti").select(*docs.columns)

@@ -431,3 +431,53 @@ def test_agreement_with_labels(spark):
     found = queries.op3_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
     n, right = found.count(), found.where("cast(kept as int) = quality").count()
     assert n > 200 and right >= 0.98 * n
+
+
+def brute_leaks(rows, items, least=0.7, with_answer=0.5):
+    """Pairs whose common subsequence within a stretch of the document covers enough of the item, by trying every stretch."""
+    out = set()
+    for d, t in rows:
+        w = decontam.words_of(t)
+        for i, x in items:
+            own = decontam.words_of(x)
+            n = len(own)
+            if not n:
+                continue
+            masks = {}
+            for j, y in enumerate(own):
+                masks[y] = masks.get(y, 0) | 1 << j
+            answer = own[-max(3, n // 4) :]
+            span = 5 * max(4, 1 << (n - 1).bit_length()) // 4
+            for at in range(0, max(1, len(w) - n + 1)):
+                part = w[at : at + span]
+                cover = decontam.common_subsequence(masks, n, part) / n
+                if cover >= least or cover >= with_answer and any(part[k : k + len(answer)] == answer for k in range(len(part))):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_paraphrases_without_a_common_4_gram(spark):
+    """Every fourth word is another one, so no four words in a row are an item's; all pairs of a scan are found, and none that covers less."""
+    items = [(i, " ".join(words(32, 3000 + i))) for i in range(25)]
+    rows = [(i, " ".join(words(200, i))) for i in range(60)]
+    for i, t in items:
+        own = t.split()
+        own[3::4] = [f"new{i}x{k}" for k in range(len(own[3::4]))]
+        rows.append((1000 + i, " ".join(words(70, 500 + i) + own + words(50, 800 + i))))
+        own = t.split()
+        own[::2] = [f"odd{i}x{k}" for k in range(len(own[::2]))]
+        rows.append((2000 + i, " ".join(words(70, 600 + i) + own + words(50, 900 + i))))
+    want = brute_leaks(rows, items)
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1000 + i, i) for i, _ in items} <= want and len(got & want) >= 0.98 * len(want) and not any(d >= 2000 for d, _ in got - want)
+
+
+def test_leaks_of_rows_with_one_id_and_of_empty_tables(spark):
+    items = [(1, " ".join(words(30, 1)))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(7, items[0][1]), (7, "clean " + " ".join(words(40, 2))), (7, items[0][1]), (8, "x " * 300_000 + items[0][1]), (None, items[0][1]), (9, None)]
+    frame = docs(spark, rows).withColumnRenamed("set_key", "leaking_doc")
+    left = decontam.drop_leaks(frame, benchmark)
+    assert left.columns == frame.columns and sorted(((r.doc_id, (r.text or "")[:5]) for r in left.collect()), key=str) == sorted([(7, "clean"), (None, rows[0][1][:5]), (9, "")], key=str)
+    assert decontam.find_leaks(docs(spark, rows).limit(0), benchmark).count() == 0 and decontam.drop_leaks(frame, benchmark.limit(0)).count() == len(rows)
