@@ -6,13 +6,16 @@ position; the last token is the one that is compatible with the last token of
 the prefix before it, where two tokens are compatible if encoding their
 concatenation gives back just these two. The ids are then read off backwards.
 
-No piece has a word mark after another character, so no merge crosses from a
-word into the mark of the next one: texts are cut there, and the table is
-built once for each distinct unit that a task meets (bounded cache).
+No merge crosses two neighbouring characters that no piece has side by side.
+Texts are cut there, and before a word mark that follows another character, and
+the table is built once for each distinct unit that a task meets. Units are
+kept in two generations: when the young one is full it becomes the old one, and
+what is met again moves up, so usual words stay and memory is bounded.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,8 +30,10 @@ from pyspark.sql import types as T
 from .common import SLICE_BYTES, sliced
 
 MARK = "▁"
-#: Units kept by a task, and the longest unit that is kept.
-CACHED_UNITS, CACHED_CHARS = 300_000, 64
+#: Units in a generation of a task's cache, and the longest unit that is kept.
+CACHED_UNITS, CACHED_CHARS = 250_000, 64
+#: What a normaliser may change: ligatures, widths, accents, spaces, controls.
+_PROBES = (" ﬁ  a ", "Ａ①½", "e\u0301 é", "a\u00a0b\u3000c\u200bd", "x\ty\r\nz", "\ufeffq\x00\x7f")
 
 
 class PrefixTable:
@@ -51,14 +56,19 @@ class PrefixTable:
         self.silent = {i for i in range(n) if sp.is_control(i)}
         if any(i == self.unknown for i in self.byte_ids) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the model has no byte fallback, or pieces that hold a mark after other characters")
-        if sp.encode("ﬁ a  b") != sp.encode("ﬁ a  b", out_type=int) or sp.decode(sp.encode(" ﬁ  a ")) != " ﬁ  a ":
+        if any(sp.normalize(p) != MARK + p.replace(" ", MARK) for p in _PROBES):
             raise ValueError("the model's normaliser changes texts")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.compatible: dict[int, bool] = {}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.spoken = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.decimal = [b"%d " % i for i in range(n)]
+        self.packed = [i.to_bytes(4, "little") for i in range(n)]
+        self.cut = self.cutter()
         self.alone = [not special[i] and self.merged(p) == [p] for i, p in enumerate(self.pieces)]
 
     def spelled(self, token: int) -> str:
@@ -86,25 +96,25 @@ class PrefixTable:
 
     def last_tokens(self, unit: str) -> list[int]:
         """The table: the last token of the first i characters, for each i from 1; -1 stands for none."""
-        last = [-1] * (len(unit) + 1)
-        known, done, beyond = self.compatible, 0, len(self.pieces)
-        for end, (length, token) in self.automaton.iter(unit):  # by end, the longest piece first
-            end += 1
-            if last[end] >= 0:
+        beyond, known, alone = len(self.pieces), self.compatible, self.alone
+        # a character stands for itself until a piece is found to end with it
+        last = [-1, *[beyond + ord(c) for c in unit]]
+        closed = 0
+        for end, found in self.automaton.iter(unit):  # by end, the longest piece first
+            if end < closed:
                 continue
-            while done < end - 1:
-                done += 1
-                if last[done] < 0:
-                    last[done] = beyond + ord(unit[done - 1])
-            start = end - length
+            length, token = found
+            start = end + 1 - length
             if start:
-                before = last[start]
-                ok = known.get(before << 32 | token)
-                if ok or ok is None and self.fits(before, token):
-                    last[end] = token
-            elif self.alone[token]:
-                last[end] = token
-        return [t if t >= 0 else beyond + ord(unit[i - 1]) if i else t for i, t in enumerate(last)]
+                ok = known.get(last[start] << 32 | token)
+                if ok is None:
+                    ok = self.fits(last[start], token)
+            else:
+                ok = alone[token]
+            if ok:
+                closed = end + 1
+                last[closed] = token
+        return last
 
     def encode_unit(self, unit: str) -> list[int]:
         last, pieces, out = self.last_tokens(unit), self.pieces, []
@@ -119,16 +129,67 @@ class PrefixTable:
                 at -= 1
         return out[::-1]
 
+    def cutter(self) -> re.Pattern:
+        """Matches the units of a text with marks: runs of characters that pieces link, with the marks before them, others one by one.
+
+        Characters are linked that stand side by side in some piece, marks left
+        out. Between two that aren't, not even through others, no piece can reach.
+        """
+        group = {c: c for p in self.ids if len(p) > 1 for c in p if c != MARK}
+
+        def root(c: str) -> str:
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
+
+        for p in self.ids:
+            own = p.lstrip(MARK)
+            for x, y in zip(own, own[1:]):
+                group[root(x)] = root(y)
+        linked: dict[str, list[str]] = {}
+        for c in sorted(group):
+            linked.setdefault(root(c), []).append(c)
+        runs = [f"{MARK}*[{''.join(re.escape(c) for c in chars)}]+" for chars in sorted(linked.values(), key=len, reverse=True)]
+        return re.compile("|".join([*runs, f"{MARK}+", "."]), re.DOTALL)
+
     def units(self, text: str) -> list[str]:
-        """The text with marks for spaces, cut before each mark that follows another character."""
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK)) if text else []
+        """The text with marks for spaces, cut where no piece reaches across."""
+        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def coded(self, unit: str) -> tuple[bytes, bytes, bytes]:
+        """(ids as 4 bytes each, ids in decimal with a space after each, decoded bytes) of a unit that the young generation lacks."""
+        found = self.old.get(unit)
+        if found is None:
+            ids = self.encode_unit(unit)
+            found = b"".join([self.packed[i] for i in ids]), b"".join([self.decimal[i] for i in ids]), self.decode_bytes(ids)
+        if len(unit) <= CACHED_CHARS:
+            if len(self.young) >= CACHED_UNITS:
+                self.old, self.young = self.young, {}
+            self.young[unit] = found
+        return found
+
+    def coded_texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        """Of each text what ``coded`` gives of a unit, with the end id, and without the mark before the text."""
+        end = self.packed[self.end_id], self.decimal[self.end_id][:-1]
+        for x in texts:
+            if not x:
+                yield *end, b""
+                continue
+            units = self.units(x)
+            parts = list(map(self.young.get, units))
+            if None in parts:
+                parts = [p or self.young.get(u) or self.coded(u) for u, p in zip(units, parts, strict=True)]
+            ids, decimal, back = zip(*parts, strict=True)
+            plain = b"".join(back)
+            yield b"".join(ids) + end[0], b"".join(decimal) + end[1], plain[1:] if plain[:1] == b" " else plain
 
     def encode(self, text: str) -> list[int]:
         return [i for u in self.units(text) for i in self.encode_unit(u)] + [self.end_id]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """Bytes of the ids, marks as spaces, the mark before the text still there."""
-        return b"".join(b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(MARK, " ").encode() for i in ids)
+        return b"".join([self.spoken[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids. The first space of a text that starts with a mark is left out."""
@@ -154,44 +215,46 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", ids: str
 
     ``model_file`` is a path that every worker can open. A null or empty text
     gives the end id alone and decodes to the empty text. Other columns pass
-    through; rows are neither dropped nor merged. Clashing names raise.
+    through; rows are neither dropped nor merged, repeated ones are coded each.
+    Very long texts are coded unit by unit; what they need beside themselves is
+    their ids. Clashing names raise.
     """
-    if {ids.lower(), decoded.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has a column {ids} or {decoded}")
+    return _appended(docs, model_file, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())], _outputs)
+
+
+def encode_decode_sums(docs: DataFrame, model_file: str, text: str = "text", n_tokens: str = "n_tokens", ids_sha256: str = "ids_sha256", decoded_sha256: str = "decoded_sha256") -> DataFrame:
+    """As ``encode_decode``, but with the number of ids, the digest of the ids in decimal with a space between, and that of the decoded text."""
+    return _appended(docs, model_file, text, [T.StructField(n_tokens, T.LongType()), T.StructField(ids_sha256, T.StringType()), T.StructField(decoded_sha256, T.StringType())], _sums)
+
+
+def _outputs(coded: list[tuple[bytes, bytes, bytes]]) -> list[pa.Array]:
+    ends = np.cumsum([len(c[0]) // 4 for c in coded])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join([c[0] for c in coded]), dtype="<i4")))
+    return [lists, pa.array([c[2].decode(errors="replace") for c in coded], pa.string())]
+
+
+def _sums(coded: list[tuple[bytes, bytes, bytes]]) -> list[pa.Array]:
+    return [pa.array([len(c[0]) // 4 for c in coded], pa.int64()), *(pa.array([hashlib.sha256(c[k]).hexdigest() for c in coded], pa.string()) for k in (1, 2))]
+
+
+def _appended(docs: DataFrame, model_file: str, text: str, fields: list[T.StructField], outputs) -> DataFrame:
+    if {f.name.lower() for f in fields} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs already has one of the columns {', '.join(f.name for f in fields)}")
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
+    schema = T.StructType([*docs.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_table(model_file)
-        known = t.known
-
-        def unit(u: str) -> tuple[bytes, bytes]:
-            if len(known) >= CACHED_UNITS:
-                known.clear()
-            found = t.encode_unit(u)
-            pair = np.array(found, dtype="<i4").tobytes(), t.decode_bytes(found)
-            if len(u) <= CACHED_CHARS:
-                known[u] = pair
-            return pair
-
-        end = np.array([t.end_id], dtype="<i4").tobytes()
         for batch in batches:
             for part in sliced(batch, at, SLICE_BYTES):
-                coded, plain = [], []
-                for x in part.column(at).to_pylist():
-                    pairs = [known.get(u) or unit(u) for u in t.units(x or "")]
-                    coded.append(b"".join([p[0] for p in pairs]) + end)
-                    back = b"".join([p[1] for p in pairs])
-                    plain.append(back[1:] if back[:1] == b" " else back)
-                ends = np.cumsum([len(x) // 4 for x in coded])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(plain, pa.binary()).cast(pa.string())], names=schema.names)
+                coded = list(t.coded_texts(part.column(at).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *outputs(coded)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, ids: str = "piece_ids", decoded: str = "decoded") -> list:
-    """Columns that sum an encoding up: number of ids, digest of the ids, digest of the decoded text."""
+def digests(ids: str = "piece_ids", decoded: str = "decoded") -> list:
+    """Columns that sum an encoding up, as ``encode_decode_sums`` has them."""
     return [
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256).alias("ids_sha256"),
