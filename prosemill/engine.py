@@ -2,105 +2,151 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import extract, policy, rollups, screen, validation
+from .functions.globs import patterns
+from .operators import extraction, policy, protocol, rollups, screen, validation
+from .operators.lineage import checkpointed
 from .sources import apply, config, tree
 
 MOST_SEGMENTS = 10_000
 
 
 class Engine:
-    """Files are read once; everything else is a plan over them. close() frees what is kept."""
+    """Files are read once; everything else is a plan over them. What several steps read is checkpointed."""
 
     def __init__(self, spark: SparkSession, root: str, overrides: dict | None = None, config_name: str = ".prose.json", prefix: str = "prose"):
         self.spark, self.root, self.prefix = spark, root, prefix
         self.preferences = config.load(root, overrides or {}, config_name)
         p = self.preferences
-        rows = tree.read_tree(spark, root, tuple(policy.MANDATORY_DIRECTORIES))
-        named = F.when(F.col("path_type") == "file", policy.scan_code("path", list(p.include), list(p.exclude), p.include_hidden))
-        coded = rows.withColumn("code", F.coalesce(named, F.col("code"), policy.content_code("content")))
+        self.policy_digest = protocol.policy_digest(root, dataclasses.asdict(p))
+        # excluded and hidden folders are not entered; a link or folder with a name of the policy gets the policy's code
+        rows = tree.read_tree(spark, root, tuple(policy.MANDATORY_DIRECTORIES), not p.include_hidden, tuple(patterns(list(p.exclude))))
+        named = policy.path_code("path", list(p.exclude), p.include_hidden)
+        kind = F.when(named.isNotNull(), "unknown").otherwise(F.col("path_type"))
+        coded = rows.withColumn("code", F.coalesce(named, F.col("code"), F.when(F.col("path_type") == "file", policy.scan_code("path", list(p.include), list(p.exclude), p.include_hidden)), policy.content_code("content"))).withColumn("path_type", kind)
         files = coded.withColumns({
             "state": policy.state("code"), "format": policy.file_format("path"), "id": T.file_id("path"), "sha256": F.sha2("content", 256), "text": F.when(F.col("code").isNull(), F.col("content").cast("string")),
         })
         # all later steps see the contents of one scan
-        self.files = files.drop("content").persist()
-        self._segments: DataFrame | None = None
+        self.files = checkpointed(files.drop("content"))
+        self._found: extraction.Extraction | None = None
+        self._ready: DataFrame | None = None
 
     def _eligible(self) -> DataFrame:
         return self.files.where("state = 'eligible'").select("path", "format", "text", "sha256", "id")
 
+    def _formats(self, files: DataFrame) -> list[str]:
+        return [r.format for r in files.select("format").distinct().collect()]  # eight at most
+
+    def extraction(self) -> extraction.Extraction:
+        if self._found is None:
+            files = self._eligible()
+            self._found = extraction.extracted(files, self._formats(files), self.preferences.glossary, self.prefix)
+        return self._found
+
+    def prepared(self) -> DataFrame:
+        """(path, segment, part, line, start_byte, end_byte, text, ranges, code): segments, long ones in parts; oversized_segment for one that cannot be cut."""
+        if self._ready is None:
+            found = self.extraction()
+            rows = found.segments.join(found.generated, "path", "left_anti")
+            self._ready = checkpointed(extraction.prepared(rows))
+        return self._ready
+
     def segments(self) -> DataFrame:
-        """(path, segment, line, start_byte, end_byte, text, ranges, context): the prose that may be edited."""
-        if self._segments is not None:
-            return self._segments
-        files = self._eligible()
-        present = {r.format for r in files.select("format").distinct().collect()}  # eight at most
-        found = [extract.markdown_segments(files.where("format = 'markdown'"), "path", prefix=self.prefix).select("path", "line", "start_byte", "end_byte", "text")]
-        for language in sorted(present - {"markdown"}):
-            found.append(extract.code_segments(files.where(F.col("format") == language), "path", language, prefix=self.prefix).select("path", "line", "start_byte", "end_byte", "text"))
-        rows = reduce(DataFrame.unionByName, found).withColumn("local", T.protected_ranges("text", glossary=self.preferences.glossary))
-        whole = F.exists("local", lambda r: (r["start_byte"] == 0) & (r["end_byte"] == F.octet_length("text")))
-        kept = rows.where(~whole).withColumn("ranges", F.transform("local", lambda r: F.struct((r["start_byte"] + F.col("start_byte")).alias("start_byte"), (r["end_byte"] + F.col("start_byte")).alias("end_byte")))).drop("local")
-        w = Window.partitionBy("path").orderBy("start_byte")
-        cut = lambda c: F.substring(c, 1, 500)
-        self._segments = kept.withColumn("segment", F.row_number().over(w).cast("long")).withColumn("context", F.array_compact(F.array(cut(F.lag("text").over(w)), cut(F.lead("text").over(w))))).persist()
-        return self._segments
+        """(path, segment, part, line, start_byte, end_byte, text, ranges, context): the prose that may be edited."""
+        return extraction.with_neighbours(self.prepared().where("code is null").drop("code"))
+
+    def diagnostics(self) -> DataFrame:
+        return self.extraction().diagnostics
+
+    def notices(self) -> DataFrame:
+        return self.extraction().notices
 
     def discover(self) -> DataFrame:
-        """(path, path_type, state, code, format, id, sha256, byte_length, eligible_segments): every path and what became of it."""
-        counts = self.segments().groupBy("path").agg(F.count("*").alias("n"))
-        joined = self.files.drop("text").join(counts, "path", "left")
-        many = F.coalesce(F.col("n") > MOST_SEGMENTS, F.lit(False))
-        coded = joined.withColumn("code", F.coalesce("code", F.when(many, "too_many_segments")))
-        return coded.select("path", "path_type", policy.state("code").alias("state"), "code", "format", "id", "sha256", "byte_length", F.when(policy.state("code") == "eligible", F.coalesce("n", F.lit(0))).alias("eligible_segments"))
+        """(path, path_type, state, code, format, id, sha256, byte_length, eligible_segments, skipped_segments, suppressed_segments): every path and what became of it."""
+        found = self.extraction()
+        counts = self.prepared().groupBy("path").agg(F.count_if(F.col("code").isNull()).alias("n"), F.count_if(F.col("code").isNotNull()).alias("skipped"))
+        broken = found.diagnostics.where("code = 'parse_error'").select("path").distinct().withColumn("broken", F.lit("parse_failed"))
+        marked = found.generated.withColumn("marked", F.lit("generated_marker"))
+        joined = self.files.drop("text").join(counts, "path", "left").join(found.suppressed.withColumnRenamed("n", "suppressed"), "path", "left").join(broken, "path", "left").join(marked, "path", "left")
+        many = F.when(F.col("n") > MOST_SEGMENTS, "too_many_segments")
+        coded = joined.withColumn("code", F.coalesce("code", "marked", "broken", many)).withColumn("state", policy.state("code"))
+        here = lambda c: F.when(F.col("state") == "eligible", F.coalesce(c, F.lit(0)))
+        return coded.select("path", "path_type", "state", "code", "format", "id", "sha256", "byte_length", here("n").alias("eligible_segments"), here("skipped").alias("skipped_segments"), here("suppressed").alias("suppressed_segments"))
 
     def summary(self) -> DataFrame:
         """One row of counts, status and reason."""
-        entries = self.discover().withColumns({"skipped_segments": F.lit(0), "suppressed_segments": F.lit(0), "all": F.lit(1)})
-        return rollups.summary(entries, ["all"]).drop("all")
+        return rollups.summary(self.discover().withColumn("all", F.lit(1)), ["all"]).drop("all")
+
+    def page(self, cursor: int = 0, policy_digest: str | None = None, scope: str | None = None, size: int = protocol.SCREEN_PAGE) -> tuple[DataFrame, int | None, str]:
+        """(eligible entries from ``cursor`` on, next cursor, digest of the scan); later pages must name the digests that they go on from."""
+        protocol.guard(cursor, policy_digest, self.policy_digest, "policy_mismatch")
+        entries = self.discover()
+        now = protocol.scope_digest(entries, self.policy_digest)
+        protocol.guard(cursor, scope, now, "scope_mismatch")
+        rows, following, _ = protocol.page(entries.where("state = 'eligible'"), cursor, size)
+        return rows, following, now
+
+    def response(self, path: str, snapshot: str | None = None) -> DataFrame:
+        """Segments, diagnostics and notices of one file; ``snapshot`` is the digest that the caller saw."""
+        one = F.col("path") == path
+        if snapshot and not self._eligible().where(one & (F.col("sha256") == snapshot)).limit(1).count():
+            raise protocol.ProtocolError("snapshot_mismatch")
+        return protocol.response(self.segments().where(one), self.diagnostics().where(one), self.notices().where(one))
 
     def screen(self, expected: DataFrame, score: Callable[[list[str]], list[float]]) -> DataFrame:
         """(path, verdict, error_probability, code) of the files (path, expected_sha256) of an earlier scan."""
         now = expected.join(self._eligible().select("path", "sha256"), "path", "left")
-        return screen.screened(now, self.segments(), "path", score)
+        return screen.screened(now, self.segments(), "path", score, order="start_byte")
 
     def validate(self, responses: DataFrame, proposals: DataFrame) -> DataFrame:
         """(path, code, accepted, candidate, before_sha256): each answered file with its first reject code, or its new content.
 
-        responses: (path, segment), one for each segment; proposals: (path, segment, proposal, original, replacement).
+        responses: (path, segment), one for each segment, parts of a long one as (path, segment, part);
+        proposals: (path, segment, proposal, original, replacement), with the part where there are parts.
+        Candidates are extracted again: counts, diagnostics and notices may not change.
         """
-        rows = self.segments()
-        answered = rows.join(responses.select("path").distinct(), "path", "left_semi")
-        files = validation.reconciled(answered, responses, "path", "segment").select("path", F.col("code").alias("file_code"))
+        ready = self.prepared().where("code is null").drop("code")
+        name = F.to_json(F.struct("segment", "part"))
+        part = lambda rows: rows if "part" in rows.columns else rows.withColumn("part", F.lit(0).cast("long"))
+        rows = ready.withColumn("name", name)
+        answers, offers = part(responses).withColumn("name", name), part(proposals).withColumn("name", name)
+        answered = rows.join(answers.select("path").distinct(), "path", "left_semi")
+        files = validation.reconciled(answered, answers, "path", "name").select("path", F.col("code").alias("file_code"))
         formats = self._eligible().select("path", "format", "text", "sha256").withColumnRenamed("text", "file_text")
-        each = proposals.join(rows.select("path", "segment", "text", "start_byte", "ranges"), ["path", "segment"]).join(formats.select("path", "format"), "path")
-        code = lambda tokens: validation.proposal_code("text", "original", "replacement", "ranges", "start_byte", tokens)
-        coded = each.withColumn("code", F.when(F.col("format") == "markdown", code(validation.MARKDOWN_TOKENS)).when(F.col("format") == "python", code(validation.PYTHON_TOKENS)).otherwise(code(validation.CODE_TOKENS)))
-        coded = coded.withColumn("begin", F.col("start_byte") + validation.edit_offset("text", "original")).withColumn("end", F.col("begin") + T.byte_length("original"))
-        first = validation.file_codes(coded, "path").withColumnRenamed("code", "proposal_code")
+        each = offers.drop("segment", "part").join(rows.select("path", "segment", "part", "name", "text", "start_byte", "ranges"), ["path", "name"]).join(formats.select("path", "format", "file_text"), "path")
+        spans = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("start_byte").alias("start_byte")))
+        code = validation.proposal_code("text", "original", "replacement", "ranges", "start_byte", validation.tokens_of("format"))
+        coded = each.withColumn("code", F.coalesce(code, validation.mapping_code("text", "original", spans, "file_text")))
+        begin = F.col("start_byte") + validation.edit_offset("text", "original")
+        coded = coded.select("path", "segment", "part", "proposal", "replacement", "code", begin.alias("begin"), (begin + T.byte_length("original")).alias("end"))
+        coded = checkpointed(coded)
+        first = validation.file_codes(coded.withColumn("segment", F.struct("segment", "part")), "path").withColumnRenamed("code", "proposal_code")
         apart = validation.overlapping(coded.where("code is null").select("path", F.col("begin").alias("start_byte"), F.col("end").alias("end_byte"), "replacement"), "path")
         edits = apart.groupBy("path").agg(F.max("overlaps").alias("overlaps"), F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "replacement"))).alias("edits"))
         joined = files.join(first, "path", "left").join(edits, "path", "left").join(formats, "path")
         none = F.expr("cast(array() as array<struct<start_byte:bigint,end_byte:bigint,replacement:string>>)")
         candidate = T.spliced("file_text", F.coalesce("edits", none))
         early = F.coalesce("file_code", "proposal_code", F.when(F.col("overlaps"), "overlapping_proposals"))
-        late = F.when(F.octet_length("candidate") > validation.MOST_CANDIDATE_BYTES, "candidate_too_large").when(F.col("candidate").cast("string").rlike("[\\r\\n]\\z") != F.col("file_text").rlike("[\\r\\n]\\z"), "file_structure_changed")
+        late = F.coalesce(F.when(F.octet_length("candidate") > validation.MOST_CANDIDATE_BYTES, "candidate_too_large"), validation.structure_code("file_text", F.col("candidate").cast("string")))
         out = joined.withColumn("early", early).withColumn("candidate", F.when(F.col("early").isNull(), candidate)).withColumn("code", F.coalesce("early", late))
-        return out.select("path", "code", F.when(F.col("code").isNull(), F.coalesce("accepted", F.lit(0))).otherwise(0).cast("long").alias("accepted"), F.when(F.col("code").isNull(), F.col("candidate")).alias("candidate"), F.col("sha256").alias("before_sha256"))
+        out = checkpointed(out.select("path", "format", "code", "accepted", "candidate", "sha256"))
+        changed = out.where("code is null").select("path", "format", F.col("candidate").cast("string").alias("text"))
+        again = extraction.extracted(changed, self._formats(changed), self.preferences.glossary, self.prefix)
+        broken = again.diagnostics.where("code = 'parse_error'").select("path").distinct().withColumn("broken", F.lit(True))
+        shapes = again.shape().withColumnRenamed("shape", "after").join(self.extraction().shape(), "path", "full_outer").where(~F.col("after").eqNullSafe(F.col("shape"))).select("path", F.lit(True).alias("differs"))
+        checked = out.join(shapes, "path", "left").join(broken, "path", "left")
+        final = F.coalesce("code", F.when(F.coalesce("broken", "differs"), "structural_invariant_failed"))
+        checked = checked.withColumn("code", final)
+        return checked.select("path", "code", F.when(F.col("code").isNull(), F.coalesce("accepted", F.lit(0))).otherwise(0).cast("long").alias("accepted"), F.when(F.col("code").isNull(), F.col("candidate")).alias("candidate"), F.col("sha256").alias("before_sha256"))
 
     def apply(self, validated: DataFrame, state: str) -> list[tuple[str, str]]:
         """Commits validated files; returns (path, new digest, ``unchanged`` or an error code)."""
         rows = validated.where("code is null").select("path", "before_sha256", "candidate", F.col("accepted").alias("proposals"))
         return apply.apply_candidates(rows, self.root, state)
-
-    def close(self) -> None:
-        self.files.unpersist()
-        if self._segments is not None:
-            self._segments.unpersist()

@@ -23,6 +23,10 @@ PROTECTED = {
 }
 
 
+#: Literals without which a family has no match: texts without any of them are not searched.
+NEEDLES = {"url": ("://",), "path": ("/",), "multipart": ("/",), "email": ("@",), "template": ("{", "%("), "placeholder": ("<",), "flag": ("--",), "package": ("@",), "call": ("()",)}
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -65,10 +69,10 @@ def edge_space(c: Column | str) -> Column:
     return F.concat(F.regexp_extract(c, f"\\A[{SPACE}]*", 0), F.lit("|"), F.regexp_extract(c, f"[{SPACE}]*\\z", 0))
 
 
-def occurrences(c: Column | str, token: str) -> Column:
-    """How often a literal occurs, without overlaps."""
-    c = col(c)
-    return ((F.length(c) - F.length(F.replace(c, F.lit(token), F.lit("")))) / len(token)).cast("long")
+def occurrences(c: Column | str, token: Column | str) -> Column:
+    """How often a literal (a string, or a column of such) occurs, without overlaps."""
+    c, token = col(c), token if isinstance(token, Column) else F.lit(token)
+    return ((F.length(c) - F.length(F.replace(c, token, F.lit("")))) / F.length(token)).cast("long")
 
 
 def found_once(c: Column | str, part: Column | str) -> Column:
@@ -99,9 +103,45 @@ def match_ranges(c: Column | str, pattern: str) -> Column:
 
 def protected_ranges(c: Column | str, families=tuple(PROTECTED), glossary: tuple[str, ...] = ()) -> Column:
     """All protected ranges of a text, sorted by start and end, each once; glossary terms are literals."""
-    patterns = [PROTECTED[f] for f in families] + ["".join("\\" + ch if not ch.isalnum() and ch.isascii() else ch for ch in term) for term in glossary]
-    return F.array_sort(F.array_distinct(F.concat(*[match_ranges(c, p) for p in patterns])))
+    found = [_if_held(c, NEEDLES.get(f, ()), match_ranges(c, PROTECTED[f])) for f in families]
+    terms = ["".join("\\" + ch if not ch.isalnum() and ch.isascii() else ch for ch in term) for term in glossary]
+    found += [match_ranges(c, p) for p in terms]
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def _if_held(c: Column | str, needles: tuple[str, ...], ranges: Column) -> Column:
+    if not needles:
+        return ranges
+    held = col(c).contains(needles[0])
+    for n in needles[1:]:
+        held = held | col(c).contains(n)
+    return F.when(held, ranges).otherwise(F.expr("cast(array() as array<struct<start_byte:bigint,end_byte:bigint>>)"))
+
+
+def span_of(source_map: Column | str, start: Column | str, end: Column | str) -> Column:
+    """The first span (start, end, start_byte) of a segment's map that holds a stretch of its text, null if none does."""
+    start, end = col(start), col(end)
+    return F.get(F.filter(col(source_map), lambda m: (start >= m["start"]) & (end <= m["end"])), F.lit(0))
+
+
+def mapped_range(text: Column | str, span: Column, start: Column | str, end: Column | str) -> Column:
+    """struct<start_byte, end_byte> in the file of characters ``start`` to ``end`` of a segment, by the span that holds them."""
+    text, start, end = col(text), col(start), col(end)
+    sub = lambda a, n: byte_length(F.call_function("substring", text, (a + 1).cast("int"), n.cast("int")))
+    first = span["start_byte"] + sub(span["start"], start - span["start"])
+    return F.struct(first.alias("start_byte"), (first + sub(start, end - start)).alias("end_byte"))
+
+
+def display_position(c: Column | str, offset: Column | str) -> Column:
+    """struct<line, column>, both from 1, of a character offset; CRLF, CR and LF end lines."""
+    before = F.split(F.call_function("substring", col(c), F.lit(1), col(offset).cast("int")), "\r\n|\r|\n")
+    # an offset between CR and LF stands on the line that CR ends
+    return F.struct(F.size(before).cast("long").alias("line"), (F.length(F.element_at(before, -1)) + 1).cast("long").alias("column"))
+
 
+def utf16_order(c: Column | str) -> Column:
+    """A sort key by UTF-16 units."""
+    return F.encode(col(c), "UTF-16BE")
 
 def overlaps(ranges: Column | str, start: Column | str, end: Column | str) -> Column:
     """Whether a half-open byte range touches any of the ranges."""

@@ -1,31 +1,40 @@
-"""Prose of Markdown and source files as ordered scans over their lines.
+"""Prose of Markdown and source files, from the lines of their blocks and comments.
 
-State that runs down a file, such as fences, block comments and suppression, is
-a window over its lines; pieces of a line come from byte ranges of its markup.
+Scanners in lexer.py say where blocks and comments are. Suppression, examples
+and other state that runs down a file are windows over those lines; pieces of a
+line come from byte ranges of its markup.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import byte_length, has_letter, match_ranges
-from . import segments
+from ..functions.text import SPACE, byte_length, has_letter, match_ranges
+from . import lexer, segments
 
 # Constructs of a Markdown text that may not be edited.
 MARKDOWN_PROTECTED = "(?i)\\{#[A-Za-z][^}]*\\}|\\\\[^\\p{L}\\p{N}\\s]|&(?:#\\d+|#x[0-9a-f]+|[a-z]+);"
+_WORD_END = "(?![A-Za-z0-9_])"
 # Comment lines that belong to tools.
 PRAGMA = "(?i)^(?:eslint|prettier|istanbul|webpack|sourceMappingURL|@ts-|jshint|jslint)(?![A-Za-z0-9_])"
+# Lines that say that a file is generated.
 GENERATED_MARKERS = [
     "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?Code generated .+ DO NOT EDIT\\.[ \\t]*(?:\\*/|-->)?[ \\t]*$",
     "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?Generated by the protocol buffer compiler\\.?[ \\t]*(?:\\*/|-->)?[ \\t]*$",
     "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?@generated(?![A-Za-z0-9_]).*?(?:-->)?[ \\t]*$",
     "(?i)<auto-generated\\s*/?\\s*>",
 ]
+GO_LINE = f"\\A(?:go:|\\+build{_WORD_END}|#cgo{_WORD_END}|#[{SPACE}]|\\[.+\\]\\z)"
+SCRIPT_DOC = f"\\A@[A-Za-z]+{_WORD_END}|\\{{@[A-Za-z]+{_WORD_END}|```"
+JAVA_DOC = f"\\{{@(?:code|literal|link|linkplain|value|docRoot|inheritDoc|index|summary|systemProperty|snippet){_WORD_END}|\\A@(?:param|return|throws|exception|see|since|author|version|deprecated|serial|hidden|uses|provides){_WORD_END}"
+RUST_DOC = f"\\A#(?:[{SPACE}]|\\z)|`|\\[[^\\]]+\\]\\([^)]*\\)|<[^>]+>"
+DOC_CONSTRUCT = f"(?m)@(?:example|snippet){_WORD_END}|```|^\\s*#(?:\\s|$)|</?(?:pre|code|snippet){_WORD_END}|^//(?: {{5,}}|\\t)"
 #: Inline markup of a Markdown line: code spans, targets of links, tags, images' openings and emphasis marks.
 _INLINE = "`+[^`]*`+|\\]\\([^)]*\\)|!?\\[|\\]|<[^>]*>|\\*+|~~|\\|"
 _BLOCK_START = "\\A[ \\t]*(?:>[ \\t]?)*(?:#{1,6}[ \\t]+|[-*+][ \\t]+|\\d+[.)][ \\t]+)?"
@@ -37,22 +46,13 @@ def _directive(body: Column, prefix: str, opening: str, closing: str) -> Column:
     return F.when(kind == "disable-next-line", "next").when(kind != "", kind)
 
 
-def _in_front_matter(w) -> Column:
-    """Whether a line stands in front matter: from --- on line 1 to the next --- or ..., both included, if there is one."""
-    opens = F.max(F.when((F.col("line") == 1) & (F.col("body") == "---"), 1)).over(w)
-    end = F.min(F.when((F.col("line") > 1) & F.col("body").isin("---", "..."), F.col("line"))).over(w)
-    return F.coalesce((opens == 1) & (F.col("line") <= end), F.lit(False))
-
-
 def markdown_lines(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
-    """Lines of Markdown with in_front, in_fence, heading, is_html, disabled and protected."""
-    rows = segments.lines(files, key, text).withColumn("body", F.rtrim(F.col("body"), F.lit("\r")))
-    rows = rows.withColumn("in_front", _in_front_matter(Window.partitionBy(key)))
-    fence = F.col("body").rlike("\\A {0,3}(?:```|~~~)") & ~F.col("in_front")
-    rows = segments.fenced(rows, key, "line", fence)
-    rows = segments.suppressed(rows, key, F.when(~F.col("in_fence") & ~F.col("in_front"), _directive(F.col("body"), prefix, "<!--", "-->")))
+    """Lines of Markdown with their block's kind, heading, is_html (a comment of its own), disabled and protected."""
+    rows = lexer.markdown_blocks(files, key, text)
+    comment = F.col("body").rlike("\\A\\s*<!--.*-->\\s*\\z")
+    rows = segments.suppressed(rows, key, F.when(F.col("kind") == "html", _directive(F.col("body"), prefix, "<!--", "-->")))
     return rows.withColumns({
-        "heading": F.col("body").rlike("\\A {0,3}#{1,6}[ \\t]"), "is_html": F.col("body").rlike("\\A\\s*<!--.*-->\\s*\\z"), "protected": F.col("body").rlike(MARKDOWN_PROTECTED),
+        "heading": (F.col("kind") == "text") & F.col("body").rlike("\\A {0,3}#{1,6}[ \\t]"), "is_html": (F.col("kind") == "html") & comment, "protected": F.col("body").rlike(MARKDOWN_PROTECTED),
     })
 
 
@@ -75,7 +75,7 @@ def pieces(body: Column, markup: str, lead: str) -> Column:
 
 def markdown_segments(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
     """(key, segment, line, start_byte, end_byte, text, heading): editable pieces with their bytes in the file."""
-    rows = markdown_lines(files, key, text, prefix).where("not in_front and not in_fence and not is_html and not disabled and not protected")
+    rows = markdown_lines(files, key, text, prefix).where("kind = 'text' and not disabled and not protected")
     each = rows.select(key, "line", "heading", F.col("start_byte").alias("base"), F.explode(pieces(F.col("body"), _INLINE, _BLOCK_START)).alias("p"))
     placed = each.select(key, "line", (F.col("base") + F.col("p.start_byte")).alias("start_byte"), (F.col("base") + F.col("p.end_byte")).alias("end_byte"), F.col("p.text").alias("text"), "heading")
     return placed.withColumn("segment", F.row_number().over(Window.partitionBy(key).orderBy("start_byte")).cast("long")).select(key, "segment", "line", "start_byte", "end_byte", "text", "heading")
@@ -84,59 +84,138 @@ def markdown_segments(files: DataFrame, key: str, text: str = "text", prefix: st
 def markdown_diagnostics(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
     """(key, line, code) of front matter, protected constructs and unpaired directives."""
     rows = markdown_lines(files, key, text, prefix)
-    front = rows.where("line = 1 and in_front").select(key, "line", F.lit("protected_frontmatter").alias("code"))
-    kept = rows.where("not in_front and not disabled and (protected or is_html or in_fence)").select(key, "line", F.lit("protected_markdown_construct").alias("code"))
+    front = rows.where("line = 1 and kind = 'front'").select(key, "line", F.lit("protected_frontmatter").alias("code"))
+    kept = rows.where("kind <> 'front' and not disabled and (protected or kind <> 'text') and trim(body) <> ''").select(key, "line", F.lit("protected_markdown_construct").alias("code"))
     return front.unionByName(kept).unionByName(segments.directive_diagnostics(rows, key))
 
 
-def code_lines(files: DataFrame, key: str, language: str, text: str = "text") -> DataFrame:
-    """(key, line, start_byte, body, comment, at, doc): the comment of each line, if it has one, and where in the line it begins.
+def markdown_suppressed(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
+    """(key, suppressed, skipped): pieces that directives take out, and lines that are protected, by file."""
+    rows = markdown_lines(files, key, text, prefix).where("kind = 'text'").withColumn("n", F.size(pieces(F.col("body"), _INLINE, _BLOCK_START)))
+    return rows.groupBy(key).agg(F.sum(F.when(F.col("disabled"), F.col("n")).otherwise(0)).cast("long").alias("suppressed"), F.count_if(~F.col("disabled") & F.col("protected") & (F.col("n") > 0)).alias("skipped"))
+
 
-    Strings are blanked first, so comment marks inside them don't count; a
-    block comment's state is the last opening or closing on the lines before.
+def code_lines(files: DataFrame, key: str, language: str, text: str = "text", prefix: str = "prose") -> DataFrame:
+    """Lines of comments and docstrings with what becomes of them, one row each.
+
+    Adds to the lexer's rows: ``inner``, the text without comment marks, its
+    ``start`` and ``end`` bytes, ``doc``, ``directive``, ``disabled`` and
+    ``outcome``: segment, suppressed, protected_comment_construct,
+    protected_java_unicode_escape, empty (nothing to edit), passed (left out as a
+    whole: Java's ///, comments before import "C", code in comments), or the
+    lexer's parse_error and unsafe_docstring.
     """
-    rows = segments.lines(files, key, text).withColumn("body", F.rtrim(F.col("body"), F.lit("\r")))
-    mark = "#" if language == "python" else "//"
-    found = F.regexp_extract_all("body", F.lit("\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'"), F.lit(0))
-    blank = F.aggregate(found, F.col("body"), lambda acc, s: F.replace(acc, s, F.repeat(F.lit("_"), F.length(s))))
-    rows = rows.withColumn("blank", blank)
+    rows = lexer.comment_lines(files, key, language, text)
+    docstring, first = F.col("kind") == "docstring", F.col("part") == 0
+    opening = f"\\A[{SPACE}]*(?://[/]?!?|/\\*+!?|#)[{SPACE}]?"
+    head = F.when(docstring, F.regexp_extract("raw", f"\\A[{SPACE}]*", 0)).when(first, F.regexp_extract("raw", opening, 0)).otherwise(F.regexp_extract("raw", f"\\A[{SPACE}]*\\*?[{SPACE}]?", 0))
+    rows = rows.withColumn("head", head)
+    rest = F.substring("raw", F.length("head") + 1, F.length("raw"))
+    body = F.when(docstring, rest).otherwise(F.when(F.col("last"), F.regexp_replace(rest, f"[{SPACE}]*\\*/\\z", "")).otherwise(rest))
+    rows = rows.withColumn("body", body)
+    left = F.when(docstring, F.col("body")).otherwise(F.regexp_replace("body", "\\A[ \\t]+", ""))
+    rows = rows.withColumn("start", F.col("start_byte") + byte_length("head") + byte_length("body") - byte_length(left)).withColumn("inner", F.when(docstring, left).otherwise(F.regexp_replace(left, "[ \\t]+\\z", "")))
+    rows = rows.withColumn("end", F.col("start") + byte_length("inner"))
+    marked = {"rust": "\\A(?:///|//!|/\\*\\*|/\\*!)", "java": "\\A/\\*\\*", "javascript": "\\A/\\*\\*", "typescript": "\\A/\\*\\*", "tsx": "\\A/\\*\\*"}.get(language)
+    of_comment = Window.partitionBy(key, "comment")
+    doc = F.when(docstring, True).otherwise(F.coalesce(F.max(F.when(first, F.col("whole").rlike(marked))).over(of_comment), F.lit(False)) if marked else F.lit(False))
+    rows = rows.withColumn("doc", doc).withColumn("trimmed", F.regexp_replace("inner", f"\\A[{SPACE}]+|[{SPACE}]+\\z", ""))
+    # directives are whole comments
+    plain = F.regexp_replace(F.regexp_replace("whole", "\\A/[/!*]+|\\A#+|\\*+/\\z", ""), f"(?m)^[{SPACE}]*\\* ?", "")
+    kind = F.when((F.col("kind") == "comment") & first, _directive(plain, prefix, "", ""))
+    rows = _suppressed_lines(rows.withColumn("directive", kind), key)
+    tag = F.when(F.col("doc") & ~docstring, F.regexp_extract("trimmed", f"\\A@([A-Za-z]+){_WORD_END}", 1))
+    example = F.coalesce(F.last(F.when(tag != "", tag), ignorenulls=True).over(of_comment.orderBy("part")).isin("example", "snippet"), F.lit(False))
+    passed = example
+    if language == "go":
+        passed = passed | F.col("cgo") | F.col("raw").rlike(f"\\A[{SPACE}]*(?://|\\*)(?: {{5,}}|\\t)")
+    if language == "java":
+        passed = passed | F.coalesce(F.max(F.when(first, F.col("whole").rlike(f"\\A[{SPACE}]*///"))).over(of_comment), F.lit(False))
     if language == "python":
-        at = F.call_function("locate", F.lit(mark), F.col("blank"))
-        return rows.select(key, "line", "start_byte", "body", F.when(at > 0, F.substring("body", at, F.length("body"))).alias("comment"), F.when(at > 0, at - 1).cast("long").alias("at"), F.lit(False).alias("doc"))
-    w = Window.partitionBy(key).orderBy("line")
-    event = F.regexp_extract(F.regexp_replace("blank", "//.*", ""), "(?s).*(/\\*|\\*/)", 1)
-    rows = rows.withColumn("event", F.when(event != "", event)).withColumn("last_open", F.when(F.col("blank").contains("/*"), F.col("blank").rlike("/\\*\\*(?!/)")))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.last("event", ignorenulls=True).over(before) == "/*", F.lit(False))
-    doc_before = F.coalesce(F.last("last_open", ignorenulls=True).over(before), F.lit(False))
-    rows = rows.withColumn("inside", inside).withColumn("doc_before", doc_before)
-    slash, star = F.call_function("locate", F.lit("//"), F.col("blank")), F.call_function("locate", F.lit("/*"), F.col("blank"))
-    first = F.when(F.col("inside"), 1).when((slash > 0) & ((star == 0) | (slash < star)), slash).when(star > 0, star)
-    doc = F.when(F.col("inside"), F.col("doc_before")).otherwise(F.substring("body", first, F.lit(3)).isin("/**", "///", "//!") & (F.lit(language == "rust") | (F.substring("body", first, F.lit(3)) == "/**")))
-    closed = F.regexp_replace(F.substring("body", first, F.length("body")), "\\*/.*", "*/")
-    return rows.select(key, "line", "start_byte", "body", F.when(first.isNotNull(), closed).alias("comment"), (first - 1).cast("long").alias("at"), F.coalesce(doc, F.lit(False)).alias("doc"))
+        passed = passed | (docstring & F.col("inner").rlike("\\A(?:>>>|\\.\\.\\.)"))
+    rows = rows.withColumn("passed", passed)
+    open_line = (F.col("kind").isin("comment", "docstring")) & ~F.col("passed") & ~F.col("disabled") & (F.length("inner") > 0)
+    tool = (F.col("trimmed") == "") | F.col("trimmed").rlike("/\\*|\\*/") | F.col("trimmed").rlike(PRAGMA) | _directive(F.col("trimmed"), prefix, "", "").isNotNull()
+    kept = _protected(rows.withColumn("open_line", open_line).withColumn("tool", tool), key, language)
+    outcome = (
+        F.when(F.col("kind").isin("parse_error", "unsafe_docstring"), F.col("kind")).when(F.col("passed"), "passed").when(F.length("inner") == 0, "empty")
+        .when(F.col("disabled"), F.when(has_letter("inner"), "suppressed").otherwise("empty")).when(F.col("is_protected"), "protected_comment_construct")
+    )
+    if language == "java":
+        outcome = outcome.when(F.col("inner").rlike("(?i)\\\\u[0-9a-f]{4}"), "protected_java_unicode_escape")
+    return kept.withColumn("outcome", outcome.when(has_letter("inner"), "segment").otherwise("empty"))
+
+
+def _suppressed_lines(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``disabled``: from a disable's line to that of the next enable or the end, and the line after a next. Rows need not cover all lines."""
+    by_line = Window.partitionBy(key).orderBy("line")
+    state = F.when(F.col("directive").isin("disable", "enable"), F.struct("comment", "directive", "line"))
+    now = F.max(state).over(by_line.rangeBetween(Window.unboundedPreceding, 0))
+    before = F.max(state).over(by_line.rangeBetween(Window.unboundedPreceding, -1))
+    here = F.coalesce(F.max(F.col("directive") == "disable").over(by_line.rangeBetween(0, 0)), F.lit(False))
+    after_next = F.coalesce(F.max(F.col("directive") == "next").over(by_line.rangeBetween(-1, -1)), F.lit(False))
+    closing = (now["directive"] == "enable") & (now["line"] == F.col("line")) & (before["directive"] == "disable")
+    return rows.withColumn("disabled", F.coalesce(now["directive"] == "disable", F.lit(False)) | F.coalesce(closing, F.lit(False)) | here | after_next)
+
+
+def _protected(rows: DataFrame, key: str, language: str) -> DataFrame:
+    """Adds ``is_protected`` from ``tool`` and the rules of the language; blocks stay open over lines that may be edited otherwise."""
+    line, doc = F.col("trimmed"), F.col("doc")
+    free = F.col("open_line") & ~F.col("tool") & doc
+    so_far = Window.partitionBy(key).orderBy("start_byte", "comment")
+    if language == "go":
+        return rows.withColumn("is_protected", F.col("tool") | line.rlike(GO_LINE))
+    if language == "rust":
+        fence = free & line.startswith("```")
+        inside = (F.sum(fence.cast("int")).over(so_far) % 2) == 1
+        return rows.withColumn("is_protected", F.col("tool") | (doc & (fence | inside | line.rlike(RUST_DOC))))
+    if language == "java":
+        tagged = line.rlike(JAVA_DOC)
+        opened, closed = line.rlike(f"(?i)<(?:pre|code|snippet){_WORD_END}"), line.rlike("(?i)</(?:pre|code|snippet)>")
+        event = F.when(free & ~tagged & closed, "close").when(free & ~tagged & opened, "open")
+        before = F.last(event, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+        inside = opened | F.coalesce(before == "open", F.lit(False))
+        return rows.withColumn("is_protected", F.col("tool") | (doc & (tagged | inside | line.rlike("</?[A-Za-z][^>]*>"))))
+    if language in ("javascript", "typescript", "tsx"):
+        return rows.withColumn("is_protected", F.col("tool") | (doc & line.rlike(SCRIPT_DOC)))
+    return rows.withColumn("is_protected", F.col("tool"))
 
 
 def code_segments(files: DataFrame, key: str, language: str, text: str = "text", prefix: str = "prose") -> DataFrame:
-    """(key, segment, line, start_byte, end_byte, text, doc): one segment for each comment line that may be edited."""
-    rows = code_lines(files, key, language, text)
-    head = F.regexp_extract("comment", "\\A\\s*(?:///?!?|/\\*+!?|#+|\\*(?!/))?\\s?[ \\t]*", 0)
-    inner = F.rtrim(F.regexp_replace(F.substring("comment", F.length(head) + 1, F.length("comment")), "\\s*\\*/\\z", ""))
-    rows = rows.withColumn("inner", inner).withColumn("head", head)
-    rows = segments.suppressed(rows, key, F.when(F.col("comment").isNotNull(), _directive(F.col("inner"), prefix, "", "")))
-    w = Window.partitionBy(key).orderBy("line")
-    tag = F.when(F.col("doc"), F.regexp_extract("inner", "\\A@([A-Za-z]+)", 1))
-    example = F.coalesce(F.last(F.when(tag != "", tag), ignorenulls=True).over(w).isin("example", "snippet") & F.col("doc"), F.lit(False))
-    fences = F.sum(F.when(F.col("doc") & F.col("inner").startswith("```"), 1).otherwise(0)).over(w)
-    rows = rows.withColumn("latched", example | ((fences % 2 == 1) & F.col("doc") if language == "rust" else F.lit(False)))
-    tool = F.col("inner").rlike(PRAGMA) | F.col("inner").rlike("/\\*|\\*/") | (F.lit(language == "go") & F.col("inner").rlike("\\A(?:go:|\\+build(?![A-Za-z0-9_])|#cgo(?![A-Za-z0-9_])|#\\s|\\[.+\\]\\z)"))
-    doc_rule = {
-        "rust": "\\A```|\\A#(?:\\s|\\z)|`|\\[[^\\]]+\\]\\([^)]*\\)|<[^>]+>",
-        "java": "\\{@[A-Za-z]+|\\A@[A-Za-z]+|</?[A-Za-z][^>]*>",
-    }.get(language, "\\A@[A-Za-z]+|\\{@[A-Za-z]+|```")
-    kept = rows.where(F.col("comment").isNotNull() & F.col("directive").isNull() & ~F.col("disabled") & ~F.col("latched")).where(has_letter("inner") & ~tool & ~(F.col("doc") & F.col("inner").rlike(doc_rule)))
-    start = F.col("start_byte") + byte_length(F.substring("body", F.lit(1), F.col("at").cast("int"))) + byte_length("head")
-    return kept.select(key, "line", start.alias("start_byte"), (start + byte_length("inner")).alias("end_byte"), F.col("inner").alias("text"), "doc").withColumn("segment", F.row_number().over(Window.partitionBy(key).orderBy("start_byte")).cast("long")).select(key, "segment", "line", "start_byte", "end_byte", "text", "doc")
+    """(key, segment, line, start_byte, end_byte, text, doc): one segment for each line of a comment or docstring that may be edited."""
+    kept = code_lines(files, key, language, text, prefix).where("outcome = 'segment'")
+    placed = kept.select(key, "line", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("inner").alias("text"), "doc")
+    return placed.withColumn("segment", F.row_number().over(Window.partitionBy(key).orderBy("start_byte")).cast("long")).select(key, "segment", "line", "start_byte", "end_byte", "text", "doc")
+
+
+def code_diagnostics(rows: DataFrame, key: str, language: str) -> DataFrame:
+    """(key, line, code) from code_lines(): directives that don't pair, and constructs that are left alone."""
+    first = rows.where("part = 0 and kind = 'comment'")
+    found = [segments.directive_diagnostics(first, key), first.where(F.col("whole").rlike(DOC_CONSTRUCT)).select(key, "line", F.lit("protected_documentation_construct").alias("code"))]
+    found.append(rows.where(F.col("outcome").isin("protected_comment_construct", "protected_java_unicode_escape", "parse_error")).select(key, "line", F.col("outcome").alias("code")))
+    if language == "java":
+        found.append(first.where(F.col("whole").rlike(f"\\A[{SPACE}]*///")).select(key, "line", F.lit("unsupported_java_markdown_doc").alias("code")))
+    if language == "go":
+        found.append(first.where("cgo").select(key, "line", F.lit("protected_cgo_preamble").alias("code")))
+    if language == "python":
+        docs = rows.where("part = 0 and kind in ('docstring', 'unsafe_docstring')")
+        found.append(docs.where("kind = 'unsafe_docstring'").select(key, "line", F.lit("unsupported_python_docstring").alias("code")))
+        found.append(docs.where("kind = 'docstring'").where(F.col("whole").rlike("(?m)^[ \\t]*(?:>>>|\\.\\.\\.)")).select(key, "line", F.lit("protected_python_doctest").alias("code")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def code_notices(rows: DataFrame, key: str, language: str) -> DataFrame:
+    """(key, code), once a file: documentation that programs can see is offered for editing."""
+    name = {"python": "python_docstring_observable", "rust": "rust_documentation_observable"}.get(language)
+    return rows.where(F.lit(name is not None) & F.col("doc") & (F.col("outcome") == "segment")).select(key, F.lit(name).alias("code")).distinct()
+
+
+def markdown_notices(rows: DataFrame, key: str) -> DataFrame:
+    """(key, code), once a file: headings among the segments, whose anchors may change."""
+    return rows.where("heading").select(key, F.lit("anchor_may_change").alias("code")).distinct()
 
 
 def has_generated_marker(comment: Column) -> Column:
@@ -147,6 +226,7 @@ def has_generated_marker(comment: Column) -> Column:
     return found
 
 
+# Where a long text may be cut.
 _BOUNDARY = re.compile("[.!?][\"')\\]]*\\s+|(?:\\r?\\n|\\r(?!\\n)){2,}")
 
 
@@ -157,24 +237,23 @@ def split_ends(text: str, ranges: list[tuple[int, int]], most: int = 10_000) ->
     inside a protected byte range. Each part takes the farthest boundary within
     ``most`` UTF-16 units.
     """
-    units, data = [0], [0]
-    for c in text:
-        units.append(units[-1] + (2 if ord(c) > 0xFFFF else 1))
-        data.append(data[-1] + len(c.encode()))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    units = np.concatenate(([0], np.cumsum(1 + (codes > 0xFFFF))))
     if units[-1] <= most:
         return [len(text)]
-    bounds = [m.end() for m in _BOUNDARY.finditer(text)]
-    bounds = [e for e in bounds if not any(s < data[e] < t for s, t in ranges)]
-    out, at, k = [], 0, 0
+    bounds = np.array([m.end() for m in _BOUNDARY.finditer(text)], dtype=np.int64)
+    if ranges and len(bounds):
+        data = np.concatenate(([0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64))))[bounds]
+        starts, ends = (np.array(sorted(x), dtype=np.int64) for x in zip(*ranges, strict=True))
+        bounds = bounds[np.searchsorted(starts, data, side="left") == np.searchsorted(ends, data, side="right")]
+    reached = units[bounds]
+    out, at = [], 0
     while units[-1] - units[at] > most:
-        best = None
-        while k < len(bounds) and units[bounds[k]] - units[at] <= most:
-            best = bounds[k] if bounds[k] > at else best
-            k += 1
-        if best is None:
+        k = int(np.searchsorted(reached, units[at] + most, side="right")) - 1
+        if k < 0 or bounds[k] <= at:
             return None
-        out.append(best)
-        at = best
+        at = int(bounds[k])
+        out.append(at)
     return [*out, len(text)] if at < len(text) else out
 
 

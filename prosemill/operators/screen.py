@@ -19,6 +19,21 @@ class ScorerError(Exception):
     """A scorer's failure: missing_key, auth_failed, unreachable, unavailable or invalid_response. It fails the job."""
 
 
+#: What a scorer is asked; the state of a call is the dialect, the glossary and the prose.
+QUESTION = "How likely is it that this prose holds an error of spelling, grammar, punctuation, capitalization or usage?"
+#: A scorer's HTTP status to its error; others are invalid_response.
+ERRORS = {401: "auth_failed", 403: "auth_failed", 408: "unavailable", 429: "unavailable", 500: "unavailable", 502: "unavailable", 503: "unavailable", 504: "unavailable"}
+
+
+def scorer_state(dialect: str, glossary: tuple[str, ...], prose: str) -> dict:
+    return {"question": QUESTION, "dialect": dialect, "glossary": list(glossary), "prose": prose}
+
+
+def scorer_error(status: int | None) -> ScorerError:
+    """The error of an answer's status; None stands for no answer."""
+    return ScorerError("unreachable" if status is None else ERRORS.get(status, "invalid_response"))
+
+
 def share_of_known_errors(lexicon: frozenset[str]) -> Callable[[list[str]], list[float]]:
     """An offline scorer: the share of words found in a list of misspellings, ten times over, at most 1."""
 

