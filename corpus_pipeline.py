@@ -37,7 +37,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with their number and digests."""
     coded = piece.encode_decode(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
-    return coded.select("doc_id", "piece_ids", *piece.digests(coded))
+    return coded.select("doc_id", "piece_ids", *piece.digests())
 
 
 STAGES = [
