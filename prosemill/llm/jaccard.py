@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, map_texts, mix64, stored
+from .common import components, free_name, map_texts, mix64, stored
 from .packed import BUCKET, key_width, packed_sets, shared_hashes
 
 MOST_MATCHES = 6
@@ -87,13 +87,13 @@ def _hasher(width: int):
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key), a row for each row of docs; key is null for empty sets."""
+    """(doc_id, h, n_shingles, set_key), a row for each row of docs; h is a hash of the text, the key is null for empty sets."""
 
     def step(part: pa.RecordBatch, shingler=Shingler(width)) -> pa.RecordBatch:
-        sets = [shingler.hashes(x) for x in part.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key"])
+        sets = [shingler.hashes(x) for x in part.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "h", "n_shingles", "set_key"])
 
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), step, "doc_id long, n_shingles long, set_key binary")
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")), step, "doc_id long, h long, n_shingles long, set_key binary")
 
 
 def prefix_choice(n: int, freqs: np.ndarray, percent: int) -> tuple[int, int]:
@@ -203,26 +203,35 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     ``set_id`` is the least doc_id with an equal set; ``component_id`` the least
     doc_id reachable by links. Texts of fewer than ``width`` words are one
-    shingle, their whole sequence. Null or empty texts link with nothing: both
-    ids are their own doc_id. Repeated rows stay, each with its class; a null
-    doc_id takes no part in naming and gets the name of its class. Tables
-    without rows give none. Other columns of docs are not read.
+    shingle, their whole sequence; a very long text is one set like others.
+    Null or empty texts link with nothing: both ids are their own doc_id.
+    Repeated rows stay, each with its class, and a doc_id with several texts is
+    in the class of each; a null doc_id takes no part in naming and gets the
+    name of its class. Tables without rows give none. Other columns of docs are
+    not read.
     """
+    return _named_rows(docs, doc_id, text, width, percent).select("doc_id", "n_shingles", "set_id", "component_id")
+
+
+def _named_rows(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     if not 50 <= percent <= 100:
         raise ValueError("percent is between 50 and 100")
     members = stored(shingle_sets(docs, doc_id, text, width), "jaccard-sets")
-    classes = stored(members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")).where("id is not null"), "jaccard-classes")
+    named = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("name"), F.first("n_shingles").alias("n")).where("name is not null")
+    # numbers that are written once stay as they are
+    classes = stored(named.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(total / BUCKET))
     bytes_of_key = key_width(classes, "set_key")
     shared = shared_hashes(packed_sets(docs, text, partial(_hasher, width), parts, bytes_of_key), parts, percent, bytes_of_key)
-    named = classes.select(F.substring("set_key", 1, bytes_of_key).alias("set_key"), "id", "n")
+    short = classes.select(F.substring("set_key", 1, bytes_of_key).alias("set_key"), "id", "n")
     able = F.octet_length("hashes") / 8 * 100 >= percent * F.col("n")
-    sets = stored(shared.join(named, "set_key").where(able).select("id", "n", "hashes", "freqs"), "jaccard-shared")
+    sets = stored(shared.join(short, "set_key").where(able).select("id", "n", "hashes", "freqs"), "jaccard-shared")
     entries = stored(postings(sets, percent), "jaccard-postings")
-    labels = link_components(sets, entries, percent)
-    named = classes.join(labels, "id", "left").select("set_key", F.col("id").alias("set_id"), F.coalesce("label", "id").alias("component_id"))
-    return members.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = stored(link_components(sets, entries, percent).join(classes.select("id", "name"), "id"), "jaccard-labels")
+    names = labels.groupBy("label").agg(F.min("name").alias("component_id"))
+    linked = classes.join(labels.join(names, "label").select("id", "label", "component_id"), "id", "left").select("set_key", F.col("name").alias("set_id"), F.coalesce("component_id", "name").alias("component_id"), F.coalesce("label", "id").alias("label"))
+    return members.join(linked, "set_key", "left").select("doc_id", "h", "n_shingles", "label", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def link_components(sets: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
@@ -235,19 +244,18 @@ def link_components(sets: DataFrame, entries: DataFrame, percent: int) -> DataFr
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row for each component, that of the least doc_id; ties between rows of one doc_id go to the least text.
+    """``docs`` with one row for each component, that of the least doc_id; if that has several of its rows, the one with the least text.
 
-    Null and empty texts and null doc_ids stay.
+    Null and empty texts and null doc_ids stay; rows of one doc_id are judged
+    each by its own text. Equal rows count once.
     """
-    names = jaccard_components(docs, doc_id, text, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("kept_id"))
-    out = docs.join(names.select(F.col("doc_id").alias("kept_doc"), "kept_id"), F.col(doc_id) == F.col("kept_doc"), "left").where(F.col("kept_id").isNull() | (F.col("kept_id") == F.col(doc_id)))
-    return out.select(*docs.columns) if _unique(docs, doc_id) else _one_each(out, docs, doc_id, text)
-
-
-def _unique(docs: DataFrame, doc_id: str) -> bool:
-    return docs.groupBy(doc_id).count().where("count > 1").limit(1).count() == 0
-
-
-def _one_each(out: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())
-    return out.withColumn("kept_rank", F.row_number().over(order)).where(F.col(doc_id).isNull() | (F.col("kept_rank") == 1)).select(*docs.columns)
+    own, name, rank = free_name(docs, "text_hash"), free_name(docs, "component"), free_name(docs, "rank")
+    key, group = free_name(docs, "id_key"), free_name(docs, "label")
+    found = _named_rows(docs, doc_id, text, width, percent).where("doc_id is not null and n_shingles > 0")
+    names = found.groupBy("doc_id", "h").agg(F.min("component_id").alias(name), F.min("label").alias(group)).select(F.col("doc_id").alias(key), F.col("h").alias(own), name, group)
+    hashed = docs.withColumn(f"{own}_", F.xxhash64(text))
+    out = hashed.join(names, (hashed[doc_id] == F.col(key)) & (hashed[f"{own}_"] == F.col(own)), "left").where(F.col(name).isNull() | (F.col(name) == F.col(doc_id)))
+    if docs.groupBy(doc_id).count().where(f"count > 1 and `{doc_id}` is not null").limit(1).count() == 0:
+        return out.select(*docs.columns)
+    order = Window.partitionBy(doc_id, group).orderBy(F.col(text))
+    return out.withColumn(rank, F.row_number().over(order)).where(F.col(name).isNull() | (F.col(rank) == 1)).select(*docs.columns)
