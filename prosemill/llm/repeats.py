@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .anchors import Hashes, anchors
 from .common import shared_folder, sliced, stored
@@ -308,6 +309,7 @@ def scan_halves(halves: DataFrame, groups: int) -> DataFrame:
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(texts, bodies, spans).
 
+    The ids of docs are distinct and not null.
     texts: (doc_id, n_bytes, sha256, kept_doc), a row for each row of docs, kept_doc the
     least doc_id of the equal text. bodies: (doc_id, body) of those, compressed.
     spans: (doc_id, spans) of theirs, repeats of what stands earlier, ends exclusive.
@@ -324,8 +326,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     shared = shared_hashes(packed_sets(named, "text", _hasher, parts, bytes_of_key), parts, 0, bytes_of_key)
     wanted = stored(keyed.join(shared.select("set_key", F.col("hashes").alias("shared")), "set_key", "left").select("doc_id", "shared").where("doc_id is not null").groupBy("doc_id").agg(F.first("shared", ignorenulls=True).alias("shared")), "repeats-shared")
     buckets = max(4, math.ceil(size / BODY_BUCKET))
-    one_each = _bodies(named.where("doc_id is not null")).groupBy("doc_id").agg(F.min("body").alias("body")) if _repeated(texts) else _bodies(named.where("doc_id is not null"))
-    bodies = bucketed(one_each.join(wanted, "doc_id"), buckets)
+    bodies = bucketed(_bodies(named).join(wanted, "doc_id"), buckets)
     every = occurrences(bodies)
     first = stored(every.groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "first")).alias("at")).select("anchor", "at.doc_id", "at.first"), "repeats-firsts")
     unequal = first.groupBy("anchor").agg(F.count("*").alias("blocks")).where("blocks > 1").select("anchor", F.lit(True).alias("several"))
@@ -339,18 +340,46 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return texts.join(kept.select("sha256", "kept_doc"), "sha256", "left"), bodies.select("doc_id", "body"), stored(spans, "repeats-spans")
 
 
-def _repeated(texts: DataFrame) -> bool:
-    return texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def ranked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, sha256, text, row): the distinct pairs of id and text, numbered by id, nulls last, then by digest.
+
+    Rows are numbered within ranges of ids, and ranges start where those before end.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(t, 256).alias("sha256"), t.alias("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("sha256").asc()]
+    once = rows.groupBy("doc_id", "sha256").agg(F.first("text").alias("text"))
+    dealt = stored(once.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "repeats-ranks")
+    counts = dealt.groupBy("block").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("block", before.alias("start"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("block").orderBy(*order))
+    return dealt.withColumn("place", place).join(F.broadcast(starts), "block").select("doc_id", "sha256", "text", (F.col("start") + F.col("place")).cast("long").alias("row"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs.
 
     A byte goes if a 100-byte string over it also starts earlier: in a smaller
-    doc_id, or before in the document. Null texts are empty. Rows of one doc_id
-    with one text are one document. If one doc_id has several texts, or a row
-    none, the row keeps all its bytes unless it equals another's text that comes first.
+    doc_id, or before in the document. Null texts are empty, and null ids come
+    after all others. Rows of one doc_id with one text are one document and get
+    one result; several texts of one doc_id are documents in the order of their
+    digests. Very long texts are cut into pieces that overlap by a window. A
+    table without rows gives none. Other columns are not read.
     """
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    again = plain.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if again.limit(1).count() == 0:
+        return _removed(plain)
+    rows = stored(ranked(docs, doc_id, text), "repeats-rows")
+    found = _removed(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    named = rows.select("row", F.col("doc_id").alias("id"), F.col("sha256").alias("digest")).join(found, "row")
+    each = plain.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return each.join(named, each["doc_id"].eqNullSafe(F.col("id")) & (each["sha256"] == F.col("digest"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """remove_repeats for distinct ids without null."""
     texts, bodies, spans = find_repeats(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
