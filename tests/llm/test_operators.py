@@ -481,3 +481,55 @@ def test_leaks_of_rows_with_one_id_and_of_empty_tables(spark):
     left = decontam.drop_leaks(frame, benchmark)
     assert left.columns == frame.columns and sorted(((r.doc_id, (r.text or "")[:5]) for r in left.collect()), key=str) == sorted([(7, "clean"), (None, rows[0][1][:5]), (9, "")], key=str)
     assert decontam.find_leaks(docs(spark, rows).limit(0), benchmark).count() == 0 and decontam.drop_leaks(frame, benchmark.limit(0)).count() == len(rows)
+
+
+def test_repeats_of_rows_with_one_id_or_none(spark):
+    a, b = "".join(words(60, 1)) * 2, "".join(words(60, 2)) * 2
+    rows = [(5, a), (5, b), (5, a), (7, b + a), (None, a + "x" * 150), (None, a + "x" * 150), (9, None)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs(spark, rows)).collect()), key=str)
+    order = sorted({(d, t) for d, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    brute = brute_repeats([(i, t) for i, (_, t) in enumerate(order)])
+    want = {r: brute[i][:2] for i, r in enumerate(order)}
+    assert got == sorted(((d, *want[d, t]) for d, t in rows), key=str)
+
+
+def test_one_row_stays_of_rows_with_one_id(spark):
+    copies = near_copies(21)
+    rows = [(1, copies[0]), (1, copies[1]), (1, "other " + " ".join(words(30, 77))), (2, copies[2]), (3, None), (3, ""), (None, copies[0])]
+    frame = docs(spark, rows).withColumnRenamed("set_key", "kept_id").withColumn("component", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("text_hash", F.lit(3))
+    left = jaccard.keep_one(frame)
+    assert left.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, min(copies[0], copies[1])), (1, rows[2][1]), (3, None), (3, ""), (None, copies[0])], key=str)
+    assert jaccard.keep_one(frame.limit(0)).count() == 0
+
+
+def test_nulls_copies_and_long_texts_in_all_stages(spark, tmp_path):
+    """Every stage of the pipeline takes nulls, empty, repeated and very long texts, and its decisions are those of brute force."""
+    import corpus_pipeline
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    real = [r.text for r in source.where("text is not null and length(text) > 400 and lang is not null").orderBy("doc_id").limit(30).collect()]
+    item = " ".join(words(40, 5))
+    mixed = lambda i, x, j: f"{real[i][: len(real[i]) // 2]} {x} {real[j][len(real[j]) // 2 :]}"
+    rows = list(enumerate(real)) + [(100, real[0]), (101, real[1] + " one more"), (102, None), (103, ""), (104, mixed(20, item, 21)), (105, mixed(22, "token=abcdef123456", 23)), (106, " ".join(real[4:12]) * 40), (106, " ".join(real[4:12]) * 40), (None, real[5])]
+    langs = {r.doc_id: r.lang for r in source.collect()}
+    frame = spark.createDataFrame([(i, t, list(langs.values())[k % len(langs)], "s", len(t or "")) for k, (i, t) in enumerate(rows)], source.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = frame
+    for name, stage in corpus_pipeline.STAGES:
+        d.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        before = spark.read.parquet(f"{tmp_path}/{name}")
+        d = stage(spark, before, str(tmp_path))
+        ids = {r.doc_id for r in d.select("doc_id").collect()}
+        if name == "near_duplicates":
+            named = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            keep = {i for i, _, c in brute_components(named, 5, 80) if i is None or i == c}
+            assert ids == keep and 100 not in ids
+        elif name == "decontamination":
+            assert {r.doc_id for r in before.select("doc_id").collect()} - ids == {104}
+        elif name == "secret_scan":
+            assert "abcdef123456" not in d.where("doc_id = 105").first().text
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
+    coded = {r.doc_id: r.piece_ids for r in d.collect()}
+    last = {r.doc_id: r.text for r in before.collect()}
+    assert coded == {i: sp.encode(t or "", add_eos=True) for i, t in last.items()}
