@@ -414,6 +414,21 @@ def extract_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
 
 
+@query(f"select doc_id, segments, headings from ({_MARKDOWN_SQL})")
+def extract_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and headings of every document, those without segments included."""
+    rows = extract_markdown(spark, sf_dir).drop("bytes")
+    return table(spark, sf_dir, "documents").select("doc_id").join(rows, "doc_id", "left").na.fill(0, ["segments", "headings"])
+
+
+@query(_COMMENTS_SQL)
+def extract_comments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of every document as TypeScript, whose templates hold comment marks too."""
+    source = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("s = `// no ${'/*'}`; // "), x)), "\n")
+    rows = extract.code_segments(table(spark, sf_dir, "documents").select("doc_id", source.alias("text")), "doc_id", "typescript")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+
+
 @query(f"""select doc_id, count(*) filter (regexp_matches(x, '\\p{{L}}') and not contains(x, '/*') and not contains(x, '*/') and not regexp_matches(trim(x, ' ' || chr(9)), '{_PRAGMA_SQL}')) + 1 as segments from
   (select doc_id, regexp_replace(replace(replace(body, chr(92), '/'), '"', chr(39)), '^\\s+', '') as x from ({_LINES_SQL})) where not regexp_matches(x, '^(?:>>>|\\.\\.\\.)') group by 1""")
 def extract_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
