@@ -13,10 +13,12 @@ A document is the set of its distinct word shingles. Two documents link when
    the least estimated cost, postings read plus candidates verified, from the
    frequencies in its prefix. A pair must share the lesser of the two numbers.
 4. Classes that posting lists connect form canopies; a pair that links is in
-   one. A canopy is dealt into blocks, and each two blocks meet in one group,
-   where pairs that share enough prefix shingles are verified by products of
-   membership matrices. A group gives a spanning forest of its links, so a hot
-   group makes rows by its blocks, not by its pairs, and no link is missed.
+   one. A canopy is dealt into blocks, within which pairs that share enough
+   prefix shingles are verified by products of membership matrices. Of canopies
+   of several blocks, components meet by one class each as long as that joins
+   many; then only classes outside of the largest component meet the others, by
+   their posting lists or block by block. No task sees more than two blocks, a
+   task gives a spanning forest of its links, and no connection is missed.
 """
 
 from __future__ import annotations
@@ -164,20 +166,17 @@ def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def block_links(sets: DataFrame, canopies: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join all linked classes of a canopy.
+def met_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the classes of each cell (label, x, y) of ``cells``, which has (id, label, x, y, block, part).
 
-    A canopy's classes are dealt into blocks, and each two blocks meet in one
-    group. Pairs that share too few prefix shingles are left out before their
-    whole sets are compared. A group gives a spanning forest of its links.
+    A cell is one block (x = y) or two that meet. Classes of one part are
+    joined already and are not compared. Pairs that share too few prefix
+    shingles are left out before their whole sets are compared. A cell gives a
+    spanning forest of its links.
     """
-    sizes = canopies.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
-    dealt = canopies.join(sizes.select("label", "blocks"), "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = dealt.select("id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = met.select("id", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).join(sets, "id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n, block = (table.column(c).to_numpy() for c in ("id", "n", "block"))
+        ids, n, block, part = (table.column(c).to_numpy() for c in ("id", "n", "block", "part"))
         hashes = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
         freqs = [np.frombuffer(f, "<u2") for f in table.column("freqs").to_pylist()]
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
@@ -186,6 +185,7 @@ def block_links(sets: DataFrame, canopies: DataFrame, percent: int) -> DataFrame
         common = overlap_counts([h[: c[1]] for h, c in zip(hashes, chosen, strict=True)])
         able = np.triu(common >= np.minimum(need[:, None], need[None, :]), 1)
         able &= (n[:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[:, None] * percent)
+        able &= part[:, None] != part[None, :]
         if x != y:
             able &= block[:, None] != block[None, :]
         links = np.zeros((0, 2), dtype=np.int64)
@@ -195,7 +195,72 @@ def block_links(sets: DataFrame, canopies: DataFrame, percent: int) -> DataFrame
         kept = forest(links, len(ids))
         return pa.table({"a": pa.array([ids[i] for i, _ in kept], pa.int64()), "b": pa.array([ids[j] for _, j in kept], pa.int64())})
 
-    return cells.groupBy("label", "x", "y").applyInArrow(run, "a long, b long")
+    return cells.select("id", "label", "x", "y", "block", "part").join(sets, "id").groupBy("label", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def _numbered(classes: DataFrame, salt: int) -> DataFrame:
+    """``classes`` (id, label, part) as cells of one block each."""
+    sizes = classes.groupBy("label").agg(F.count("*").alias("m")).where("m > 1")
+    block = F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col("m") / BLOCK)).cast("int")
+    return classes.join(sizes, "label").withColumn("block", block).select("id", "label", F.col("block").alias("x"), F.col("block").alias("y"), "block", "part")
+
+
+def posting_links(sets: DataFrame, entries: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different parts, from the pairs that meet in enough posting lists of at most ``BLOCK`` entries."""
+    mine = entries.join(parts.select("id", "part"), "id")
+    left = mine.select("hash", F.col("id").alias("a"), F.col("n").alias("an"), F.col("matches").alias("am"), F.col("part").alias("ap"))
+    right = mine.select("hash", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("matches").alias("bm"), F.col("part").alias("bp"))
+    near = left.join(right, "hash").where("a < b and ap <> bp").where((F.col("an") * 100 >= F.col("bn") * percent) & (F.col("bn") * 100 >= F.col("an") * percent))
+    pairs = near.groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("am", "bm")).alias("need")).where("common >= need").select("a", "b")
+    sides = [sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab"]
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, h_a, h_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "h_a", "h_b"))
+            both = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(h_a, h_b, strict=True)]
+            good = [100 * k >= percent * (p + q - k) for k, p, q in zip(both, n_a, n_b, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(verified, "a long, b long")
+
+
+def cross_links(sets: DataFrame, entries: DataFrame, canopies: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(a, b): ``links`` and the links between the blocks of canopies that have several.
+
+    Only connections count, so what one component holds already does not meet
+    again. As long as that halves their number, one class of each component
+    meets those of other components in blocks; near copies of one text become
+    one component this way, by as many comparisons as blocks times their size.
+    The classes outside of the largest component of a canopy then meet all
+    others: by posting lists where these are short and few pairs meet in them,
+    else block by block. M classes of which r stay outside take r * M
+    comparisons at most, and no task more than two blocks.
+    """
+    found = stored(links.join(canopies.select(F.col("id").alias("a")), "a", "left_semi"), "jaccard-within")
+    before, salt = canopies.count(), 0
+    while True:
+        joined = components(canopies.select("id"), found, "jaccard-parts").select("id", F.col("label").alias("part"))
+        parts = stored(canopies.join(joined, "id").select("id", "label", "part"), "jaccard-parts")
+        heads = parts.where("id = part")
+        number = heads.count()
+        if 2 * number > before:
+            break
+        before, salt = number, salt + 1
+        found = stored(found.unionByName(met_links(_numbered(heads, salt), sets, percent)), "jaccard-heads")
+    sizes = parts.groupBy("label", "part").agg(F.count("*").alias("size"))
+    shape = sizes.groupBy("label").agg(F.max(F.struct("size", "part")).alias("most"), F.sum("size").alias("m")).where("most.size < m")
+    shape = stored(shape.select("label", F.col("most.part").alias("main"), F.col("most.size").alias("size"), "m"), "jaccard-shapes")
+    lists = entries.join(canopies, "id").groupBy("label", "hash").agg(F.count("*").alias("k"))
+    short = lists.groupBy("label").agg(F.max("k").alias("longest"), F.sum(F.expr("k * (k - 1)")).alias("pairs")).where(F.col("longest") <= BLOCK)
+    sparse = stored(shape.join(short, "label").where("pairs * 4 <= (m - size) * m").select("label"), "jaccard-sparse")
+    by_list = posting_links(sets, entries, parts.join(sparse, "label", "left_semi"), percent)
+    dense = parts.join(shape.join(sparse, "label", "left_anti"), "label")
+    main, p, q = F.col("part") == F.col("main"), F.ceil(F.col("size") / BLOCK), F.ceil((F.col("m") - F.col("size")) / BLOCK)
+    spread = F.xxhash64("id", F.lit(-1))
+    dealt = dense.select("id", "label", "part", F.when(main, F.pmod(spread, p)).otherwise(p + F.pmod(spread, q)).cast("int").alias("block"), F.when(main, p).otherwise(F.lit(0)).cast("int").alias("low"), (p + q - 1).cast("int").alias("high"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence("low", "high")))
+    cells = tiles.select("id", "label", "part", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return links.unionByName(found).unionByName(by_list).unionByName(met_links(cells, sets, percent))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -239,7 +304,11 @@ def link_components(sets: DataFrame, entries: DataFrame, percent: int) -> DataFr
     nodes = sets.select("id")
     lists = entries.groupBy("hash").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
     canopies = stored(components(nodes, entries.join(lists, "hash").select("a", F.col("id").alias("b")), "jaccard-canopies"), "jaccard-canopies")
-    links = stored(block_links(sets, canopies, percent), "jaccard-links")
+    links = stored(met_links(_numbered(canopies.withColumn("part", F.col("id")), 0), sets, percent), "jaccard-links")
+    large = canopies.groupBy("label").count().where(F.col("count") > BLOCK)
+    if large.limit(1).count():
+        several = stored(canopies.join(large, "label", "left_semi"), "jaccard-large")
+        links = stored(cross_links(sets, entries, several, links, percent), "jaccard-links")
     return components(nodes, links, "jaccard-components")
 
 

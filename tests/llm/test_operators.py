@@ -74,6 +74,23 @@ def test_jaccard(corpus, monkeypatch, width, percent, block):
     assert got == brute_components(rows, width, percent)
 
 
+def sliding_texts(seed=11):
+    """Texts that overlap along one long text, so that posting lists connect all of them but few link."""
+    rng, line, at, out = random.Random(seed), words(1500, seed), 0, []
+    while at + 60 < len(line):
+        out.append(" ".join(line[at : at + 60]))
+        at += rng.choice([3, 4, 7, 12])
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 20])
+def test_jaccard_of_canopies_of_many_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = list(enumerate([*sliding_texts(), *near_copies(6), *(" ".join(words(150, 77) + words(k, k)) for k in range(70))]))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), width=4, percent=85).collect()), key=str)
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_jaccard_keeps_one_and_takes_empty_tables(spark, corpus):
     frame, rows = corpus
     kept = jaccard.keep_one(frame).collect()
