@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, free_name, map_texts, mix64, stored
-from .packed import BUCKET, key_width, packed_sets, shared_hashes
+from .common import components, free_name, mix64, sliced, stored
+from .packed import BUCKET, PACKED, frequent_hashes, key_width, packed_sets, reported, shared_hashes
 
 MOST_MATCHES = 6
 #: Cost of verifying a pair against that of reading a posting.
@@ -89,13 +89,36 @@ def _hasher(width: int):
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, h, n_shingles, set_key), a row for each row of docs; h is a hash of the text, the key is null for empty sets."""
+    """(doc_id, h, n_shingles, set_key, seen), a row for each row of docs; h is a hash of the text, the key is null for empty sets.
 
-    def step(part: pa.RecordBatch, shingler=Shingler(width)) -> pa.RecordBatch:
-        sets = [shingler.hashes(x) for x in part.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "h", "n_shingles", "set_key"])
+    Rows with a count in ``seen`` are no documents: so many sets of a pack have the shingle h.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, pack = Shingler(width), {}
 
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")), step, "doc_id long, h long, n_shingles long, set_key binary")
+        def reports() -> pa.RecordBatch:
+            found, counts = reported(np.concatenate(list(pack.values())))
+            none = pa.nulls(len(found), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(found.view(np.int64)), none, pa.nulls(len(found), pa.binary()), pa.array(counts.astype(np.int64))], names=names)
+
+        names, members = ["doc_id", "h", "n_shingles", "set_key", "seen"], 0
+        for batch in batches:
+            for part in sliced(batch, 2):
+                sets = [shingler.hashes(x) for x in part.column(2).to_pylist()]
+                keys = [set_key(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets), pa.int64())], names=names)
+                for key, s in zip(keys, sets, strict=True):
+                    if key is not None and key not in pack:
+                        pack[key] = s
+                        members += len(s)
+                if members >= PACKED:
+                    yield reports()
+                    pack, members = {}, 0
+        if pack:
+            yield reports()
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, h long, n_shingles long, set_key binary, seen long")
 
 
 def prefix_choice(n: int, freqs: np.ndarray, percent: int) -> tuple[int, int]:
@@ -281,14 +304,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def _named_rows(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     if not 50 <= percent <= 100:
         raise ValueError("percent is between 50 and 100")
-    members = stored(shingle_sets(docs, doc_id, text, width), "jaccard-sets")
+    written = stored(shingle_sets(docs, doc_id, text, width), "jaccard-sets")
+    members = written.where("seen is null").drop("seen")
+    frequent = frequent_hashes(written.where("seen is not null").select(F.col("h").alias("hash"), "seen"), members.agg(F.sum("n_shingles")).first()[0] or 0)
     named = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("name"), F.first("n_shingles").alias("n")).where("name is not null")
     # numbers that are written once stay as they are
     classes = stored(named.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(total / BUCKET))
     bytes_of_key = key_width(classes, "set_key")
-    shared = shared_hashes(packed_sets(docs, text, partial(_hasher, width), parts, bytes_of_key), parts, percent, bytes_of_key)
+    shared = shared_hashes(packed_sets(docs, text, partial(_hasher, width), parts, bytes_of_key, frequent), parts, percent, bytes_of_key)
     short = classes.select(F.substring("set_key", 1, bytes_of_key).alias("set_key"), "id", "n")
     able = F.octet_length("hashes") / 8 * 100 >= percent * F.col("n")
     sets = stored(shared.join(short, "set_key").where(able).select("id", "n", "hashes", "freqs"), "jaccard-shared")

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .anchors import Hashes, anchors
 from .common import shared_folder, sliced, stored
-from .packed import BUCKET, key_width, packed_sets, shared_hashes
+from .packed import BUCKET, frequent_hashes, key_width, pack_counts, packed_sets, shared_hashes, without_frequent
 
 WINDOW, GRAM = 100, 32
 #: Bytes left of an anchor from which a window belongs to the left half.
@@ -323,7 +323,9 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keyed = kept.select(F.substring(F.unhex("sha256"), 1, 16).alias("set_key"), F.col("kept_doc").alias("doc_id"))
     bytes_of_key = key_width(keyed, "set_key")
     keyed = keyed.withColumn("set_key", F.substring("set_key", 1, bytes_of_key))
-    shared = shared_hashes(packed_sets(named, "text", _hasher, parts, bytes_of_key), parts, 0, bytes_of_key)
+    packed = stored(packed_sets(named, "text", _hasher, parts, bytes_of_key), "repeats-packed")
+    frequent = frequent_hashes(pack_counts(packed), packed.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0)
+    shared = shared_hashes(without_frequent(packed, frequent, parts, bytes_of_key), parts, 0, bytes_of_key)
     wanted = stored(keyed.join(shared.select("set_key", F.col("hashes").alias("shared")), "set_key", "left").select("doc_id", "shared").where("doc_id is not null").groupBy("doc_id").agg(F.first("shared", ignorenulls=True).alias("shared")), "repeats-shared")
     buckets = max(4, math.ceil(size / BODY_BUCKET))
     bodies = bucketed(_bodies(named).join(wanted, "doc_id"), buckets)

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from prosemill.llm import anchors, chat, decontam, jaccard, langid, piece, quality, queries, repeats, secrets, sharding, urlfilter
+from prosemill.llm import anchors, chat, decontam, jaccard, langid, packed, piece, quality, queries, repeats, secrets, sharding, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, set_key string"
 
@@ -91,6 +91,16 @@ def test_jaccard_of_canopies_of_many_blocks(spark, monkeypatch, block):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_with_frequent_shingles_apart(spark, monkeypatch):
+    monkeypatch.setattr(packed, "FREQUENT", 20), monkeypatch.setattr(jaccard, "BUCKET", 700)
+    rows = list(enumerate([*near_copies(), *near_copies(), *near_copies(6), *(" ".join(words(40, 77) + words(k, k)) for k in range(80))]))
+    frame = docs(spark, rows).repartition(3)
+    found = jaccard.shingle_sets(frame, "doc_id", "text", 4).where("seen is not null").select(F.col("h").alias("hash"), "seen")
+    assert len(packed.frequent_hashes(found, 0)) > 30
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame, width=4, percent=85).collect()), key=str)
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_jaccard_keeps_one_and_takes_empty_tables(spark, corpus):
     frame, rows = corpus
     kept = jaccard.keep_one(frame).collect()
@@ -128,6 +138,16 @@ def test_repeats(spark, monkeypatch, step):
     assert repeats.remove_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_with_frequent_anchors_apart(spark, monkeypatch):
+    monkeypatch.setattr(packed, "FREQUENT", 2), monkeypatch.setattr(repeats, "BUCKET", 50)
+    taken = []
+    monkeypatch.setattr(repeats, "frequent_hashes", lambda counted, total: taken.append(packed.frequent_hashes(counted, total)) or taken[-1])
+    shared = " ".join(words(60, 3))
+    rows = [(k, " ".join(words(50 + k % 7, k)) + shared + " ".join(words(30, 1000 + k))) for k in range(90)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs(spark, rows).repartition(2)).collect()}
+    assert len(taken[0]) and got == brute_repeats(rows)
+
+
 def test_maximal_repeats_list_all_occurrences():
     core, left, right = b"q" * 40 + b"r" * 30, b"L" * 40, b"R" * 30
     strings = [left + core + right, left + core + right, b"M" * 40 + core + right, left + core + b"S" * 30]
