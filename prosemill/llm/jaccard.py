@@ -218,7 +218,9 @@ def met_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         kept = forest(links, len(ids))
         return pa.table({"a": pa.array([ids[i] for i, _ in kept], pa.int64()), "b": pa.array([ids[j] for _, j in kept], pa.int64())})
 
-    return cells.select("id", "label", "x", "y", "block", "part").join(sets, "id").groupBy("label", "x", "y").applyInArrow(run, "a long, b long")
+    # written, so that Spark knows the size by which it picks the join, and few cells don't shuffle all sets
+    dealt = stored(cells.select("id", "label", "x", "y", "block", "part"), "jaccard-cells")
+    return dealt.join(sets, "id").groupBy("label", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def _numbered(classes: DataFrame, salt: int) -> DataFrame:
