@@ -13,7 +13,7 @@ def test_twin(spark, duck, name):  # noqa: F811
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{DATA}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
     assert [r.conv_id for r in rows] == ([-7] if name == "op5_chat_formatting" else []) if rows or name == "op5_chat_formatting" else True
