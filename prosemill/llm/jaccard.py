@@ -345,12 +345,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     Null and empty texts and null doc_ids stay; rows of one doc_id are judged
     each by its own text. Equal rows count once.
     """
-    own, name, rank = free_name(docs, "text_hash"), free_name(docs, "component"), free_name(docs, "rank")
+    own, mine, name, rank = free_name(docs, "class_hash"), free_name(docs, "text_hash"), free_name(docs, "component"), free_name(docs, "rank")
     key, group = free_name(docs, "id_key"), free_name(docs, "label")
     found = _named_rows(docs, doc_id, text, width, percent).where("doc_id is not null and n_shingles > 0")
     names = found.groupBy("doc_id", "h").agg(F.min("component_id").alias(name), F.min("label").alias(group)).select(F.col("doc_id").alias(key), F.col("h").alias(own), name, group)
-    hashed = docs.withColumn(f"{own}_", F.xxhash64(text))
-    out = hashed.join(names, (hashed[doc_id] == F.col(key)) & (hashed[f"{own}_"] == F.col(own)), "left").where(F.col(name).isNull() | (F.col(name) == F.col(doc_id)))
+    hashed = docs.withColumn(mine, F.xxhash64(text))
+    out = hashed.join(names, (hashed[doc_id] == F.col(key)) & (hashed[mine] == F.col(own)), "left").where(F.col(name).isNull() | (F.col(name) == F.col(doc_id)))
     if docs.groupBy(doc_id).count().where(f"count > 1 and `{doc_id}` is not null").limit(1).count() == 0:
         return out.select(*docs.columns)
     order = Window.partitionBy(doc_id, group).orderBy(F.col(text))

@@ -109,6 +109,13 @@ def test_jaccard_keeps_one_and_takes_empty_tables(spark, corpus):
     assert jaccard.jaccard_components(frame.limit(0)).count() == 0
 
 
+def test_jaccard_keeps_columns_whatever_their_names(spark, corpus):
+    names = ["text_hash", "text_hash_", "class_hash", "component", "rank", "id_key", "label"]
+    frame = corpus[0].select("doc_id", "text", *(F.concat(F.lit(n), F.coalesce("text", F.lit(""))).alias(n) for n in names))
+    kept = jaccard.keep_one(frame).collect()
+    assert kept and all(r[n] == n + (r.text or "") for r in kept for n in names)
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for d, t in sorted(rows):
