@@ -1,8 +1,8 @@
 """Prose of Markdown and source files, from the lines of their blocks and comments.
 
-Scanners in lexer.py say where blocks and comments are. Suppression, examples
-and other state that runs down a file are windows over those lines; pieces of a
-line come from byte ranges of its markup.
+Scanners in lexer.py say where text nodes and comments are. Suppression,
+islands, examples and other state that runs down a file are windows over their
+lines.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import SPACE, byte_length, has_letter, match_ranges
+from ..functions.text import SPACE, byte_length, has_letter
 from . import lexer, segments
 
 # Constructs of a Markdown text that may not be edited.
@@ -30,15 +30,12 @@ GENERATED_MARKERS = [
     "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?@generated(?![A-Za-z0-9_]).*?(?:-->)?[ \\t]*$",
     "(?i)<auto-generated\\s*/?\\s*>",
 ]
+# Lines of documentation that a language gives a meaning.
 GO_LINE = f"\\A(?:go:|\\+build{_WORD_END}|#cgo{_WORD_END}|#[{SPACE}]|\\[.+\\]\\z)"
 SCRIPT_DOC = f"\\A@[A-Za-z]+{_WORD_END}|\\{{@[A-Za-z]+{_WORD_END}|```"
 JAVA_DOC = f"\\{{@(?:code|literal|link|linkplain|value|docRoot|inheritDoc|index|summary|systemProperty|snippet){_WORD_END}|\\A@(?:param|return|throws|exception|see|since|author|version|deprecated|serial|hidden|uses|provides){_WORD_END}"
 RUST_DOC = f"\\A#(?:[{SPACE}]|\\z)|`|\\[[^\\]]+\\]\\([^)]*\\)|<[^>]+>"
 DOC_CONSTRUCT = f"(?m)@(?:example|snippet){_WORD_END}|```|^\\s*#(?:\\s|$)|</?(?:pre|code|snippet){_WORD_END}|^//(?: {{5,}}|\\t)"
-#: Inline markup of a Markdown line: code spans, targets of links, tags, images' openings and emphasis marks.
-_INLINE = "`+[^`]*`+|\\]\\([^)]*\\)|!?\\[|\\]|<[^>]*>|\\*+|~~|\\|"
-_BLOCK_START = "\\A[ \\t]*(?:>[ \\t]?)*(?:#{1,6}[ \\t]+|[-*+][ \\t]+|\\d+[.)][ \\t]+)?"
-
 
 def _directive(body: Column, prefix: str, opening: str, closing: str) -> Column:
     """disable, enable or next, for a comment that is a directive and nothing else."""
@@ -46,53 +43,54 @@ def _directive(body: Column, prefix: str, opening: str, closing: str) -> Column:
     return F.when(kind == "disable-next-line", "next").when(kind != "", kind)
 
 
-def markdown_lines(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
-    """Lines of Markdown with their block's kind, heading, is_html (a comment of its own), disabled and protected."""
-    rows = lexer.markdown_blocks(files, key, text)
-    comment = F.col("body").rlike("\\A\\s*<!--.*-->\\s*\\z")
-    rows = segments.suppressed(rows, key, F.when(F.col("kind") == "html", _directive(F.col("body"), prefix, "<!--", "-->")))
-    return rows.withColumns({
-        "heading": (F.col("kind") == "text") & F.col("body").rlike("\\A {0,3}#{1,6}[ \\t]"), "is_html": (F.col("kind") == "html") & comment, "protected": F.col("body").rlike(MARKDOWN_PROTECTED),
-    })
-
-
-def pieces(body: Column, markup: str, lead: str) -> Column:
-    """array<struct<start_byte, end_byte, text>>: what is left of a line between its block start and inline markup, without edge spaces."""
-    head = F.regexp_extract(body, lead, 0)
-    rest = F.substring(body, F.length(head) + 1, F.length(body))
-    cuts = F.concat(match_ranges(rest, markup), F.array(F.struct(byte_length(rest).alias("start_byte"), byte_length(rest).alias("end_byte"))))
-    start = F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<start_byte:bigint,end_byte:bigint,text:string>>))")
+def markdown_parts(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
+    """Nodes of Markdown files with what becomes of them.
 
-    def step(acc: Column, cut: Column) -> Column:
-        raw = F.call_function("substring", rest.cast("binary"), (acc["at"] + 1).cast("int"), (cut["start_byte"] - acc["at"]).cast("int")).cast("string")
-        left = F.ltrim(raw)
-        at = byte_length(head) + acc["at"] + byte_length(raw) - byte_length(left)
-        piece = F.struct(at.alias("start_byte"), (at + byte_length(F.rtrim(left))).alias("end_byte"), F.rtrim(left).alias("text"))
-        return F.struct(cut["end_byte"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    return F.filter(F.aggregate(cuts, start, step)["out"], lambda p: p["text"].rlike("\\p{L}"))
+    (key, node, island, kind, line, start_byte, end_byte, raw, heading, directive, outcome).
+    A text node that runs over several lines stays whole unless directives
+    change their mind within it; then it is cut into islands of lines that are
+    all on or all off. outcome is segment, suppressed, protected_markdown_construct,
+    protected_frontmatter or empty (nothing to edit).
+    """
+    rows = lexer.markdown_nodes(files, key, text)
+    html = F.col("kind") == "html"
+    rows = _suppressed_lines(rows.withColumn("comment", F.col("node")).withColumn("directive", F.when(html, _directive(F.col("raw"), prefix, "<!--", "-->"))), key)
+    of_node = Window.partitionBy(key, "node").orderBy("part")
+    changed = F.coalesce((F.col("disabled") != F.lag("disabled").over(of_node)).cast("int"), F.lit(0))
+    # node and island are functions of what rows are dealt by, so nothing moves again
+    marked = rows.withColumn("island", F.sum(changed).over(of_node))
+    lines = F.array_sort(F.collect_list(F.struct("part", "raw", "start_byte", "line")))
+    first = {"kind": F.first("kind"), "heading": F.first("heading"), "directive": F.first("directive"), "disabled": F.first("disabled"), "lines": lines}
+    merged = marked.groupBy(key, "node", "island").agg(*(c.alias(n) for n, c in first.items()))
+    merged = merged.withColumns({"raw": F.array_join(F.transform("lines", lambda x: x["raw"]), ""), "start_byte": F.get("lines", F.lit(0))["start_byte"], "line": F.get("lines", F.lit(0))["line"]})
+    prose = F.col("kind").isin("text", "alt")
+    outcome = (
+        F.when(F.col("kind") == "front", "protected_frontmatter").when(~prose, "protected_markdown_construct")
+        .when(F.col("disabled"), F.when(has_letter("raw"), "suppressed").otherwise("empty"))
+        .when(F.col("raw").rlike(MARKDOWN_PROTECTED), "protected_markdown_construct").when(has_letter("raw"), "segment").otherwise("empty")
+    )
+    return merged.select(key, "node", "island", "kind", "line", "start_byte", (F.col("start_byte") + byte_length("raw")).alias("end_byte"), "raw", "heading", "directive", outcome.alias("outcome"))
 
 
 def markdown_segments(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
     """(key, segment, line, start_byte, end_byte, text, heading): editable pieces with their bytes in the file."""
-    rows = markdown_lines(files, key, text, prefix).where("kind = 'text' and not disabled and not protected")
-    each = rows.select(key, "line", "heading", F.col("start_byte").alias("base"), F.explode(pieces(F.col("body"), _INLINE, _BLOCK_START)).alias("p"))
-    placed = each.select(key, "line", (F.col("base") + F.col("p.start_byte")).alias("start_byte"), (F.col("base") + F.col("p.end_byte")).alias("end_byte"), F.col("p.text").alias("text"), "heading")
+    return part_segments(markdown_parts(files, key, text, prefix), key)
+
+
+def part_segments(parts: DataFrame, key: str) -> DataFrame:
+    placed = parts.where("outcome = 'segment'").withColumnRenamed("raw", "text")
     return placed.withColumn("segment", F.row_number().over(Window.partitionBy(key).orderBy("start_byte")).cast("long")).select(key, "segment", "line", "start_byte", "end_byte", "text", "heading")
 
 
-def markdown_diagnostics(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
-    """(key, line, code) of front matter, protected constructs and unpaired directives."""
-    rows = markdown_lines(files, key, text, prefix)
-    front = rows.where("line = 1 and kind = 'front'").select(key, "line", F.lit("protected_frontmatter").alias("code"))
-    kept = rows.where("kind <> 'front' and not disabled and (protected or kind <> 'text') and trim(body) <> ''").select(key, "line", F.lit("protected_markdown_construct").alias("code"))
-    return front.unionByName(kept).unionByName(segments.directive_diagnostics(rows, key))
+def markdown_diagnostics(parts: DataFrame, key: str) -> DataFrame:
+    """(key, line, code) from markdown_parts(): front matter, lines with protected constructs (each once), and directives that don't pair."""
+    kept = parts.where("outcome like 'protected%'").select(key, "line", F.col("outcome").alias("code")).distinct()
+    return kept.unionByName(segments.directive_diagnostics(parts.where("kind = 'html'"), key))
 
 
-def markdown_suppressed(files: DataFrame, key: str, text: str = "text", prefix: str = "prose") -> DataFrame:
-    """(key, suppressed, skipped): pieces that directives take out, and lines that are protected, by file."""
-    rows = markdown_lines(files, key, text, prefix).where("kind = 'text'").withColumn("n", F.size(pieces(F.col("body"), _INLINE, _BLOCK_START)))
-    return rows.groupBy(key).agg(F.sum(F.when(F.col("disabled"), F.col("n")).otherwise(0)).cast("long").alias("suppressed"), F.count_if(~F.col("disabled") & F.col("protected") & (F.col("n") > 0)).alias("skipped"))
+def markdown_suppressed(parts: DataFrame, key: str) -> DataFrame:
+    """(key, n): pieces that directives take out, by file, from markdown_parts()."""
+    return parts.where("outcome = 'suppressed'").groupBy(key).agg(F.count("*").alias("n"))
 
 
 def code_lines(files: DataFrame, key: str, language: str, text: str = "text", prefix: str = "prose") -> DataFrame:

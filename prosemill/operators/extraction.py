@@ -45,12 +45,13 @@ def extracted(files: DataFrame, formats: Iterable[str], glossary: tuple[str, ...
     for f in sorted(formats):
         mine = files.where(F.col("format") == f).select("path", "text")
         if f == "markdown":
-            rows = extract.markdown_segments(mine, "path", prefix=prefix)
+            parts = checkpointed(extract.markdown_parts(mine, "path", prefix=prefix))
+            rows = extract.part_segments(parts, "path")
             pieces.append(rows.select("path", "line", "start_byte", "end_byte", "text"))
-            suppressed.append(extract.markdown_suppressed(mine, "path", prefix=prefix).select("path", F.col("suppressed").alias("n")))
-            diagnostics.append(extract.markdown_diagnostics(mine, "path", prefix=prefix))
+            suppressed.append(extract.markdown_suppressed(parts, "path"))
+            diagnostics.append(extract.markdown_diagnostics(parts, "path"))
             notices.append(extract.markdown_notices(rows, "path"))
-            generated.append(lexer.markdown_blocks(mine, "path").where("kind = 'html'").where(extract.has_generated_marker(F.col("body"))).select("path"))
+            generated.append(parts.where("kind = 'html'").where(extract.has_generated_marker(F.col("raw"))).select("path"))
         else:
             lines = checkpointed(extract.code_lines(mine, "path", f, prefix=prefix))
             pieces.append(lines.where("outcome = 'segment'").select("path", "line", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("inner").alias("text")))

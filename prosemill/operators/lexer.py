@@ -1,4 +1,4 @@
-"""Comments, docstrings and Markdown blocks of one file, found by small scanners that tasks apply to their files.
+"""Comments, docstrings and Markdown nodes of one file, found by small scanners that tasks apply to their files.
 
 Strings, templates and block comments run over lines and nest, so lines cannot
 be told apart without what stands before them. A scanner only says where things
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import markdown
+
 _BREAK = re.compile("\r\n|\r|\n")
 _MARK = re.compile(r"""//|/\*|(?<![A-Za-z0-9_])[bc]?r(?P<hashes>#*)"|["'`/()\[\]{}]""")
 _STRING = {'"': re.compile(r'"(?:[^"\\\n]|\\.)*"', re.DOTALL), "'": re.compile(r"'(?:[^'\\\n]|\\.)*'", re.DOTALL)}
@@ -219,70 +221,31 @@ def comment_lines(files: DataFrame, key: str, language: str, text: str = "text")
     return _apply(files, key, text, _COMMENT_LINES, lambda source: _comment_rows(source, language))
 
 
-_FENCE = re.compile(r"(`{3,}|~{3,})(.*)\Z", re.DOTALL)
-_ITEM = re.compile(r"([-*+]|\d{1,9}[.)])( {1,4}|\t|\Z)")
-_DEFINITION = re.compile(r"\[(?:[^\]\\]|\\.)+\]:\s*\S")
-_HTML_UNTIL = [(re.compile(p, re.IGNORECASE), re.compile(e, re.IGNORECASE)) for p, e in ((r"<(?:script|pre|style|textarea)(?:[\s>]|\Z)", "</(?:script|pre|style|textarea)>"), ("<!--", "-->"), (r"<\?", r"\?>"), ("<![A-Za-z]", ">"), (r"<!\[CDATA\[", r"\]\]>"))]
-_HTML = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|\Z)")
-_HTML_ALONE = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>\s*\Z")
-# Names of tags that start a block anywhere.
-_BLOCK_TAGS = set("address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul".split())
-_MARKDOWN_LINES = "line long, start_byte long, body string, kind string"
+_MARKDOWN_NODES = "node int, kind string, part int, line long, start_byte long, raw string, heading boolean"
 
 
 def _markdown_rows(source: str) -> list[tuple]:
-    """(line, start_byte, body, kind): kind is front, fence, code, html, definition or text."""
-    lines = source.split("\n")
-    front = 0
-    if lines[0].rstrip("\r") == "---":
-        front = next((i + 1 for i, x in enumerate(lines) if i and x.rstrip("\r") in ("---", "...")), 0)
-    fence, until, items, paragraph, html, size, out = None, None, [], False, False, 0, []
-    for number, line in enumerate(lines):
-        body = line.rstrip("\r")
-        rest = re.sub(r"\A(?: {0,3}> ?)+", "", body).expandtabs(4)
-        blank, kind = not rest.strip(), "text"
-        indent = len(rest) - len(rest.lstrip(" "))
-        while items and not blank and indent < items[-1] and not (paragraph and not _ITEM.match(rest.lstrip())):
-            items.pop()
-        inner = indent - (items[-1] if items and indent >= items[-1] else 0)
-        own = rest.lstrip(" ")
-        mark = _FENCE.match(own)
-        if number < front:
-            kind = "front"
-        elif fence:
-            kind = "fence"
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip() and inner < 4:
-                fence = None
-        elif until:
-            kind = "html"
-            if until.search(own):
-                until = None
-        elif html:
-            kind, html = ("text", False) if blank else ("html", True)
-        elif mark and inner < 4 and not (mark[1][0] == "`" and "`" in mark[2]):
-            kind, fence = "fence", mark[1]
-        elif not blank and inner >= 4 and not paragraph:
-            kind = "code"
-        elif inner < 4 and own.startswith("<") and (pair := next((p for p in _HTML_UNTIL if p[0].match(own)), None)):
-            kind, until = "html", None if pair[1].search(own, 2) else pair[1]
-        elif inner < 4 and (_HTML.match(own) and re.match("</?([A-Za-z0-9-]+)", own)[1].lower() in _BLOCK_TAGS or not paragraph and _HTML_ALONE.match(own)):
-            kind, html = "html", True
-        elif inner < 4 and not paragraph and _DEFINITION.match(own):
-            kind = "definition"
-        if kind == "text" and not blank:
-            at = indent
-            while (item := _ITEM.match(own)) and at - (items[-1] if items else 0) < 4:
-                at += len(item[0])
-                items.append(at)
-                own = own[len(item[0]) :]
-                if not own.strip():
-                    break
-        paragraph = kind == "text" and not blank and not own.startswith("#")
-        out.append((number + 1, size, body, kind))
-        size += len(line.encode("utf-8", "surrogatepass")) + 1
+    """A row for each line of each node, with the line's end; front matter is a node of kind front."""
+    breaks = [m.end() for m in _BREAK.finditer(source)]
+    front = markdown.front_matter_end(source)
+    pieces = [(0, 0, "front", 0, source[:front], False)] if front else []
+    for number, (kind, start, end, heading) in enumerate(markdown.nodes(source), 1):
+        # only what may be edited is looked at line by line
+        ends = [b for b in breaks[bisect.bisect_right(breaks, start) : bisect.bisect_left(breaks, end)]] if kind in ("text", "alt") else []
+        pieces += [(a, number, kind, k, source[a:b], heading) for k, (a, b) in enumerate(zip([start, *ends], [*ends, end], strict=True))]
+    out, done, size = [], 0, 0
+    for at, number, kind, part, raw, heading in pieces:
+        size += len(source[done:at].encode("utf-8", "surrogatepass"))
+        done = at
+        out.append((number, kind, part, bisect.bisect_right(breaks, at) + 1, size, raw, heading))
     return out
 
 
-def markdown_blocks(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line, start_byte, body, kind): each line of a Markdown file and the block it is in: front, fence, code, html, definition or text."""
-    return _apply(files, key, text, _MARKDOWN_LINES, _markdown_rows)
+def markdown_nodes(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, node, kind, part, line, start_byte, raw, heading): the nodes of a Markdown file.
+
+    kind is text or alt (a row for each line that the node is on), or one of
+    code, html, definition and front, which hold no prose (one row). Null texts
+    have no rows.
+    """
+    return _apply(files, key, text, _MARKDOWN_NODES, _markdown_rows)

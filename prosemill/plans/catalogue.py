@@ -379,18 +379,21 @@ def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with front matter, a fence, directives and inline markup written into them."""
-    text = F.concat(F.lit("---\nid: x\n---\n# Title "), F.col("doc_id").cast("string"), F.lit("\nSome *marked* `code` and [label](http://x.y)\n```\nfenced\n```\n<!-- prose-disable -->\nhidden\n<!-- prose-enable -->\nAn &amp; entity\n"), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    """Documents with front matter, a fence, directives, and inline markup that runs over lines, written before them."""
+    head = (
+        F.lit("---\nid: x\n---\n# Title "), F.col("doc_id").cast("string"), F.lit("\nSome *marked\nwords* `code\nspan` and [label\nmore](http://x.y) <b\nclass=\"x\">bold</b> end[^n] of [it][ref words]\n\n"),
+        F.lit("```\nfenced\n```\nShown\n<!-- prose-disable -->\nhidden\n<!-- prose-enable -->\n\nAn &amp; entity\n\n[ref words]: http://x.y\n\n[^n]: Note of\n    two lines\n\n> quoted "), F.col("doc_id").cast("string"),
+        F.lit("\n> and *these\n> lines*\n\n"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*head, F.col("text")).alias("text"))
 
 
-_INLINE_SQL = "`+[^`]*`+|\\]\\([^)]*\\)|!?\\[|\\]|<[^>]*>|\\*+|~~|\\|"
-_HEAD_SQL = "^[ \\t]*(?:>[ \\t]?)*(?:#{1,6}[ \\t]+|[-*+][ \\t]+|\\d+[.)][ \\t]+)?"
-# the tables hold no line that opens a block of its own, so that all lines are text
-_MARKDOWN_SQL = f"""with l as (select doc_id, regexp_matches(body, '^ {{0,3}}#{{1,6}}[ \\t]') as heading, list_transform(list_filter(regexp_split_to_array(regexp_replace(body, '{_HEAD_SQL}', ''), '{_INLINE_SQL}'), lambda x: regexp_matches(x, '\\p{{L}}')), lambda x: strlen(trim(x))) as p
-    from ({_LINES_SQL}) where not regexp_matches(body, '(?i)\\{{#[A-Za-z][^}}]*\\}}|\\\\[^\\p{{L}}\\p{{N}}\\s]|&(?:#\\d+|#x[0-9a-f]+|[a-z]+);')),
-  s as (select doc_id, sum(len(p)) as n, sum(case when heading then len(p) else 0 end) as h, sum(coalesce(list_sum(p), 0)) as b from l group by 1)
-  select doc_id, (5 + coalesce(n, 0))::bigint as segments, (1 + coalesce(h, 0))::bigint as headings, (6 + length(doc_id::varchar) + 4 + 6 + 3 + 5 + coalesce(b, 0))::bigint as bytes from documents left join s using (doc_id)"""
+_MAIL_SQL = "[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]*[A-Za-z0-9])+"
+# Of markup, the tables' own paragraphs hold nothing but bare addresses, and marks that close nothing; what precedes them has 13 pieces, 1 of them a heading, with 105 bytes beside two numbers.
+_MARKDOWN_SQL = f"""with p as (select doc_id, unnest(regexp_split_to_array(text, '\n(?:[ \t]*\n)+')) as p from documents),
+  n as (select doc_id, list_filter(regexp_split_to_array(trim(p, ' ' || chr(9) || chr(10)), '{_MAIL_SQL}') || regexp_extract_all(p, '{_MAIL_SQL}'), lambda x: regexp_matches(x, '\\p{{L}}')) as l from p),
+  s as (select doc_id, sum(len(l)) as n, sum(coalesce(list_sum(list_transform(l, lambda x: strlen(x))), 0)) as b from n group by 1)
+  select doc_id, (13 + coalesce(n, 0))::bigint as segments, 1::bigint as headings, (105 + 2 * length(doc_id::varchar) + coalesce(b, 0))::bigint as bytes from documents left join s using (doc_id)"""
 
 
 @query(_MARKDOWN_SQL)
@@ -443,9 +446,10 @@ def extract_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fenced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document inside a fence that shorter and other fences don't close: none of its lines is text, those around it are."""
     text = F.concat(F.lit("before\n\n````text\n```\n~~~~\n"), F.col("text"), F.lit("\n```\n`````\nafter"))
-    rows = extract.markdown_lines(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id").where(T.has_letter("body"))
-    inside = (F.col("kind") == "fence") & ~F.col("body").startswith("````text")
-    return rows.groupBy("doc_id").agg(F.count_if(inside).alias("hidden"), F.count_if(F.col("kind") == "text").alias("shown"))
+    rows = extract.markdown_parts(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id")
+    lettered = F.size(F.filter(F.split("raw", "\n"), T.has_letter)).cast("long")
+    inside = F.when(F.col("kind") == "code", lettered - 1).otherwise(0)  # the fence's own line has a letter
+    return rows.groupBy("doc_id").agg(F.sum(inside).alias("hidden"), F.count_if(F.col("outcome") == "segment").alias("shown"))
 
 
 @query(f"with recursive e as (select doc_id as a, doc_id // 3 as b from documents where doc_id > 0), r as (select doc_id as root, doc_id as node from documents union select r.root, e.b from r join e on e.a = r.node) select root, count(*) as reached from r group by 1")

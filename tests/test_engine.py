@@ -15,14 +15,14 @@ def test_engine(spark, tmp_path):
     (root / "clean.md").write_text("All is fine.\n")
     engine = Engine(spark, str(root))
     entries = {r.path: (r.state, r.code, r.eligible_segments) for r in engine.discover().collect()}
-    assert entries == {"a.md": ("eligible", None, 2), "clean.md": ("eligible", None, 1), "src/b.go": ("eligible", None, 1), "c.txt": ("skipped", "plain_text_unsupported", None)}
+    assert entries == {"a.md": ("eligible", None, 3), "clean.md": ("eligible", None, 1), "src/b.go": ("eligible", None, 1), "c.txt": ("skipped", "plain_text_unsupported", None)}
     summary = engine.summary().first()
     assert (summary.files_eligible, summary.files_considered, summary.paths_skipped, summary.status) == (3, 4, 1, "preview")
     expected = spark.createDataFrame([(r.path, r.sha256) for r in engine.discover().where("state = 'eligible'").collect()], "path string, expected_sha256 string")
     verdicts = {r.path: r.verdict for r in engine.screen(expected, screen.share_of_known_errors(frozenset({"teh"}))).collect()}
     assert verdicts == {"a.md": "flagged", "clean.md": "clean", "src/b.go": "flagged"}
-    responses = spark.createDataFrame([("a.md", 1), ("a.md", 2), ("src/b.go", 1), ("clean.md", 2)], "path string, segment long")
-    proposals = spark.createDataFrame([("a.md", 1, 0, "Teh", "The"), ("a.md", 2, 0, "teh end", "the end"), ("src/b.go", 1, 0, "teh", "*/")], "path string, segment long, proposal int, original string, replacement string")
+    responses = spark.createDataFrame([("a.md", 1), ("a.md", 2), ("a.md", 3), ("src/b.go", 1), ("clean.md", 2)], "path string, segment long")
+    proposals = spark.createDataFrame([("a.md", 1, 0, "Teh", "The"), ("a.md", 3, 0, "teh end", "the end"), ("src/b.go", 1, 0, "teh", "*/")], "path string, segment long, proposal int, original string, replacement string")
     validated = engine.validate(responses, proposals)
     got = {r.path: (r.code, r.accepted) for r in validated.collect()}
     assert got == {"a.md": (None, 2), "src/b.go": ("unsafe_delimiter_change", 0), "clean.md": ("unknown_segment_response", 0)}
@@ -64,7 +64,7 @@ def test_counts_codes_and_pages(spark, tmp_path):
             engine.page(*arguments)
     with pytest.raises(protocol.ProtocolError, match="snapshot_mismatch"):
         engine.response("off.md", "0" * 64)
-    assert [(r.kind, r.code) for r in engine.response("off.md").orderBy("ord").collect()][-1] == ("diagnostic", "disable_to_eof")
+    assert [(r.kind, r.code) for r in engine.response("off.md").orderBy("ord").collect()][-2:] == [("diagnostic", "disable_to_eof"), ("diagnostic", "protected_markdown_construct")]
 
 
 def test_candidates_keep_their_shape(spark, tmp_path):

@@ -1,10 +1,13 @@
 """Extraction keeps byte provenance and leaves protected constructs out."""
 
+import re
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from prosemill.operators import extract
+from prosemill.operators import extract, markdown
 
 MARKDOWN = """---
 title: x
@@ -49,9 +52,73 @@ def test_markdown(spark):
     files = spark.createDataFrame([(1, MARKDOWN)], "f int, text string")
     rows = extract.markdown_segments(files, "f").orderBy("segment").collect()
     check(rows, MARKDOWN)
-    assert [r.text for r in rows] == ["A héading 😀 here", "Some", "emphatic", "text with", "and", "a label", "quoted text", "Last line", "alt text", "end"]
-    codes = {(r.line, r.code) for r in extract.markdown_diagnostics(files, "f").collect()}
-    assert (1, "protected_frontmatter") in codes and (14, "protected_markdown_construct") in codes
+    assert [r.text for r in rows] == ["A héading 😀 here", "Some ", "emphatic", " text with ", " and ", "a label", "Last line ", "alt text", " end"]
+    parts = extract.markdown_parts(files, "f")
+    codes = {(r.line, r.code) for r in extract.markdown_diagnostics(parts, "f").collect()}
+    assert (1, "protected_frontmatter") in codes and (13, "protected_markdown_construct") in codes
+
+
+#: Files, and what of them may be edited: pieces with their place in the file's text.
+INLINE = [
+    ("Line with `code\nover lines` after", ["Line with ", " after"]),
+    ('a <span\ntitle="some words">x</span> b', ["a ", "x", " b"]),
+    ("see [label][ref words] on\n\n[ref  Words]: http://x.y 'T'", ["see ", "label", " on"]),
+    ("see [label][no words] on", ["see [label][no words] on"]),
+    ("[^1]: note words here\n\nwords[^1] and [^2] on", ["note words here", "words", " and [^2] on"]),
+    ("> quote *one\n> two* three\n> four  \n> five\nlazy *a*", ["quote ", "one\n> two", " three\n> four", "five\nlazy ", "a"]),
+    ("a\r\n**b**\r\nc\\\r\nd", ["a\r\n", "b", "\r\nc", "d"]),
+    ("1. one\n2. two\n   more\n\n   para\n- [x] done", ["one", "two\n   more", "para", "done"]),
+    ("e_f_g _h_ ***i*** *j **k*", ["e_f_g ", "h", "i", " *j *", "k"]),
+    ("*a [b* c](d) ![e *f* g](h) [i ![j](k) l](m)", ["*a ", "b* c", "e *f* g", "i ", "j", " l"]),
+    ("[a [b](c) d](e)", ["[a ", "b", " d](e)"]),
+    ("| a | b \\| c |\n|---|:-:|\n| d *e* | `f` | gone |", ["a", "d ", "e"]),
+    ("Head\n====\n\n# ATX *x* ##\n#hash\n***\ntail", ["Head", "ATX ", "x", "#hash", "tail"]),
+    ("~~a~~ ~b~ ~~~c", ["a", "b", " ~~~c"]),
+    ("see http://a.b/c(d)). and me@x.org or <http://e.f> now", ["see ", "http://a.b/c(d)", "). and ", "me@x.org", " or ", "http://e.f", " now"]),
+    ("text <!-- c\nd --> z", ["text ", " z"]),
+    ("[a]: <x y> 'title\nmore'\n[b]:\nz\nrest [a] [b][] [c]", ["rest ", "a", "b", " [c]"]),
+    ("- a\n\n      code\n\n  b\n\n> - c\n> d", ["a", "b", "c\n> d"]),
+    ("~~~\nno ```\n~~~~\n<pre>\n\nno\n</pre>\nyes", ["yes"]),
+    ("\\*x\\* words", []),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), INLINE)
+def test_markup_over_lines_and_nests(source, want):
+    rows = markdown.nodes(source)
+    assert [source[a:b] for kind, a, b, _ in rows if kind in ("text", "alt") and re.search("[^\\W\\d_]", source[a:b]) and "\\" not in source[a:b]] == want
+
+
+def test_nodes_in_spark_keep_their_bytes(spark):
+    files = spark.createDataFrame(list(enumerate(s for s, _ in INLINE)), "f int, text string")
+    for r in extract.markdown_segments(files, "f").collect():
+        assert INLINE[r.f][0].encode()[r.start_byte : r.end_byte].decode() == r.text and r.text in INLINE[r.f][1]
+
+
+def test_directives_cut_a_node_into_islands(spark):
+    source = "One é\r\ntwo <!-- prose-disable -->\r\nthree\r\nfour <!-- prose-enable --> five\r\nsix\r\n\r\n<!-- prose-disable-next-line -->\r\n> seven\r\n> eight\r\n> nine\r\n"
+    files = spark.createDataFrame([(1, source)], "f int, text string")
+    parts = extract.markdown_parts(files, "f").orderBy("start_byte").collect()
+    for r in parts:
+        assert source.encode()[r.start_byte : r.end_byte].decode() == r.raw
+    assert [(r.raw, r.line, r.outcome) for r in parts if r.kind == "text"] == [
+        ("One é\r\n", 1, "segment"), ("two ", 2, "suppressed"), ("\r\nthree\r\nfour ", 2, "suppressed"), (" five\r\n", 4, "suppressed"), ("six", 5, "segment"), ("seven\r\n", 8, "suppressed"), ("> eight\r\n> nine", 9, "segment"),
+    ]
+    assert extract.markdown_suppressed(extract.markdown_parts(files, "f"), "f").collect()[0].n == 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab `*_[]()<>!#>-+1.|~\\\r\n&:\"'=", max_size=120))
+def test_any_text_gives_ordered_nodes(source):
+    rows = [(a, b) for kind, a, b, _ in markdown.nodes(source) if kind in ("text", "alt")]
+    assert all(0 <= a < b <= len(source) for a, b in rows) and all(x[1] <= y[0] for x, y in zip(rows, rows[1:], strict=False))
+
+
+def test_long_hostile_markdown_takes_no_square_time():
+    for piece in ("*a ", "[", "`" * 3 + " ", "<a ", "![x](", "_a_*b", "> " * 3, "&a;", "a@", "[x][y] ", "- ", "http://"):
+        start = time.time()
+        markdown.nodes(piece * (60_000 // len(piece)))
+        assert time.time() - start < 20, piece
 
 
 def test_code(spark):
@@ -101,7 +168,7 @@ def test_whole_tables_are_extracted(spark, tmp_path):
     texts = {1: "plain words\nmore", 2: "a *b* [c](http://x.y) `no`", 3: "one & two\nR&amp;D here", 4: 'say "this" here', 5: "don't\nstop", 6: "x /* y\nz"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.segments, r.headings) for r in catalogue.QUERIES["extract_markdown"](spark, str(tmp_path)).collect()}
-    assert got == {1: (7, 1), 2: (8, 1), 3: (6, 1), 4: (6, 1), 5: (7, 1), 6: (8, 1)}
+    assert got == {1: (14, 1), 2: (16, 1), 3: (13, 1), 4: (14, 1), 5: (14, 1), 6: (14, 1)}
     got = {r.doc_id: (r.segments, r.bytes) for r in catalogue.QUERIES["extract_comments"](spark, str(tmp_path)).collect()}
     assert set(got) == set(texts) and got[1] == (2, 15) and got[4] == (1, 15) and got[5] == (2, 9)
 
@@ -130,7 +197,7 @@ def test_lexers_carry_their_state(spark, language):
 
 
 def test_blocks_that_are_no_prose(spark):
-    source = "Text one.\n\n    indented code\n\n<div>\nraw words\n</div>\n\n[a]: http://x.y title\n\n```\n~~~\nfenced\n````\n\n- item words\n\n  more item\n\nText two.\n"
+    source = "Text one.\n\n    indented code\n\n<div>\nraw words\n</div>\n\n[a]: http://x.y (title)\n\n```\n~~~\nfenced\n````\n\n- item words\n\n  more item\n\nText two.\n"
     rows = extract.markdown_segments(spark.createDataFrame([(1, source)], "f int, text string"), "f").orderBy("segment").collect()
     check(rows, source)
     assert [r.text for r in rows] == ["Text one.", "item words", "more item", "Text two."]
