@@ -19,17 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import markdown
+from . import markdown, script
 
 _BREAK = re.compile("\r\n|\r|\n")
-_MARK = re.compile(r"""//|/\*|(?<![A-Za-z0-9_])[bc]?r(?P<hashes>#*)"|["'`/()\[\]{}]""")
+_MARK = re.compile(r"""//|/\*|(?<![A-Za-z0-9_])[bc]?r(?P<hashes>#*)"|["'`()\[\]{}]""")
 _STRING = {'"': re.compile(r'"(?:[^"\\\n]|\\.)*"', re.DOTALL), "'": re.compile(r"'(?:[^'\\\n]|\\.)*'", re.DOTALL)}
 _LONG_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 _TEXT_BLOCK = re.compile(r'"""(?:[^\\]|\\.)*?"""', re.DOTALL)
 _RUST_CHAR = re.compile(r"'(?:[^'\\\n]|\\(?:u\{[0-9A-Fa-f_]+\}|x[0-9A-Fa-f]{2}|.))'")
-_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-_TEMPLATE = re.compile(r"\\.|`|\$\{", re.DOTALL)
-_VALUE_NEXT = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "do", "else", "instanceof", "yield", "await"}
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 _DOCSTRING = re.compile("[rRuU]{0,2}('''|\"\"\"|'|\")")
 
@@ -45,23 +42,12 @@ def _block_end(source: str, at: int, nested: bool) -> int | None:
     return None if end < 0 else end + 2
 
 
-def _regex_may_start(source: str, at: int) -> bool:
-    """Whether a slash of a script stands where a value is wanted, not a division."""
-    before = source[max(0, at - 40) : at].rstrip()
-    if not before:
-        return at < 40
-    word = re.search(r"[A-Za-z_$][\w$]*\Z", before)
-    return word[0] in _VALUE_NEXT if word else before[-1] in "(,=:[!&|?{};+-*%~^"
-
-
 def braced_comments(source: str, language: str) -> list[tuple[int, int]] | None:
-    """(start, end) of the comments of a language with braces; None if strings, comments or brackets don't close."""
-    script, found, stack, at = language in ("javascript", "typescript", "tsx"), [], [], 0
-    strict = language not in ("javascript", "tsx")  # their markup holds loose quotes and brackets
+    """(start, end) of the comments of Go, Java and Rust; None if strings, comments or brackets don't close."""
+    found, stack, at = [], [], 0
     while m := _MARK.search(source, at):
         token, i = m[0], m.start()
         at = m.end()
-        resumed = False
         if token == "//":
             end = source.find("\n", i)
             at = len(source) if end < 0 else end
@@ -81,17 +67,10 @@ def braced_comments(source: str, language: str) -> list[tuple[int, int]] | None:
                 return None
             at = end + 1 + len(m["hashes"])
         elif token in "([{":
-            if strict or token == "{":
-                stack.append(token)
+            stack.append(token)
         elif token in ")]}":
-            if token == "}" and stack and stack[-1] == "`":
-                stack.pop()
-                resumed = True
-            elif strict or token == "}":
-                if stack and _CLOSES.get(stack[-1]) == token:
-                    stack.pop()
-                elif strict:
-                    return None
+            if not stack or _CLOSES[stack.pop()] != token:
+                return None
         elif token in "\"'":
             if language == "rust":
                 string = (_LONG_STRING if token == '"' else _RUST_CHAR).match(source, i)
@@ -99,27 +78,14 @@ def braced_comments(source: str, language: str) -> list[tuple[int, int]] | None:
                     continue  # a lifetime
             else:
                 string = language == "java" and token == '"' and _TEXT_BLOCK.match(source, i) or _STRING[token].match(source, i)
-            if string:
-                at = string.end()
-            elif strict:
+            if not string:
                 return None
-        elif token == "/" and script and _regex_may_start(source, i):
-            regex = _REGEX.match(source, i)
-            at = regex.end() if regex else at
-        if token == "`" and language == "go":
+            at = string.end()
+        elif token == "`" and language == "go":
             at = source.find("`", at) + 1
             if not at:
                 return None
-        elif (token == "`" or resumed) and script:
-            while part := _TEMPLATE.search(source, at):
-                at = part.end()
-                if part[0] == "${":
-                    stack.append("`")
-                if part[0] in ("`", "${"):
-                    break
-            else:
-                return None
-    return None if strict and stack else found
+    return None if stack else found
 
 
 def python_comments(source: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool]]] | None:
@@ -170,7 +136,8 @@ def _comment_rows(source: str, language: str) -> list[tuple]:
         found = python_comments(source)
         spans, docs = found if found else (None, [])
     else:
-        spans = braced_comments(source, language)
+        scripts = ("javascript", "typescript", "tsx")
+        spans = script.script_comments(source, language != "typescript") if language in scripts else braced_comments(source, language)
     if spans is None:
         return [(0, "parse_error", 0, True, None, None, None, None, False)]
     breaks = [m.end() for m in _BREAK.finditer(source)]

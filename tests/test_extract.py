@@ -1,5 +1,6 @@
 """Extraction keeps byte provenance and leaves protected constructs out."""
 
+import random
 import re
 import time
 
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from prosemill.operators import extract, markdown
+from prosemill.operators import extract, markdown, script
 
 MARKDOWN = """---
 title: x
@@ -201,3 +202,68 @@ def test_blocks_that_are_no_prose(spark):
     rows = extract.markdown_segments(spark.createDataFrame([(1, source)], "f int, text string"), "f").orderBy("segment").collect()
     check(rows, source)
     assert [r.text for r in rows] == ["Text one.", "item words", "more item", "Text two."]
+
+
+#: Scripts and the comments in them.
+SCRIPTS = [
+    ("const a = <p>see http://x.y for teh words</p>; // yes", ["// yes"]),
+    ("if (ok) /\\(/.test(s); // a good note", ["// a good note"]),
+    ("if (x) /[\"']/.test(y); // see \"this\" note", ['// see "this" note']),
+    ("x = (a) / b; /* c */ y = a[0] / 2; // d", ["/* c */", "// d"]),
+    ("a = {b: 1} / 2; // e\n{ f() }\n/[/*]/.test(g) // h", ["// e", "// h"]),
+    ("i++ / 2 // j\nk! / 2 /* l/ */", ["// j", "/* l/ */"]),
+    ("m = `// no ${n /* o */ + `${p}// no`} // no`; // q", ["/* o */", "// q"]),
+    ("return <a b='// no' c={/* r */ d} /* s */ e>it's // no {/* t */} {u // v\n} <b.c/> \"</a> // w", ["/* r */", "/* s */", "/* t */", "// v", "// w"]),
+    ("f = <T,>(x: T) => x; g = a < b; // h\nh = <T extends U>(y: T) => <></>; /* i */", ["// h", "/* i */"]),
+    ("const e = cond ? <A x={<B/>}>// no<C>{`</A>`}</C></A> : /\\/\\//; // z", ["// z"]),
+    ("s = 'a\\\nb // no'; t.return / 2 // u\nfor await (const x of y) /=\\//.test(x) // v", ["// u", "// v"]),
+    ("#!/usr/bin/env node // no\nx // yes", ["// yes"]),
+    ("<Foo<string> a=\"1\">// no</Foo> // p", ["// p"]),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), SCRIPTS)
+def test_scripts(source, want):
+    assert [source[a:b] for a, b in script.script_comments(source, True)] == want
+
+
+@pytest.mark.parametrize("source", ["(", "a)", "'x", "`${a`", "/* x", "<a>", "<a></b>", "<a b=>{</a>", "{[}]", "<a {...b}"])
+def test_broken_scripts(source):
+    assert script.script_comments(source, True) is None
+
+
+def test_typescript_has_no_markup():
+    assert script.script_comments("const a = <any>b; // c", False) == [(18, 22)]
+
+
+def made_script(rng, depth=0):
+    """(text, comments) of an expression that holds comment marks wherever they mean nothing."""
+    kind = rng.choice(["word", "string", "regex", "template", "comment", "group", "call", "divide", "tag", "tag", "control", "object"] if depth < 4 else ["word", "string", "regex", "comment"])
+    if kind == "word":
+        return rng.choice(["a", "b1", "$c", "12", "d.e", "f.of"]), []
+    if kind == "string":
+        return rng.choice(["'// no'", '"/* no"', "'it\\'s */ //'"]), []
+    if kind == "regex":
+        return rng.choice(["(/[/*]\\/\\//g)", "(/['\"`]/)", "(/=\\/\\//)"]), []
+    inner, found = made_script(rng, depth + 1)
+    other, more = made_script(rng, depth + 1)
+    if kind == "comment":
+        c = rng.choice(["/* yes ' ` < { */", "// yes \" ( </a>\n"])
+        return f"({inner} {c} )", [*found, c.rstrip("\n")]
+    return {
+        "template": (f"`// no ${{{inner}}} /* no ${{ {other} }}`", found + more), "group": (f"[({inner}), {other}]", found + more), "call": (f"f<T>({inner}, {other})", found + more),
+        "divide": (f"({inner}) / ({other}) / 2", found + more), "tag": (f"(<a.b c='// no' d={{{inner}}}>it's // no \" /* {{{other}}} no */ <e/></a.b>)", found + more),
+        "control": (f"(() => {{ if ({inner}) /'\\//.test(x); return {other} }})", found + more), "object": (f"({{k: {inner}, m: {{n: {other}}}}})", found + more),
+    }[kind]
+
+
+def test_made_scripts_offer_comments_and_nothing_else():
+    for seed in range(400):
+        rng, source, want = random.Random(seed), "", []
+        for _ in range(6):
+            text, found = made_script(rng)
+            c = rng.choice(["", " // yes it's", " /* yes\n // \" */"])
+            source += f"x = {text};{c}\n"
+            want += [*found, *([c.strip()] if c else [])]
+        got = script.script_comments(source, True)
+        assert got is not None and [source[a:b] for a, b in got] == want, source
