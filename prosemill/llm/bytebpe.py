@@ -20,7 +20,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from .common import SLICE_BYTES, sliced
 #: The pattern that goes with the public rank files; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens in a generation of a worker's cache, and the longest that is kept, in characters.
-CACHED, CACHED_CHARS = 250_000, 64
+CACHED, CACHED_CHARS = 400_000, 64
 
 
 class RankQueue:
@@ -47,21 +47,15 @@ class RankQueue:
 
     def push(self, rank: int, place: int) -> None:
         bucket = self.buckets[rank]
-        if bucket is None:
-            self.buckets[rank] = [place]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
+        if bucket is not None:
             heappush(bucket, place)
-
-    def fill(self, places: dict[int, list[int]]) -> None:
-        """Put ascending places of several ranks into an empty queue."""
-        for rank, bucket in places.items():
-            self.buckets[rank] = bucket
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
+            return
+        self.buckets[rank] = [place]
+        word = rank >> 6
+        if not self.low[word]:
+            self.middle[word >> 6] |= 1 << (word & 63)
+            self.top |= 1 << (word >> 6)
+        self.low[word] |= 1 << (rank & 63)
 
     def pop(self) -> tuple[int, int] | None:
         """(least rank, its leftmost place), taken out; None of an empty queue."""
@@ -73,15 +67,26 @@ class RankQueue:
         word = self.low[mid]
         rank = mid << 6 | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            self.low[mid] ^= 1 << (rank & 63)
-            if not self.low[mid]:
-                self.middle[high] ^= 1 << (mid & 63)
-                if not self.middle[high]:
-                    self.top ^= 1 << high
-        return rank, place
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.buckets[rank] = None
+        word &= word - 1
+        self.low[mid] = word
+        if not word:
+            self.middle[high] &= self.middle[high] - 1
+            if not self.middle[high]:
+                self.top &= self.top - 1
+        return rank, bucket[0]
+
+
+class _Known(dict):
+    """Coded pre-tokens; what is missing is coded."""
+
+    def __init__(self, coded):
+        self.coded = coded
+
+    def __missing__(self, pre_token: str) -> tuple[bytes, bytes]:
+        return self.coded(pre_token)
 
 
 class ByteBpe:
@@ -96,11 +101,11 @@ class ByteBpe:
         self.tokens: list[bytes | None] = [None] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.pairs = {(t[0], t[1]): r for t, r in self.ranks.items() if len(t) == 2}
         self.longest = max(map(len, self.ranks))
         self.queue = RankQueue(size)
         self.split, self.newer = regex.compile(pattern), unassigned()
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young, self.old = _Known(self.coded), _Known(self.coded)
 
     def pre_tokens(self, text: str) -> list[str]:
         """The matches of the pattern."""
@@ -111,66 +116,61 @@ class ByteBpe:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue, longest = self.ranks, self.queue, self.longest
-        whole = ranks.get(data) if len(data) <= longest else None
+        get, longest, n = self.ranks.get, self.longest, len(data)
+        whole = get(data) if n <= longest else None
         if whole is not None:
             return [whole]
-        n = len(data)
+        tokens, push, pop = self.tokens, self.queue.push, self.queue.pop
         # a part is known by its first byte's place; ends[i] is 0 once part i is merged away
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            rank = ranks.get(data[i : i + 2])
+        for i, pair in enumerate(zip(data, data[1:])):
+            rank = self.pairs.get(pair)
             if rank is not None:
-                first.setdefault(rank, []).append(i)
-        queue.fill(first)
-        while (least := queue.pop()) is not None:
+                push(rank, i)
+        while (least := pop()) is not None:
             rank, left = least
             right = ends[left]
             if not right or right == n:
                 continue
             end = ends[right]
-            token = self.tokens[rank]
-            if end - left != len(token) or data[left:end] != token:
+            if data[left:end] != tokens[rank]:
                 continue  # stale: one of the two parts has grown since
             ends[left], ends[right] = end, 0
             if end < n:
                 before[end] = left
-                self._offer(data, left, ends[end])
+                further = ends[end]
+                if further - left <= longest and (rank := get(data[left:further])) is not None:
+                    push(rank, left)
             if left:
-                self._offer(data, before[left], end)
+                at = before[left]
+                if end - at <= longest and (rank := get(data[at:end])) is not None:
+                    push(rank, at)
         out, at = [], 0
         while at < n:
-            out.append(ranks[data[at : ends[at]]])
+            out.append(self.ranks[data[at : ends[at]]])
             at = ends[at]
         return out
 
-    def _offer(self, data: bytes, left: int, end: int) -> None:
-        if end - left <= self.longest:
-            rank = self.ranks.get(data[left:end])
-            if rank is not None:
-                self.queue.push(rank, left)
-
     def coded(self, pre_token: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit integers, bytes decoded from the ids) of a pre-token that the young generation lacks."""
-        found = self.old.get(pre_token)
+        """(ids as little-endian 32-bit integers, bytes decoded from the ids) of a pre-token that a generation lacks."""
+        found = dict.get(self.young, pre_token) or dict.get(self.old, pre_token)
         if found is None:
             ids = self.encode_bytes(pre_token.encode())
             found = np.array(ids, "<u4").tobytes(), self.decode(ids)
         if len(pre_token) <= CACHED_CHARS:
             if len(self.young) >= CACHED:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, _Known(self.coded)
             self.young[pre_token] = found
         return found
 
     def coded_texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Of each text what ``coded`` gives of a pre-token."""
         for text in texts:
-            units = self.pre_tokens(text) if text else []
-            parts = list(map(self.young.get, units))
-            if None in parts:
-                parts = [p or self.young.get(u) or self.coded(u) for u, p in zip(units, parts, strict=True)]
-            yield b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+            if not text:
+                yield b"", b""
+                continue
+            ids, back = zip(*map(self.young.__getitem__, self.pre_tokens(text)), strict=True)
+            yield b"".join(ids), b"".join(back)
 
     def encode(self, text: str) -> list[int]:
         return [i for u in self.pre_tokens(text) for i in self.encode_bytes(u.encode())]

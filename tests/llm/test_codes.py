@@ -48,6 +48,7 @@ def test_byte_bpe_merges_by_rank_then_from_the_left_for_any_ranks():
         coder = bytebpe.ByteBpe.__new__(bytebpe.ByteBpe)
         coder.tokens, coder.ranks = tokens, {t: i for i, t in enumerate(tokens)}
         coder.longest, coder.queue = 5, bytebpe.RankQueue(len(tokens))
+        coder.pairs = {(t[0], t[1]): i for i, t in enumerate(tokens) if len(t) == 2}
         for _ in range(20):
             data = bytes(rng.choice(b"abc") for _ in range(rng.randint(6, 40)))
             parts = [data[i : i + 1] for i in range(len(data))]
