@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.globs import patterns
-from .operators import extraction, policy, protocol, rollups, screen, validation
+from .operators import evaluate, extraction, paging, policy, protocol, rollups, screen, validation
 from .operators.lineage import checkpointed
 from .sources import apply, config, tree
 
@@ -20,13 +20,15 @@ MOST_SEGMENTS = 10_000
 class Engine:
     """Files are read once; everything else is a plan over them. What several steps read is checkpointed."""
 
-    def __init__(self, spark: SparkSession, root: str, overrides: dict | None = None, config_name: str = ".prose.json", prefix: str = "prose"):
+    def __init__(self, spark: SparkSession, root: str, overrides: dict | None = None, config_name: str = ".prose.json", prefix: str = "prose", targets: tuple[str, ...] = ()):
+        """``targets`` are paths below the root, files or folders, that a scan keeps to; none stands for all."""
         self.spark, self.root, self.prefix = spark, root, prefix
         self.preferences = config.load(root, overrides or {}, config_name)
         p = self.preferences
+        protocol.check_glossary(list(p.glossary))
         self.policy_digest = protocol.policy_digest(root, dataclasses.asdict(p))
         # excluded and hidden folders are not entered; a link or folder with a name of the policy gets the policy's code
-        rows = tree.read_tree(spark, root, tuple(policy.MANDATORY_DIRECTORIES), not p.include_hidden, tuple(patterns(list(p.exclude))))
+        rows = tree.read_tree(spark, root, tuple(policy.MANDATORY_DIRECTORIES), not p.include_hidden, tuple(patterns(list(p.exclude))), targets)
         named = policy.path_code("path", list(p.exclude), p.include_hidden)
         kind = F.when(named.isNotNull(), "unknown").otherwise(F.col("path_type"))
         coded = rows.withColumn("code", F.coalesce(named, F.col("code"), F.when(F.col("path_type") == "file", policy.scan_code("path", list(p.include), list(p.exclude), p.include_hidden)), policy.content_code("content"))).withColumn("path_type", kind)
@@ -69,21 +71,34 @@ class Engine:
         return self.extraction().notices
 
     def discover(self) -> DataFrame:
-        """(path, path_type, state, code, format, id, sha256, byte_length, eligible_segments, skipped_segments, suppressed_segments): every path and what became of it."""
+        """(path, path_type, state, code, format, id, sha256, byte_length, extracted_segments, eligible_segments, skipped_segments, suppressed_segments, diagnostics, notices, marker, marker_line): every path and what became of it."""
         found = self.extraction()
-        counts = self.prepared().groupBy("path").agg(F.count_if(F.col("code").isNull()).alias("n"), F.count_if(F.col("code").isNotNull()).alias("skipped"))
+        counts = self.prepared().groupBy("path").agg(F.count_if(F.col("code").isNull()).alias("n"), F.count_if(F.col("code").isNotNull()).alias("skipped"), F.countDistinct("segment").alias("extracted"))
         broken = found.diagnostics.where("code = 'parse_error'").select("path").distinct().withColumn("broken", F.lit("parse_failed"))
-        marked = found.generated.withColumn("marked", F.lit("generated_marker"))
-        joined = self.files.drop("text").join(counts, "path", "left").join(found.suppressed.withColumnRenamed("n", "suppressed"), "path", "left").join(broken, "path", "left").join(marked, "path", "left")
+        marked = found.generated.select("path", F.lit("generated_marker").alias("marked"), "marker", F.col("line").alias("marker_line"))
+        told = found.diagnostics.groupBy("path").agg(F.count("*").alias("diagnosed"))
+        noted = found.notices.groupBy("path").agg(F.count("*").alias("noticed"))
+        joined = self.files.drop("text")
+        for more in (counts, found.suppressed.withColumnRenamed("n", "suppressed"), broken, marked, told, noted):
+            joined = joined.join(more, "path", "left")
         many = F.when(F.col("n") > MOST_SEGMENTS, "too_many_segments")
         coded = joined.withColumn("code", F.coalesce("code", "marked", "broken", many)).withColumn("state", policy.state("code"))
         here = lambda c: F.when(F.col("state") == "eligible", F.coalesce(c, F.lit(0)))
-        return coded.select("path", "path_type", "state", "code", "format", "id", "sha256", "byte_length", here("n").alias("eligible_segments"), here("skipped").alias("skipped_segments"), here("suppressed").alias("suppressed_segments"))
+        return coded.select(
+            "path", "path_type", "state", "code", "format", "id", "sha256", "byte_length", here("extracted").alias("extracted_segments"), here("n").alias("eligible_segments"), here("skipped").alias("skipped_segments"),
+            here("suppressed").alias("suppressed_segments"), here("diagnosed").alias("diagnostics"), here("noticed").alias("notices"), "marker", "marker_line",
+        )
 
     def summary(self) -> DataFrame:
         """One row of counts, status and reason."""
         return rollups.summary(self.discover().withColumn("all", F.lit(1)), ["all"]).drop("all")
 
+    def by_format(self) -> DataFrame:
+        return rollups.by_format(self.discover())
+
+    def by_reason(self) -> DataFrame:
+        return rollups.by_reason(self.discover())
+
     def page(self, cursor: int = 0, policy_digest: str | None = None, scope: str | None = None, size: int = protocol.SCREEN_PAGE) -> tuple[DataFrame, int | None, str]:
         """(eligible entries from ``cursor`` on, next cursor, digest of the scan); later pages must name the digests that they go on from."""
         protocol.guard(cursor, policy_digest, self.policy_digest, "policy_mismatch")
@@ -93,18 +108,66 @@ class Engine:
         rows, following, _ = protocol.page(entries.where("state = 'eligible'"), cursor, size)
         return rows, following, now
 
+    def _unchanged(self, path: str, cursor: int, snapshot: str | None) -> None:
+        """Later pages must name the digest of the file that they go on from; a named one must be the present one."""
+        now = self._eligible().where(F.col("path") == path).select("sha256").first()
+        protocol.guard(cursor, snapshot, now.sha256 if now else "", "snapshot_mismatch")
+
     def response(self, path: str, snapshot: str | None = None) -> DataFrame:
         """Segments, diagnostics and notices of one file; ``snapshot`` is the digest that the caller saw."""
         one = F.col("path") == path
-        if snapshot and not self._eligible().where(one & (F.col("sha256") == snapshot)).limit(1).count():
-            raise protocol.ProtocolError("snapshot_mismatch")
+        self._unchanged(path, 0, snapshot)
         return protocol.response(self.segments().where(one), self.diagnostics().where(one), self.notices().where(one))
 
+    def records(self) -> DataFrame:
+        """What is sent of each file, segments with their neighbours, as protocol.records() has it."""
+        return protocol.records(extraction.with_neighbours(self.prepared()), self.diagnostics(), self.notices())
+
+    def record_pages(self) -> DataFrame:
+        """(path, page, cursor, next_cursor, records, characters, json_bytes): where requests for the records of a file start."""
+        return paging.page_starts(paging.paged(self.records(), "path", "ord", "characters", "json_bytes"), "path", "ord")
+
+    def record_page(self, path: str, cursor: int = 0, snapshot: str | None = None) -> tuple[DataFrame, int | None, int]:
+        """(records of a file from ``cursor`` on, next cursor, number of all): as much as the budgets let through."""
+        self._unchanged(path, cursor, snapshot)
+        mine = checkpointed(self.records().where(F.col("path") == path))
+        total = mine.count()
+        if cursor > total:
+            raise protocol.ProtocolError("invalid_cursor")
+        rest = paging.paged(mine.where(F.col("ord") >= cursor), "path", "ord", "characters", "json_bytes")
+        rows = mine.join(rest.select("path", "ord", "page", F.col("code").alias("page_code")), ["path", "ord"])
+        if rows.where((F.col("ord") == cursor) & F.col("page_code").isNotNull()).limit(1).count():
+            raise protocol.ProtocolError("record_too_large")
+        here = rows.where("page = 0 and page_code is null").drop("page", "page_code")
+        end = cursor + here.count()
+        return here, end if end < total else None, total
+
     def screen(self, expected: DataFrame, score: Callable[[list[str]], list[float]]) -> DataFrame:
         """(path, verdict, error_probability, code) of the files (path, expected_sha256) of an earlier scan."""
         now = expected.join(self._eligible().select("path", "sha256"), "path", "left")
         return screen.screened(now, self.segments(), "path", score, order="start_byte")
 
+    def screen_page(self, transport: screen.Transport, cursor: int = 0, policy_digest: str | None = None, scope: str | None = None) -> dict:
+        """Verdicts of a page of eligible files by a scorer that is called for each chunk of their prose.
+
+        Gives items (path, verdict, error_probability, code), total_files, next_cursor,
+        scope, threshold, model and input_tokens. A page fails as a whole.
+        """
+        protocol.guard(cursor, policy_digest, self.policy_digest, "policy_mismatch")
+        entries = self.discover()
+        now = protocol.scope_digest(entries, self.policy_digest)
+        protocol.guard(cursor, scope, now, "scope_mismatch")
+        rows, following, total = protocol.page(entries.where("state = 'eligible'"), cursor)
+        files = checkpointed(rows.select("path", "sha256", F.col("sha256").alias("expected_sha256")))
+        items, tokens, model = screen.screened_by_calls(files, self.segments(), "path", transport, self.preferences.dialect, self.preferences.glossary, order="start_byte")
+        return {"items": items, "total_files": total, "next_cursor": following, "scope": now, "threshold": rollups.FLAGGED_FROM, "model": model, "input_tokens": tokens}
+
+    def score(self, gold: str, predictions: str) -> tuple[DataFrame, DataFrame]:
+        """(scores by category, expectations whose file is not eligible) of predictions against labelled files, both JSON."""
+        expected, given = evaluate.read_gold(self.spark, gold), evaluate.read_predictions(self.spark, predictions)
+        pairs = rollups.matched(expected, given, ["path", "original", "replacement", "category"])
+        return rollups.scores(pairs, ["category"]), evaluate.not_eligible(expected, self.discover())
+
     def validate(self, responses: DataFrame, proposals: DataFrame) -> DataFrame:
         """(path, code, accepted, candidate, before_sha256): each answered file with its first reject code, or its new content.
 

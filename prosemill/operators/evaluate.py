@@ -29,8 +29,3 @@ def write_results(results: DataFrame, path: str) -> None:
 def not_eligible(expectations: DataFrame, entries: DataFrame) -> DataFrame:
     """Expectations whose file is not among the eligible ones."""
     return expectations.join(entries.where("state = 'eligible'").select("path"), "path", "left_anti").withColumn("code", F.lit("not_eligible"))
-
-
-def usage(answers: DataFrame) -> DataFrame:
-    """(input_tokens, model) of scorer answers (ord, input_tokens, model): the sum, and the first model."""
-    return answers.agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("input_tokens"), F.min_by("model", "ord").alias("model"))

@@ -24,12 +24,12 @@ _WORD_END = "(?![A-Za-z0-9_])"
 # Comment lines that belong to tools.
 PRAGMA = "(?i)^(?:eslint|prettier|istanbul|webpack|sourceMappingURL|@ts-|jshint|jslint)(?![A-Za-z0-9_])"
 # Lines that say that a file is generated.
-GENERATED_MARKERS = [
-    "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?Code generated .+ DO NOT EDIT\\.[ \\t]*(?:\\*/|-->)?[ \\t]*$",
-    "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?Generated by the protocol buffer compiler\\.?[ \\t]*(?:\\*/|-->)?[ \\t]*$",
-    "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?@generated(?![A-Za-z0-9_]).*?(?:-->)?[ \\t]*$",
-    "(?i)<auto-generated\\s*/?\\s*>",
-]
+GENERATED_MARKERS = {
+    "go_do_not_edit": "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?Code generated .+ DO NOT EDIT\\.[ \\t]*(?:\\*/|-->)?[ \\t]*$",
+    "protoc_banner": "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?Generated by the protocol buffer compiler\\.?[ \\t]*(?:\\*/|-->)?[ \\t]*$",
+    "generated_annotation": "(?im)^[ \\t]*(?:<!--[ \\t]*)?(?:(?:/[/!*]|\\*|#)[ \\t]*)?@generated(?![A-Za-z0-9_]).*?(?:-->)?[ \\t]*$",
+    "auto_generated_region": "(?i)<auto-generated\\s*/?\\s*>",
+}
 # Lines of documentation that a language gives a meaning.
 GO_LINE = f"\\A(?:go:|\\+build{_WORD_END}|#cgo{_WORD_END}|#[{SPACE}]|\\[.+\\]\\z)"
 SCRIPT_DOC = f"\\A@[A-Za-z]+{_WORD_END}|\\{{@[A-Za-z]+{_WORD_END}|```"
@@ -216,14 +216,23 @@ def markdown_notices(rows: DataFrame, key: str) -> DataFrame:
     return rows.where("heading").select(key, F.lit("anchor_may_change").alias("code")).distinct()
 
 
-def has_generated_marker(comment: Column) -> Column:
-    """Whether a comment says that its file is generated."""
-    found = F.lit(False)
-    for p in GENERATED_MARKERS:
-        found = found | comment.rlike(p)
+def generated_marker(comment: Column | str) -> Column:
+    """struct<marker, skipped>: the first kind of marker that a comment has, and how many line breaks stand before it; null for none."""
+    comment = F.col(comment) if isinstance(comment, str) else comment
+    found = F.lit(None).cast("struct<marker:string,skipped:bigint>")
+    for name, pattern in reversed(GENERATED_MARKERS.items()):
+        before = F.call_function("substring", comment, F.lit(1), F.regexp_instr(comment, F.lit(pattern)) - 1)
+        line = (F.size(F.split(before, "\r\n|\r|\n")) - 1).cast("long")
+        found = F.when(comment.rlike(pattern), F.struct(F.lit(name).alias("marker"), line.alias("skipped"))).otherwise(found)
     return found
 
 
+def first_markers(comments: DataFrame, key: str, text: str, line: str, order: str) -> DataFrame:
+    """(key, marker, line): the first marker of each file's comments, and the line that it stands on."""
+    marked = comments.select(key, F.col(line).alias("line"), F.col(order).alias("place"), generated_marker(text).alias("found")).where("found is not null")
+    return marked.groupBy(key).agg(F.min_by(F.struct("found.marker", (F.col("line") + F.col("found.skipped")).alias("line")), "place").alias("x")).select(key, "x.marker", "x.line")
+
+
 # Where a long text may be cut.
 _BOUNDARY = re.compile("[.!?][\"')\\]]*\\s+|(?:\\r?\\n|\\r(?!\\n)){2,}")
 

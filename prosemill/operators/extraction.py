@@ -26,7 +26,7 @@ class Extraction:
     suppressed: DataFrame  # path, n
     diagnostics: DataFrame  # path, line, code
     notices: DataFrame  # path, code
-    generated: DataFrame  # path of files with a marker in a comment
+    generated: DataFrame  # path, marker, line of files with a marker in a comment
 
     def shape(self) -> DataFrame:
         """(path, shape): counts and codes that an edit may not change."""
@@ -51,25 +51,25 @@ def extracted(files: DataFrame, formats: Iterable[str], glossary: tuple[str, ...
             suppressed.append(extract.markdown_suppressed(parts, "path"))
             diagnostics.append(extract.markdown_diagnostics(parts, "path"))
             notices.append(extract.markdown_notices(rows, "path"))
-            generated.append(parts.where("kind = 'html'").where(extract.has_generated_marker(F.col("raw"))).select("path"))
+            generated.append(extract.first_markers(parts.where("kind = 'html'"), "path", "raw", "line", "start_byte"))
         else:
             lines = checkpointed(extract.code_lines(mine, "path", f, prefix=prefix))
             pieces.append(lines.where("outcome = 'segment'").select("path", "line", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("inner").alias("text")))
             suppressed.append(lines.where("outcome = 'suppressed'").groupBy("path").agg(F.count("*").alias("n")))
             diagnostics.append(extract.code_diagnostics(lines, "path", f))
             notices.append(extract.code_notices(lines, "path", f))
-            generated.append(lines.where("part = 0 and kind = 'comment'").where(extract.has_generated_marker(F.col("whole"))).select("path"))
+            generated.append(extract.first_markers(lines.where("part = 0 and kind = 'comment'"), "path", "whole", "line", "comment"))
     if not pieces:
         none = files.where("false")
         pieces = [none.select("path", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("start_byte"), F.lit(0).cast("long").alias("end_byte"), "text")]
-        suppressed, diagnostics, notices, generated = [none.select("path", F.lit(0).cast("long").alias("n"))], [empty], [empty.select("path", "code")], [none.select("path")]
+        suppressed, diagnostics, notices, generated = [none.select("path", F.lit(0).cast("long").alias("n"))], [empty], [empty.select("path", "code")], [none.select("path", F.lit(None).cast("string").alias("marker"), F.lit(0).cast("long").alias("line"))]
     every = lambda frames: reduce(DataFrame.unionByName, frames)
     rows = every(pieces).withColumn("local", protected_ranges("text", glossary=glossary))
     whole = F.exists("local", lambda r: (r["start_byte"] == 0) & (r["end_byte"] == F.octet_length("text")))
     shifted = F.transform("local", lambda r: F.struct((r["start_byte"] + F.col("start_byte")).alias("start_byte"), (r["end_byte"] + F.col("start_byte")).alias("end_byte")))
     numbered = rows.where(~whole).withColumn("ranges", shifted).withColumn("segment", F.row_number().over(Window.partitionBy("path").orderBy("start_byte")).cast("long"))
     kept = checkpointed(numbered.select("path", "segment", "line", "start_byte", "end_byte", "text", "ranges"))
-    return Extraction(kept, every(suppressed).where("n > 0"), every(diagnostics), every(notices), every(generated).distinct())
+    return Extraction(kept, every(suppressed).where("n > 0"), every(diagnostics), every(notices), every(generated))
 
 
 def prepared(rows: DataFrame, most: int = MOST_UNITS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import utf16_order
+from . import paging
 
 SCREEN_PAGE = 16
 VERSION = 1
@@ -88,6 +89,26 @@ def well_formed(text: str) -> bool:
     return True
 
 
+def records(prepared: DataFrame, diagnostics: DataFrame, notices: DataFrame) -> DataFrame:
+    """(path, ord, kind, segment, part, text, context, line, code, json, characters, json_bytes): what is sent of each file, in order.
+
+    First come segments, those that cannot be cut as ``skipped`` with their
+    code, then diagnostics by line, then notices. ``prepared`` has (path,
+    segment, part, start_byte, text, context, code).
+    """
+    null = lambda t: F.lit(None).cast(t)
+    oversized = F.col("code").isNotNull()
+    parts = [
+        prepared.select("path", F.lit(0).alias("group"), F.col("start_byte").alias("place"), F.when(oversized, "skipped").otherwise("segment").alias("kind"), "segment", "part", F.when(~oversized, F.col("text")).alias("text"), F.when(~oversized, F.col("context")).alias("context"), null("long").alias("line"), "code"),
+        diagnostics.select("path", F.lit(1).alias("group"), F.col("line").alias("place"), F.lit("diagnostic").alias("kind"), null("long").alias("segment"), null("long").alias("part"), null("string").alias("text"), null("array<string>").alias("context"), "line", "code"),
+        notices.select("path", F.lit(2).alias("group"), F.lit(0).cast("long").alias("place"), F.lit("notice").alias("kind"), null("long").alias("segment"), null("long").alias("part"), null("string").alias("text"), null("array<string>").alias("context"), null("long").alias("line"), "code"),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ordered = every.withColumn("ord", (F.row_number().over(Window.partitionBy("path").orderBy("group", "place", "code")) - 1).cast("long"))
+    sent = paging.record_json("kind", "segment", "part", "text", "context", "line", "code")
+    return paging.with_sizes(ordered.drop("group", "place").withColumn("json", sent), "text", "context")
+
+
 def response(segments: DataFrame, diagnostics: DataFrame, notices: DataFrame) -> DataFrame:
     """(path, ord, kind, segment, text, line, code): segments of a file, then its diagnostics, then its notices."""
     rows = [

@@ -12,8 +12,11 @@ FLAGGED_FROM = 0.2
 def summary(entries: DataFrame, by: list[str]) -> DataFrame:
     """Counts of a scan, its narrow_coverage flag, status and the reason why nothing is eligible.
 
-    entries: (path_type, state, code, eligible_segments, skipped_segments, suppressed_segments).
+    entries: (path_type, state, code, eligible_segments, skipped_segments, suppressed_segments),
+    and diagnostics and notices, which are summed up where there are any.
     """
+    told = {"diagnostics": "diagnostic_count", "notices": "notice_count"}
+    told = {c: name for c, name in told.items() if c in entries.columns}
     n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long")
     skipped = F.col("state") == "skipped"
     sums = entries.groupBy(*by).agg(
@@ -22,6 +25,7 @@ def summary(entries: DataFrame, by: list[str]) -> DataFrame:
         n("eligible_segments").alias("eligible_segments"), n("skipped_segments").alias("skipped_segments"), n("suppressed_segments").alias("suppressed_segments"),
         F.count_if(skipped & F.col("code").isin("invalid_utf8", "binary")).alias("encodings"), F.count_if(skipped & (F.col("code") == "too_large")).alias("oversized"),
         F.count_if(skipped & F.col("code").isin("unsupported_format", "plain_text_unsupported")).alias("unsupported"),
+        *(n(c).alias(name) for c, name in told.items()),
     )
     narrow = (F.col("files_eligible") == 0) | ((F.col("files_considered") >= 10) & (F.col("files_eligible") / F.nullif("files_considered", F.lit(0)) < 0.5))
     status = F.when(F.col("paths_failed") > 0, "incomplete").when(F.col("eligible_segments") == 0, "no_eligible_text").otherwise("preview")
@@ -32,7 +36,26 @@ def summary(entries: DataFrame, by: list[str]) -> DataFrame:
         .when(F.col("encodings") > 0, "unsupported_encoding").when(F.col("oversized") > 0, "oversized_files")
         .when((F.col("paths_skipped") > 0) & (F.col("unsupported") == F.col("paths_skipped")), "no_supported_file_types").when(F.col("paths_skipped") > 0, "all_candidates_excluded").otherwise("empty_scope")
     )
-    return sums.select(*by, "files_eligible", "files_considered", "paths_skipped", "paths_failed", "eligible_segments", "skipped_segments", "suppressed_segments", narrow.alias("narrow_coverage"), status.alias("status"), reason.alias("reason"))
+    return sums.select(*by, "files_eligible", "files_considered", "paths_skipped", "paths_failed", "eligible_segments", "skipped_segments", "suppressed_segments", *told.values(), narrow.alias("narrow_coverage"), status.alias("status"), reason.alias("reason"))
+
+
+def by_format(entries: DataFrame) -> DataFrame:
+    """(format, files, eligible_segments, skipped_segments, suppressed_segments) of eligible files, in the order of a dictionary."""
+    n = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c)
+    sums = entries.where("state = 'eligible'").groupBy("format").agg(F.count("*").alias("files"), n("eligible_segments"), n("skipped_segments"), n("suppressed_segments"))
+    return sums.orderBy(F.collate("format", "UNICODE"))
+
+
+def by_reason(entries: DataFrame) -> DataFrame:
+    """(state, code, paths) of what is skipped and what failed, in the order of a dictionary."""
+    return entries.where("state in ('skipped', 'failed')").groupBy("state", "code").agg(F.count("*").alias("paths")).orderBy(F.collate("state", "UNICODE"), F.collate("code", "UNICODE"))
+
+
+def categories(proposals: DataFrame, validated: DataFrame, file: str) -> DataFrame:
+    """(file, category, edits): the edits of each category in files whose answer is accepted. A null category counts as other."""
+    accepted = validated.where("code is null").select(file)
+    kept = proposals.join(accepted, file, "left_semi")
+    return kept.groupBy(file, F.coalesce("category", F.lit("other")).alias("category")).agg(F.count("*").alias("edits"))
 
 
 def verdict(code: Column, most: Column) -> Column:

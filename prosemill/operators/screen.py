@@ -3,35 +3,114 @@
 from __future__ import annotations
 
 import re
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import greedy_groups
+from .lineage import checkpointed
 from .rollups import verdict
 
 CHUNK = 60_000
 
 
 class ScorerError(Exception):
-    """A scorer's failure: missing_key, auth_failed, unreachable, unavailable or invalid_response. It fails the job."""
+    """A scorer's failure: missing_key, auth_failed, unreachable, unavailable, invalid_response or cancelled. A page of files fails as a whole."""
 
 
 #: What a scorer is asked; the state of a call is the dialect, the glossary and the prose.
 QUESTION = "How likely is it that this prose holds an error of spelling, grammar, punctuation, capitalization or usage?"
-#: A scorer's HTTP status to its error; others are invalid_response.
-ERRORS = {401: "auth_failed", 403: "auth_failed", 408: "unavailable", 429: "unavailable", 500: "unavailable", 502: "unavailable", 503: "unavailable", 504: "unavailable"}
+#: Statuses after which a call is made again.
+RETRIED = {429, 500, 502, 503, 504, 529}
+ATTEMPTS, BACKOFF_SECONDS, CONCURRENT = 3, 0.5, 4
+#: A call: takes what is asked, gives (status, answer), status None where nothing answered.
+Transport = Callable[[dict], tuple[int | None, dict | None]]
+
+
+@dataclass(frozen=True)
+class Answer:
+    probability: float
+    model: str
+    input_tokens: int
 
 
 def scorer_state(dialect: str, glossary: tuple[str, ...], prose: str) -> dict:
     return {"question": QUESTION, "dialect": dialect, "glossary": list(glossary), "prose": prose}
 
 
-def scorer_error(status: int | None) -> ScorerError:
-    """The error of an answer's status; None stands for no answer."""
-    return ScorerError("unreachable" if status is None else ERRORS.get(status, "invalid_response"))
+def read_answer(body: dict | None) -> Answer:
+    """The answer in a body (probability, model, input_tokens, 0 if absent); others are invalid_response."""
+    try:
+        found = Answer(float(body["probability"]), str(body["model"]), int(body.get("input_tokens") or 0))
+    except (TypeError, KeyError, ValueError, AttributeError):
+        raise ScorerError("invalid_response") from None
+    if not 0 <= found.probability <= 1 or not 1 <= len(found.model) <= 256 or found.input_tokens < 0:
+        raise ScorerError("invalid_response")
+    return found
+
+
+def ask(transport: Transport, state: dict, sleep: Callable[[float], None] = time.sleep) -> Answer:
+    """One answer. Busy and failing servers are asked ``ATTEMPTS`` times, with a wait that doubles; nothing else is repeated."""
+    for attempt in range(1, ATTEMPTS + 1):
+        status, body = transport(state)
+        if status is None:
+            raise ScorerError("unreachable")
+        if status in (401, 403):
+            raise ScorerError("auth_failed")
+        if status not in RETRIED:
+            if not 200 <= status < 300:
+                raise ScorerError("invalid_response")
+            return read_answer(body)
+        if attempt < ATTEMPTS:
+            sleep(BACKOFF_SECONDS * 2 ** (attempt - 1))
+    raise ScorerError("unavailable")
+
+
+def asked(chunked: DataFrame, key: str, transport: Transport, dialect: str, glossary: tuple[str, ...] = (), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(key, chunk, probability, model, input_tokens, code) of chunks (key, chunk, prose).
+
+    A task has ``CONCURRENT`` calls under way at most. After a call has failed,
+    calls that the task has not begun are not made and get ``cancelled``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = threading.Event()
+
+        def call(prose: str) -> tuple[Answer | None, str | None]:
+            if failed.is_set():
+                return None, "cancelled"
+            try:
+                return ask(transport, scorer_state(dialect, glossary, prose), sleep), None
+            except ScorerError as e:
+                failed.set()
+                return None, str(e)
+
+        with ThreadPoolExecutor(CONCURRENT) as pool:
+            for batch in batches:
+                found = list(pool.map(call, batch.column(2).to_pylist()))
+                columns = [[getattr(a, name) if a else None for a, _ in found] for name in ("probability", "model", "input_tokens")]
+                types = [pa.float64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, types), pa.array([c for _, c in found], pa.string())], names=[key, "chunk", "probability", "model", "input_tokens", "code"])
+
+    return chunked.select(key, F.col("chunk").cast("long"), "prose").mapInArrow(run, f"{key} {dict(chunked.dtypes)[key]}, chunk long, probability double, model string, input_tokens long, code string")
+
+
+def usage(answers: DataFrame, key: str) -> tuple[int, str | None]:
+    """(tokens of all calls, model of the first one); raises the error of the first call that failed, if one did."""
+    sums = answers.agg(
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("tokens"), F.min_by("model", F.struct(key, "chunk")).alias("model"),
+        F.min_by("code", F.when(F.col("code").isNotNull(), F.struct(F.col("code") == "cancelled", key, "chunk"))).alias("code"),
+    ).first()
+    if sums.code:
+        raise ScorerError(sums.code)
+    return sums.tokens, sums.model
 
 
 def share_of_known_errors(lexicon: frozenset[str]) -> Callable[[list[str]], list[float]]:
@@ -56,14 +135,30 @@ def chunks(segments: DataFrame, key: str, text: str, order: str, most: int = CHU
 
 def screened(files: DataFrame, segments: DataFrame, key: str, score: Callable[[list[str]], list[float]], text: str = "text", order: str = "segment", most: int = CHUNK) -> DataFrame:
     """(key, verdict, error_probability, code) for files (key, sha256, expected_sha256): a stale file is flagged unread."""
-    stale = F.when(~F.col("sha256").eqNullSafe(F.col("expected_sha256")), "snapshot_mismatch")
-    marked = files.select(key, stale.alias("code"))
-    fresh = segments.join(marked.where("code is null").select(key), key, "left_semi")
+    marked, fresh = _marked(files, segments, key)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({key: frame[key], "p": score(frame["prose"].tolist())})
 
-    scored = chunks(fresh, key, text, order, most).mapInPandas(run, f"{key} {dict(segments.dtypes)[key]}, p double").groupBy(key).agg(F.max("p").alias("error_probability"))
-    joined = marked.join(scored, key, "left")
+    return _verdicts(marked, chunks(fresh, key, text, order, most).mapInPandas(run, f"{key} {dict(segments.dtypes)[key]}, p double"), key)
+
+
+def screened_by_calls(files: DataFrame, segments: DataFrame, key: str, transport: Transport, dialect: str, glossary: tuple[str, ...] = (), text: str = "text", order: str = "segment", most: int = CHUNK, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, int, str | None]:
+    """(verdicts as ``screened`` gives them, tokens, model) from a scorer that is called for each chunk; raises if a call fails."""
+    marked, fresh = _marked(files, segments, key)
+    # calls cost; they are made once
+    answers = checkpointed(asked(chunks(fresh, key, text, order, most), key, transport, dialect, glossary, sleep))
+    tokens, model = usage(answers, key)
+    return _verdicts(marked, answers.select(key, F.col("probability").alias("p")), key), tokens, model
+
+
+def _marked(files: DataFrame, segments: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    stale = F.when(~F.col("sha256").eqNullSafe(F.col("expected_sha256")), "snapshot_mismatch")
+    marked = files.select(key, stale.alias("code"))
+    return marked, segments.join(marked.where("code is null").select(key), key, "left_semi")
+
+
+def _verdicts(marked: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    joined = marked.join(scored.groupBy(key).agg(F.max("p").alias("error_probability")), key, "left")
     return joined.select(key, verdict(F.col("code"), F.col("error_probability")).alias("verdict"), "error_probability", "code")

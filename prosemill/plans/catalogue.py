@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import extract, policy, protocol, report, rollups, segments, validation
+from ..operators import extract, paging, policy, protocol, report, rollups, segments, validation
 from ..operators.closure import reachable
 
 QUERIES: dict = {}
@@ -247,6 +247,39 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page", "records", (F.col("a") - 1).alias("cursor"), F.when(F.col("b") < most, F.col("b")).alias("next_cursor"))
 
 
+_RECORDS_SQL = f"select doc_id, segment, length(body)::bigint as c, strlen(to_json({{'segment': segment, 'text': body}})::varchar)::bigint as b, max(segment) over (partition by doc_id) as m from ({_SEGMENTS_SQL})"
+# records of more than 700 characters or 760 bytes stand on no page; the next one starts a page
+_BUDGET_SQL = f"""with recursive s as materialized ({_RECORDS_SQL}), g as (
+  select doc_id, segment, c, b, case when c > 700 or b > 760 then 0 else c end as cs, case when c > 700 or b > 760 then 0 else b end as bs, case when c > 700 or b > 760 then 0 else 1 end as n, 0::bigint as page, c > 700 or b > 760 as large, false as closed from s where segment = 1
+  union all select s.doc_id, s.segment, s.c, s.b, case when s.c > 700 or s.b > 760 then g.cs when o.fresh then s.c else g.cs + s.c end, case when s.c > 700 or s.b > 760 then g.bs when o.fresh then s.b else g.bs + s.b end,
+    case when s.c > 700 or s.b > 760 then g.n when o.fresh then 1 else g.n + 1 end, case when o.fresh then g.page + 1 else g.page end, s.c > 700 or s.b > 760, case when s.c > 700 or s.b > 760 then g.n > 0 else false end
+  from g join s on s.doc_id = g.doc_id and s.segment = g.segment + 1, lateral (select not (s.c > 700 or s.b > 760) and g.n > 0 and (g.closed or g.n >= 6 or g.cs + s.c > 700 or g.bs + s.b > 760) as fresh) o)
+  select doc_id, page, min(segment) as cursor, lead(min(segment)) over (partition by doc_id order by page) as next_cursor, count(*) as records, sum(c)::bigint as characters, sum(b)::bigint as json_bytes from g where not large group by 1, 2"""
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.segments(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.select("doc_id", "segment", F.length("body").alias("c"), T.byte_length(paging.record_json("segment", F.col("body").alias("text"))).alias("b"))
+
+
+@query(_BUDGET_SQL)
+def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of pages under three budgets: records, characters and bytes of JSON."""
+    return paging.page_starts(paging.paged(_sized(spark, sf_dir), "doc_id", "segment", "c", "b", paging.Budget(6, 700, 760)), "doc_id", "segment")
+
+
+@query(f"""with recursive s as materialized ({_RECORDS_SQL}), g as (
+  select doc_id, segment, c, case when c > 120 then 0 else c end as cs, 1 as n, 0::bigint as page from s where segment = 1
+  union all select s.doc_id, s.segment, s.c, case when s.c > 120 then (case when o.fresh then 0 else g.cs end) when o.fresh then s.c else g.cs + s.c end, case when o.fresh then 1 else g.n + 1 end, case when o.fresh then g.page + 1 else g.page end
+  from g join s on s.doc_id = g.doc_id and s.segment = g.segment + 1, lateral (select g.n >= 8 or (s.c <= 120 and g.cs + s.c > 120) as fresh) o)
+  select doc_id, page, count(*) filter (c <= 120) as kept, count(*) filter (c > 120) as skipped, sum(case when c <= 120 then c else 0 end)::bigint as characters from g group by 1, 2""")
+def skipping_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages on which records that are too long take a place and are skipped."""
+    pages = paging.paged(_sized(spark, sf_dir).withColumn("b", F.lit(0)), "doc_id", "segment", "c", "b", paging.Budget(8, 120, 1), skip_oversized=True)
+    skipped = F.col("code").isNotNull()
+    return pages.groupBy("doc_id", "page").agg(F.count_if(~skipped).alias("kept"), F.count_if(skipped).alias("skipped"), F.sum(F.when(skipped, 0).otherwise(F.col("characters"))).alias("characters"))
+
+
 _ITEMS_SQL = """select doc_id, case when doc_id % 11 = 0 then 'snapshot_mismatch' end as code, case when doc_id % 11 = 0 or doc_id % 13 = 0 then null else greatest(doc_id % 10, (doc_id * 7) % 10) / 10 end as probability from documents"""
 
 

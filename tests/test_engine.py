@@ -3,7 +3,7 @@
 import pytest
 
 from prosemill.engine import Engine
-from prosemill.operators import protocol, screen
+from prosemill.operators import protocol, rollups, screen
 
 
 def test_engine(spark, tmp_path):
@@ -84,3 +84,43 @@ def test_candidates_keep_their_shape(spark, tmp_path):
     assert got == {"a.py": (None, 1), "b.md": (None, 0), "c.java": ("structural_invariant_failed", 0)}
     with pytest.raises(protocol.ProtocolError, match="invalid_glossary"):
         protocol.check_glossary(["ok", "", "\ud800"])
+
+
+def test_pages_counts_and_scores(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "many.md").write_text("\n\n".join(f"Paragraph {i} of words." for i in range(40)) + "\n\n# Heading\n\n`code`\n\n" + "Long words here. " * 1500)
+    (root / "solid.md").write_text("a" * 13_000 + "\n")
+    (root / "gen.go").write_text("package x\n\n// first\n/* words\n Code generated by x. DO NOT EDIT. */\n// @generated\n")
+    (root / "b.py").write_text("# teh comment\n")
+    engine = Engine(spark, str(root))
+    entries = {r.path: r for r in engine.discover().collect()}
+    assert (entries["gen.go"].code, entries["gen.go"].marker, entries["gen.go"].marker_line) == ("generated_marker", "go_do_not_edit", 5)
+    many = entries["many.md"]
+    assert (many.extracted_segments, many.eligible_segments, many.diagnostics, many.notices) == (42, 44, 1, 1)
+    summary = engine.summary().first()
+    assert (summary.diagnostic_count, summary.notice_count, summary.skipped_segments) == (2, 1, 1)
+    assert [tuple(r) for r in engine.by_format().collect()] == [("markdown", 2, 44, 1, 0), ("python", 1, 1, 0, 0)] and [tuple(r) for r in engine.by_reason().collect()] == [("skipped", "generated_marker", 1)]
+    pages = engine.record_pages().where("path = 'many.md'").orderBy("page").collect()
+    assert [r.cursor for r in pages] == [0, 32, 42, 43, 44][: len(pages)] and pages[-1].next_cursor is None and max(r.records for r in pages) == 32 and max(r.characters for r in pages) <= 12_000
+    seen, cursor = [], 0
+    while cursor is not None:
+        rows, cursor, total = engine.record_page("many.md", cursor, many.sha256)
+        seen += [(r.ord, r.kind) for r in rows.orderBy("ord").collect()]
+    assert [o for o, _ in seen] == list(range(total)) and total == 46 and [k for _, k in seen[-2:]] == ["diagnostic", "notice"]
+    assert [(r.kind, r.code, r.text) for r in engine.record_page("solid.md")[0].collect()] == [("skipped", "oversized_segment", None)]
+    for cursor, digest in ((1, None), (0, "0" * 64)):
+        with pytest.raises(protocol.ProtocolError, match="snapshot_mismatch"):
+            engine.record_page("many.md", cursor, digest)
+    page = engine.screen_page(lambda state: (200, {"probability": 0.5 if "teh" in state["prose"] else 0.0, "model": state["dialect"], "input_tokens": 1}))
+    assert {r.path: r.verdict for r in page["items"].collect()} == {"b.py": "flagged", "many.md": "clean", "solid.md": "no_segments"}
+    assert (page["total_files"], page["next_cursor"], page["model"], page["input_tokens"]) == (3, None, "en-US", 2)
+    (tmp_path / "gold.json").write_text('[{"path": "b.py", "dialect": "en-US", "corrections": [{"segmentHint": "x", "original": "teh", "replacement": "the", "category": "spelling"}]}, {"path": "gen.go", "dialect": "en-US", "corrections": [{"original": "wrds", "replacement": "words", "category": "spelling"}]}]')
+    (tmp_path / "made.json").write_text('[{"path": "b.py", "proposals": [{"original": "teh", "replacement": "the", "category": "spelling"}, {"original": "comment", "replacement": "comments", "category": "grammar"}]}]')
+    scores, missing = engine.score(str(tmp_path / "gold.json"), str(tmp_path / "made.json"))
+    assert {r.category: (r.tp, r.fp, r.fn) for r in scores.collect()} == {"spelling": (1, 0, 1), "grammar": (0, 1, 0)} and [(r.path, r.code) for r in missing.collect()] == [("gen.go", "not_eligible")]
+    one = Engine(spark, str(root), targets=("b.py", "b.py"))
+    assert [r.path for r in one.discover().collect()] == ["b.py"]
+    proposals = spark.createDataFrame([("b.py", 1, 0, "teh", "the", "spelling"), ("solid.md", 1, 0, "a", "b", None)], "path string, segment long, proposal int, original string, replacement string, category string")
+    validated = one.validate(spark.createDataFrame([("b.py", 1)], "path string, segment long"), proposals)
+    assert [tuple(r) for r in rollups.categories(proposals, validated, "path").collect()] == [("b.py", "spelling", 1)]

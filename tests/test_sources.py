@@ -72,3 +72,86 @@ def test_audit_stream(spark, tmp_path):
     query = audit.unfinished(audit.events(spark, str(folder))).writeStream.format("memory").queryName("open_writes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r.path for r in spark.sql("select path from open_writes").collect()] == ["y"]
+
+
+def test_targets_are_read_once(spark, tmp_path):
+    for name in ("a/b/c.md", "a/b/d.md", "a/e.md", "f.md", "g/h.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    read = lambda *targets: sorted(r.path for r in tree.read_tree(spark, str(tmp_path), targets=targets).collect())
+    assert read() == read(".") == read("a", ".", "g") == ["a/b/c.md", "a/b/d.md", "a/e.md", "f.md", "g/h.md"]
+    assert read("a/b/c.md", "a/b", "a/b/c.md", "f.md") == ["a/b/c.md", "a/b/d.md", "f.md"] and read("a/b/c.md") == ["a/b/c.md"]
+    gone = {r.path: r.code for r in tree.read_tree(spark, str(tmp_path), targets=("nope.md", "f.md/x")).collect()}
+    assert gone == {"nope.md": "read_failed", "f.md": None}
+    pruned = {r.path: r.code for r in tree.read_tree(spark, str(tmp_path), names=("b",), targets=("a/b/c.md", "a/b/d.md")).collect()}
+    assert set(pruned.values()) == {"mandatory_directory"}
+    assert tree.outermost(["b/c", "b", "a", "b/c/d", "ab"]) == ["a", "ab", "b"] and tree.outermost([]) == ["."]
+    for bad in ("../x", "/x", "a//b", "a/./b", "a\\b", "a\nb"):
+        with pytest.raises(ValueError, match="unsafe_path"):
+            tree.outermost([bad])
+
+
+def test_folders_that_change_under_a_scan(tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "other").mkdir()
+    for folder in ("a/b", "other"):
+        (tmp_path / folder / "x.md").write_text("words")
+    reader = tree.TreeReader(str(tmp_path), {})
+    [entry] = [p for p in reader.partitions() if p.value == "a/b"]
+    assert [(r[0], r[2]) for r in reader.read(entry)] == [("a/b/x.md", None)]
+    (tmp_path / "a").rename(tmp_path / "old")
+    os.symlink(tmp_path / "old", tmp_path / "a")
+    assert [(r[0], r[2], r[4]) for r in reader.read(entry)] == [("a/b", "path_changed", None)]
+    (tmp_path / "a").unlink()
+    (tmp_path / "other").rename(tmp_path / "a")
+    (tmp_path / "a/b").mkdir()
+    (tmp_path / "a/b/x.md").write_text("words")
+    assert [r[2] for r in reader.read(entry)] == ["path_changed"]
+    with pytest.raises(ValueError, match="symlink"):
+        os.symlink(tmp_path, tmp_path / "loop")
+        tree.chain_of(str(tmp_path / "loop/a"))
+    assert tree.read_file(str(tmp_path), "a/b/x.md") == (None, 5, b"words") and tree.read_file(str(tmp_path), "a/b")[0] is not None
+
+
+def stub(plan):
+    """A scorer that answers by a word of the prose; ``plan`` has the statuses of words that fail at first or always."""
+
+    def transport(state):
+        word = state["prose"].split()[0]
+        statuses = plan.get(word, [])
+        calls = state_of.setdefault(word, 0)
+        state_of[word] = calls + 1
+        status = statuses[calls] if calls < len(statuses) else 200
+        return status, {"probability": 0.9 if "teh" in state["prose"] else 0.1, "model": f"m-{word}", "input_tokens": len(state["prose"])} if status == 200 else None
+
+    state_of: dict = {}
+    transport.calls = state_of
+    return transport
+
+
+def test_calls_are_repeated_and_fail_by_code():
+    waits = []
+    busy = stub({"a": [503, 429], "b": [500, 500, 500], "c": [401], "d": [404], "e": [None]})
+    ask = lambda prose: screen.ask(busy, screen.scorer_state("en-US", (), prose), waits.append)
+    assert ask("a teh") == screen.Answer(0.9, "m-a", 5) and waits == [0.5, 1.0]
+    for prose, code in (("b", "unavailable"), ("c", "auth_failed"), ("d", "invalid_response"), ("e", "unreachable")):
+        with pytest.raises(screen.ScorerError, match=code):
+            ask(prose)
+    assert busy.calls == {"a": 3, "b": 3, "c": 1, "d": 1, "e": 1}
+    for body in (None, {}, {"probability": 2, "model": "m"}, {"probability": 0.5, "model": ""}, {"probability": "x", "model": "m"}, {"probability": 0.5, "model": "m", "input_tokens": -1}):
+        with pytest.raises(screen.ScorerError, match="invalid_response"):
+            screen.read_answer(body)
+
+
+def test_screening_by_calls(spark):
+    files = spark.createDataFrame([("a", "1", "1"), ("b", "1", "2"), ("c", "1", "1"), ("d", "1", "1")], "f string, sha256 string, expected_sha256 string")
+    rows = spark.createDataFrame([("a", 1, "teh cat"), ("a", 2, "fine words"), ("b", 1, "teh"), ("c", 1, "all is fine")], "f string, segment int, text string")
+    items, tokens, model = screen.screened_by_calls(files, rows, "f", stub({"all": [503]}), "en-GB", most=10, sleep=lambda s: None)
+    assert {r.f: (r.verdict, r.error_probability, r.code) for r in items.collect()} == {"a": ("flagged", 0.9, None), "b": ("flagged", None, "snapshot_mismatch"), "c": ("clean", 0.1, None), "d": ("no_segments", None, None)}
+    assert (tokens, model) == (28, "m-teh")
+    with pytest.raises(screen.ScorerError, match="auth_failed"):
+        screen.screened_by_calls(files, rows, "f", stub({"all": [403]}), "en-US", most=10, sleep=lambda s: None)
+    # after a failure, a task begins no more calls
+    many = spark.createDataFrame([(str(i), 0, "bad") for i in range(400)], "f string, chunk int, prose string").coalesce(1)
+    codes = [r.code for r in screen.asked(many, "f", stub({"bad": [404] * 400}), "en-US").collect()]
+    assert 1 <= codes.count("invalid_response") <= 4 and codes.count("cancelled") == 400 - codes.count("invalid_response")
