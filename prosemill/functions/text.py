@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .glossary import glossary_ranges
+
 # White space of the edge and URL rules, written as a Java class.
 SPACE = "\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
-# What may not be edited, by family. Word edges are ASCII.
+# What may not be edited, by family. Word edges are ASCII. Possessive runs, and the start of multipart, change no match; they spare attempts.
 _EDGE, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 PROTECTED = {
     "url": f"https?://[^{SPACE})\\]}}>,]+",
     "path": "(?:\\.\\.?/|/)[A-Za-z0-9._~/-]+",
-    "multipart": "(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+",
-    "email": f"(?:{_EDGE}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}{_END}",
+    "multipart": "(?<![A-Za-z0-9._-])(?:[A-Za-z0-9._-]++/)+[A-Za-z0-9._-]+",
+    "email": f"(?:{_EDGE}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}{_END}",
     "template": "\\{\\{[^{}\\r\\n]+\\}\\}|\\$\\{[^{}\\r\\n]+\\}|%\\([^)\\r\\n]+\\)s",
     "placeholder": "<[A-Z][A-Z0-9_-]*>",
     "flag": "--[A-Za-z0-9][A-Za-z0-9-]*",
@@ -86,26 +88,28 @@ def found_once(c: Column | str, part: Column | str) -> Column:
 def match_ranges(c: Column | str, pattern: str) -> Column:
     """array<struct<start_byte, end_byte>> of a pattern's non-empty matches, in bytes.
 
-    The pieces between matches and the matches alternate, so a match starts
-    where the bytes of all before it end.
+    Matches are set between marks in one pass, so the text falls into what is
+    between matches and matches, in turn; a match starts where the bytes of all
+    before it end. The mark is the NUL character; those of the text are taken
+    for the next one, of the same length.
     """
-    c = col(c)
-    between, found = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(F.octet_length(g).cast("long").alias("g"), F.octet_length(m).cast("long").alias("m")))
-    empty = F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<start_byte:bigint,end_byte:bigint>>))")
+    marked = F.regexp_replace(F.translate(col(c), "\0", "\1"), pattern, "\0$0\0")
+    sizes = F.transform(F.split(marked, "\0"), lambda p: F.octet_length(p).cast("long"))
+    empty = F.expr("named_struct('at', 0L, 'match', false, 'out', cast(array() as array<struct<start_byte:bigint,end_byte:bigint>>))")
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["g"]
-        return F.struct((start + p["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start_byte"), (start + p["m"]).alias("end_byte")))).alias("out"))
+    def step(acc: Column, size: Column) -> Column:
+        end = acc["at"] + size
+        out = F.when(acc["match"] & (size > 0), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start_byte"), end.alias("end_byte"))))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (~acc["match"]).alias("match"), out.alias("out"))
 
-    return F.coalesce(F.aggregate(pairs, empty, step)["out"], F.expr("cast(array() as array<struct<start_byte:bigint,end_byte:bigint>>)"))
+    return F.coalesce(F.aggregate(sizes, empty, step)["out"], F.expr("cast(array() as array<struct<start_byte:bigint,end_byte:bigint>>)"))
 
 
 def protected_ranges(c: Column | str, families=tuple(PROTECTED), glossary: tuple[str, ...] = ()) -> Column:
-    """All protected ranges of a text, sorted by start and end, each once; glossary terms are literals."""
+    """All protected ranges of a text, sorted by start and end, each once; glossary terms are literals, found in one pass."""
     found = [_if_held(c, NEEDLES.get(f, ()), match_ranges(c, PROTECTED[f])) for f in families]
-    terms = ["".join("\\" + ch if not ch.isalnum() and ch.isascii() else ch for ch in term) for term in glossary]
-    found += [match_ranges(c, p) for p in terms]
+    if glossary:
+        found.append(glossary_ranges(glossary)(col(c)))
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
@@ -166,7 +170,8 @@ def greedy_groups(items: Column | str, limits: list[tuple], most: int | None = N
     """Group number of each array item, filled greedily in order.
 
     ``limits`` lists (weight of an item, budget); a group closes before the item
-    A heavier item stands alone.
+    that would pass a budget, or the number of ``most`` items. An item that is
+    heavier than a budget stands alone.
     """
     fields = [f"w{i}" for i in range(len(limits))]
     init = F.struct(F.lit(0).alias("group"), F.lit(0).alias("n"), *[F.lit(0).cast("long").alias(f) for f in fields], F.expr("cast(array() as array<int>)").alias("out"))

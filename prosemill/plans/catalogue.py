@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import extract, paging, policy, protocol, report, rollups, segments, validation
+from ..operators import extract, paging, policy, protocol, report, rollups, screen, segments, validation
 from ..operators.closure import reachable
 
 QUERIES: dict = {}
@@ -98,7 +98,7 @@ def _ranges_sql(pattern: str, add: str) -> str:
 
 def _ranges(spark: SparkSession, sf_dir: str, family: str, before: str, after: str) -> DataFrame:
     text = F.concat("text", F.lit(before), F.col("doc_id").cast("string"), F.lit(after))
-    found = table(spark, sf_dir, "documents").select("doc_id", T.match_ranges(text, T.PROTECTED[family]).alias("r"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.match_ranges(text, T.PROTECTED[family]))).alias("r"))  # the generator keeps it from being computed twice
     size = F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["end_byte"] - x["start_byte"])
     return found.where(F.size("r") > 0).select("doc_id", F.size("r").cast("long").alias("n"), size.alias("bytes"), F.get("r", F.lit(0))["start_byte"].alias("first_byte"))
 
@@ -547,8 +547,11 @@ def scope_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def prepare_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of long texts, cut outside of protected ranges of all families; null ends for a text that cannot be split."""
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", T.protected_ranges("text").alias("ranges"))
-    return extract.split_texts(texts, "doc_id", 2_000).select("doc_id", F.size("ends").cast("long").alias("parts"), F.array_max("ends").alias("chars"))
+    docs, long = table(spark, sf_dir, "documents").select("doc_id", "text"), T.utf16_length("text") > 2_000
+    short = docs.where(~long).select("doc_id", F.lit(1).cast("long").alias("parts"), F.length("text").cast("long").alias("chars"))
+    ranged = docs.where(long).withColumn("ranges", T.protected_ranges("text"))
+    cut = extract.split_texts(ranged, "doc_id", 2_000).select("doc_id", F.size("ends").cast("long").alias("parts"), F.array_max("ends").alias("chars"))
+    return short.unionByName(cut)
 
 
 @query("select doc_id, 'w' || doc_id as original, case when doc_id % 3 = 0 then '' else 'a|b' end as replacement, 'spelling' as category from documents")
@@ -557,3 +560,45 @@ def table_report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "Report\n\n| x | y |\n|---|---|\n| 1 | 2 |\n\n| Category | Replacement | Original |\n| --- | --- | --- |\n"
     text = F.concat(F.lit(head), F.lit("| spelling | "), F.expr("case when doc_id % 3 = 0 then '' else 'a\\\\|b' end"), F.lit(" | `w"), F.col("doc_id").cast("string"), F.lit("` |\n\nend"))
     return report.proposals(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id").drop("line")
+
+
+# Terms that the documents hold: parts of words, words, phrases, signs, and terms within and across others.
+GLOSSARY = ["the", "then", "he", "ent", "cióndo", "é", "éé", "ß", "üch", "***", "**", "$$$", "&", "|||", "of the", " the ", "und ", "la de", "0", "1", "12", "@mail", "example.com", "token = ", "\"", ".", ". ", ", ", "aa", "aaa", "ion", "tion", "ation", "hat", "that", "nowhere to be found", "\\", "(", "ö", "ñ"]
+_TERMS_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in GLOSSARY) + "]"
+
+
+@query(f"""with t as (select doc_id, unnest({_TERMS_SQL}) as t, text from documents), n as (select doc_id, t, (length(text) - length(replace(text, t, ''))) // length(t) as n from t)
+  select doc_id, sum(n)::bigint as ranges, sum(n * strlen(t))::bigint as bytes from n group by 1""")
+def protected_ranges_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of forty literals in the documents' own texts."""
+    found = table(spark, sf_dir, "documents").select("doc_id", T.protected_ranges("text", families=(), glossary=tuple(GLOSSARY)).alias("r"))
+    return found.select("doc_id", F.size("r").cast("long").alias("ranges"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["end_byte"] - x["start_byte"]).alias("bytes"))
+
+
+_EDITS_SQL = f"""select doc_id, segment, original, case when regexp_matches(original, '^[A-Z]') then 'capitalization' when regexp_matches(original, '[.,]') then 'punctuation' else 'spelling' end as category,
+    case when instr(substr(body, instr(body, original) + 1), original) > 0 then 'ambiguous_original' when regexp_matches(original, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') then 'protected_range' end as code
+  from (select doc_id, segment, body, split_part(body, ' ', 2) as original from ({_SEGMENTS_SQL}) where segment <= 3) where original <> ''"""
+
+
+@query(f"with e as materialized ({_EDITS_SQL}), r as (select doc_id from e where code is not null) select doc_id, category, count(*) as edits from e where doc_id not in (select doc_id from r) group by 1, 2")
+def accepted_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of edits, of the second words of a file's first three segments, in files where none is rejected."""
+    rows = segments.segments(table(spark, sf_dir, "documents"), "doc_id").where("segment <= 3").withColumn("original", F.split_part("body", F.lit(" "), F.lit(2))).where("original <> ''")
+    category = F.when(F.col("original").rlike("^[A-Z]"), "capitalization").when(F.col("original").rlike("[.,]"), "punctuation").otherwise("spelling")
+    edits = rows.withColumns({"replacement": F.concat("original", F.lit("q")), "ranges": T.protected_ranges("body", families=("email",)), "category": category, "proposal": F.lit(0)})
+    coded = edits.withColumn("code", validation.proposal_code("body", "original", "replacement", "ranges", F.lit(0)))
+    return rollups.categories(coded.drop("code"), validation.file_codes(coded, "doc_id"), "doc_id")
+
+
+LEXICON = frozenset("the of and die und der la de que le les et".split())
+
+
+@query(f"""with s as ({_SEGMENTS_SQL}), w as (select doc_id, regexp_extract_all(lower(string_agg(body, chr(10) order by segment)), '\\p{{L}}+') as w from s group by 1),
+  p as (select doc_id, case when len(w) = 0 then 0 else least(1, 10 * len(list_filter(w, lambda x: list_contains({sorted(LEXICON)}, x))) / len(w)) end as p from w)
+  select doc_id, case when p is null then 'no_segments' when p >= 0.2 then 'flagged' else 'clean' end as verdict, p::double as error_probability from documents left join p using (doc_id)""")
+def screened_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the documents' own prose by the offline scorer, with a list of usual words for misspellings."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.sha2("text", 256).alias("sha256")).withColumn("expected_sha256", F.col("sha256"))
+    rows = segments.segments(docs, "doc_id").withColumnRenamed("body", "text")
+    return screen.screened(files, rows, "doc_id", screen.share_of_known_errors(LEXICON), most=1 << 30).select("doc_id", "verdict", "error_probability")

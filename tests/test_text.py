@@ -67,3 +67,20 @@ def test_first_reason_wins(spark, path, code):
 def test_reject_codes(spark, original, replacement, code):
     rows = spark.createDataFrame([("say teh aaa foo_bar a\nb bob.md", original, replacement)], "t string, o string, r string")
     assert rows.select(validation.proposal_code("t", "o", "r", T.protected_ranges("t"), F.lit(0)).alias("c")).first().c == code
+
+
+def test_glossary_equals_a_regex_for_each_term(spark):
+    import random
+    import re
+
+    from prosemill.functions import glossary
+
+    rng = random.Random(6)
+    for _ in range(200):
+        terms = ["".join(rng.choice("aé.😀") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))]
+        text = "".join(rng.choice("aé.😀 ") for _ in range(rng.randint(0, 80)))
+        want = sorted({(len(text[: m.start()].encode()), len(text[: m.end()].encode())) for t in terms for m in re.finditer(re.escape(t), text)})
+        assert sorted(glossary.places(text, glossary.automaton(terms))) == want
+    rows = spark.createDataFrame([("aaé aé",), (None,), ("",)], "t string")
+    got = rows.select(T.protected_ranges("t", families=(), glossary=("aé", "a", ""))).collect()
+    assert [[tuple(r) for r in x[0]] if x[0] is not None else None for x in got][0] == [(0, 1), (1, 2), (1, 4), (5, 6), (5, 8)]
