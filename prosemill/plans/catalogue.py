@@ -602,3 +602,34 @@ def screened_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select("doc_id", F.sha2("text", 256).alias("sha256")).withColumn("expected_sha256", F.col("sha256"))
     rows = segments.segments(docs, "doc_id").withColumnRenamed("body", "text")
     return screen.screened(files, rows, "doc_id", screen.share_of_known_errors(LEXICON), most=1 << 30).select("doc_id", "verdict", "error_probability")
+
+
+@query(_ranges_sql("\\b(?:[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+|[a-z]+[A-Z][A-Za-z0-9]*|[A-Za-z0-9_-]+\\.[A-Za-z0-9]{1,8})\\b", "' set foo_bar' || doc_id || ' in camelCase of a.b-c.ext or x_'"))
+def protected_ranges_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "identifier", " set foo_bar", " in camelCase of a.b-c.ext or x_")
+
+
+@query(_ranges_sql("\\b[A-Za-z_$][A-Za-z0-9_$]*\\(\\)", "' call f' || doc_id || '() not 1g() or h( ) but a$b()'"))
+def protected_ranges_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir, "call", " call f", "() not 1g() or h( ) but a$b()")
+
+
+def _blocked(spark: SparkSession, sf_dir: str, language: str, head: str, mark: str, tail: str) -> DataFrame:
+    """Segments and protected lines of documents inside a block of documentation that stays open over lines."""
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(mark), x)), "\n")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(head), lines, F.lit(tail)).alias("text"))
+    rows = extract.code_lines(files, "doc_id", language)
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("outcome") == "segment").alias("shown"), F.count_if(F.col("outcome") == "protected_comment_construct").alias("protected"))
+
+
+_BLOCKED_SQL = f"select doc_id, 2::bigint as shown, (count(*) filter (trim(body, ' ' || chr(9)) <> '') + 2)::bigint as protected from ({_LINES_SQL}) group by 1"
+
+
+@query(_BLOCKED_SQL)
+def java_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked(spark, sf_dir, "java", "class A {\n/** Before.\n * <pre>\n", " * ", "\n * </pre>\n * After.\n */\n}\n")
+
+
+@query(_BLOCKED_SQL)
+def rust_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked(spark, sf_dir, "rust", "/// Before.\n/// ```text\n", "/// ", "\n/// ```\n/// After.\nfn f() {}\n")

@@ -155,3 +155,44 @@ def test_screening_by_calls(spark):
     many = spark.createDataFrame([(str(i), 0, "bad") for i in range(400)], "f string, chunk int, prose string").coalesce(1)
     codes = [r.code for r in screen.asked(many, "f", stub({"bad": [404] * 400}), "en-US").collect()]
     assert 1 <= codes.count("invalid_response") <= 4 and codes.count("cancelled") == 400 - codes.count("invalid_response")
+
+
+def test_hourly_counts(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    line = lambda t, e: json.dumps({"timestamp": f"2024-01-01T{t}:00Z", "event": e, "path": "x"})
+    (folder / "1.jsonl").write_text("\n".join([line("01:00", "write_intent"), line("01:59", "write_intent"), line("02:00", "write_complete")]))
+    (folder / "2.jsonl").write_text(line("09:00", "write_intent"))
+    query = audit.hourly(audit.events(spark, str(folder))).writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.hour.hour, r.event, r.n) for r in spark.sql("select * from hours").collect()) == [(1, "write_intent", 2), (2, "write_complete", 1)]
+
+
+def test_lock_states(spark, tmp_path):
+    from prosemill.streaming import locks
+
+    folder = tmp_path / "log"
+    folder.mkdir()
+    line = lambda t, e, owner, root="x": json.dumps({"timestamp": f"2024-01-01T{t}Z", "event": f"lock_{e}", "tree": root, "owner": owner})
+    batches = [
+        [line("01:00:05", "acquire", "b"), line("01:00:00", "acquire", "a"), line("01:00:07", "refused", "c"), line("01:01:00", "release", "a"), line("01:01:00", "acquire", "b"), line("01:02:00", "release", "zz"), line("01:00:00", "acquire", "q", "y"), json.dumps({"timestamp": "2024-01-01T01:00:00Z", "event": "lock_acquire"})],
+        [line("01:30:00", "acquire", "d", "z")],  # moves the watermark: b never gave its lock back
+        [line("01:01:30", "release", "b"), line("01:31:00", "acquire", "a"), line("01:45:00", "acquire", "c")],  # the release is too late
+        [line("03:00:00", "acquire", "e", "w")],
+    ]
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    try:
+        for i, lines in enumerate(batches):
+            (folder / f"{i}.jsonl").write_text("\n".join(lines))
+            query = locks.lock_states(locks.events(spark, str(folder))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            query.awaitTermination(200)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    told = sorted((r.tree, r["at"].strftime("%H:%M:%S"), r.state, r.owner) for r in rows)
+    assert [t for t in told if t[0] == "x"] == [
+        ("x", "01:00:00", "held", "a"), ("x", "01:00:05", "contended", "b"), ("x", "01:00:07", "contended", "c"), ("x", "01:01:00", "free", "a"), ("x", "01:01:00", "held", "b"),
+        ("x", "01:11:00", "stale", "b"), ("x", "01:31:00", "held", "a"), ("x", "01:45:00", "taken_over", "c"), ("x", "01:55:00", "stale", "c"),
+    ]
+    assert ("y", "01:10:00", "stale", "q") in told and ("z", "01:40:00", "stale", "d") in told
