@@ -162,9 +162,12 @@ class Engine:
         items, tokens, model = screen.screened_by_calls(files, self.segments(), "path", transport, self.preferences.dialect, self.preferences.glossary, order="start_byte")
         return {"items": items, "total_files": total, "next_cursor": following, "scope": now, "threshold": rollups.FLAGGED_FROM, "model": model, "input_tokens": tokens}
 
-    def score(self, gold: str, predictions: str) -> tuple[DataFrame, DataFrame]:
-        """(scores by category, expectations whose file is not eligible) of predictions against labelled files, both JSON."""
+    def score(self, gold: str, predictions: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(scores by category, expectations whose file is not eligible) of predictions against labelled files, both JSON; of the first ``limit`` files only, if that is set."""
         expected, given = evaluate.read_gold(self.spark, gold), evaluate.read_predictions(self.spark, predictions)
+        if limit is not None:
+            first = expected.select("path").distinct().orderBy("path").limit(limit)
+            expected, given = expected.join(first, "path", "left_semi"), given.join(first, "path", "left_semi")
         pairs = rollups.matched(expected, given, ["path", "original", "replacement", "category"])
         return rollups.scores(pairs, ["category"]), evaluate.not_eligible(expected, self.discover())
 
@@ -205,7 +208,7 @@ class Engine:
         broken = again.diagnostics.where("code = 'parse_error'").select("path").distinct().withColumn("broken", F.lit(True))
         shapes = again.shape().withColumnRenamed("shape", "after").join(self.extraction().shape(), "path", "full_outer").where(~F.col("after").eqNullSafe(F.col("shape"))).select("path", F.lit(True).alias("differs"))
         checked = out.join(shapes, "path", "left").join(broken, "path", "left")
-        final = F.coalesce("code", F.when(F.coalesce("broken", "differs"), "structural_invariant_failed"))
+        final = F.coalesce("code", F.when(F.col("broken"), "candidate_parse_failed"), F.when(F.col("differs"), "structural_invariant_failed"))
         checked = checked.withColumn("code", final)
         return checked.select("path", "code", F.when(F.col("code").isNull(), F.coalesce("accepted", F.lit(0))).otherwise(0).cast("long").alias("accepted"), F.when(F.col("code").isNull(), F.col("candidate")).alias("candidate"), F.col("sha256").alias("before_sha256"))
 

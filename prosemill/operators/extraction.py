@@ -77,13 +77,16 @@ def prepared(rows: DataFrame, most: int = MOST_UNITS) -> DataFrame:
 
     A text of more than ``most`` UTF-16 units comes in parts, numbered from 1,
     with the ranges that touch them; one that cannot be cut keeps part 0 and gets
-    the code oversized_segment. Others have part 0.
+    the code oversized_segment, one whose bytes are not as many as its place has
+    unmappable_segment. Others have part 0.
     """
     columns = ["path", "segment", "line", "start_byte", "end_byte", "text", "ranges"]
     long = utf16_length("text") > most
+    fits = F.octet_length("text") == F.col("end_byte") - F.col("start_byte")
+    lost = rows.where(long & ~fits).select(*columns, F.lit(0).cast("long").alias("part"), F.lit("unmappable_segment").alias("code"))
     short = rows.where(~long).select(*columns).withColumn("part", F.lit(0).cast("long")).withColumn("code", F.lit(None).cast("string"))
     local = F.transform("ranges", lambda r: F.struct((r["start_byte"] - F.col("start_byte")).alias("start_byte"), (r["end_byte"] - F.col("start_byte")).alias("end_byte")))
-    tall = rows.where(long).withColumn("id", F.to_json(F.struct("path", "segment")))
+    tall = rows.where(long & fits).withColumn("id", F.to_json(F.struct("path", "segment")))
     ends = extract.split_texts(tall.select("id", "text", local.alias("ranges")), "id", most)
     joined = tall.join(ends, "id")
     whole = joined.where("ends is null").select(*columns, F.lit(0).cast("long").alias("part"), F.lit("oversized_segment").alias("code"))
@@ -93,7 +96,7 @@ def prepared(rows: DataFrame, most: int = MOST_UNITS) -> DataFrame:
     first = F.col("start_byte") + byte_length(F.call_function("substring", F.col("text"), F.lit(1), begin.cast("int")))
     parts = cut.select("path", "segment", "line", first.alias("start_byte"), (first + byte_length(text)).alias("end_byte"), text.alias("text"), "ranges", (F.col("i") + 1).cast("long").alias("part"))
     touching = F.filter("ranges", lambda r: (r["start_byte"] < F.col("end_byte")) & (r["end_byte"] > F.col("start_byte")))
-    return short.unionByName(whole).unionByName(parts.withColumn("ranges", touching).withColumn("code", F.lit(None).cast("string")))
+    return short.unionByName(lost).unionByName(whole).unionByName(parts.withColumn("ranges", touching).withColumn("code", F.lit(None).cast("string")))
 
 
 def with_neighbours(rows: DataFrame, most: int = 500) -> DataFrame:

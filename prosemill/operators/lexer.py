@@ -191,7 +191,7 @@ def comment_lines(files: DataFrame, key: str, language: str, text: str = "text")
 _MARKDOWN_NODES = "node int, kind string, part int, line long, start_byte long, raw string, heading boolean"
 
 
-def _markdown_rows(source: str) -> list[tuple]:
+def markdown_rows(source: str) -> list[tuple]:
     """A row for each line of each node, with the line's end; front matter is a node of kind front."""
     breaks = [m.end() for m in _BREAK.finditer(source)]
     front = markdown.front_matter_end(source)
@@ -215,4 +215,4 @@ def markdown_nodes(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     code, html, definition and front, which hold no prose (one row). Null texts
     have no rows.
     """
-    return _apply(files, key, text, _MARKDOWN_NODES, _markdown_rows)
+    return _apply(files, key, text, _MARKDOWN_NODES, markdown_rows)

@@ -13,11 +13,13 @@ from ..functions.text import utf16_order
 from . import paging
 
 SCREEN_PAGE = 16
+#: Paths of a scan that is paged by cursor; ``pages`` takes any number.
+MOST_PATHS = 100_000
 VERSION = 1
 
 
 class ProtocolError(ValueError):
-    """A request that doesn't fit what it goes on from: invalid_cursor, policy_mismatch, scope_mismatch, snapshot_mismatch or invalid_glossary."""
+    """A request that doesn't fit what it goes on from: invalid_cursor, policy_mismatch, scope_mismatch, snapshot_mismatch, record_too_large, scope_too_large or invalid_glossary."""
 
 
 def canonical(value: object) -> str:
@@ -37,6 +39,8 @@ def row_digest(*columns: Column | str) -> Column:
 
 def scope_digest(entries: DataFrame, policy: str, key: str = "path") -> str:
     """One digest of a scan and its policy. Rows are digested in tasks; their digests, in order of path, in one row (a scan has a bounded number of paths)."""
+    if entries.limit(MOST_PATHS + 1).count() > MOST_PATHS:
+        raise ProtocolError("scope_too_large")
     rows = entries.select(utf16_order(key).alias("o"), row_digest(*entries.columns).alias("d"))
     every = F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"])
     return rows.agg(F.sha2(F.concat_ws("", every, F.lit(policy)), 256).alias("digest")).first().digest

@@ -48,7 +48,7 @@ def by_format(entries: DataFrame) -> DataFrame:
 
 def by_reason(entries: DataFrame) -> DataFrame:
     """(state, code, paths) of what is skipped and what failed, in the order of a dictionary."""
-    return entries.where("state in ('skipped', 'failed')").groupBy("state", "code").agg(F.count("*").alias("paths")).orderBy(F.collate("state", "UNICODE"), F.collate("code", "UNICODE"))
+    return entries.where("state in ('skipped', 'failed')").groupBy("state", F.coalesce("code", F.lit("unknown")).alias("code")).agg(F.count("*").alias("paths")).orderBy(F.collate("state", "UNICODE"), F.collate("code", "UNICODE"))
 
 
 def categories(proposals: DataFrame, validated: DataFrame, file: str) -> DataFrame:

@@ -6,12 +6,14 @@ tables rarely hold are written into the texts, the same way on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import extract, paging, policy, protocol, report, rollups, screen, segments, validation
+from ..operators import extract, paging, policy, protocol, report, rollups, screen, segments, table_functions, validation
 from ..operators.closure import reachable
 
 QUERIES: dict = {}
@@ -168,12 +170,12 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select state, coalesce(code, 'unknown') as code, count(*) as paths from ({_ENTRIES_SQL}) where state <> 'eligible' group by 1, 2")
 def skipped_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir).where("state <> 'eligible'").groupBy("state", F.coalesce("code", F.lit("unknown")).alias("code")).agg(F.count("*").alias("paths"))
+    return rollups.by_reason(_entries(spark, sf_dir))
 
 
 @query(f"select case ext when 'md' then 'markdown' when 'rs' then 'rust' when 'tsx' then 'tsx' when 'java' then 'java' else ext end as format, count(*) as files, sum(coalesce(eligible_segments, 0))::bigint as eligible_segments from ({_ENTRIES_SQL}) where state = 'eligible' group by 1")
 def summary_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir).where("state = 'eligible'").groupBy("format").agg(F.count("*").alias("files"), F.sum(F.coalesce("eligible_segments", F.lit(0))).alias("eligible_segments"))
+    return rollups.by_format(_entries(spark, sf_dir)).select("format", "files", "eligible_segments")
 
 
 @query(f"""with s as (select source, count(*) filter (state = 'eligible') as files_eligible, count(*) filter (path_type = 'file') as files_considered, count(*) filter (state = 'skipped') as paths_skipped, sum(coalesce(eligible_segments, 0))::bigint as eligible_segments,
@@ -392,10 +394,10 @@ def page_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("comments"), F.exists(found, lambda c: c.rlike("(?i)@generated|do not edit")).alias("generated"))
 
 
-@query("select page_id, len(regexp_extract_all(html, '&(?:#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);'))::bigint as entities, regexp_matches(html, '&(?:#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);') as protected from pages")
+@query("select page_id, len(regexp_extract_all(html, '&(?:#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);'))::bigint as entities, regexp_matches(html, '(?i)\\{#[A-Za-z][^}]*\\}|\\\\[^\\p{L}\\p{N}\\s]|&(?:#\\d+|#x[0-9a-f]+|[a-z]+);') as protected from pages")
 def entity_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity = "&(?:#[0-9]+|#x[0-9a-fA-F]+|[A-Za-z]+);"
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(entity)).cast("long").alias("entities"), F.col("html").rlike(entity).alias("protected"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(entity)).cast("long").alias("entities"), F.col("html").rlike(extract.MARKDOWN_PROTECTED).alias("protected"))
 
 
 @query("select doc_id, lang, coalesce(d.dialect, 'en-US') as dialect from documents left join (values ('en', 'en-GB'), ('de', 'de-DE')) d(lang, dialect) using (lang)")
@@ -436,6 +438,18 @@ def extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
 
 
+@query(_MARKDOWN_SQL)
+def markdown_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``extract_markdown``, by a table function from SQL."""
+    table_functions.register(spark)
+    view = f"prose_files_{uuid.uuid4().hex}"
+    _markdown(spark, sf_dir).createOrReplaceTempView(view)
+    found = spark.sql(f"""select cast(file as bigint) as doc_id, count(*) as segments, count_if(heading) as headings, sum(end_byte - start_byte) as bytes
+      from prose_segments(table(select doc_id, text from {view}) partition by doc_id) group by file""")
+    spark.catalog.dropTempView(view)  # the plan holds what it stands for
+    return found
+
+
 _PRAGMA_SQL = "(?i)^(?:eslint|prettier|istanbul|webpack|sourceMappingURL|@ts-|jshint|jslint)\\b"
 _COMMENTS_SQL = f"""select doc_id, count(*) as segments, sum(strlen(trim(body, ' ' || chr(9))))::bigint as bytes from ({_LINES_SQL})
   where regexp_matches(body, '\\p{{L}}') and not contains(body, '/*') and not contains(body, '*/') and not regexp_matches(trim(body, ' ' || chr(9)), '{_PRAGMA_SQL}') and not regexp_matches(body, '(?i)\\\\u[0-9a-f]{{4}}') group by 1"""
@@ -633,3 +647,17 @@ def java_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BLOCKED_SQL)
 def rust_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocked(spark, sf_dir, "rust", "/// Before.\n/// ```text\n", "/// ", "\n/// ```\n/// After.\nfn f() {}\n")
+
+
+_MARKS = ["// Code generated by x. DO NOT EDIT.", "# Generated by the protocol buffer compiler", " * @generated by y", "see <auto-generated/> here", "not Code generated by z. DO NOT EDIT."]
+
+
+@query(f"""select doc_id, case k when 0 then 'go_do_not_edit' when 1 then 'protoc_banner' when 2 then 'generated_annotation' else 'auto_generated_region' end as marker, (3 + len(string_split(text, chr(10))))::bigint as line
+  from (select *, length(text) % 5 as k from documents) where k < 4""")
+def generated_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first marker of files whose comments are their text, then a line that may be one, by the text's length."""
+    docs = table(spark, sf_dir, "documents")
+    mark = F.get(F.array(*map(F.lit, _MARKS)), (F.length("text") % 5).cast("int"))
+    text = F.concat("text", F.lit("\n"), mark, F.lit("\r\nmore"))
+    comments = docs.select("doc_id", text.alias("comment"), F.lit(3).cast("long").alias("line"), F.lit(1).alias("place"))
+    return extract.first_markers(comments, "doc_id", "comment", "line", "place")

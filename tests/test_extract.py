@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from prosemill.operators import extract, markdown, script
+from prosemill.operators import extract, markdown, script, table_functions
 
 MARKDOWN = """---
 title: x
@@ -267,3 +267,14 @@ def test_made_scripts_offer_comments_and_nothing_else():
             want += [*found, *([c.strip()] if c else [])]
         got = script.script_comments(source, True)
         assert got is not None and [source[a:b] for a, b in got] == want, source
+
+
+def test_table_function_equals_extraction(spark):
+    table_functions.register(spark)
+    sources = [s for s, _ in INLINE] + [MARKDOWN, "One\ntwo <!-- prose-disable -->\nthree\n\nfour <!-- prose-enable --> five\nsix\n\n<!-- prose-disable-next-line -->\n> seven\n> eight\n", "x\n<!-- prose-disable -->\ny", "", "\\_ a", "a\\\u00e9 b &#x41; c {#id} d"]
+    files = spark.createDataFrame([*enumerate(sources), (1000, None)], "f int, text string")
+    files.createOrReplaceTempView("some_files")
+    columns = ["line", "start_byte", "end_byte", "text", "heading"]
+    want = [(str(r.f), r.segment, *(r[c] for c in columns)) for r in extract.markdown_segments(files, "f").collect()]
+    got = [(r.file, r.segment, *(r[c] for c in columns)) for r in spark.sql("select * from prose_segments(table(select f, text from some_files) partition by f)").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 60
