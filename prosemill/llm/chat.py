@@ -73,8 +73,36 @@ def read_back(conversation: str) -> list[tuple[str, str]]:
     return turns
 
 
-def branches(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, back): each leaf's ancestors and itself, back steps above it.
+def _links(messages: DataFrame) -> DataFrame:
+    """(tree, node, above): each message's parent, where there is one."""
+    there = messages.select("tree", F.col("node").alias("parent"))
+    return messages.select("tree", "node", "parent").join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above"))
+
+
+def leaf_scores(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, total, n): the sum of scores and the number of messages from each leaf up to its root.
+
+    messages: (tree, node, parent, score), as ``branches`` takes them. Every
+    message knows what a stretch of its ancestors sums up to, and the stretches
+    double each round by a join with those of the message where they end. A
+    round has a row a message, however long paths are. A leaf whose ancestors
+    run into a cycle reaches no root and is left out.
+    """
+    most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    rows = stored(messages.select("tree", "node", F.col("score").alias("total")).join(_links(messages), ["tree", "node"], "left").select("tree", "node", "above", "total", F.lit(1).cast("long").alias("n")), "chat-sums")
+    inner = rows.where("above is not null").select("tree", F.col("above").alias("node")).distinct()
+    leaves = stored(rows.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf")), "chat-leaves")
+    span = 1
+    while span < most and rows.where("above is not null").limit(1).count():
+        beyond = rows.select("tree", F.col("node").alias("above"), F.col("above").alias("farther"), F.col("total").alias("more"), F.col("n").alias("steps"))
+        joined = rows.join(beyond, ["tree", "above"], "left")
+        rows = stored(joined.select("tree", "node", F.col("farther").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("steps", F.lit(0))).alias("n")), "chat-sums")
+        span *= 2
+    return rows.where("above is null").withColumnRenamed("node", "leaf").join(leaves, ["tree", "leaf"], "left_semi").select("tree", "leaf", "total", "n")
+
+
+def branches(messages: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """(tree, leaf, node, back): each leaf's ancestors and itself, back steps above it; of ``leaves`` (tree, leaf) only, if given.
 
     messages: (tree, node, parent). A parent that isn't there makes a root. The
     pairs (tree, node) are distinct and not null. A leaf whose ancestors run
@@ -82,12 +110,11 @@ def branches(messages: DataFrame) -> DataFrame:
     round's rows are written once; the rounds end as no path has more steps
     than its tree has messages.
     """
-    there = messages.select("tree", F.col("node").alias("parent"))
-    up = messages.select("tree", "node", "parent").join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above"))
-    above = jump = stored(up, "chat-above")
-    leaves = messages.join(jump.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    above = jump = stored(_links(messages), "chat-above")
+    if leaves is None:
+        leaves = messages.join(jump.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
     sizes = messages.groupBy("tree").agg(F.count("*").alias("n"))
-    paths = stored(leaves.join(sizes, "tree").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"), "n"), "chat-paths")
+    paths = stored(leaves.join(sizes, "tree").select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"), "n"), "chat-paths")
     span, cut = 1, False
     while True:
         more = stored(paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("back") + span).alias("back"), "n"), "chat-paths")
@@ -112,16 +139,18 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     Null roles and texts are empty ones. Branches are ranked by mean score,
     null as 0, then the longer one, then the lesser leaf. All messages of a
     path meet in one row, its conversation; a very long text only makes that row
-    long. A tree without a leaf that reaches a root gives no row, and so do rows
+    long. Scores are summed along stretches that double, so means may differ in
+    their last bits from sums taken one by one. A tree without a leaf that reaches a root gives no row, and so do rows
     with a null tree or node, which nothing can reply to. Other columns are not read.
     """
     messages = messages.where("tree is not null and node is not null")
-    paths = branches(messages)
-    told = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    scored = paths.join(told.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
+    told = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = leaf_scores(told).select("tree", "leaf", (F.col("total") / F.col("n")).alias("score"), "n")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "leaf")
-    chosen = scored.withColumn("branch_rank", F.row_number().over(best)).where(F.col("branch_rank") <= top)
-    turns = paths.join(chosen, ["tree", "leaf"]).join(told.drop("score"), ["tree", "node"]).groupBy("tree", "leaf", "branch_rank", "score").agg(F.collect_list(F.struct("back", "role", "text")).alias("turns"))
+    chosen = stored(scored.withColumn("branch_rank", F.row_number().over(best)).where(F.col("branch_rank") <= top), "chat-chosen")
+    # only the chosen branches are listed, so rows grow with the messages and not with all paths
+    paths = branches(told, chosen.select("tree", "leaf"))
+    turns = paths.join(chosen, ["tree", "leaf"]).join(told.select("tree", "node", "role", "text"), ["tree", "node"]).groupBy("tree", "leaf", "branch_rank", "score").agg(F.collect_list(F.struct("back", "role", "text")).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -271,6 +271,37 @@ def test_chat_trees(spark):
     assert chat.digests(chat.format_trees(chat.from_turns(turns.limit(0)))).count() == 0 and chat.format_trees(frame.limit(0)).count() == 0
 
 
+def test_branches_of_a_comb_are_ranked_in_rows_of_its_messages(spark, monkeypatch):
+    """A chain with a leaf at each message: all paths together have some two million messages."""
+    rng = random.Random(3)
+    rows = [(1, 2 * i, 2 * i - 2 if i else None, "user", "a", rng.choice([0.0, 0.5, 1.0])) for i in range(2000)] + [(1, 2 * i + 1, 2 * i, "assistant", "b", rng.choice([0.0, 0.5, 1.0])) for i in range(2000)]
+    written = []
+    kept = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, name: written.append(kept(df, name)) or written[-1])
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    [best] = chat.format_trees(frame).collect()
+    score, total, means = {n: s for _, n, _, _, _, s in rows}, 0.0, []
+    for i in range(2000):
+        total += score[2 * i]
+        means.append(((total + score[2 * i + 1]) / (i + 2), i + 2, -(2 * i + 1)))
+    mean, n, leaf = max(means)
+    assert (best.leaf, best.score) == (-leaf, mean) and len(chat.read_back(best.conversation)) == n
+    assert max(w.count() for w in written) <= len(rows)
+
+
+def test_scores_of_leaves_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(t, n, rng.choice([None, n, *range(max(0, n - 3), n + 2)]), rng.randint(0, 8) / 4) for t in range(6) for n in range(25)]
+    paths = brute_paths([(t, n, p) for t, n, p, _ in rows])
+    score = {(t, n): s for t, n, _, s in rows}
+    want = {}
+    for t, leaf, node, _ in paths:
+        total, n = want.get((t, leaf), (0.0, 0))
+        want[t, leaf] = total + score[t, node], n + 1
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    assert {(r.tree, r.leaf): (r.total, r.n) for r in chat.leaf_scores(frame).collect()} == want
+
+
 def brute_paths(rows):
     parent, out = {(t, n): p for t, n, p in rows}, set()
     for t, n in parent:
