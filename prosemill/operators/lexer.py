@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from . import markdown, script
 
+#: Rows that a scanner's task sends on at once.
+ROWS_AT_ONCE = 5_000
 _BREAK = re.compile("\r\n|\r|\n")
 _MARK = re.compile(r"""//|/\*|(?<![A-Za-z0-9_])[bc]?r(?P<hashes>#*)"|["'`()\[\]{}]""")
 _STRING = {'"': re.compile(r'"(?:[^"\\\n]|\\.)*"', re.DOTALL), "'": re.compile(r"'(?:[^'\\\n]|\\.)*'", re.DOTALL)}
@@ -163,16 +165,23 @@ def _comment_rows(source: str, language: str) -> list[tuple]:
 
 def _apply(files: DataFrame, key: str, text: str, schema: str, scan) -> DataFrame:
     names = [key, *(c.split()[0] for c in schema.split(", "))]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
         types = [kinds[c.split()[1]] for c in schema.split(", ")]
         for batch in batches:
+            rows: list[tuple] = []
+
+            def told(rows: list[tuple], of: pa.DataType = batch.column(0).type) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [of, *types], strict=True)], names=names)
+
             for k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = scan(source) if source is not None else []
-                if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), batch.column(0).type), *columns], names=names)
+                rows += [(k, *row) for row in scan(source)] if source is not None else []
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield told(rows)
+                    rows = []
+            if rows:
+                yield told(rows)
 
     return files.select(key, F.col(text).alias("text")).mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, {schema}")
 

@@ -43,6 +43,7 @@ _HTML_ALONE = re.compile(rf"(?:{_TAG})[ \t]*\Z")
 # Names of tags that start a block anywhere.
 _BLOCK_TAGS = set("address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul".split())
 _SPECIAL = re.compile(r"[\\`<!\[\]*_~\n]|(?<![A-Za-z])(?=https?://)|(?<![^\s*_~(])(?=www\.)|(?<![A-Za-z0-9._+-])(?=[A-Za-z0-9._+-]{1,64}@)", re.IGNORECASE)
+_MARKS = re.compile(r"[\\`<!\[\]*_~\n]")  # of texts without links or addresses of their own
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 Node = tuple[str, int, int, bool]
@@ -295,9 +296,10 @@ class _Inline:
         self.brackets: list[tuple[int, int, bool, int]] = []  # (part, start, is image, nodes before)
         self.dead = 0  # brackets below cannot start links: links don't nest
         self.no_code: set[int] = set()
+        special = _SPECIAL if "@" in text or "://" in text or "www." in text.lower() else _MARKS
         at = 0
         while at < len(text):
-            found = _SPECIAL.search(text, at)
+            found = special.search(text, at)
             stop = found.start() if found else len(text)
             if stop > at:
                 self._literal(at, stop)
