@@ -162,14 +162,20 @@ class Engine:
         items, tokens, model = screen.screened_by_calls(files, self.segments(), "path", transport, self.preferences.dialect, self.preferences.glossary, order="start_byte")
         return {"items": items, "total_files": total, "next_cursor": following, "scope": now, "threshold": rollups.FLAGGED_FROM, "model": model, "input_tokens": tokens}
 
-    def score(self, gold: str, predictions: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(scores by category, expectations whose file is not eligible) of predictions against labelled files, both JSON; of the first ``limit`` files only, if that is set."""
+    def score(self, gold: str, predictions: str, limit: int | None = None, results: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(scores by category, expectations whose file is not eligible) of predictions against labelled files, both JSON.
+
+        Of the first ``limit`` files only, if that is set; scores are added to the JSON lines in the folder ``results``.
+        """
         expected, given = evaluate.read_gold(self.spark, gold), evaluate.read_predictions(self.spark, predictions)
         if limit is not None:
             first = expected.select("path").distinct().orderBy("path").limit(limit)
             expected, given = expected.join(first, "path", "left_semi"), given.join(first, "path", "left_semi")
         pairs = rollups.matched(expected, given, ["path", "original", "replacement", "category"])
-        return rollups.scores(pairs, ["category"]), evaluate.not_eligible(expected, self.discover())
+        scores = rollups.scores(pairs, ["category"])
+        if results:
+            evaluate.write_results(scores, results)
+        return scores, evaluate.not_eligible(expected, self.discover())
 
     def validate(self, responses: DataFrame, proposals: DataFrame) -> DataFrame:
         """(path, code, accepted, candidate, before_sha256): each answered file with its first reject code, or its new content.

@@ -661,3 +661,16 @@ def generated_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("text", F.lit("\n"), mark, F.lit("\r\nmore"))
     comments = docs.select("doc_id", text.alias("comment"), F.lit(3).cast("long").alias("line"), F.lit(1).alias("place"))
     return extract.first_markers(comments, "doc_id", "comment", "line", "place")
+
+
+@query(f"""with s as (select doc_id, segment, body, ['markdown', 'python', 'java', 'go'][length(body) % 4 + 1] as format, ['`', chr(39) || chr(39) || chr(39), '*/', '//', 'q', chr(92)][length(body) % 6 + 1] as added from ({_SEGMENTS_SQL}))
+  select format, added, case when added = 'q' then null when format = 'markdown' then (case when added in ('`', '*/', chr(92)) then 'unsafe_delimiter_change' end)
+    when added in ('*/', '//', chr(92)) or (format = 'python' and added = chr(39) || chr(39) || chr(39)) then 'unsafe_delimiter_change' end as code, count(*) as n from s group by 1, 2, 3""")
+def delimiter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that add delimiters, under the rules of the file's format; format and delimiter go by the text's length."""
+    rows = segments.segments(table(spark, sf_dir, "documents"), "doc_id")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.length("body") % len(values))
+    rows = rows.withColumns({"format": pick(["markdown", "python", "java", "go"]), "added": pick(["`", "'''", "*/", "//", "q", "\\"])})
+    code = validation.replacement_code("body", F.concat("body", "added"), validation.tokens_of("format"))
+    # a text that ends with space would change its edge; the tables' lines don't
+    return rows.select("format", "added", code.alias("code")).groupBy("format", "added", "code").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from prosemill import engine as engine_module
 from prosemill.engine import Engine
 from prosemill.operators import protocol, rollups, screen
 
@@ -117,10 +118,38 @@ def test_pages_counts_and_scores(spark, tmp_path):
     assert (page["total_files"], page["next_cursor"], page["model"], page["input_tokens"]) == (3, None, "en-US", 2)
     (tmp_path / "gold.json").write_text('[{"path": "b.py", "dialect": "en-US", "corrections": [{"segmentHint": "x", "original": "teh", "replacement": "the", "category": "spelling"}]}, {"path": "gen.go", "dialect": "en-US", "corrections": [{"original": "wrds", "replacement": "words", "category": "spelling"}]}]')
     (tmp_path / "made.json").write_text('[{"path": "b.py", "proposals": [{"original": "teh", "replacement": "the", "category": "spelling"}, {"original": "comment", "replacement": "comments", "category": "grammar"}]}]')
-    scores, missing = engine.score(str(tmp_path / "gold.json"), str(tmp_path / "made.json"))
+    scores, missing = engine.score(str(tmp_path / "gold.json"), str(tmp_path / "made.json"), results=str(tmp_path / "results"))
+    assert spark.read.json(str(tmp_path / "results")).count() == 2 and engine.score(str(tmp_path / "gold.json"), str(tmp_path / "made.json"), limit=1)[1].count() == 0
     assert {r.category: (r.tp, r.fp, r.fn) for r in scores.collect()} == {"spelling": (1, 0, 1), "grammar": (0, 1, 0)} and [(r.path, r.code) for r in missing.collect()] == [("gen.go", "not_eligible")]
     one = Engine(spark, str(root), targets=("b.py", "b.py"))
     assert [r.path for r in one.discover().collect()] == ["b.py"]
     proposals = spark.createDataFrame([("b.py", 1, 0, "teh", "the", "spelling"), ("solid.md", 1, 0, "a", "b", None)], "path string, segment long, proposal int, original string, replacement string, category string")
     validated = one.validate(spark.createDataFrame([("b.py", 1)], "path string, segment long"), proposals)
     assert [tuple(r) for r in rollups.categories(proposals, validated, "path").collect()] == [("b.py", "spelling", 1)]
+
+
+def test_limits_of_files_and_candidates(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "many.md").write_text("\n\n".join(["words"] * 5))
+    (root / "few.md").write_text("Teh words\n\nmore words")
+    (root / "code.java").write_text("// teh words\nclass A { }\n")
+    monkeypatch.setattr(engine_module, "MOST_SEGMENTS", 3), monkeypatch.setattr(protocol, "MOST_PATHS", 2)
+    engine = Engine(spark, str(root))
+    assert {r.path: r.code for r in engine.discover().collect()} == {"many.md": "too_many_segments", "few.md": None, "code.java": None}
+    with pytest.raises(protocol.ProtocolError, match="scope_too_large"):
+        engine.page()
+    responses = spark.createDataFrame([("few.md", 1), ("few.md", 2), ("code.java", 1)], "path string, segment long")
+    proposals = spark.createDataFrame([("few.md", 1, 0, "Teh", "The"), ("code.java", 1, 0, "teh", "the")], "path string, segment long, proposal int, original string, replacement string")
+    monkeypatch.setattr(engine_module.validation, "MOST_CANDIDATE_BYTES", 24)
+    assert {r.path: r.code for r in engine.validate(responses, proposals).collect()} == {"few.md": None, "code.java": "candidate_too_large"}
+    with pytest.raises(protocol.ProtocolError, match="invalid_glossary"):
+        Engine(spark, str(root), {"glossary": ["\ud800"]})
+
+
+def test_structure_of_files():
+    from pyspark.sql import SparkSession
+
+    rows = [("a\n", "b\n", None), ("a\n", "b", "file_structure_changed"), ("a", "b\r", "file_structure_changed"), ("\ufeffa", "a", "file_structure_changed"), ("\ufeffa\r\n", "\ufeffb\n", None)]
+    frame = SparkSession.getActiveSession().createDataFrame(rows, "a string, b string, want string")
+    assert frame.withColumn("got", engine_module.validation.structure_code("a", "b")).where("not (got <=> want)").count() == 0

@@ -196,3 +196,9 @@ def test_lock_states(spark, tmp_path):
         ("x", "01:11:00", "stale", "b"), ("x", "01:31:00", "held", "a"), ("x", "01:45:00", "taken_over", "c"), ("x", "01:55:00", "stale", "c"),
     ]
     assert ("y", "01:10:00", "stale", "q") in told and ("z", "01:40:00", "stale", "d") in told
+
+
+@pytest.mark.parametrize("root", ["relative", "/no/such/folder", "/tmp/../tmp", "/tmp/a\nb"])
+def test_roots_that_are_refused(root):
+    with pytest.raises(ValueError):
+        tree.TreeReader(root, {}).partitions()
