@@ -479,12 +479,13 @@ def extract_comments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
 
 
-@query(f"""select doc_id, count(*) filter (regexp_matches(x, '\\p{{L}}') and not contains(x, '/*') and not contains(x, '*/') and not regexp_matches(trim(x, ' ' || chr(9)), '{_PRAGMA_SQL}')) + 1 as segments from
-  (select doc_id, regexp_replace(replace(replace(body, chr(92), '/'), '"', chr(39)), '^\\s+', '') as x from ({_LINES_SQL})) where not regexp_matches(x, '^(?:>>>|\\.\\.\\.)') group by 1""")
+# a docstring with a backslash is left alone; the tables hold none, so every seventh length gets one
+@query(f"""select doc_id, case when any_value(length(text)) % 7 = 0 or any_value(contains(text, chr(92))) then 1 else count(*) filter (not regexp_matches(x, '^(?:>>>|\\.\\.\\.)') and regexp_matches(x, '\\p{{L}}') and not contains(x, '/*') and not contains(x, '*/') and not regexp_matches(trim(x, ' ' || chr(9)), '{_PRAGMA_SQL}')) + 1 end as segments
+  from (select doc_id, regexp_replace(body, '^\\s+', '') as x, text from ({_LINES_SQL}) join documents using (doc_id)) group by 1""")
 def extract_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Docstrings of Python files: every document as the docstring of a function, before a string with a comment mark and a comment."""
-    body = F.translate("text", '\\"', "/'")
-    source = F.concat(F.lit('def f():\n    r"""'), body, F.lit('\n    """\n    return "# no"  # yes '), F.col("doc_id").cast("string"), F.lit("\n"))
+    unsafe = F.when(F.length("text") % 7 == 0, F.lit(" \\d")).otherwise("")
+    source = F.concat(F.lit('def f():\n    r"""'), F.col("text"), unsafe, F.lit('\n    """\n    return "# no"  # yes '), F.col("doc_id").cast("string"), F.lit("\n"))
     rows = extract.code_segments(table(spark, sf_dir, "documents").select("doc_id", source.alias("text")), "doc_id", "python")
     return rows.groupBy("doc_id").agg(F.count("*").alias("segments"))
 
@@ -541,10 +542,10 @@ def display_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", at["line"].alias("line"), at["column"].alias("col"))
 
 
-@query("""select doc_id, case when doc_id % 3 = 0 then 'unmappable_proposal' when doc_id % 5 = 0 then 'source_mapping_mismatch' end as code from documents where length(text) >= 8""")
+@query("""select doc_id, case when doc_id % 3 = 0 and length(text) > 4 then 'unmappable_proposal' when doc_id % 5 = 0 then 'source_mapping_mismatch' end as code from documents""")
 def mapping_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A proposal for the first eight characters of a text whose map has two spans, or one, and a file that has those bytes or others."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 8")
+    docs = table(spark, sf_dir, "documents")
     span = lambda a, b: F.struct(F.lit(a).alias("start"), b.alias("end"), (F.lit(3) + T.byte_length(F.substring("text", 1, a) if a else F.lit(""))).alias("start_byte"))
     spans = F.when(F.expr("doc_id % 3 = 0"), F.array(span(0, F.lit(4)), span(4, F.length("text")))).otherwise(F.array(span(0, F.length("text"))))
     content = F.concat(F.when(F.expr("doc_id % 5 = 0"), F.lit("abcd")).otherwise(F.lit("abc")), F.col("text"))
