@@ -28,7 +28,29 @@ class Engine:
         protocol.check_glossary(list(p.glossary))
         self.policy_digest = protocol.policy_digest(root, dataclasses.asdict(p))
         # excluded and hidden folders are not entered; a link or folder with a name of the policy gets the policy's code
-        rows = tree.read_tree(spark, root, tuple(policy.MANDATORY_DIRECTORIES), not p.include_hidden, tuple(patterns(list(p.exclude))), targets)
+        self._take(tree.read_tree(spark, root, tuple(policy.MANDATORY_DIRECTORIES), not p.include_hidden, tuple(patterns(list(p.exclude))), targets))
+
+    @classmethod
+    def of_table(cls, files: DataFrame, overrides: dict | None = None, prefix: str = "prose", name: str = "table") -> Engine:
+        """An engine over a table (path, content) of files, such as a crawl's; there is nothing to apply edits to.
+
+        Contents are strings or bytes; paths are relative, not null and distinct. Rows
+        pass the policy, the size limit and the checks of contents as files of a tree do.
+        """
+        engine = cls.__new__(cls)
+        engine.spark, engine.root, engine.prefix = files.sparkSession, name, prefix
+        engine.preferences = config.merged({}, overrides or {})
+        protocol.check_glossary(list(engine.preferences.glossary))
+        engine.policy_digest = protocol.policy_digest(name, dataclasses.asdict(engine.preferences))
+        content = F.col("content").cast("binary")
+        size = F.octet_length(content).cast("long")
+        code = F.when(~policy.is_safe("path"), "unsafe_path").when(content.isNull(), "read_failed").when(size > tree.MOST_BYTES, "too_large")
+        engine._take(files.select("path", F.lit("file").alias("path_type"), code.alias("code"), size.alias("byte_length"), F.when(code.isNull(), content).alias("content")))
+        return engine
+
+    def _take(self, rows: DataFrame) -> None:
+        """Read (path, path_type, code, byte_length, content) once, and say what policy and contents make of each."""
+        p = self.preferences
         named = policy.path_code("path", list(p.exclude), p.include_hidden)
         kind = F.when(named.isNotNull(), "unknown").otherwise(F.col("path_type"))
         coded = rows.withColumn("code", F.coalesce(named, F.col("code"), F.when(F.col("path_type") == "file", policy.scan_code("path", list(p.include), list(p.exclude), p.include_hidden)), policy.content_code("content"))).withColumn("path_type", kind)

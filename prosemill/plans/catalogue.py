@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..engine import Engine
 from ..functions import text as T
 from ..operators import extract, paging, policy, protocol, report, rollups, screen, segments, table_functions, validation
 from ..operators.closure import reachable
@@ -675,3 +676,13 @@ def delimiter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = validation.replacement_code("body", F.concat("body", "added"), validation.tokens_of("format"))
     # a text that ends with space would change its edge; the tables' lines don't
     return rows.select("format", "added", code.alias("code")).groupBy("format", "added", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""with p as (select doc_id, unnest(regexp_split_to_array(text, '\\n(?:[ \\t]*\\n)+')) as p from documents),
+  n as (select doc_id, len(list_filter(regexp_split_to_array(trim(p, ' ' || chr(9) || chr(10)), '{_MAIL_SQL}'), lambda x: regexp_matches(x, '\\p{{L}}'))) as n from p)
+  select doc_id, 'eligible' as state, sum(n)::bigint as extracted_segments, 0::bigint as suppressed_segments, 0::bigint as diagnostics, 0::bigint as notices from n group by 1""")
+def discovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine over the documents as Markdown files; bare addresses are wholly protected and no segments."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    found = Engine.of_table(docs).discover()
+    return found.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "state", "extracted_segments", "suppressed_segments", "diagnostics", "notices")

