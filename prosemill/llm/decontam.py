@@ -261,7 +261,8 @@ def find_leaks(
     Null ids, and null or empty texts on either side, match nothing. Repeated
     rows of one doc_id give one row an item, the best. Without an ``answer``
     column an item's answer is its last quarter, 3 words at least. Ties need
-    no rule: every pair that passes is listed. Other columns are not read.
+    no rule: every pair that passes is listed. A very long text is a
+    sequence of words to slide windows over, all of it. Other columns are not read.
     """
     out = None
     total = docs.count()
@@ -412,7 +413,13 @@ def matches(hits: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """``docs`` without the rows in which an item is found. Rows of one doc_id with other texts stay, and so do null ids and texts."""
+    """``docs`` without the rows in which an item is found. Rows of one doc_id with other texts stay, and so do null ids and texts.
+
+    Equal rows go together. A very long text is looked through as ``find_leaks``
+    does, window by window, and goes as a whole. A benchmark without items
+    leaves all rows; empty tables give none. Other columns pass through,
+    whatever their names.
+    """
     row, leaking = free_name(docs, "row_key"), free_name(docs, "leaking_row")
     # rows of one doc_id and one text are alike, so their hash tells which go, whatever order tasks see them in
     keyed = docs.withColumn(row, F.when(F.col(doc_id).isNotNull() & F.col(text).isNotNull(), F.xxhash64(doc_id, text)))

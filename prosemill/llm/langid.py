@@ -205,7 +205,14 @@ def like_noise(name: str, score: float, grams: float, typical: float, deviations
 
 
 def keep_identified(docs: DataFrame, deviations: float = DEVIATIONS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without rows whose language is undetermined or that are like noise: junk that is like no language."""
+    """``docs`` without rows whose language is undetermined or that are like noise: junk that is like no language.
+
+    Null and empty texts, and those without a letter, are undetermined and go;
+    null ids count as training rows. Equal rows are judged alike. A very long
+    text is bundled in slices, and its whole counts. Without training rows
+    nothing is determined, and empty tables give none. Other columns pass
+    through, whatever their names.
+    """
     profiles = learned(docs.where(~held_out(doc_id)), lang, text)
     names = sorted(profiles)
     matrix = np.stack([profiles[n][0] for n in names]) if names else np.zeros((0, DIMENSIONS))

@@ -135,7 +135,12 @@ def masked(text: str | None) -> str | None:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """``docs`` with secrets masked in the text, and its length renewed where a text changed. No row goes."""
+    """``docs`` with secrets masked in the text, and its length renewed where a text changed. No row goes.
+
+    Null and empty texts stay as they are; equal rows are masked alike. A very
+    long text is scanned at once and needs some times its size. Empty tables give
+    none. Other columns pass through, whatever their names.
+    """
     at = docs.columns.index(text)
     count = docs.columns.index(n_chars) if n_chars in docs.columns else None
     schema = docs.schema
