@@ -330,7 +330,11 @@ def link_components(sets: DataFrame, entries: DataFrame, percent: int) -> DataFr
     """(id, label) of every class in ``sets``: label is the least id reachable."""
     nodes = sets.select("id")
     lists = entries.groupBy("hash").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    canopies = stored(components(nodes, entries.join(lists, "hash").select("a", F.col("id").alias("b")), "jaccard-canopies"), "jaccard-canopies")
+    met = entries.join(lists, "hash").select("a", F.col("id").alias("b")).where("a <> b").distinct()
+    # the heads of the lists that a class is in hang on the least of them, once for all such classes
+    least = met.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("m"))
+    hung = least.select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).where("a <> b")
+    canopies = stored(components(nodes, hung, "jaccard-canopies"), "jaccard-canopies")
     links = stored(met_links(_numbered(canopies.withColumn("part", F.col("id")), 0), sets, percent), "jaccard-links")
     large = canopies.groupBy("label").count().where(F.col("count") > BLOCK)
     if large.limit(1).count():
@@ -343,7 +347,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """``docs`` with one row for each component, that of the least doc_id; if that has several of its rows, the one with the least text.
 
     Null and empty texts and null doc_ids stay; rows of one doc_id are judged
-    each by its own text. Equal rows count once.
+    each by its own text. Equal rows count once. A very long text is a set of
+    very many shingles, of eight bytes each. Empty tables give none. Other
+    columns pass through, whatever their names.
     """
     own, mine, name, rank = free_name(docs, "class_hash"), free_name(docs, "text_hash"), free_name(docs, "component"), free_name(docs, "rank")
     key, group = free_name(docs, "id_key"), free_name(docs, "label")
