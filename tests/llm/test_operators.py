@@ -91,6 +91,26 @@ def test_jaccard_of_canopies_of_many_blocks(spark, monkeypatch, block):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_by_short_posting_lists(spark, monkeypatch):
+    """A long canopy without a large component, whose posting lists are short."""
+    monkeypatch.setattr(jaccard, "BLOCK", 24)
+    rng, line, at, texts = random.Random(21), words(4000, 21), 0, []
+    while at + 60 < len(line):
+        texts.append(" ".join(line[at : at + 60]))
+        at += rng.choice([3, 5, 8, 12])
+    counted, kept = [], jaccard.posting_links
+
+    def counting(*arguments):
+        counted.append(kept(*arguments))
+        return counted[-1]
+
+    monkeypatch.setattr(jaccard, "posting_links", counting)
+    rows = list(enumerate(texts))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows), width=4, percent=85).collect()), key=str)
+    assert got == brute_components(rows, 4, 85) and len(texts) > 450
+    assert counted and counted[0].count() > 0
+
+
 def test_jaccard_with_frequent_shingles_apart(spark, monkeypatch):
     monkeypatch.setattr(packed, "FREQUENT", 20), monkeypatch.setattr(jaccard, "BUCKET", 700)
     rows = list(enumerate([*near_copies(), *near_copies(), *near_copies(6), *(" ".join(words(40, 77) + words(k, k)) for k in range(80))]))
