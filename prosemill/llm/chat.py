@@ -85,20 +85,22 @@ def leaf_scores(messages: DataFrame) -> DataFrame:
     messages: (tree, node, parent, score), as ``branches`` takes them. Every
     message knows what a stretch of its ancestors sums up to, and the stretches
     double each round by a join with those of the message where they end. A
-    round has a row a message, however long paths are. A leaf whose ancestors
+    round has a row for each message whose stretch does not reach its root. A leaf whose ancestors
     run into a cycle reaches no root and is left out.
     """
     most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     rows = stored(messages.select("tree", "node", F.col("score").alias("total")).join(_links(messages), ["tree", "node"], "left").select("tree", "node", "above", "total", F.lit(1).cast("long").alias("n")), "chat-sums")
     inner = rows.where("above is not null").select("tree", F.col("above").alias("node")).distinct()
     leaves = stored(rows.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf")), "chat-leaves")
-    span = 1
-    while span < most and rows.where("above is not null").limit(1).count():
-        beyond = rows.select("tree", F.col("node").alias("above"), F.col("above").alias("farther"), F.col("total").alias("more"), F.col("n").alias("steps"))
-        joined = rows.join(beyond, ["tree", "above"], "left")
-        rows = stored(joined.select("tree", "node", F.col("farther").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("steps", F.lit(0))).alias("n")), "chat-sums")
+    # only what has ancestors left takes part in a round
+    done, left, span = rows.where("above is null"), rows.where("above is not null"), 1
+    while span < most and left.limit(1).count():
+        beyond = done.unionByName(left).select("tree", F.col("node").alias("above"), F.col("above").alias("farther"), F.col("total").alias("more"), F.col("n").alias("steps"))
+        joined = left.join(beyond, ["tree", "above"])
+        moved = stored(joined.select("tree", "node", F.col("farther").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("steps")).alias("n")), "chat-sums")
+        done, left = done.unionByName(moved.where("above is null")), moved.where("above is not null")
         span *= 2
-    return rows.where("above is null").withColumnRenamed("node", "leaf").join(leaves, ["tree", "leaf"], "left_semi").select("tree", "leaf", "total", "n")
+    return done.withColumnRenamed("node", "leaf").join(leaves, ["tree", "leaf"], "left_semi").select("tree", "leaf", "total", "n")
 
 
 def branches(messages: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
