@@ -27,3 +27,8 @@ def both(spark, tmp_path, name):
 def test_ends_of_addresses_are_no_names(spark, tmp_path):
     got, want = both(spark, tmp_path, "proposal_reject_codes")
     assert got == want and [r for r in got if r[2] == "protected_range"] == [(4838, 1, "protected_range")]
+
+
+def test_histogram_counts_no_ends_of_addresses(spark, tmp_path):
+    got, want = both(spark, tmp_path, "category_histogram")
+    assert got == want and dict(got)["protected_range"] == 1
