@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import utf16_order
 from . import paging
+from .lineage import checkpointed
 
 SCREEN_PAGE = 16
 #: Paths of a scan that is paged by cursor; ``pages`` takes any number.
@@ -68,9 +69,10 @@ def pages(entries: DataFrame, size: int = SCREEN_PAGE, key: str = "path") -> Dat
     """Adds ``page`` to all rows: ``size`` rows a page, by path in UTF-16 order.
 
     Rows are ranked within ranges of the key and ranges start where those
-    before end, so that no task sees all rows.
+    before end, so that no task sees all rows. Bounds of ranges are drawn anew
+    whenever rows are dealt, so the dealt rows are stored before they are counted.
     """
-    dealt = entries.withColumn("o", utf16_order(key)).repartitionByRange("o").withColumn("block", F.spark_partition_id())
+    dealt = checkpointed(entries.withColumn("o", utf16_order(key)).repartitionByRange("o").withColumn("block", F.spark_partition_id()))
     place = F.row_number().over(Window.partitionBy("block").orderBy("o"))
     counts = dealt.groupBy("block").agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

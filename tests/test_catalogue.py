@@ -1,7 +1,9 @@
 """Queries against their DuckDB twins, and their steps, on rows that the small tables lack."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from prosemill.operators import protocol
 from prosemill.plans import catalogue
 
 TEXTS = {
@@ -32,3 +34,17 @@ def test_ends_of_addresses_are_no_names(spark, tmp_path):
 def test_histogram_counts_no_ends_of_addresses(spark, tmp_path):
     got, want = both(spark, tmp_path, "category_histogram")
     assert got == want and dict(got)["protected_range"] == 1
+
+
+def test_pages_of_many_ranges_are_full(spark):
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("false", "8"), strict=True):
+            spark.conf.set(n, v)
+        paths = spark.range(20_000, numPartitions=4).select(F.format_string("p%09d", "id").alias("path"), F.col("id").alias("n"))
+        rows = protocol.pages(paths).select("n", "page").collect()
+        assert sorted((r.n, r.page) for r in rows) == [(n, n // 16) for n in range(20_000)]
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
