@@ -110,7 +110,13 @@ def protected_ranges(c: Column | str, families=tuple(PROTECTED), glossary: tuple
     found = [_if_held(c, NEEDLES.get(f, ()), match_ranges(c, PROTECTED[f])) for f in families]
     if glossary:
         found.append(glossary_ranges(glossary)(col(c)))
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    return found[0] if len(found) == 1 else _merged(F.concat(*found))
+
+
+def _merged(ranges: Column) -> Column:
+    """Ranges sorted, each once: as numbers of start and length, which are told apart by a hash set, where structs would be compared pair by pair."""
+    keys = F.sort_array(F.array_distinct(F.transform(ranges, lambda r: F.shiftleft(r["start_byte"], 32) + r["end_byte"] - r["start_byte"])))
+    return F.transform(keys, lambda k: F.struct(F.shiftright(k, 32).alias("start_byte"), (F.shiftright(k, 32) + k.bitwiseAND(F.lit(0xFFFFFFFF))).alias("end_byte")))
 
 
 def _if_held(c: Column | str, needles: tuple[str, ...], ranges: Column) -> Column:

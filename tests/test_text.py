@@ -84,3 +84,15 @@ def test_glossary_equals_a_regex_for_each_term(spark):
     rows = spark.createDataFrame([("aaé aé",), (None,), ("",)], "t string")
     got = rows.select(T.protected_ranges("t", families=(), glossary=("aé", "a", ""))).collect()
     assert [[tuple(r) for r in x[0]] if x[0] is not None else None for x in got][0] == [(0, 1), (1, 2), (1, 4), (5, 6), (5, 8)]
+
+
+def test_dense_terms_take_no_square_time(spark):
+    import time
+
+    text = "the é. " * 10_000
+    rows = spark.createDataFrame([(text,)], "t string")
+    ranges = lambda *terms: rows.select(T.protected_ranges("t", families=("email",), glossary=terms)).first()[0]
+    assert ranges("x") == []
+    start = time.time()
+    got = ranges("the", "he", "é", "aa", ".")
+    assert (len(got), sum(r.end_byte - r.start_byte for r in got)) == (40_000, 80_000) and time.time() - start < 20
