@@ -9,6 +9,8 @@ from .glossary import glossary_ranges
 
 # White space of the edge and URL rules, written as a Java class.
 SPACE = "\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+#: The same characters, for trims.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # What may not be edited, by family. Word edges are ASCII. Possessive runs, and the start of multipart, change no match; they spare attempts.
 _EDGE, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 PROTECTED = {

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import SPACE, byte_length, has_letter
+from ..functions.text import SPACE, SPACES, byte_length, has_letter
 from . import lexer, segments
 
 # Constructs of a Markdown text that may not be edited.
@@ -105,35 +105,39 @@ def code_lines(files: DataFrame, key: str, language: str, text: str = "text", pr
     """
     rows = lexer.comment_lines(files, key, language, text)
     docstring, first = F.col("kind") == "docstring", F.col("part") == 0
+    # directives are whole comments; only those that name one are taken apart
+    plain = F.regexp_replace(F.regexp_replace("whole", "\\A/[/!*]+|\\A#+|\\*+/\\z", ""), f"(?m)^[{SPACE}]*\\* ?", "")
+    named = F.col("whole").contains("-disable") | F.col("whole").contains("-enable")
+    kind = F.when((F.col("kind") == "comment") & first & named, _directive(plain, prefix, "", ""))
+    # the rows are dealt by file once, before texts are cut out of them; windows over comments find them in place
+    rows = _suppressed_lines(rows.withColumn("directive", kind), key)
+    marked = {"rust": "\\A(?:///|//!|/\\*\\*|/\\*!)", "java": "\\A/\\*\\*", "javascript": "\\A/\\*\\*", "typescript": "\\A/\\*\\*", "tsx": "\\A/\\*\\*"}.get(language)
+    of_comment = Window.partitionBy(key, "comment").orderBy("part")
+    whole_comment = of_comment.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    doc = F.when(docstring, True).otherwise(F.coalesce(F.max(F.when(first, F.col("whole").rlike(marked))).over(whole_comment), F.lit(False)) if marked else F.lit(False))
+    rows = rows.withColumn("doc", doc)
     opening = f"\\A[{SPACE}]*(?://[/]?!?|/\\*+!?|#)[{SPACE}]?"
     head = F.when(docstring, F.regexp_extract("raw", f"\\A[{SPACE}]*", 0)).when(first, F.regexp_extract("raw", opening, 0)).otherwise(F.regexp_extract("raw", f"\\A[{SPACE}]*\\*?[{SPACE}]?", 0))
     rows = rows.withColumn("head", head)
     rest = F.substring("raw", F.length("head") + 1, F.length("raw"))
-    body = F.when(docstring, rest).otherwise(F.when(F.col("last"), F.regexp_replace(rest, f"[{SPACE}]*\\*/\\z", "")).otherwise(rest))
-    rows = rows.withColumn("body", body)
-    left = F.when(docstring, F.col("body")).otherwise(F.regexp_replace("body", "\\A[ \\t]+", ""))
-    rows = rows.withColumn("start", F.col("start_byte") + byte_length("head") + byte_length("body") - byte_length(left)).withColumn("inner", F.when(docstring, left).otherwise(F.regexp_replace(left, "[ \\t]+\\z", "")))
-    rows = rows.withColumn("end", F.col("start") + byte_length("inner"))
-    marked = {"rust": "\\A(?:///|//!|/\\*\\*|/\\*!)", "java": "\\A/\\*\\*", "javascript": "\\A/\\*\\*", "typescript": "\\A/\\*\\*", "tsx": "\\A/\\*\\*"}.get(language)
-    of_comment = Window.partitionBy(key, "comment")
-    doc = F.when(docstring, True).otherwise(F.coalesce(F.max(F.when(first, F.col("whole").rlike(marked))).over(of_comment), F.lit(False)) if marked else F.lit(False))
-    rows = rows.withColumn("doc", doc).withColumn("trimmed", F.regexp_replace("inner", f"\\A[{SPACE}]+|[{SPACE}]+\\z", ""))
-    # directives are whole comments
-    plain = F.regexp_replace(F.regexp_replace("whole", "\\A/[/!*]+|\\A#+|\\*+/\\z", ""), f"(?m)^[{SPACE}]*\\* ?", "")
-    kind = F.when((F.col("kind") == "comment") & first, _directive(plain, prefix, "", ""))
-    rows = _suppressed_lines(rows.withColumn("directive", kind), key)
+    rows = rows.withColumn("body", rest)
+    closed = F.rtrim(F.substring("body", F.lit(1), F.length("body") - 2), F.lit(SPACES))
+    rows = rows.withColumn("body", F.when(~docstring & F.col("last") & F.col("body").endswith("*/"), closed).otherwise(F.col("body")))
+    left = F.when(docstring, F.col("body")).otherwise(F.ltrim("body", F.lit(" \t")))
+    rows = rows.withColumn("start", F.col("start_byte") + byte_length("head") + byte_length("body") - byte_length(left)).withColumn("inner", F.when(docstring, left).otherwise(F.rtrim(left, F.lit(" \t"))))
+    rows = rows.withColumn("end", F.col("start") + byte_length("inner")).withColumn("trimmed", F.btrim("inner", F.lit(SPACES)))
     tag = F.when(F.col("doc") & ~docstring, F.regexp_extract("trimmed", f"\\A@([A-Za-z]+){_WORD_END}", 1))
-    example = F.coalesce(F.last(F.when(tag != "", tag), ignorenulls=True).over(of_comment.orderBy("part")).isin("example", "snippet"), F.lit(False))
+    example = F.coalesce(F.last(F.when(tag != "", tag), ignorenulls=True).over(of_comment).isin("example", "snippet"), F.lit(False))
     passed = example
     if language == "go":
         passed = passed | F.col("cgo") | F.col("raw").rlike(f"\\A[{SPACE}]*(?://|\\*)(?: {{5,}}|\\t)")
     if language == "java":
-        passed = passed | F.coalesce(F.max(F.when(first, F.col("whole").rlike(f"\\A[{SPACE}]*///"))).over(of_comment), F.lit(False))
+        passed = passed | F.coalesce(F.max(F.when(first, F.col("whole").rlike(f"\\A[{SPACE}]*///"))).over(whole_comment), F.lit(False))
     if language == "python":
         passed = passed | (docstring & F.col("inner").rlike("\\A(?:>>>|\\.\\.\\.)"))
     rows = rows.withColumn("passed", passed)
     open_line = (F.col("kind").isin("comment", "docstring")) & ~F.col("passed") & ~F.col("disabled") & (F.length("inner") > 0)
-    tool = (F.col("trimmed") == "") | F.col("trimmed").rlike("/\\*|\\*/") | F.col("trimmed").rlike(PRAGMA) | _directive(F.col("trimmed"), prefix, "", "").isNotNull()
+    tool = (F.col("trimmed") == "") | F.col("trimmed").contains("/*") | F.col("trimmed").contains("*/") | F.col("trimmed").rlike(PRAGMA) | _directive(F.col("trimmed"), prefix, "", "").isNotNull()
     kept = _protected(rows.withColumn("open_line", open_line).withColumn("tool", tool), key, language)
     outcome = (
         F.when(F.col("kind").isin("parse_error", "unsafe_docstring"), F.col("kind")).when(F.col("passed"), "passed").when(F.length("inner") == 0, "empty")

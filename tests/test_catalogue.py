@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from prosemill.operators import protocol
+from prosemill.operators import extract, protocol
 from prosemill.plans import catalogue
 
 TEXTS = {
@@ -48,3 +48,11 @@ def test_pages_of_many_ranges_are_full(spark):
     finally:
         for n, v in zip(names, before, strict=True):
             spark.conf.set(n, v)
+
+
+def test_comment_rows_are_dealt_once(spark, capsys):
+    files = spark.createDataFrame([(1, "x(); // a\n/* prose-disable */\n// b\n/* prose-enable */\n/** c \u00a0*/")], "k long, text string")
+    rows = extract.code_lines(files, "k", "typescript")
+    rows.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+    assert sorted((r.line, r.inner, r.outcome) for r in rows.collect() if r.directive is None) == [(1, "a", "segment"), (3, "b", "suppressed"), (5, "c", "segment")]
