@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ from .lineage import checkpointed
 from .rollups import verdict
 
 CHUNK = 60_000
+#: Texts that a scorer gets at once.
+AT_ONCE = 32
 
 
 class ScorerError(Exception):
@@ -137,11 +138,17 @@ def screened(files: DataFrame, segments: DataFrame, key: str, score: Callable[[l
     """(key, verdict, error_probability, code) for files (key, sha256, expected_sha256): a stale file is flagged unread."""
     marked, fresh = _marked(files, segments, key)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "p": score(frame["prose"].tolist())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scored(batches, score, key)
+
+    return _verdicts(marked, chunks(fresh, key, text, order, most).select(key, "prose").mapInArrow(run, f"{key} {dict(segments.dtypes)[key]}, p double"), key)
+
 
-    return _verdicts(marked, chunks(fresh, key, text, order, most).mapInPandas(run, f"{key} {dict(segments.dtypes)[key]}, p double"), key)
+def scored(batches: Iterator[pa.RecordBatch], score: Callable[[list[str]], list[float]], key: str) -> Iterator[pa.RecordBatch]:
+    """(key, p) of batches (key, prose), ``AT_ONCE`` texts at a time, so that a task never holds all of a batch as strings."""
+    for batch in batches:
+        found = [p for at in range(0, batch.num_rows, AT_ONCE) for p in score(batch.column(1).slice(at, AT_ONCE).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=[key, "p"])
 
 
 def screened_by_calls(files: DataFrame, segments: DataFrame, key: str, transport: Transport, dialect: str, glossary: tuple[str, ...] = (), text: str = "text", order: str = "segment", most: int = CHUNK, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, int, str | None]:
