@@ -95,7 +95,7 @@ class Engine:
     def discover(self) -> DataFrame:
         """(path, path_type, state, code, format, id, sha256, byte_length, extracted_segments, eligible_segments, skipped_segments, suppressed_segments, diagnostics, notices, marker, marker_line): every path and what became of it."""
         found = self.extraction()
-        counts = self.prepared().groupBy("path").agg(F.count_if(F.col("code").isNull()).alias("n"), F.count_if(F.col("code").isNotNull()).alias("skipped"), F.countDistinct("segment").alias("extracted"))
+        counts = self.prepared().groupBy("path").agg(F.count_if(F.col("code").isNull()).alias("n"), F.count_if(F.col("code").isNotNull()).alias("skipped"), F.count_if(F.col("part") <= 1).alias("extracted"))
         broken = found.diagnostics.where("code = 'parse_error'").select("path").distinct().withColumn("broken", F.lit("parse_failed"))
         marked = found.generated.select("path", F.lit("generated_marker").alias("marked"), "marker", F.col("line").alias("marker_line"))
         told = found.diagnostics.groupBy("path").agg(F.count("*").alias("diagnosed"))

@@ -29,6 +29,8 @@ PROTECTED = {
 
 #: Literals without which a family has no match: texts without any of them are not searched.
 NEEDLES = {"url": ("://",), "path": ("/",), "multipart": ("/",), "email": ("@",), "template": ("{", "%("), "placeholder": ("<",), "flag": ("--",), "package": ("@",), "call": ("()",)}
+#: The same for families that no literal tells: a short pattern without which there is no match.
+HINTS = {"identifier": "_|[a-z][A-Z]|\\.[A-Za-z0-9]"}
 
 
 def col(c: Column | str) -> Column:
@@ -95,7 +97,9 @@ def match_ranges(c: Column | str, pattern: str) -> Column:
     before it end. The mark is the NUL character; those of the text are taken
     for the next one, of the same length.
     """
-    marked = F.regexp_replace(F.translate(col(c), "\0", "\1"), pattern, "\0$0\0")
+    # few texts hold a NUL, and to translate goes character by character
+    free = F.when(col(c).contains("\0"), F.translate(col(c), "\0", "\1")).otherwise(col(c))
+    marked = F.regexp_replace(free, pattern, "\0$0\0")
     sizes = F.transform(F.split(marked, "\0"), lambda p: F.octet_length(p).cast("long"))
     empty = F.expr("named_struct('at', 0L, 'match', false, 'out', cast(array() as array<struct<start_byte:bigint,end_byte:bigint>>))")
 
@@ -109,7 +113,7 @@ def match_ranges(c: Column | str, pattern: str) -> Column:
 
 def protected_ranges(c: Column | str, families=tuple(PROTECTED), glossary: tuple[str, ...] = ()) -> Column:
     """All protected ranges of a text, sorted by start and end, each once; glossary terms are literals, found in one pass."""
-    found = [_if_held(c, NEEDLES.get(f, ()), match_ranges(c, PROTECTED[f])) for f in families]
+    found = [_if_held(c, NEEDLES.get(f, ()), HINTS.get(f), match_ranges(c, PROTECTED[f])) for f in families]
     if glossary:
         found.append(glossary_ranges(glossary)(col(c)))
     return found[0] if len(found) == 1 else _merged(F.concat(*found))
@@ -121,12 +125,13 @@ def _merged(ranges: Column) -> Column:
     return F.transform(keys, lambda k: F.struct(F.shiftright(k, 32).alias("start_byte"), (F.shiftright(k, 32) + k.bitwiseAND(F.lit(0xFFFFFFFF))).alias("end_byte")))
 
 
-def _if_held(c: Column | str, needles: tuple[str, ...], ranges: Column) -> Column:
-    if not needles:
+def _if_held(c: Column | str, needles: tuple[str, ...], hint: str | None, ranges: Column) -> Column:
+    tests = [*(col(c).contains(n) for n in needles), *([col(c).rlike(hint)] if hint else [])]
+    if not tests:
         return ranges
-    held = col(c).contains(needles[0])
-    for n in needles[1:]:
-        held = held | col(c).contains(n)
+    held = tests[0]
+    for t in tests[1:]:
+        held = held | t
     return F.when(held, ranges).otherwise(F.expr("cast(array() as array<struct<start_byte:bigint,end_byte:bigint>>)"))
 
 

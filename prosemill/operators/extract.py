@@ -8,6 +8,7 @@ lines.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,11 @@ def markdown_parts(files: DataFrame, key: str, text: str = "text", prefix: str =
     all on or all off. outcome is segment, suppressed, protected_markdown_construct,
     protected_frontmatter or empty (nothing to edit).
     """
-    rows = lexer.markdown_nodes(files, key, text)
+    # windows over lines are for files that may hold a directive; nodes of others are whole as they are found, and stay where they are
+    named = F.col(text).contains("-disable") | F.col(text).contains("-enable")
+    plain = lexer.markdown_nodes(files.where(~named), key, text, whole=True).drop("part")
+    plain = plain.withColumns({"island": F.lit(0).cast("long"), "directive": F.lit(None).cast("string"), "disabled": F.lit(False)})
+    rows = lexer.markdown_nodes(files.where(named), key, text)
     html = F.col("kind") == "html"
     rows = _suppressed_lines(rows.withColumn("comment", F.col("node")).withColumn("directive", F.when(html, _directive(F.col("raw"), prefix, "<!--", "-->"))), key)
     of_node = Window.partitionBy(key, "node").orderBy("part")
@@ -62,7 +67,7 @@ def markdown_parts(files: DataFrame, key: str, text: str = "text", prefix: str =
     lines = F.array_sort(F.collect_list(F.struct("part", "raw", "start_byte", "line")))
     first = {"kind": F.first("kind"), "heading": F.first("heading"), "directive": F.first("directive"), "disabled": F.first("disabled"), "lines": lines}
     merged = marked.groupBy(key, "node", "island").agg(*(c.alias(n) for n, c in first.items()))
-    merged = merged.withColumns({"raw": F.array_join(F.transform("lines", lambda x: x["raw"]), ""), "start_byte": F.get("lines", F.lit(0))["start_byte"], "line": F.get("lines", F.lit(0))["line"]})
+    merged = merged.withColumns({"raw": F.array_join(F.transform("lines", lambda x: x["raw"]), ""), "start_byte": F.get("lines", F.lit(0))["start_byte"], "line": F.get("lines", F.lit(0))["line"]}).drop("lines").unionByName(plain)
     prose = F.col("kind").isin("text", "alt")
     outcome = (
         F.when(F.col("kind") == "front", "protected_frontmatter").when(~prose, "protected_markdown_construct")
@@ -268,6 +273,17 @@ def split_ends(text: str, ranges: list[tuple[int, int]], most: int = 10_000) ->
     return [*out, len(text)] if at < len(text) else out
 
 
+def text_ends(most: int = 10_000) -> Callable[[Column, Column], Column]:
+    """A column function: the ends of the parts of a text with its ranges, as split_ends() has them; null for null texts."""
+
+    @F.arrow_udf("array<bigint>")
+    def ends(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+        pairs = ((t.as_py(), p) for t, p in zip(texts, ranges, strict=True))
+        return pa.array([None if t is None else split_ends(t, [(r["start_byte"], r["end_byte"]) for r in p.as_py() or []], most) for t, p in pairs], pa.list_(pa.int64()))
+
+    return ends
+
+
 def split_texts(rows: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """(key, ends) for rows of (key, text, ranges array<struct<start_byte, end_byte>>)."""
 

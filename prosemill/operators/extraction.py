@@ -64,7 +64,8 @@ def extracted(files: DataFrame, formats: Iterable[str], glossary: tuple[str, ...
         pieces = [none.select("path", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("start_byte"), F.lit(0).cast("long").alias("end_byte"), "text")]
         suppressed, diagnostics, notices, generated = [none.select("path", F.lit(0).cast("long").alias("n"))], [empty], [empty.select("path", "code")], [none.select("path", F.lit(None).cast("string").alias("marker"), F.lit(0).cast("long").alias("line"))]
     every = lambda frames: reduce(DataFrame.unionByName, frames)
-    rows = every(pieces).withColumn("local", protected_ranges("text", glossary=glossary))
+    # the generator keeps ranges from being found once for the filter and again for the rows
+    rows = every(pieces).withColumn("local", F.explode(F.array(protected_ranges("text", glossary=glossary))))
     whole = F.exists("local", lambda r: (r["start_byte"] == 0) & (r["end_byte"] == F.octet_length("text")))
     shifted = F.transform("local", lambda r: F.struct((r["start_byte"] + F.col("start_byte")).alias("start_byte"), (r["end_byte"] + F.col("start_byte")).alias("end_byte")))
     numbered = rows.where(~whole).withColumn("ranges", shifted).withColumn("segment", F.row_number().over(Window.partitionBy("path").orderBy("start_byte")).cast("long"))
@@ -81,22 +82,26 @@ def prepared(rows: DataFrame, most: int = MOST_UNITS) -> DataFrame:
     unmappable_segment. Others have part 0.
     """
     columns = ["path", "segment", "line", "start_byte", "end_byte", "text", "ranges"]
-    long = utf16_length("text") > most
+    # no text has more UTF-16 units than bytes
+    long = (F.octet_length("text") > most) & (utf16_length("text") > most)
     fits = F.octet_length("text") == F.col("end_byte") - F.col("start_byte")
-    lost = rows.where(long & ~fits).select(*columns, F.lit(0).cast("long").alias("part"), F.lit("unmappable_segment").alias("code"))
-    short = rows.where(~long).select(*columns).withColumn("part", F.lit(0).cast("long")).withColumn("code", F.lit(None).cast("string"))
     local = F.transform("ranges", lambda r: F.struct((r["start_byte"] - F.col("start_byte")).alias("start_byte"), (r["end_byte"] - F.col("start_byte")).alias("end_byte")))
-    tall = rows.where(long & fits).withColumn("id", F.to_json(F.struct("path", "segment")))
-    ends = extract.split_texts(tall.select("id", "text", local.alias("ranges")), "id", most)
-    joined = tall.join(ends, "id")
-    whole = joined.where("ends is null").select(*columns, F.lit(0).cast("long").alias("part"), F.lit("oversized_segment").alias("code"))
-    cut = joined.where("ends is not null").select(*columns, "ends", F.posexplode("ends").alias("i", "to"))
+    coded = rows.select(*columns, F.when(long & ~fits, "unmappable_segment").when(long, "oversized_segment").alias("code"))
+    # one pass: short texts go by the splitter as nulls
+    tall = F.col("code") == "oversized_segment"
+    ended = coded.withColumn("ends", extract.text_ends(most)(F.when(tall, F.col("text")), F.when(tall, local)))
+    each = ended.select(*columns, "code", "ends", F.posexplode_outer("ends").alias("i", "to"))
+    cut = F.col("to").isNotNull()
     begin = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.get("ends", F.col("i") - 1))
     text = F.call_function("substring", F.col("text"), (begin + 1).cast("int"), (F.col("to") - begin).cast("int"))
     first = F.col("start_byte") + byte_length(F.call_function("substring", F.col("text"), F.lit(1), begin.cast("int")))
-    parts = cut.select("path", "segment", "line", first.alias("start_byte"), (first + byte_length(text)).alias("end_byte"), text.alias("text"), "ranges", (F.col("i") + 1).cast("long").alias("part"))
+    part = lambda own, other: F.when(cut, own).otherwise(other)
+    parts = each.select(
+        "path", "segment", "line", part(first, F.col("start_byte")).alias("start_byte"), part(first + byte_length(text), F.col("end_byte")).alias("end_byte"), part(text, F.col("text")).alias("text"), "ranges",
+        part((F.col("i") + 1).cast("long"), F.lit(0).cast("long")).alias("part"), F.when(~cut, F.col("code")).alias("code"),
+    )
     touching = F.filter("ranges", lambda r: (r["start_byte"] < F.col("end_byte")) & (r["end_byte"] > F.col("start_byte")))
-    return short.unionByName(lost).unionByName(whole).unionByName(parts.withColumn("ranges", touching).withColumn("code", F.lit(None).cast("string")))
+    return parts.withColumn("ranges", F.when(F.col("part") > 0, touching).otherwise(F.col("ranges")))
 
 
 def with_neighbours(rows: DataFrame, most: int = 500) -> DataFrame:
